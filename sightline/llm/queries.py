@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sightline.llm import minhash_dedup
+import public_tokenizers
+
+from sightline.llm import bpe, exact_dedup, minhash_dedup, mixing
 from sightline.llm.common import table
 
 
@@ -12,6 +14,9 @@ def _documents(apply):
 
 QUERIES = {
     "op4_minhash_near_duplicates": _documents(minhash_dedup.near_duplicates),
+    "op6_exact_duplicates": _documents(exact_dedup.exact_duplicates),
+    "op9_bpe_encode_decode": _documents(lambda docs: bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
+    "op10_mix_sources": _documents(mixing.mix),
 }
 
 ORACLE_SQL: dict[str, str] = {}
