@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sightline.llm import bpe, exact_dedup, minhash_dedup, mixing
+from sightline.llm import bpe, exact_dedup, merkle, minhash_dedup, mixing, token_files, toxicity
 from sightline.llm.common import table
 
 
@@ -12,7 +12,14 @@ def _documents(apply):
     return lambda spark, sf_dir: apply(table(spark, sf_dir, "documents"))
 
 
+def _toxicity(spark, sf_dir):
+    return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_toxicity_severity": _toxicity,
+    "op2_token_files": _documents(lambda docs: token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))),
+    "op3_merkle_fingerprints": _documents(merkle.fingerprints),
     "op4_minhash_near_duplicates": _documents(minhash_dedup.near_duplicates),
     "op6_exact_duplicates": _documents(exact_dedup.exact_duplicates),
     "op9_bpe_encode_decode": _documents(lambda docs: bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
