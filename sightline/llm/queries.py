@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sightline.llm import bpe, exact_dedup, merkle, minhash_dedup, mixing, token_files, toxicity
+from sightline.llm import bpe, exact_dedup, merkle, minhash_dedup, mixing, personal_data, secrets, token_files, toxicity
 from sightline.llm.common import table
 
 
@@ -22,6 +22,8 @@ QUERIES = {
     "op3_merkle_fingerprints": _documents(merkle.fingerprints),
     "op4_minhash_near_duplicates": _documents(minhash_dedup.near_duplicates),
     "op6_exact_duplicates": _documents(exact_dedup.exact_duplicates),
+    "op7_secret_spans": _documents(secrets.secret_spans),
+    "op8_personal_data": _documents(personal_data.personal_spans),
     "op9_bpe_encode_decode": _documents(lambda docs: bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
     "op10_mix_sources": _documents(mixing.mix),
 }
