@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Scratch, by_value
+from sightline.llm.common import Scratch, by_value, fits_broadcast
 from sightline.llm.graph import components
 from sightline.llm.kernels import band_keys, circulant_signatures, fingerprint, list_array, shingle_sets, string_buffer, words
 
 BLOCK = 512
+#: Shared band keys up to this many (24 MB) are broadcast; more are joined by a shuffle.
+BUCKETS = 1_000_000
 #: Cells of the 0/1 matrix of one comparison at a time.
 CELLS = 1 << 23
 
@@ -122,8 +124,9 @@ def link_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], nu
     """
     classes = scratch.keep(items.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    members = scratch.keep(keys.join(buckets, "key"), "members")
+    buckets = scratch.keep(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1"), "buckets")
+    # the keys are not shuffled a second time if those that are shared are counted to be few
+    members = scratch.keep(keys.join(F.broadcast(buckets) if fits_broadcast(buckets, BUCKETS) else buckets, "key"), "members")
     wanted = scratch.keep(members.select("rep").distinct(), "wanted")
     sets = scratch.keep(sets_of(wanted), "sets")
 
