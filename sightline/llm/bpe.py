@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from sightline.llm.common import by_value, process_cache, text_or_empty
 
 #: Entries of each memo (states, pair checks, chunks of text) before it starts anew.
 MEMO = 400_000
+#: Matches of the pattern from this length on aren't remembered.
+LONG = 64
 #: Ids decoded at a time.
 FEED = 1 << 16
 
@@ -30,23 +33,35 @@ class Transducer:
     A list of tokens is an encoding exactly if each two neighbours, encoded
     together, give themselves; so an encoding can be extended to the right without revising what lies more than a token back. A state holds
     the token emitted last and every way in which the input may still go on: pairs of an
-    open tail, which begins some longer token, and the chain of tokens before it. Reading a byte lengthens the tails, closes those that
-    are tokens themselves and agree with the token before, and emits the part in which all chains agree. Tails are shorter than the longest token,
+    open tail (a node in the trie of all tokens) and the chain of tokens before it. Reading a byte lengthens the tails, closes the first that
+    is a token itself and agrees with the token before, and emits the part in which all chains agree. Tails are shorter than the longest token,
     which bounds the lookahead. States and transitions are made when first needed.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.starts = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.child: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [True]
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                key = node << 8 | byte
+                self.inner[node] = True
+                node = self.child.get(key, -1)
+                if node < 0:
+                    node = self.child[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+            self.token_at[node] = i
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple]] = {}
-        self.start = self.state((-1, b"", ((0, ()),)))
+        self.start = self.state((-1, ((0, ()),)))
 
     def state(self, key: tuple) -> int:
         found = self.ids.get(key)
@@ -58,46 +73,61 @@ class Transducer:
     def merged(self, piece: bytes) -> list[int]:
         """Encoding by the definition: again and again the leftmost pair of lowest rank."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        get = self.ranks.get
+        ranks = [get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < 1 << 60:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], 1 << 60)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], 1 << 60)
         return [self.ranks[p] for p in parts]
 
     def agree(self, a: int, b: int) -> bool:
         """Whether b may follow a (-1: nothing before)."""
-        found = self.pairs.get((a, b))
+        key = a << 32 | b
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > MEMO:
                 self.pairs.clear()
             right = self.tokens[b]
-            found = self.pairs[a, b] = self.merged(right) == [b] if a < 0 else self.merged(self.tokens[a] + right) == [a, b]
+            if a < 0:
+                found = self.merged(right) == [b]
+            else:
+                left = self.tokens[a]
+                found = left + right not in self.ranks and self.merged(left + right) == [a, b]
+            self.pairs[key] = found
         return found
 
     def move(self, state: int, byte: int) -> tuple[int, tuple]:
-        last, tail, ways = self.states[state]
-        tail += bytes((byte,))
+        last, ways = self.states[state]
+        child, token_at, inner = self.child, self.token_at, self.inner
         out, closed = [], None
-        for size, chain in ways:
-            piece = tail[len(tail) - size - 1 :]
-            if piece in self.starts:
-                out.append((size + 1, chain))
+        for node, chain in ways:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if inner[node]:
+                out.append((node, chain))
             if closed is None:
-                token = self.ranks.get(piece)
-                if token is not None and self.agree(chain[-1] if chain else last, token):
+                token = token_at[node]
+                if token >= 0 and self.agree(chain[-1] if chain else last, token):
                     closed = (*chain, token)
         if closed is None:
             raise ValueError("the rank table lacks a byte or is no result of merging")
         out.append((0, closed))
         same = 0
-        while all(len(chain) > same and chain[same] == closed[same] for _, chain in out):
-            same += 1
-        emitted = closed[:same]
-        ways = tuple((size, chain[same:]) for size, chain in out)
-        longest = max(size for size, _ in ways)
-        result = self.state((emitted[-1] if emitted else last, tail[len(tail) - longest :], ways)), emitted
-        self.moves[state << 8 | byte] = result
+        if out[0][1]:
+            while all(len(chain) > same and chain[same] == closed[same] for _, chain in out):
+                same += 1
+        if same:
+            emitted = closed[:same]
+            key = emitted[-1], tuple([(node, chain[same:]) for node, chain in out])
+        else:
+            emitted, key = (), (last, tuple(out))
+        result = self.moves[state << 8 | byte] = self.state(key), emitted
         return result
 
     def encode(self, piece: bytes) -> list[int]:
@@ -111,9 +141,12 @@ class Transducer:
         state, moves, move = self.start, self.moves, self.move
         for byte in piece:
             step = moves.get(state << 8 | byte)
-            state, emitted = step if step is not None else move(state, byte)
-            out += emitted
-        return out + list(self.states[state][2][-1][1])
+            if step is None:
+                step = move(state, byte)
+            state, emitted = step
+            if emitted:
+                out += emitted
+        return out + list(self.states[state][1][-1][1])
 
 
 class StreamDecoder:
@@ -162,12 +195,21 @@ class ChunkEncoder:
     def __init__(self, transducer: Transducer, pattern: str):
         self.transducer, self.pattern = transducer, regex.compile(pattern)
         self.memo: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> bytes:
-        encode, ids = self.transducer.encode, []
+        if len(self.known) > MEMO:
+            self.known.clear()
+        known, out = self.known, []
         for piece in self.pattern.findall(text):
-            ids += encode(piece.encode("utf-8", "replace"))
-        return np.array(ids, dtype="<u4").tobytes()
+            ids = known.get(piece)
+            if ids is None:
+                own = self.transducer.encode(piece.encode())
+                ids = struct.pack(f"<{len(own)}I", *own)
+                if len(piece) < LONG:
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def missing(self, chunk: str) -> bytes | None:
         clean = chunk and not chunk[0].isspace() and not chunk[-1].isspace()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sightline.llm import bpe, exact_dedup, merkle, minhash_dedup, mixing, personal_data, secrets, token_files, toxicity
+from sightline.llm import bpe, exact_dedup, merkle, minhash_dedup, mixing, paragraph_dedup, personal_data, secrets, token_files, toxicity
 from sightline.llm.common import table
 
 
@@ -12,6 +12,12 @@ def _documents(apply):
     return lambda spark, sf_dir: apply(table(spark, sf_dir, "documents"))
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _toxicity(spark, sf_dir):
     return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,11 +27,13 @@ QUERIES = {
     "op2_token_files": _documents(lambda docs: token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))),
     "op3_merkle_fingerprints": _documents(merkle.fingerprints),
     "op4_minhash_near_duplicates": _documents(minhash_dedup.near_duplicates),
+    "op5_paragraph_repeats": _documents(paragraph_dedup.repeated_paragraphs),
     "op6_exact_duplicates": _documents(exact_dedup.exact_duplicates),
     "op7_secret_spans": _documents(secrets.secret_spans),
     "op8_personal_data": _documents(personal_data.personal_spans),
     "op9_bpe_encode_decode": _documents(lambda docs: bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
     "op10_mix_sources": _documents(mixing.mix),
+    "pipeline": _pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
