@@ -59,7 +59,7 @@ class Trie:
             node[2] = [chars, doc_id, rows]
         else:
             owner[2] += rows
-            if (-chars, doc_id) < (-owner[0], owner[1]):
+            if (-chars, doc_id is None, doc_id or 0) < (-owner[0], owner[1] is None, owner[1] or 0):
                 owner[0], owner[1] = chars, doc_id
 
     def __iter__(self):
@@ -184,12 +184,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are equal when they are identical without white space (space, tab to
     carriage return); the one with most code points before that stays, then the smallest doc_id. Null text is
-    empty; all empty texts are one group. Rows that repeat a doc_id with an equal text count in group_size and share its fate. An empty table gives an empty one; other columns are ignored.
+    empty; all empty texts are one group. Rows that repeat a doc_id with an equal text count in group_size and share its fate; a null doc_id comes last. An empty table gives an empty one; other columns are ignored.
     The join back to the rows is an equi-join on the digest, whose large keys the adaptive skew join splits.
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     digests = texts.mapInArrow(normalised_digests, "doc_id long, sha binary")
-    return digests.join(owners(docs), "sha").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return digests.join(owners(docs), "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

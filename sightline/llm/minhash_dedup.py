@@ -22,7 +22,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, bands: int
     reachable; kept marks that document.
 
     Null text counts as empty; a document without words has n_shingles 0, is linked with nothing and is kept. Repeated texts are one class,
-    so thousands of copies cost as much as one. A repeated doc_id gives a row each. An empty table gives an empty one; other columns are ignored.
+    so thousands of copies cost as much as one. A repeated doc_id gives a row each; a row without doc_id owns nothing and, but for equal texts, is linked with nothing. An empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -38,7 +38,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, bands: int
     known = classes.join(linked, classes["rep"] == linked["id"], "left").where("size > 1 or component is not null").select("fp", F.coalesce("component", "rep").alias("component"))
     out = items.select("doc_id", "n", "fp").join(known, "fp", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, **how) -> DataFrame:

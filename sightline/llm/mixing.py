@@ -135,5 +135,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs, whole, as often as mix takes it; rows that repeat a doc_id share the first one's count."""
     scratch = Scratch(docs.sparkSession, "mixed")
     taken = scratch.keep(mix(docs, **how).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies")), "copies")
-    out = docs.join(taken, "doc_id").where("_copies > 0")
+    out = docs.join(taken.withColumnRenamed("doc_id", "_taken"), F.col("doc_id").eqNullSafe(F.col("_taken"))).where("_copies > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -70,7 +70,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, num: int =
     paragraph of the smallest doc_id, then the first in it, is the owner and is kept; the others are the removals. copies counts the
     component, start and stop are code points in the text, paragraph counts from 0.
 
-    Null text counts as empty; texts without such paragraphs give no row. A repeated doc_id has rows for each of its texts. An empty table gives an empty one; other columns are ignored.
+    Null text counts as empty; texts without such paragraphs give no row. A repeated doc_id has rows for each of its texts; a null one counts as the smallest. An empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
@@ -91,7 +91,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, num: int =
     placed = scratch.keep(found.drop("n", "bands", "id").join(known, "fp").drop("fp"), "placed")
     owners = placed.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("owner"), F.count("*").alias("copies"))
     out = placed.join(owners, "component")
-    kept = (F.col("doc_id") == F.col("owner.doc_id")) & (F.col("paragraph") == F.col("owner.paragraph"))
+    kept = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("paragraph") == F.col("owner.paragraph"))
     return out.select("doc_id", "paragraph", "start", "stop", "words", F.col("owner.doc_id").alias("owner_doc_id"), F.col("owner.paragraph").alias("owner_paragraph"), "copies", kept.alias("kept"))
 
 
