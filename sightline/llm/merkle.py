@@ -90,16 +90,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by
     the first as many (or all) of the next document by descending doc_id; the last is followed by the first, a single document by itself.
-    near_edited and near_next are the likeness (0 to 1) of the fingerprint to the edited text's and to the next document's. Null text counts as empty. Of rows
+    near_edited and near_next are the likeness (0 to 1) of the fingerprint to the edited text's and to the next document's. Null text counts as empty; a row without doc_id has no place in the order and none in the result. Of rows
     that repeat a doc_id the smallest beginning of a text is the one that others take. An empty table gives an empty one; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "merkle")
-    base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    halves = scratch.keep(base.groupBy("doc_id").agg(F.max(F.floor(F.col("n_chars") / 2)).cast("int").alias("half")), "halves")
+    base = docs.select("doc_id", text_or_empty().alias("text"))
+    halves = scratch.keep(base.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("half")), "halves")
     follow = scratch.keep(next_ids(halves.select("doc_id"), scratch).join(halves, "doc_id"), "next")
-    begin = base.join(follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("taker"), "half"), "doc_id")
+    # both joins read the same two columns of docs by doc_id, so one shuffle of the texts serves them
+    begin = base.join(follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("taker"), "half").hint("merge"), "doc_id")
     begin = begin.select(F.col("taker").alias("doc_id"), F.expr("substring(text, 1, half)").alias("begin")).groupBy("doc_id").agg(F.min("begin").alias("begin"))
-    own = base.join(begin, "doc_id").withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
+    own = base.join(begin.hint("merge"), "doc_id").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     edited = own.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - half), substring(begin, 1, half))")).drop("begin", "half")
     both = fingerprint(fingerprint(edited, "text", "fingerprint"), "edited", "edited_fingerprint")
     both = both.withColumn("near_edited", likeness(F.col("fingerprint_pieces"), F.col("edited_fingerprint_pieces")))
