@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import Scratch, by_value, fits_broadcast, process_cache, text_or_empty
 
 END = 0
+#: Characters that, behind a letter, the pattern parts from it, and that begin no contraction.
+PUNCTUATION = ".,!?;:$%&*#|"
 #: Chunks of text remembered by a worker before it starts anew.
 MEMO = 400_000
 #: Writer settings: ids are dictionary-coded (50k distinct values fit one dictionary page), and numbers that run out of a dictionary, such
@@ -36,35 +38,68 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.memo: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes pieces without white space but for a leading space, in a few long texts with a line feed behind each: it is a token of its own there, and parts them."""
+        feed = self.feed
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            (got,) = self.tokenizer.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            data, begin = ids.tobytes(), 0
+            for piece, end in zip(part, np.flatnonzero(ids == feed).tolist(), strict=True):
+                self.known[piece] = data[4 * begin : 4 * end]
+                begin = end + 1
+
+    @staticmethod
+    def pieces(chunk: str) -> list[str] | None:
+        """What the pattern parts in " " + chunk for certain: single line feeds, and punctuation behind a letter; None if white space stands otherwise."""
+        lines = chunk.split("\n") if "\n" in chunk else [chunk]
+        out, lead = [], " "
+        for line in lines:
+            if not line or line[0].isspace() or line[-1].isspace():
+                return None
+            if not lead:
+                out.append("\n")
+            if line[-1] in PUNCTUATION and (base := line.rstrip(PUNCTUATION)) and base[-1].isalpha():
+                out += (lead + base, line[len(base) :])
+            else:
+                out.append(lead + line)
+            lead = ""
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit words."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, split, whole, new = self.memo, [], [], {}
+            self.known.clear()
+        memo, known, split, new, fresh = self.memo, self.known, [], {}, {}
         for t in texts:
             chunks = t.split(" ")
-            if len(chunks) == 1 or not chunks[0] or chunks[0][-1].isspace() or any(not c or c[0].isspace() or c[-1].isspace() for c in chunks[1:]):
-                split.append(None)
-                whole.append(t)
-                continue
             split.append(chunks)
-            for c in chunks[1:]:
-                if c not in memo and c not in new:
-                    new[c] = None
-        fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            memo.update(zip(part, self.encode_all([" " + c for c in part]), strict=True))
-        heads = iter(self.encode_all([s[0] for s in split if s]))
-        wholes = iter(self.encode_all(whole))
-        return [next(wholes) if s is None else next(heads) + b"".join([memo[c] for c in s[1:]]) for s in split]
+            for c in [c for c in chunks if c not in memo and c not in new]:
+                parts = new[c] = self.pieces(c)
+                if parts:
+                    for x in parts:
+                        if x not in known:
+                            fresh[x] = None
+        fresh.pop("\n", None)
+        known["\n"] = np.array([self.feed], "<u4").tobytes()
+        self.learn(list(fresh))
+        for c, parts in new.items():
+            memo[c] = b"".join([known[x] for x in parts]) if parts else None
+        parts = [[memo[c] for c in chunks[1:]] for chunks in split]
+        whole = [not s[0] or s[0][-1].isspace() or None in p for s, p in zip(split, parts, strict=True)]
+        heads = iter(self.encode_all([t if w else s[0] for t, s, w in zip(texts, split, whole, strict=True)]))
+        return [next(heads) if w else next(heads) + b"".join(p) for p, w in zip(parts, whole, strict=True)]
 
 
 def _encode_batches(path: str):
@@ -72,9 +107,8 @@ def _encode_batches(path: str):
         tokenizer, place = process_cache(f"tokenizer {path}", lambda: ChunkTokenizer(path)), 0
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                data = [ids + end for ids in tokenizer.encode(texts[lo : lo + 500])]
+            for lo in range(0, batch.num_rows, 500):
+                data = [ids + end for ids in tokenizer.encode(batch.column(1).slice(lo, 500).to_pylist())]
                 counts = np.array([len(d) // 4 for d in data], np.int64)
                 ends = np.cumsum(counts)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))

@@ -43,6 +43,7 @@ def test_texts_equal_the_library(name):
 
 def test_small_memo(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 50)
+    monkeypatch.setattr(bpe, "STATES", 50)
     t, enc = bpe.Transducer(bpe.read_ranks(P.path(NAMES[0]))), reference(NAMES[0])
     c = bpe.ChunkEncoder(t, P.PATTERN)
     for k in range(40):
