@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 
 from sightline.llm.common import by_value, process_cache, text_or_empty
 
-#: Entries of each memo (states, pair checks, chunks of text) before it starts anew.
-MEMO = 400_000
+#: Entries of each memo (chunks of text, pieces, pair checks) before it starts anew, and states of the transducer, which are larger.
+MEMO, STATES = 250_000, 120_000
+#: Documents encoded at a time; their ids are held as packed words.
+ROWS = 250
+#: Characters that, behind a letter, the pattern parts from it, and that begin no contraction.
+PUNCTUATION = ".,!?;:$%&*#|"
 #: Matches of the pattern from this length on aren't remembered.
 LONG = 64
 #: Ids decoded at a time.
@@ -135,7 +139,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MEMO:
+        if len(self.states) > STATES:
             self.reset()
         out: list[int] = []
         state, moves, move = self.start, self.moves, self.move
@@ -198,22 +202,27 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> bytes:
-        if len(self.known) > MEMO:
-            self.known.clear()
-        known, out = self.known, []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                own = self.transducer.encode(piece.encode())
-                ids = struct.pack(f"<{len(own)}I", *own)
-                if len(piece) < LONG:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.piece, self.pattern.findall(text)))
+
+    def piece(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        if found is None:
+            own = self.transducer.encode(piece.encode())
+            found = struct.pack(f"<{len(own)}I", *own)
+            if len(piece) < LONG:
+                self.known[piece] = found
+        return found
 
     def missing(self, chunk: str) -> bytes | None:
-        clean = chunk and not chunk[0].isspace() and not chunk[-1].isspace()
-        found = self.memo[chunk] = self.pieces(" " + chunk) if clean else None
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            found = None
+        elif chunk.isalpha():
+            found = self.piece(" " + chunk)
+        elif (base := chunk.rstrip(PUNCTUATION)).isalpha():
+            found = self.piece(" " + base) + self.piece(chunk[len(base) :])
+        else:
+            found = self.pieces(" " + chunk)
+        self.memo[chunk] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -222,19 +231,21 @@ class ChunkEncoder:
             return b""
         if len(self.memo) > MEMO:
             self.memo.clear()
+        if len(self.known) > MEMO:
+            self.known.clear()
         chunks = text.split(" ")
         first = chunks.pop(0)
         if not chunks or not first or first[-1].isspace():
             return self.pieces(text)
-        memo, missing, out = self.memo, self.missing, [self.pieces(first)]
-        for c in chunks:
-            ids = memo.get(c)
-            if ids is None:
-                ids = missing(c)
+        out = list(map(self.memo.get, chunks))
+        if None in out:
+            missing = self.missing
+            for k, ids in enumerate(out):
                 if ids is None:
-                    return self.pieces(text)
-            out.append(ids)
-        return b"".join(out)
+                    out[k] = found = missing(chunks[k])
+                    if found is None:
+                        return self.pieces(text)
+        return self.pieces(first) + b"".join(out)
 
 
 def encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:
@@ -254,25 +265,28 @@ def encode_batches(path: str, pattern: str, with_ids: bool):
         chunks, tokens = encoder(path, pattern)
         digits = process_cache(f"digits {path}", lambda: [b"%d" % i for i in range(len(tokens))])
         for batch in batches:
-            counts, ids_sha, text_sha, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                data = chunks.encode(text)
-                ids = np.frombuffer(data, "<u4").tolist()
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(b",".join([digits[i] for i in ids])).hexdigest())
-                stream, digest = StreamDecoder(tokens), hashlib.sha256()
-                for at in range(0, len(ids), FEED):
-                    digest.update(stream.feed_bytes(ids[at : at + FEED]))
-                digest.update(stream.close_bytes())
-                text_sha.append(digest.hexdigest())
+            for lo in range(0, batch.num_rows, ROWS):
+                counts, ids_sha, text_sha, kept = [], [], [], []
+                for text in batch.column(1).slice(lo, ROWS).to_pylist():
+                    data = chunks.encode(text)
+                    ids_digest, text_digest, stream = hashlib.sha256(), hashlib.sha256(), StreamDecoder(tokens)
+                    for at in range(0, len(data), 4 * FEED):
+                        ids = np.frombuffer(data[at : at + 4 * FEED], "<u4").tolist()
+                        ids_digest.update((b"," if at else b"") + b",".join([digits[i] for i in ids]))
+                        text_digest.update(stream.feed_bytes(ids))
+                    text_digest.update(stream.close_bytes())
+                    counts.append(len(data) // 4)
+                    ids_sha.append(ids_digest.hexdigest())
+                    text_sha.append(text_digest.hexdigest())
+                    if with_ids:
+                        kept.append(data)
+                cols = [batch.column(0).slice(lo, ROWS), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    kept.append(ids)
-            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
