@@ -102,6 +102,10 @@ class Scratch:
         for df in frames:
             _delete(self.spark, df._scratch_path)
 
+    def clear(self) -> None:
+        """Deletes all tables, when nothing reads them any more."""
+        _delete(self.spark, self.root)
+
 
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """Whether a written table has at most so many rows; decided by its count, not by an estimate."""

@@ -1,14 +1,14 @@
-"""Operator 5: repeated passages by MinHash bands over paragraphs and exact Jaccard."""
+"""Operator 5: repeated passages, by MinHash bands over paragraphs with exact Jaccard, and by overlapping word windows wherever lines break."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import BROADCAST_ROWS, Scratch, by_value, fits_broadcast, text_or_empty
-from sightline.llm.kernels import band_keys, circulant_signatures, fingerprint, list_array, shingle_sets, string_buffer, words
+from sightline.llm.common import Scratch, by_value, fits_broadcast, semi_join, text_or_empty
+from sightline.llm.kernels import band_keys, circulant_signatures, fingerprint, list_array, mix64, shingle_sets, string_buffer, words
 from sightline.llm.neardup import link_classes
 
 #: Paragraphs of fewer words are left alone.
@@ -16,12 +16,19 @@ MIN_WORDS = 20
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**18 = 8e-5.
 BANDS, ROWS = 18, 4
 NUM, DEN = 80, 100
+#: Words of a window. Every stretch of so many words that recurs is found, whatever lines it runs over.
+WINDOW = 20
+#: Words of the runs whose least hash stands for a window; equal windows have equal ones.
+RUN = 10
+#: Repeated paragraphs up to so many (40 MB) are broadcast with their texts' rows; more are joined by a shuffle.
+SPANS = 1_000_000
+#: Bytes of text whose windows are hashed at a time.
+SLICE = 1 << 20
 
 
 def _paragraphs(batch, min_words: int):
-    """doc_id, number, first and last code point, and shingle set of each paragraph of at least min_words words."""
-    buf, offsets = string_buffer(batch.column(1))
-    ids = batch.column(0).to_pylist()
+    """Row of the batch, number, first and last code point, and shingle set of each paragraph of at least min_words words."""
+    buf, offsets = string_buffer(batch.column(2))
     # line feeds are white space, so paragraphs can be hashed as rows of their own
     feeds = np.flatnonzero(buf == 10) + 1
     cuts = np.unique(np.concatenate((offsets, feeds)))
@@ -36,18 +43,21 @@ def _paragraphs(batch, min_words: int):
     stop = cuts[keep + 1] - ((cuts[keep + 1] > 0) & (buf[np.maximum(cuts[keep + 1] - 1, 0)] == 10))
     last = points[stop] - points[offsets[row[keep]]]
     some = np.concatenate([h[ends[k] : ends[k + 1]] for k in keep]) if len(keep) else np.zeros(0, np.uint64)
-    return [ids[r] for r in row[keep]], number[keep], first, last, counts[keep], shingle_sets(some, counts[keep])
+    return row[keep], number[keep], first, last, counts[keep], shingle_sets(some, counts[keep])
 
 
-def _signatures(min_words: int, bands: int, rows: int):
+def _signatures(min_words: int, bands: int, rows: int, alone: int):
     def run(batches):
         for batch in batches:
-            ids, number, first, last, counts, sets = _paragraphs(batch, min_words)
-            if not ids:
+            at, number, first, last, counts, sets = _paragraphs(batch, min_words)
+            if not len(at):
                 continue
-            keys = band_keys(circulant_signatures(sets, bands * rows), bands, rows)
-            cols = [pa.array(ids, pa.int64()), *(pa.array(c.astype(np.int64)) for c in (number, first, last, counts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array(list(keys))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "paragraph", "start", "stop", "words", "n", "fp", "bands"])
+            some = [s for s in sets if len(s) > alone]
+            keys = iter(band_keys(circulant_signatures(some, bands * rows), bands, rows)) if some else iter(())
+            none = np.zeros(0, np.uint64)
+            of = batch.select([0, 1]).take(pa.array(at))
+            cols = [*of.columns, *(pa.array(c.astype(np.int64)) for c in (number, first, last, counts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array([next(keys) if len(s) > alone else none for s in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "paragraph", "start", "stop", "words", "n", "fp", "bands"])
 
     return run
 
@@ -55,44 +65,195 @@ def _signatures(min_words: int, bands: int, rows: int):
 def _sets(min_words: int):
     def run(batches):
         for batch in batches:
-            ids, number, _, _, _, sets = _paragraphs(batch, min_words)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number.astype(np.int64)), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array(sets)], ["doc_id", "paragraph", "fp", "hashes"])
+            at, number, _, _, _, sets = _paragraphs(batch, min_words)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(number.astype(np.int64)), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array(sets)], ["row", "paragraph", "fp", "hashes"])
 
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per paragraph that has a near copy: doc_id, paragraph, start, stop, words, owner_doc_id, owner_paragraph, copies, kept.
+def _texts(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text); row stands for a doc_id with its text."""
+    text = text_or_empty()
+    return docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.alias("text"))
 
-    Paragraphs end with a line feed; those of min_words words or more whose
-    distinct five-word shingles (A-Z lower-cased) reach num / den in Jaccard similarity are linked, and linked ones form components. Of each the
-    paragraph of the smallest doc_id, then the first in it, is the owner and is kept; the others are the removals. copies counts the
-    component, start and stop are code points in the text, paragraph counts from 0.
 
-    Null text counts as empty; texts without such paragraphs give no row. A repeated doc_id has rows for each of its texts; a null one counts as the smallest. An empty table gives an empty one; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "paragraphs")
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    found = texts.mapInArrow(_signatures(min_words, BANDS, ROWS), "doc_id long, paragraph long, start long, stop long, words long, n long, fp binary, bands array<long>")
+def _paragraph_rows(texts: DataFrame, scratch: Scratch, min_words: int, num: int, den: int) -> DataFrame:
+    """repeated_paragraphs with the row of each text and the owner's place."""
+    # a set of n shingles reaches at best n / (n + 1) with another that isn't equal: up to these it needs no bands, as equal sets are one class anyway
+    alone = max(0, -(-num // (den - num)) - 1) if num < den else 0
+    found = texts.mapInArrow(_signatures(min_words, BANDS, ROWS, alone), "row long, doc_id long, paragraph long, start long, stop long, words long, n long, fp binary, bands array<long>")
     found = scratch.keep(found.withColumn("id", F.monotonically_increasing_id()), "found")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        at = found.select("id", "doc_id", "paragraph", "fp").join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi")
+        at = found.select("id", "row", "paragraph", "fp").join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi")
         at = scratch.keep(at, "at")
-        ids = scratch.keep(at.select("doc_id").distinct(), "ids")
-        own = texts.join(F.broadcast(ids) if fits_broadcast(ids, BROADCAST_ROWS) else ids, "doc_id", "left_semi")
-        sets = own.mapInArrow(_sets(min_words), "doc_id long, paragraph long, fp binary, hashes array<long>")
-        return sets.join(at, ["doc_id", "paragraph", "fp"]).groupBy("id").agg(F.first("hashes").alias("hashes")).withColumnRenamed("id", "rep")
+        ids = scratch.keep(at.select("row").distinct(), "ids")
+        sets = semi_join(texts, ids, "row").select("row", "doc_id", "text").mapInArrow(_sets(min_words), "row long, paragraph long, fp binary, hashes array<long>")
+        return sets.join(at, ["row", "paragraph", "fp"]).groupBy("id").agg(F.first("hashes").alias("hashes")).withColumnRenamed("id", "rep")
 
     classes, linked = link_classes(found.select("id", "n", "fp", "bands"), sets_of, num, den, scratch)
     known = classes.join(linked, classes["rep"] == linked["id"], "left").where("size > 1 or component is not null").select("fp", F.coalesce("component", "rep").alias("component"))
     placed = scratch.keep(found.drop("n", "bands", "id").join(known, "fp").drop("fp"), "placed")
-    owners = placed.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("owner"), F.count("*").alias("copies"))
-    out = placed.join(owners, "component")
+    owners = placed.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph", "start", "stop")).alias("owner"), F.count("*").alias("copies"))
     kept = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("paragraph") == F.col("owner.paragraph"))
-    return out.select("doc_id", "paragraph", "start", "stop", "words", F.col("owner.doc_id").alias("owner_doc_id"), F.col("owner.paragraph").alias("owner_paragraph"), "copies", kept.alias("kept"))
+    return placed.join(owners, "component").select("row", "doc_id", "paragraph", "start", "stop", "words", "owner", "copies", kept.alias("kept"))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
+    owner = [F.col(f"owner.{c}").alias(f"owner_{c}") for c in ("doc_id", "paragraph", "start", "stop")]
+    return rows.select("doc_id", "paragraph", "start", "stop", "words", *owner, "copies", "kept")
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """One row per paragraph that has a near copy: doc_id, paragraph, start, stop, words, owner_doc_id, owner_paragraph, owner_start, owner_stop, copies, kept.
+
+    Paragraphs end with a line feed; those of min_words words or more whose
+    distinct five-word shingles (A-Z lower-cased) reach num / den in Jaccard similarity are linked, and linked ones form components. Of each the
+    paragraph of the smallest doc_id, then the first in it, is the owner and is kept; the others are the removals. copies counts the
+    component, start and stop are code points in the text, paragraph counts from 0.
+
+    Null text counts as empty; texts without such paragraphs give no row. A repeated doc_id has rows for each of its texts; a null one counts as the smallest. An empty table gives an empty one; other columns are ignored.
+    """
+    return _columns(_paragraph_rows(_texts(docs), Scratch(docs.sparkSession, "paragraphs"), min_words, num, den))
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each word on; at the last n - 1 words it means nothing."""
+    out, power = h.copy(), 1
+    for k in range(1, n):
+        power = power * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        out[: len(h) - k] += h[k:] * np.uint64(power)
+    return mix64(out)
+
+
+def _windows(col: pa.Array):
+    """For slices of a column of texts: their first row and bytes and offsets, then of each window its row, its first word in the slice, the least hash of its runs and where that is, and of each word the hash and the byte at which it begins, and of each row the first word."""
+    buf, offsets = string_buffer(col)
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, side="right")) - 1)
+        part, cuts = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        h, counts, begins = words(part, cuts)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        row = np.repeat(np.arange(hi - lo), counts)
+        first = np.flatnonzero(ends[row + 1] - np.arange(len(h)) >= WINDOW)
+        if len(first):
+            runs = _runs(h, RUN)
+            least, place = runs[first], first.copy()
+            for k in range(1, WINDOW - RUN + 1):
+                x = runs[first + k]
+                less = x <= least
+                least[less], place[less] = x[less], first[less] + k
+            yield lo, part, cuts, row[first], first, least, place, h, begins, ends
+        lo = hi
+
+
+def _lie(spans, cuts: np.ndarray, points: np.ndarray, first: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window 2 if all its words are in removed paragraphs, 1 if they are all in repeated ones, else 0; and whether any is in a removed one."""
+    gone, told = np.zeros(len(begins) + 1, np.int64), np.zeros(len(begins) + 1, np.int64)
+    for r, some in enumerate(spans.to_pylist()):
+        if some:
+            at = points[begins[ends[r] : ends[r + 1]]] - points[cuts[r]]
+            edges = ends[r] + np.searchsorted(at, np.array([(x["start"], x["stop"]) for x in some]))
+            for (a, b), x in zip(edges, some, strict=True):
+                told[a + 1 : b + 1] = 1
+                if not x["kept"]:
+                    gone[a + 1 : b + 1] = 1
+    gone, told = np.cumsum(gone), np.cumsum(told)
+    lost, known = gone[first + WINDOW] - gone[first], told[first + WINDOW] - told[first]
+    return np.where(lost == WINDOW, 2, np.where(known == WINDOW, 1, 0)), lost > 0
+
+
+def _points(buf: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+
+
+def _keys(batches):
+    """The distinct least hashes of each text's windows and at how many places they are, two standing for more: in all, with a window outside removed and outside all repeated paragraphs."""
+    for batch in batches:
+        for lo, buf, cuts, row, first, least, place, _, begins, ends in _windows(batch.column(1)):
+            state, _ = _lie(batch.column(2).slice(lo, len(cuts) - 1), cuts, _points(buf), first, begins, ends)
+            # a place has the state of its freest window
+            order = np.lexsort((state, place, least, row))
+            row, least, place, state = row[order], least[order], place[order], state[order]
+            one = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (least[1:] != least[:-1]))))
+            row, key, state = row[one], least[one], state[one]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]))))
+            counts = [np.minimum(np.add.reduceat(x, new, dtype=np.int32), 2) for x in (state >= 0, state < 2, state < 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + lo)), pa.array(key[new].view(np.int64)), *map(pa.array, counts)], ["row", "key", "n", "live", "free"])
+
+
+def _candidates(batches):
+    """The windows of each text whose least hash is among its keys, and how they lie to its repeated paragraphs."""
+    for batch in batches:
+        keys = batch.column(3)
+        for lo, buf, cuts, row, first, least, _, h, begins, ends in _windows(batch.column(2)):
+            hit, points = np.zeros(len(first), bool), _points(buf)
+            for r in range(len(cuts) - 1):
+                a, b = np.searchsorted(row, (r, r + 1))
+                if a < b:
+                    hit[a:b] = np.isin(least[a:b], keys[lo + r].values.to_numpy().view(np.uint64))
+            if not hit.any():
+                continue
+            at, home = first[hit], cuts[row[hit]]
+            state, cut = _lie(batch.column(4).slice(lo, len(cuts) - 1), cuts, points, at, begins, ends)
+            feeds = np.concatenate(([0], np.cumsum(buf == 10)))
+            # the end of a word: behind the last byte before the next word that is no white space
+            space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+            close = np.maximum.accumulate(np.where(space, 0, np.arange(1, len(buf) + 1)))[np.append(begins[1:], len(buf)) - 1]
+            start, stop = points[begins[at]] - points[home], points[close[at + WINDOW - 1]] - points[home]
+            where = pa.array(row[hit] + lo)
+            ints = [pa.array(c.astype(np.int32)) for c in (at - ends[row[hit]], feeds[begins[at]] - feeds[home], start, stop, state)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *ints, pa.array(cut), pa.array(_runs(h, WINDOW)[at].view(np.int64))], ["row", "doc_id", "place", "paragraph", "start", "stop", "state", "cut", "window"])
+
+
+def _passage_rows(texts: DataFrame, paragraphs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Runs of windows that occur at another place too, without those that the rows of `paragraphs` (a written table) tell already."""
+    spans = scratch.keep(paragraphs.groupBy("row").agg(F.collect_set(F.struct("start", "stop", "kept")).alias("spans")), "spans")
+    told = F.broadcast(spans) if fits_broadcast(paragraphs, SPANS) else spans
+    keys = texts.join(told, "row", "left").select("row", "text", "spans").mapInArrow(_keys, "row long, key long, n int, live int, free int")
+    keys = scratch.keep(keys, "keys")
+    # all places of a window have the same key, so what its key lacks it lacks too
+    shared = scratch.keep(keys.groupBy("key").agg(F.sum("n").alias("n"), F.sum("live").alias("live"), F.sum("free").alias("free")).where("n > 1 and (live > 1 or free > 0)").select("key"), "shared")
+    hits = semi_join(keys.select("row", "key"), shared, "key").groupBy("row").agg(F.collect_set("key").alias("keys"))
+    hits = scratch.keep(hits, "hits")
+    scratch.drop(keys, shared)
+    own = semi_join(texts, scratch.keep(hits.select("row"), "rows"), "row").join(hits, "row").dropDuplicates(["row"]).join(told, "row", "left").select("row", "doc_id", "text", "keys", "spans")
+    found = own.mapInArrow(_candidates, "row long, doc_id long, place int, paragraph int, start int, stop int, state int, cut boolean, window long")
+    found = scratch.keep(found, "windows")
+    owner = F.min(F.struct("cut", "doc_id", "row", "place", "paragraph", "start", "stop"))
+    groups = found.groupBy("window").agg(F.count("*").alias("n"), F.count_if(F.col("state") < 2).alias("live"), F.count_if(F.col("state") == 0).alias("free"), owner.alias("o"))
+    groups = groups.where("n > 1 and (live > 1 or free > 0)").select("window", "n", "o")
+    kept = (F.col("row") == F.col("o.row")) & (F.col("place") == F.col("o.place"))
+    each = found.where("state < 2").join(groups, "window").select("row", "doc_id", "place", "paragraph", "start", "stop", "n", "o", kept.alias("kept"))
+    order = Window.partitionBy("row", "o.row", "kept").orderBy("place")
+    each = each.withColumn("run", F.col("place") - F.row_number().over(order))
+    runs = each.groupBy("row", "doc_id", F.col("o.row").alias("owner_row"), F.col("o.doc_id").alias("owner_doc_id"), "kept", "run")
+    long = lambda c: c.cast("long")
+    runs = runs.agg(*(long(f(c)).alias(c) for f, c in ((F.min, "paragraph"), (F.min, "start"), (F.max, "stop"))), long(F.max("place") - F.min("place") + WINDOW).alias("words"), long(F.min("o.paragraph")).alias("op"), long(F.min("o.start")).alias("os"), long(F.max("o.stop")).alias("oe"), F.max("n").alias("copies"))
+    return runs.select("doc_id", "paragraph", "start", "stop", "words", F.struct(F.col("owner_doc_id").alias("doc_id"), F.col("op").alias("paragraph"), F.col("os").alias("start"), F.col("oe").alias("stop")).alias("owner"), "copies", "kept")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """The rows of repeated_paragraphs, and one for each passage besides that recurs word for word: the same columns and unit, `paragraph` or `passage`.
+
+    A passage is a run of windows of WINDOW words (A-Z lower-cased) each of which occurs at another place, in the same or another text;
+    lines may break anywhere in it. So every repeated stretch of WINDOW words or more is covered for certain, and nothing else is: windows
+    are compared by 64-bit hashes of all their words. paragraph is the line in which a passage begins. Of each window the place
+    of the smallest doc_id, then text, then the first, is the owner and is kept, one without words of removed paragraphs before all others; copies is the most
+    places of one window. What a removal shares with a kept passage of the same text is to stay.
+
+    Windows within removed paragraphs count as places but give no row, and kept ones within paragraphs give none unless a copy elsewhere has one. Rows equal in doc_id and
+    text are one place. Null text counts as empty; an empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "repeats")
+    texts = _texts(docs)
+    first = Scratch(docs.sparkSession, "paragraphs")
+    paragraphs = scratch.keep(_paragraph_rows(texts, first, MIN_WORDS, NUM, DEN), "paragraphs")
+    first.clear()
+    passages = _passage_rows(texts, paragraphs, scratch)
+    return _columns(paragraphs).withColumn("unit", F.lit("paragraph")).union(_columns(passages).withColumn("unit", F.lit("passage")))
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:

@@ -27,7 +27,7 @@ QUERIES = {
     "op2_token_files": _documents(lambda docs: token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))),
     "op3_merkle_fingerprints": _documents(merkle.fingerprints),
     "op4_minhash_near_duplicates": _documents(minhash_dedup.near_duplicates),
-    "op5_paragraph_repeats": _documents(paragraph_dedup.repeated_paragraphs),
+    "op5_paragraph_repeats": _documents(paragraph_dedup.repeats),
     "op6_exact_duplicates": _documents(exact_dedup.exact_duplicates),
     "op7_secret_spans": _documents(secrets.secret_spans),
     "op8_personal_data": _documents(personal_data.personal_spans),
