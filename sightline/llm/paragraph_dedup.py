@@ -11,8 +11,8 @@ from sightline.llm.common import Scratch, by_value, fits_broadcast, semi_join, t
 from sightline.llm.kernels import band_keys, circulant_signatures, fingerprint, list_array, mix64, shingle_sets, string_buffer, words
 from sightline.llm.neardup import link_classes
 
-#: Paragraphs of fewer words are left alone.
-MIN_WORDS = 20
+#: Paragraphs of fewer words are left alone: only those without any.
+MIN_WORDS = 1
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**18 = 8e-5.
 BANDS, ROWS = 18, 4
 NUM, DEN = 80, 100
@@ -106,7 +106,7 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per paragraph that has a near copy: doc_id, paragraph, start, stop, words, owner_doc_id, owner_paragraph, owner_start, owner_stop, copies, kept.
+    """One row per paragraph with words that has a near copy: doc_id, paragraph, start, stop, words, owner_doc_id, owner_paragraph, owner_start, owner_stop, copies, kept.
 
     Paragraphs end with a line feed; those of min_words words or more whose
     distinct five-word shingles (A-Z lower-cased) reach num / den in Jaccard similarity are linked, and linked ones form components. Of each the

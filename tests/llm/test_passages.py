@@ -73,3 +73,10 @@ def test_registered_query_reports_passages(spark, tmp_path):
     docs(spark, [(i, f"{filler(i, 300)} {p} {filler(i + 50, 300)}", *[None] * 9) for i in range(2)]).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus.QUERIES["op5_paragraph_repeats"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.kept) for r in got} == {(0, True), (1, False)}
+
+
+def test_short_lines_are_compared(spark):
+    nine = "one two three four five six seven eight Nine"
+    rows = [(1, f"{nine}\n{filler(1, 30)}"), (2, f"{filler(2, 30)}\n{nine.lower()}\nyes"), (3, "yes"), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "a b c d e f g"), (7, "no")]
+    got = paragraph_dedup.repeated_paragraphs(docs(spark, [(*r, *[None] * 9) for r in rows])).collect()
+    assert {(r.doc_id, r.paragraph, r.owner_doc_id, r.copies) for r in got} == {(1, 0, 1, 2), (2, 1, 1, 2), (2, 2, 2, 2), (3, 0, 2, 2), (4, 0, 4, 2), (5, 0, 4, 2)}
