@@ -80,3 +80,11 @@ def test_short_lines_are_compared(spark):
     rows = [(1, f"{nine}\n{filler(1, 30)}"), (2, f"{filler(2, 30)}\n{nine.lower()}\nyes"), (3, "yes"), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "a b c d e f g"), (7, "no")]
     got = paragraph_dedup.repeated_paragraphs(docs(spark, [(*r, *[None] * 9) for r in rows])).collect()
     assert {(r.doc_id, r.paragraph, r.owner_doc_id, r.copies) for r in got} == {(1, 0, 1, 2), (2, 1, 1, 2), (2, 2, 2, 2), (3, 0, 2, 2), (4, 0, 4, 2), (5, 0, 4, 2)}
+
+
+def test_rows_without_doc_id_keep_the_links_of_their_class(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, line), (1, line), (2, line + " more")]
+    for order in (rows, rows[::-1]):
+        got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert {(r.doc_id, r.owner_doc_id, r.copies, r.kept) for r in got} == {(None, None, 3, True), (1, None, 3, False), (2, None, 3, False)}
