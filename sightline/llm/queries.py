@@ -24,7 +24,7 @@ def _toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity_severity": _toxicity,
-    "op2_token_files": _documents(lambda docs: token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))),
+    "op2_token_files": _documents(lambda docs: token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)),
     "op3_merkle_fingerprints": _documents(merkle.fingerprints),
     "op4_minhash_near_duplicates": _documents(minhash_dedup.near_duplicates),
     "op5_paragraph_repeats": _documents(paragraph_dedup.repeats),

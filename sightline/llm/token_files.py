@@ -29,15 +29,16 @@ class ChunkTokenizer:
 
     A byte-level tokenizer splits text by a pattern that never joins what a
     space between two other characters divides, so the ids of such a chunk don't depend on its surroundings. Texts with other white
-    space at a chunk's edge are encoded in one piece.
+    space at a chunk's edge are encoded in one piece. With `added`, so are texts that contain an added token, and it gets its own id, as the library does by default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.memo: dict[str, bytes | None] = {}
         self.known: dict[str, bytes] = {}
@@ -97,14 +98,14 @@ class ChunkTokenizer:
         for c, parts in new.items():
             memo[c] = b"".join([known[x] for x in parts]) if parts else None
         parts = [[memo[c] for c in chunks[1:]] for chunks in split]
-        whole = [not s[0] or s[0][-1].isspace() or None in p for s, p in zip(split, parts, strict=True)]
+        whole = [not s[0] or s[0][-1].isspace() or None in p or any(a in t for a in self.added) for t, s, p in zip(texts, split, parts, strict=True)]
         heads = iter(self.encode_all([t if w else s[0] for t, s, w in zip(texts, split, whole, strict=True)]))
         return [next(heads) if w else next(heads) + b"".join(p) for p, w in zip(parts, whole, strict=True)]
 
 
-def _encode_batches(path: str):
+def _encode_batches(path: str, added: bool):
     def run(batches):
-        tokenizer, place = process_cache(f"tokenizer {path}", lambda: ChunkTokenizer(path)), 0
+        tokenizer, place = process_cache(f"tokenizer {path} {added}", lambda: ChunkTokenizer(path, added)), 0
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -118,13 +119,13 @@ def _encode_batches(path: str):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, added: bool = False) -> None:
     """Encodes the whole text of each row (null: empty), appends END and writes files whose order, and the order of rows in each, is that of doc_id.
 
     place counts the ids before a document in its own file (number part). Rows that repeat a doc_id stand together, by their texts.
     """
     texts = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    out = texts.mapInArrow(_encode_batches(tokenizer), "doc_id long, n_tokens long, place long, ids array<int>").withColumn("part", F.spark_partition_id())
+    out = texts.mapInArrow(_encode_batches(tokenizer, added), "doc_id long, n_tokens long, place long, ids array<int>").withColumn("part", F.spark_partition_id())
     out.select("doc_id", "n_tokens", "place", "part", "ids").write.options(**LAYOUT).parquet(path)
 
 
@@ -148,7 +149,7 @@ def _crc_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64()), batch.column(3)], ["doc_id", "n_tokens", "ids_crc32", "start"])
 
 
-def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, added: bool = False) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all documents before it in doc_id order, n_tokens
@@ -157,7 +158,7 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> Dat
     """
     spark = docs.sparkSession
     path = path or Scratch(spark, "tokens").path("files")
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, added)
     tokens = read_tokens(spark, path)
     before = starts(tokens)
     if fits_broadcast(before, 100_000):  # one row per file
