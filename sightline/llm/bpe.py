@@ -5,24 +5,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from sightline.llm.chunks import ChunkEncoder
 from sightline.llm.common import by_value, process_cache, text_or_empty
 
-#: Entries of each memo (chunks of text, pieces, pair checks) before it starts anew, and states of the transducer, which are larger.
-MEMO, STATES = 250_000, 120_000
+#: States of the transducer before it starts anew.
+STATES = 250_000
 #: Documents encoded at a time; their ids are held as packed words.
 ROWS = 250
-#: Characters that, behind a letter, the pattern parts from it, and that begin no contraction.
-PUNCTUATION = ".,!?;:$%&*#|"
-#: Matches of the pattern from this length on aren't remembered.
-LONG = 64
 #: Ids decoded at a time.
 FEED = 1 << 16
+#: Bits of a token's id, and a rank that no merge has.
+BITS, LOW, NEVER = 17, (1 << 17) - 1, 1 << 60
+#: Bytes of a piece that are read before settled ids are given out; pieces from LONG_PIECE bytes on are emitted bit by bit.
+WINDOW, LONG_PIECE = 256, 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,16 +37,17 @@ class Transducer:
     """The merges of a rank table as a finite-state transducer over bytes.
 
     A list of tokens is an encoding exactly if each two neighbours, encoded
-    together, give themselves; so an encoding can be extended to the right without revising what lies more than a token back. A state holds
-    the token emitted last and every way in which the input may still go on: pairs of an
-    open tail (a node in the trie of all tokens) and the chain of tokens before it. Reading a byte lengthens the tails, closes the first that
-    is a token itself and agrees with the token before, and emits the part in which all chains agree. Tails are shorter than the longest token,
-    which bounds the lookahead. States and transitions are made when first needed.
+    together, give themselves; so the encoding of a prefix is that of a shorter prefix and one token more. A state is the set of ways in
+    which the input may still go on: pairs of an open tail (a node in the trie of all tokens) and the token before it, the oldest
+    first. Reading a byte lengthens the tails, drops those that no token continues, and yields the token that ends the encoding of
+    what has been read: the first tail that is a token itself and agrees with the token before it. Tails are shorter than the longest token,
+    which bounds the lookahead, and `emitted` gives out what is settled. States and transitions are made when first needed.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.length = {i: len(t) for i, t in self.tokens.items()}
         self.child: dict[int, int] = {}
         self.token_at, self.inner = [-1], [True]
         for t, i in ranks.items():
@@ -58,99 +61,143 @@ class Transducer:
                     self.token_at.append(-1)
                     self.inner.append(False)
             self.token_at[node] = i
-        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | tuple[()] | None] = {}
+        self.edges: tuple[dict, dict] = {}, {}
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple]] = {}
-        self.start = self.state((-1, ((0, ()),)))
-
-    def state(self, key: tuple) -> int:
-        found = self.ids.get(key)
+        """Forgets states, transitions and pair checks."""
+        self.pairs: dict[int, bool] = {}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.ids: dict[tuple[int, ...], int] = {(0,): 0}
+        self.moves: dict[int, int] = {}
+
+    def parts(self, token: int) -> tuple[int, int] | tuple[()] | None:
+        """The two tokens that the last merge of a token joins; () for a byte, None if merging its bytes doesn't give the token."""
+        if token not in self.halves:
+            text, get = self.tokens[token], self.ranks.get
+            found = [text[i : i + 1] for i in range(len(text))]
+            while len(found) > 2:
+                ranks = [get(a + b, NEVER) for a, b in zip(found, found[1:], strict=False)]
+                least = min(ranks)
+                if least == NEVER:
+                    break
+                at = ranks.index(least)
+                found[at : at + 2] = [found[at] + found[at + 1]]
+            self.halves[token] = () if len(found) == 1 else None if len(found) > 2 else (get(found[0]), get(found[1]))
+        return self.halves[token]
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at an end of a token (0: left, 1: right) while its bytes are merged, each with the rank of the merge that uses it up."""
+        found = self.edges[side].get(token)
         if found is None:
-            found = self.ids[key] = len(self.states)
-            self.states.append(key)
+            found, inner = [(token, NEVER)], token
+            while half := self.parts(inner):
+                found.append((half[side], inner))
+                inner = half[side]
+            self.edges[side][token] = found
         return found
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Encoding by the definition: again and again the leftmost pair of lowest rank."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        get = self.ranks.get
-        ranks = [get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks and (least := min(ranks)) < 1 << 60:
-            at = ranks.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = get(parts[at - 1] + parts[at], 1 << 60)
-            if at < len(ranks):
-                ranks[at] = get(parts[at] + parts[at + 1], 1 << 60)
-        return [self.ranks[p] for p in parts]
-
-    def agree(self, a: int, b: int) -> bool:
-        """Whether b may follow a (-1: nothing before)."""
-        key = a << 32 | b
+    def agree(self, before: int, token: int) -> bool:
+        """Whether token may follow `before` (a token's id and 1, or 0 for nothing): no merge across their border is due while both its sides stand.
+
+        Of merges of equal rank the left one comes first, so across the border it must come before the right side's own, and strictly before the left side's.
+        """
+        key = before << BITS | token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            right = self.tokens[b]
-            if a < 0:
-                found = self.merged(right) == [b]
-            else:
-                left = self.tokens[a]
-                found = left + right not in self.ranks and self.merged(left + right) == [a, b]
+            found = self.parts(token) is not None
+            if found and before:
+                text, get = self.tokens, self.ranks.get
+                crossing = ((get(text[x] + text[y], NEVER), used, taken) for x, used in self.edge(before - 1, 1) for y, taken in self.edge(token, 0))
+                found = not any(rank < used and rank <= taken and rank < NEVER for rank, used, taken in crossing)
             self.pairs[key] = found
         return found
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple]:
-        last, ways = self.states[state]
-        child, token_at, inner = self.child, self.token_at, self.inner
-        out, closed = [], None
-        for node, chain in ways:
-            node = child.get(node << 8 | byte)
+    def move(self, state: int, byte: int) -> int:
+        """The state after a byte and the token that ends the encoding so far, in one number."""
+        child, token_at, inner, pairs = self.child.get, self.token_at, self.inner, self.pairs.get
+        out, closed = [], -1
+        for way in self.states[state]:
+            node = child(way >> BITS << 8 | byte)
             if node is None:
                 continue
+            before = way & LOW
             if inner[node]:
-                out.append((node, chain))
-            if closed is None:
-                token = token_at[node]
-                if token >= 0 and self.agree(chain[-1] if chain else last, token):
-                    closed = (*chain, token)
-        if closed is None:
+                out.append(node << BITS | before)
+            if closed < 0 and (token := token_at[node]) >= 0:
+                fits = pairs(before << BITS | token)
+                if self.agree(before, token) if fits is None else fits:
+                    closed = token
+        if closed < 0:
             raise ValueError("the rank table lacks a byte or is no result of merging")
-        out.append((0, closed))
-        same = 0
-        if out[0][1]:
-            while all(len(chain) > same and chain[same] == closed[same] for _, chain in out):
-                same += 1
-        if same:
-            emitted = closed[:same]
-            key = emitted[-1], tuple([(node, chain[same:]) for node, chain in out])
-        else:
-            emitted, key = (), (last, tuple(out))
-        result = self.moves[state << 8 | byte] = self.state(key), emitted
-        return result
+        out.append(closed + 1)
+        key = tuple(out)
+        to = self.ids.get(key)
+        if to is None:
+            to = self.ids[key] = len(self.states)
+            self.states.append(key)
+        found = self.moves[state << 8 | byte] = to << BITS | closed
+        return found
+
+    def trace(self, ends: list[int], to: int) -> list[int]:
+        """Tokens of the first `to` bytes, from the tokens that end the encoding of each prefix."""
+        out, length = [], self.length
+        while to:
+            token = ends[to - 1]
+            out.append(token)
+            to -= length[token]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the splitting pattern; a match that is itself a token stays whole."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) > LONG_PIECE:
+            return [i for some in self.emitted(iter(piece)) for i in some]
         if len(self.states) > STATES:
             self.reset()
-        out: list[int] = []
-        state, moves, move = self.start, self.moves, self.move
+        state, ends, get = 0, [], self.moves.get
+        for byte in piece:
+            step = get(state << 8 | byte)
+            if step is None:
+                step = self.move(state, byte)
+            ends.append(step & LOW)
+            state = step >> BITS
+        return self.trace(ends, len(ends))
+
+    def emitted(self, piece) -> Iterator[list[int]]:
+        """Ids of a piece of any length (an iterator of bytes), given out as soon as no further byte can change them: when all open ways go through them."""
+        state, ends, starts = 0, [], [0]
         for byte in piece:
-            step = moves.get(state << 8 | byte)
+            step = self.moves.get(state << 8 | byte)
             if step is None:
-                step = move(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        return out + list(self.states[state][1][-1][1])
+                if len(self.states) > STATES:
+                    kept = self.states[state]
+                    self.reset()
+                    state = self.ids.setdefault(kept, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(kept)
+                step = self.move(state, byte)
+            # where the ways begin: the old ones in their order, as far as they go on, and the new one
+            kept = [at for at, way in zip(starts, self.states[state], strict=True) if (node := self.child.get(way >> BITS << 8 | byte)) is not None and self.inner[node]]
+            ends.append(step & LOW)
+            state, starts = step >> BITS, [*kept, len(ends)]
+            if len(ends) >= 4 * WINDOW:
+                common = None
+                for at in starts:
+                    passed = set()
+                    while at:
+                        passed.add(at)
+                        at -= self.length[ends[at - 1]]
+                    common = passed if common is None else common & passed
+                if common:
+                    cut = max(common)
+                    yield self.trace(ends, cut)
+                    ends, starts = ends[cut:], [at - cut for at in starts]
+        yield self.trace(ends, len(ends))
 
 
 class StreamDecoder:
@@ -189,63 +236,15 @@ class StreamDecoder:
         return self.close_bytes().decode("utf-8", "replace")
 
 
-class ChunkEncoder:
-    """Encodes whole texts in chunks that begin with a single space between two other characters.
-
-    The splitting pattern never joins what such a space divides, so a chunk's
-    ids depend on it alone and are kept for its next occurrence. A text with other white space at a chunk's edge is split by the pattern as a whole.
-    """
-
-    def __init__(self, transducer: Transducer, pattern: str):
-        self.transducer, self.pattern = transducer, regex.compile(pattern)
-        self.memo: dict[str, bytes | None] = {}
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+def chunk_encoder(transducer: Transducer, pattern: str) -> ChunkEncoder:
+    """Whole texts through the transducer, each match of the pattern separately."""
+    split = regex.compile(pattern).findall
 
-    def piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            own = self.transducer.encode(piece.encode())
-            found = struct.pack(f"<{len(own)}I", *own)
-            if len(piece) < LONG:
-                self.known[piece] = found
-        return found
-
-    def missing(self, chunk: str) -> bytes | None:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            found = None
-        elif chunk.isalpha():
-            found = self.piece(" " + chunk)
-        elif (base := chunk.rstrip(PUNCTUATION)).isalpha():
-            found = self.piece(" " + base) + self.piece(chunk[len(base) :])
-        else:
-            found = self.pieces(" " + chunk)
-        self.memo[chunk] = found
-        return found
+    def word(piece: str) -> bytes:
+        own = transducer.encode(piece.encode())
+        return struct.pack(f"<{len(own)}I", *own)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the text as little-endian 32-bit words."""
-        if not text:
-            return b""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.known) > MEMO:
-            self.known.clear()
-        chunks = text.split(" ")
-        first = chunks.pop(0)
-        if not chunks or not first or first[-1].isspace():
-            return self.pieces(text)
-        out = list(map(self.memo.get, chunks))
-        if None in out:
-            missing = self.missing
-            for k, ids in enumerate(out):
-                if ids is None:
-                    out[k] = found = missing(chunks[k])
-                    if found is None:
-                        return self.pieces(text)
-        return self.pieces(first) + b"".join(out)
+    return ChunkEncoder(word, lambda text: b"".join(map(word, split(text))))
 
 
 def encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:
@@ -253,7 +252,7 @@ def encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:
 
     def make():
         t = Transducer(read_ranks(path))
-        return ChunkEncoder(t, pattern), [t.tokens.get(i, b"") for i in range(max(t.tokens) + 1)]
+        return chunk_encoder(t, pattern), [t.tokens.get(i, b"") for i in range(max(t.tokens) + 1)]
 
     return process_cache(f"bpe {path} {pattern}", make)
 

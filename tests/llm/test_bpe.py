@@ -6,7 +6,7 @@ import pytest
 import regex
 import tiktoken
 
-from sightline.llm import bpe
+from sightline.llm import bpe, chunks
 from tests.conftest import SF, SF01
 from tests.llm.cases import awkward, docs
 
@@ -31,21 +31,35 @@ def test_transducer_on_random_bytes_and_words(name):
 def test_texts_equal_the_library(name):
     import duckdb
 
-    chunks, _ = bpe.encoder(P.path(name), P.PATTERN)
+    whole, _ = bpe.encoder(P.path(name), P.PATTERN)
     enc = reference(name)
     texts = [r[0] for r in duckdb.sql(f"select text from read_parquet('{SF01}/documents.parquet')").fetchall()]
     texts += ["", " ", "  a", "a  b", "a \n b", "a b  c", "x\x1cy \x1c z", "it's we'll I'd 'quote' don't", "a" * 3000, " " * 3000, "\n" * 500 + "x", "½²Ⅷ 12٣ ab12", "é日本語\U0001f600\U0001f600 \U0001f600", "tail "] + [r[1] or "" for r in awkward()]
     for t in texts:
         import numpy as np
 
-        assert np.frombuffer(chunks.encode(t), "<u4").tolist() == enc.encode_ordinary(t), t[:80]
+        assert np.frombuffer(whole.encode(t), "<u4").tolist() == enc.encode_ordinary(t), t[:80]
+
+
+@pytest.mark.parametrize("states", [40, 10**6])
+def test_long_pieces_are_emitted_before_they_end(monkeypatch, states):
+    """Settled ids are given out while a piece is read, whatever its length, and none is taken back."""
+    monkeypatch.setattr(bpe, "STATES", states)
+    monkeypatch.setattr(bpe, "WINDOW", 8)
+    monkeypatch.setattr(bpe, "LONG_PIECE", 40)
+    t, r, enc = bpe.Transducer(bpe.read_ranks(P.path(NAMES[0]))), random.Random(8), reference(NAMES[0])
+    for text in (b"a" * 3000, b"ab" * 700, bytes(r.choice(b"aeinorst lhd") for _ in range(4000)), b"--==" * 500):
+        parts = list(t.emitted(iter(text)))
+        want = enc._encode_single_piece(text)
+        assert [i for p in parts for i in p] == want == t.encode(text)
+        assert len(parts) > 5 and max(map(len, parts)) < len(want)
 
 
 def test_small_memo(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 50)
+    monkeypatch.setattr(chunks, "MEMO", 50)
     monkeypatch.setattr(bpe, "STATES", 50)
     t, enc = bpe.Transducer(bpe.read_ranks(P.path(NAMES[0]))), reference(NAMES[0])
-    c = bpe.ChunkEncoder(t, P.PATTERN)
+    c = bpe.chunk_encoder(t, P.PATTERN)
     for k in range(40):
         text = " ".join(f"wörd{k}x{i}" for i in range(30))
         import numpy as np
