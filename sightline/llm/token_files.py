@@ -3,113 +3,70 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.llm.chunks import ChunkEncoder
 from sightline.llm.common import Scratch, by_value, fits_broadcast, process_cache, text_or_empty
 
 END = 0
-#: Characters that, behind a letter, the pattern parts from it, and that begin no contraction.
-PUNCTUATION = ".,!?;:$%&*#|"
-#: Chunks of text remembered by a worker before it starts anew.
-MEMO = 400_000
 #: Writer settings: ids are dictionary-coded (50k distinct values fit one dictionary page), and numbers that run out of a dictionary, such
 #: as doc_id and place, are delta-coded by the second data-page format. Small pages and their index let a reader of few documents or of the
 #: metadata columns alone skip the rest; row groups bound what a reader holds.
-LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10), "parquet.page.row.count.limit": "2000", "compression": "zstd"}
+LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10), "parquet.page.row.count.limit": "2000", "compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 SCHEMA = "doc_id long, n_tokens long, place long, part int, ids array<int>"
 
 
-class ChunkTokenizer:
-    """Encodes texts with a tokenizer of the tokenizers library, remembering chunks that begin with a single space.
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others by number from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
-    A byte-level tokenizer splits text by a pattern that never joins what a
-    space between two other characters divides, so the ids of such a chunk don't depend on its surroundings. Texts with other white
-    space at a chunk's edge are encoded in one piece. With `added`, so are texts that contain an added token, and it gets its own id, as the library does by default.
+
+def tokenizer_encoder(path: str, added: bool = True) -> Callable[[str], bytes]:
+    """Function from a text to its ids, as little-endian 32-bit words, by a tokenizer of the tokenizers library.
+
+    Byte-level tokenizers encode by chunks: a run of letters goes to the model
+    at once, whatever needs splitting or has an added token through the whole tokenizer. Other tokenizers encode every text
+    in one piece. With `added`, an added token in a text gets its own id, as the library does by default; without it, it is plain text.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not added
+    model, letters = tokenizer.model, byte_letters()
+
+    def whole(text: str) -> bytes:
+        (got,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(got.ids, "<u4").tobytes()
+
+    split = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or not isinstance(split, pre_tokenizers.ByteLevel) or split.add_prefix_space or not split.use_regex:
+        return whole
+
+    def word(piece: str) -> bytes:
+        ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, path: str, added: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.memo: dict[str, bytes | None] = {}
-        self.known: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces without white space but for a leading space, in a few long texts with a line feed behind each: it is a token of its own there, and parts them."""
-        feed = self.feed
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            (got,) = self.tokenizer.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            data, begin = ids.tobytes(), 0
-            for piece, end in zip(part, np.flatnonzero(ids == feed).tolist(), strict=True):
-                self.known[piece] = data[4 * begin : 4 * end]
-                begin = end + 1
-
-    @staticmethod
-    def pieces(chunk: str) -> list[str] | None:
-        """What the pattern parts in " " + chunk for certain: single line feeds, and punctuation behind a letter; None if white space stands otherwise."""
-        lines = chunk.split("\n") if "\n" in chunk else [chunk]
-        out, lead = [], " "
-        for line in lines:
-            if not line or line[0].isspace() or line[-1].isspace():
-                return None
-            if not lead:
-                out.append("\n")
-            if line[-1] in PUNCTUATION and (base := line.rstrip(PUNCTUATION)) and base[-1].isalpha():
-                out += (lead + base, line[len(base) :])
-            else:
-                out.append(lead + line)
-            lead = ""
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit words."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.known.clear()
-        memo, known, split, new, fresh = self.memo, self.known, [], {}, {}
-        for t in texts:
-            chunks = t.split(" ")
-            split.append(chunks)
-            for c in [c for c in chunks if c not in memo and c not in new]:
-                parts = new[c] = self.pieces(c)
-                if parts:
-                    for x in parts:
-                        if x not in known:
-                            fresh[x] = None
-        fresh.pop("\n", None)
-        known["\n"] = np.array([self.feed], "<u4").tobytes()
-        self.learn(list(fresh))
-        for c, parts in new.items():
-            memo[c] = b"".join([known[x] for x in parts]) if parts else None
-        parts = [[memo[c] for c in chunks[1:]] for chunks in split]
-        whole = [not s[0] or s[0][-1].isspace() or None in p or any(a in t for a in self.added) for t, s, p in zip(texts, split, parts, strict=True)]
-        heads = iter(self.encode_all([t if w else s[0] for t, s, w in zip(texts, split, whole, strict=True)]))
-        return [next(heads) if w else next(heads) + b"".join(p) for p, w in zip(parts, whole, strict=True)]
+    chunks, marks = ChunkEncoder(word, whole), [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+    return lambda text: whole(text) if any(m in text for m in marks) else chunks.encode(text)
 
 
 def _encode_batches(path: str, added: bool):
     def run(batches):
-        tokenizer, place = process_cache(f"tokenizer {path} {added}", lambda: ChunkTokenizer(path, added)), 0
+        encode, place = process_cache(f"tokenizer {path} {added}", lambda: tokenizer_encoder(path, added)), 0
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                data = [ids + end for ids in tokenizer.encode(batch.column(1).slice(lo, 500).to_pylist())]
+                data = [encode(text) + end for text in batch.column(1).slice(lo, 500).to_pylist()]
                 counts = np.array([len(d) // 4 for d in data], np.int64)
                 ends = np.cumsum(counts)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
@@ -119,7 +76,7 @@ def _encode_batches(path: str, added: bool):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, added: bool = False) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, added: bool = True) -> None:
     """Encodes the whole text of each row (null: empty), appends END and writes files whose order, and the order of rows in each, is that of doc_id.
 
     place counts the ids before a document in its own file (number part). Rows that repeat a doc_id stand together, by their texts.
@@ -149,7 +106,7 @@ def _crc_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64()), batch.column(3)], ["doc_id", "n_tokens", "ids_crc32", "start"])
 
 
-def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, added: bool = False) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, added: bool = True) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all documents before it in doc_id order, n_tokens

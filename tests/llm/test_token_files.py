@@ -14,7 +14,6 @@ PATH = P.path("byte_bpe_50k.json")
 
 def brute(rows):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
