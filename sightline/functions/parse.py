@@ -23,8 +23,8 @@ def power(c) -> Column:
 
 
 def level(c) -> Column:
-    """'Lv. 30' to 30; one full stop or blank, and a repeated lv, may stand before the digits."""
-    return F.regexp_extract(trimmed(c), r"(?i)^lv\s*[. ]?\s*(?:lv\.?\s*)?([0-9]+)\z", 1).try_cast("int")
+    """'Lv. 30' to 30; one full stop or blank, and a repeated lv in small letters, may stand before the digits."""
+    return F.regexp_extract(trimmed(c), r"^(?i:lv)\s*[. ]?\s*(?:lv\.?)?\s*([0-9]+)\z", 1).try_cast("int")
 
 
 def last_active_hours(c) -> Column:
@@ -50,11 +50,11 @@ def abbreviated(c) -> Column:
 
 
 def group_header(c) -> Column:
-    """struct(name, online, total) of 'Raiders 3/25': exactly one N/M with 0 < M and N at most M."""
+    """struct(name, online, total) of 'Raiders 3/25': exactly one N/M, without blanks in it, with 0 < M and N at most M."""
     t = trimmed(c)
-    n, m = F.regexp_extract(t, r"([0-9]+)\s*/\s*([0-9]+)", 1).try_cast("int"), F.regexp_extract(t, r"([0-9]+)\s*/\s*([0-9]+)", 2).try_cast("int")
-    good = (F.regexp_count(t, F.lit(r"[0-9]+\s*/\s*[0-9]+")) == 1) & (m > 0) & (n <= m)
-    return F.when(good, F.struct(trimmed(F.regexp_extract(t, r"(?s)^(.*?)[0-9]+\s*/", 1)).alias("name"), n.alias("online"), m.alias("total")))
+    n, m = (F.regexp_extract(t, "([0-9]+)/([0-9]+)", g).try_cast("long") for g in (1, 2))
+    good = (F.regexp_count(t, F.lit("[0-9]+/[0-9]+")) == 1) & (m > 0) & (n <= m)
+    return F.when(good, F.struct(trimmed(F.regexp_extract(t, r"(?s)^(.*?)[0-9]+/", 1)).alias("name"), n.alias("online"), m.alias("total")))
 
 
 def member_count(c) -> Column:
@@ -119,5 +119,32 @@ def clamp(c, lo=0.0, hi=1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), _col(c)))
 
 
+def expected_label(total) -> Column:
+    """A group's total as text, '?' while it is unknown."""
+    return F.coalesce(_col(total).cast("string"), F.lit("?"))
+
+
+def listed_devices(text) -> Column:
+    """Serials in a device listing that are ready: lines of a serial, white space and the word device, behind the heading."""
+    lines = F.slice(F.split(_col(text), "\n"), 2, F.lit(10_000))
+    return F.transform(F.filter(lines, lambda x: x.rlike(r"^\S+\s+device(\s|\z)")), lambda x: F.regexp_extract(x, r"^(\S+)", 1))
+
+
+def field_rect(y0, y1, height, x0: float, x1: float, top: float, bottom: float) -> Column:
+    """struct of fractions of the frame: columns x0 to x1, and rows between two fractions of the band from y0 to y1."""
+    at = lambda f: (_col(y0) + (_col(y1) - _col(y0)) * F.lit(f)) / _col(height)
+    return F.struct(F.lit(x0).alias("x1"), at(top).alias("y1"), F.lit(x1).alias("x2"), at(bottom).alias("y2"))
+
+
+def padded(x1, y1, x2, y2, pad: float) -> Column:
+    """A rectangle grown by a margin on each side, kept within the frame."""
+    return F.struct(clamp(_col(x1) - pad).alias("x1"), clamp(_col(y1) - pad).alias("y1"), clamp(_col(x2) + pad).alias("x2"), clamp(_col(y2) + pad).alias("y2"))
+
+
+def jitter(least: float, most: float, seed: int | None = None) -> Column:
+    """Uniform between two bounds; for pauses, not for queries, as a rerun without a seed differs."""
+    return F.lit(least) + (F.rand(seed) if seed is not None else F.rand()) * (most - least)
+
+
 def valid_rect(x1, y1, x2, y2) -> Column:
     return (_col(x1) >= 0) & (_col(y1) >= 0) & (_col(x2) <= 1) & (_col(y2) <= 1) & (_col(x1) < _col(x2)) & (_col(y1) < _col(y2))

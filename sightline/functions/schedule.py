@@ -1,50 +1,64 @@
-"""Deterministic hashes behind offline windows and the jitter of cadences."""
+"""Deterministic hashes behind offline windows and the jitter of cadences, in the JVM: 64-bit words as exact decimals."""
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # FNV-1a, 64 bits.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
+WORD = 1 << 64
+#: Minutes of a day, the shortest window, and by how many more minutes it may last.
+DAY, SHORTEST, MORE = 1440, 300, 121
+
+
+def _exact(n: int, kind: str = "decimal(20,0)") -> Column:
+    return F.lit(str(n)).cast(kind)
+
+
+def fnv1a(*parts) -> Column:
+    """Unsigned FNV-1a over the bytes of the parts, each ended by a zero byte, as decimal(20,0).
+
+    Only the lowest eight bits of the sum meet a byte, so the exclusive or is done on them alone; a product stays below 36 digits.
+    """
+    text = F.concat(*(F.concat(F.hex(F.encode(p, "UTF-8")), F.lit("00")) for p in parts))
+    each = F.transform(F.regexp_extract_all(text, F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+
+    def step(h, byte):
+        low = (h % _exact(256)).cast("int")
+        mixed = (h + (low.bitwiseXOR(byte) - low).cast("decimal(4,0)")).cast("decimal(20,0)")
+        return ((mixed * _exact(PRIME, "decimal(13,0)")) % _exact(WORD, "decimal(21,0)")).cast("decimal(20,0)")
+
+    return F.aggregate(each, _exact(OFFSET), step)
 
 
-def fnv1a(parts: tuple[str, ...]) -> int:
-    """Unsigned FNV-1a over the parts, each ended by a zero byte."""
-    h = OFFSET
-    for p in parts:
-        for byte in p.encode() + b"\0":
-            h = (h ^ byte) * PRIME & (1 << 64) - 1
-    return h
+def residue(h: Column, n: int) -> Column:
+    return (h % _exact(n)).cast("int")
 
 
-@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("minutes", T.IntegerType())]))
-def offline_minutes(account: pd.Series, day: pd.Series) -> pd.DataFrame:
-    """First minute of the day and length in minutes (5 to 7 hours) of an account's offline window on a day 'yyyy-mm-dd'."""
-    h = [fnv1a((str(a), d)) for a, d in zip(account, day, strict=True)]
-    return pd.DataFrame({"start": [x % 1440 for x in h], "minutes": [300 + x // 1440 % 121 for x in h]}, dtype="int32")
+def quotient(h: Column, n: int) -> Column:
+    """h div n, exactly."""
+    return ((h - h % _exact(n)) / _exact(n, "decimal(6,0)")).cast("decimal(20,0)")
 
 
-@F.pandas_udf(T.DoubleType())
-def cadence_share(account: pd.Series, task: pd.Series, last_ns: pd.Series) -> pd.Series:
-    """Share of the cadence, from -0.2 to 0.2, by which a run is put off."""
-    return pd.Series([fnv1a((str(a), t, str(n))) % 40001 / 40000 * 0.4 - 0.2 for a, t, n in zip(account, task, last_ns, strict=True)])
+def offline_minutes(account: Column, day: Column) -> Column:
+    """struct(start, minutes): first minute and length (5 to 7 hours) of an account's offline window on a day 'yyyy-mm-dd'."""
+    h = fnv1a(account.cast("string"), day)
+    return F.struct(residue(h, DAY).alias("start"), (residue(quotient(h, DAY), MORE) + SHORTEST).alias("minutes"))
 
 
 def offline(account: Column, now: Column) -> Column:
-    """Whether a moment lies in the account's window of that day or of the day before."""
+    """Whether a moment lies in the account's window of that day or of the day before, which may run past midnight."""
+    minute = (F.unix_micros(now) - F.unix_micros(F.date_trunc("day", now))) / 60e6
 
-    def inside(day: Column) -> Column:
+    def inside(day: Column, late: int) -> Column:
         w = offline_minutes(account, F.date_format(day, "yyyy-MM-dd"))
-        minute = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.date_trunc("day", day.cast("timestamp")))) / 60
-        return (minute >= w["start"]) & (minute < w["start"] + w["minutes"])
+        return (minute + late >= w["start"]) & (minute + late < w["start"] + w["minutes"])
 
-    return inside(now) | inside(now - F.expr("interval 1 day"))
+    return inside(now, 0) | inside(now - F.expr("interval 1 day"), DAY)
 
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def cadence_offset(account: Column, task: Column, last_ns: Column, cadence_ns: Column) -> Column:
+    """Nanoseconds by which a run is put off or brought forward: up to a fifth of the cadence, by the last run."""
+    share = residue(fnv1a(account.cast("string"), task, last_ns.cast("string")), 40001).cast("double") / 40000.0 * 0.4 - 0.2
+    return (share * cadence_ns.cast("double")).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NONE, NEGATIVE = "<none>", "_none"
@@ -24,14 +24,14 @@ def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), right.alias("correct"), F.coalesce(F.round(F.try_divide(right, F.count("*")), 6), F.lit(0.0)).alias("accuracy"))
 
 
-def separation(df: DataFrame, anchor: str, inside: Column, score: str) -> DataFrame:
-    """Per anchor: the worst score where it belongs against the best where it doesn't, their gap and the midpoint as a threshold."""
+def separation(df: DataFrame, by: list[str], inside: Column, score: str) -> DataFrame:
+    """Per anchor and screen: the worst score where it belongs against the best where it doesn't, their gap, and, if that is positive, the midpoint as a threshold; else 0."""
     n = F.count_if(inside)
     worst = F.least(F.lit(1.0), F.min(F.when(inside, F.col(score))))
     best = F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(~inside, F.col(score))), F.lit(0.0)))
-    out = df.groupBy(anchor).agg(n.alias("in_count"), F.count_if(~inside).alias("out_count"), F.coalesce(worst, F.lit(0.0)).alias("worst_in"), best.alias("best_out"))
+    out = df.groupBy(*by).agg(n.alias("in_count"), F.count_if(~inside).alias("out_count"), F.coalesce(worst, F.lit(0.0)).alias("worst_in"), best.alias("best_out"))
     some = F.col("in_count") > 0
-    return out.withColumn("gap", F.when(some, F.col("worst_in") - F.col("best_out")).otherwise(0.0)).withColumn("suggested", F.when(some, (F.col("worst_in") + F.col("best_out")) / 2).otherwise(0.0)).withColumn("overlap", ~some | (F.col("worst_in") <= F.col("best_out")))
+    return out.withColumn("gap", F.when(some, F.col("worst_in") - F.col("best_out")).otherwise(0.0)).withColumn("overlap", ~some | (F.col("worst_in") <= F.col("best_out"))).withColumn("suggested", F.when(~F.col("overlap"), (F.col("worst_in") + F.col("best_out")) / 2).otherwise(0.0))
 
 
 def recognised(df: DataFrame, frame: str, screen: str, score: str, threshold: str) -> DataFrame:
@@ -41,6 +41,79 @@ def recognised(df: DataFrame, frame: str, screen: str, score: str, threshold: st
 
 
 def best_read(df: DataFrame, by: list[str], text: str, confidence: str, order: str) -> DataFrame:
-    """Per field the reading of highest confidence, the earlier of equals; a blank never wins over a text."""
-    rank = F.struct((F.trim(text) != "").cast("int"), F.col(confidence), -F.col(order))
-    return df.groupBy(*by).agg(F.max_by(F.struct(text, confidence, order), rank).alias("r")).select(*by, "r.*")
+    """Per field the reading of highest confidence, the earlier of equals, then the smaller text; a blank never wins over a text."""
+    rank = F.struct((F.trim(text) == "").cast("int"), -F.col(confidence), F.col(order), F.col(text))
+    return df.groupBy(*by).agg(F.min_by(F.struct(text, confidence, order), rank).alias("r")).select(*by, "r.*")
+
+
+def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """(bin, label, n, lo, mean, hi) over half-open bins between the edges, open at both ends."""
+    k = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda acc, e: acc + (F.col(value) >= e).cast("int"))
+    names = [f"< {edges[0]}", *(f"{a} - {b}" for a, b in zip(edges, edges[1:], strict=False)), f">= {edges[-1]}"]
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("bin") + 1)
+    got = df.select(k.alias("bin"), F.col(value).alias("v")).groupBy("bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("hi"))
+    return got.select("bin", label.alias("label"), "n", "lo", "mean", "hi")
+
+
+def matrix(counts: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:
+    """A confusion table as a square: a row per label, a column per prediction, 0 where there is nothing; NONE comes last."""
+    rest = sorted(p for p in predictions if p != NONE) + [NONE] * (NONE in predictions)
+    wide = counts.where(F.col("label").isin(labels)).groupBy("label").pivot("predicted", rest).agg(F.sum("n"))
+    return wide.na.fill(0).orderBy("label")
+
+
+def gate(expected: DataFrame, facts: DataFrame, key: list[str], tolerance: float = 0.01) -> DataFrame:
+    """(key, want, got, verdict) of hand-checked values against live facts: missing, off or ok."""
+    both = expected.join(facts.withColumnRenamed("value", "got"), key, "left")
+    close = F.when(F.col("want") == 0, F.col("got") == 0).otherwise(F.abs(F.col("got") - F.col("want")) / F.col("want") <= tolerance)
+    return both.withColumn("verdict", F.when(F.col("got").isNull(), "missing").when(close, "ok").otherwise("off"))
+
+
+def coverage(created: DataFrame, best: DataFrame, accept: int = 92) -> DataFrame:
+    """(created_id, verdict) of created members by their best true one (created_id, truth_id, score, truth_group): covered, wrong group, orphan, or split if another covers the same one better or earlier."""
+    rows = created.join(best, "created_id", "left").withColumn("_hit", F.coalesce(F.col("score") >= accept, F.lit(False)))
+    first = F.min(F.when(F.col("_hit"), F.struct(-F.col("score"), F.col("created_id")))).over(Window.partitionBy("truth_id"))
+    owner = first["created_id"]
+    verdict = F.when(~F.col("_hit"), "orphan").when(F.col("created_id") != owner, "split").when(F.col("group") != F.col("truth_group"), "wrong group").otherwise("covered")
+    return rows.withColumn("verdict", verdict).select("created_id", "truth_id", "score", "verdict")
+
+
+def read_verdicts(reads: DataFrame, truths: DataFrame, least: float) -> DataFrame:
+    """reads (text, confidence) with a verdict: empty, exact, exact but weak, junk-prefixed (exact without its first word) or unmatched."""
+    known = truths.select(F.col("name").alias("_t"), F.lit(True).alias("_known")).distinct()
+    rest = F.regexp_replace(F.trim("text"), r"^\S+\s+", "")
+    rows = reads.join(known, F.trim("text") == F.col("_t"), "left").withColumnRenamed("_known", "_exact").drop("_t")
+    rows = rows.withColumn("_rest", rest).join(known.withColumnRenamed("_t", "_u"), (F.col("_rest") == F.col("_u")) & (F.col("_rest") != F.trim("text")), "left").drop("_u", "_rest")
+    verdict = F.when(F.trim("text") == "", "empty").when(F.col("_exact") & (F.col("confidence") >= least), "exact").when(F.col("_exact"), "exact, weak").when(F.col("_known"), "junk-prefixed").otherwise("unmatched")
+    return rows.withColumn("verdict", verdict).drop("_exact", "_known")
+
+
+def creatable(scored: DataFrame, by: list[str], least: float, accept: int = 92) -> DataFrame:
+    """Per true member its best read (highest score, then confidence, then text) and whether that could create it: creatable, low confidence or missed."""
+    best = scored.groupBy(*by).agg(F.max_by(F.struct("text", "score", "confidence"), F.struct("score", "confidence", "text")).alias("_b")).select(*by, "_b.*")
+    return best.withColumn("verdict", F.when(F.col("score") < accept, "missed").when(F.col("confidence") < least, "low confidence").otherwise("creatable"))
+
+
+def united(scores: DataFrame, row: list[str], member: str, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of several read modes taken together: per row and member the highest; per row the text of the mode whose best score is highest, the first of equals."""
+    best = scores.groupBy(*row, member).agg(F.max("score").alias("score"))
+    tops = scores.where("text <> ''").groupBy(*row, mode, "text").agg(F.max("score").alias("_top"))
+    text = tops.groupBy(*row).agg(F.max_by("text", F.struct("_top", -F.col(mode))).alias("text"), F.max("_top").alias("top"))
+    return best, text
+
+
+def agreement(first: DataFrame, second: DataFrame, key: str, accept: int = 92) -> DataFrame:
+    """Bands by how two ways of reading compare: agree, disagree, only one sure, both weak."""
+    a = first.select(key, F.col("member_id").alias("_a"), (F.col("score") >= accept).alias("_sa"))
+    b = second.select(key, F.col("member_id").alias("_b"), (F.col("score") >= accept).alias("_sb"))
+    both = a.join(b, key, "full_outer").select(key, "_a", "_b", F.coalesce("_sa", F.lit(False)).alias("_sa"), F.coalesce("_sb", F.lit(False)).alias("_sb"))
+    verdict = F.when(F.col("_sa") & F.col("_sb"), F.when(F.col("_a") == F.col("_b"), "agree").otherwise("disagree")).when(F.col("_sa"), "first only").when(F.col("_sb"), "recovered").otherwise("both weak")
+    return both.select(key, verdict.alias("verdict"))
+
+
+def clear_winner(scores: DataFrame, by: str, name: str, score: str, gap: float) -> DataFrame:
+    """(by, name) of the best score if it leads the next by the gap, else null; one score alone leads by its whole height."""
+    order = Window.partitionBy(by).orderBy(F.desc(score), name)
+    top = scores.withColumn("_n", F.row_number().over(order)).where("_n <= 2")
+    height = lambda k: F.max(F.when(F.col("_n") == k, F.col(score)))
+    return top.groupBy(by).agg(F.when(height(1) - F.coalesce(height(2), F.lit(0.0)) >= gap, F.max(F.when(F.col("_n") == 1, F.col(name)))).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,14 @@ def lowest_decile(df: DataFrame, by: str, value: str, then: list) -> DataFrame:
     """Rows at or below their group's tenth percentile, in the given order."""
     cut = df.groupBy(by).agg(F.percentile(value, 0.1).alias("_cut"))
     return df.join(cut, by).where(F.col(value) <= F.col("_cut")).drop("_cut").orderBy(*then)
+
+
+def ratio(facts: DataFrame, member: str, of: Column, done: Column, base: str, name: str) -> DataFrame:
+    """Per member the rows that count and the share of them that is done, 0 without any."""
+    n = F.count_if(of)
+    return facts.groupBy(member).agg(n.alias(base), F.round(F.coalesce(F.try_divide(F.count_if(of & done), n), F.lit(0.0)), 6).alias(name))
+
+
+def decay(age: Column, days: float = 7.0) -> Column:
+    """Weight of something last seen some days ago; the time constant is a choice of this library."""
+    return F.exp(-age / F.lit(days))

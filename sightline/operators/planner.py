@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions import parse, schedule
 
-def run_state(runs: DataFrame) -> DataFrame:
-    """Per account and task: last_run, last_success, and failures after the last success; paused and running runs neither count nor reset.
 
-    Two aggregates over the same key, so one shuffle serves both.
-    """
+def run_state(runs: DataFrame) -> DataFrame:
+    """Per account and task: last_run, last_success, and failures after the last success; paused and running runs neither count nor reset."""
     by = ["account_id", "task"]
-    last = runs.groupBy(*by).agg(F.max(F.when(F.col("status").isin("succeeded", "failed"), F.col("started_at"))).alias("last_run"), F.max(F.when(F.col("status") == "succeeded", F.col("started_at"))).alias("last_success"))
-    after = (F.col("status") == "failed") & (F.col("last_success").isNull() | (F.col("started_at") > F.col("last_success")))
-    return runs.join(last, by).groupBy(*by).agg(F.first("last_run").alias("last_run"), F.first("last_success").alias("last_success"), F.count_if(after).alias("failures"))
+    last = F.max(F.when(F.col("status") == "succeeded", F.col("started_at"))).over(Window.partitionBy(*by))
+    marked = runs.where(F.col("status").isin("succeeded", "failed")).withColumn("_last", last)
+    after = (F.col("status") == "failed") & (F.col("_last").isNull() | (F.col("started_at") > F.col("_last")))
+    done = marked.groupBy(*by).agg(F.max("started_at").alias("last_run"), F.max("_last").alias("last_success"), F.count_if(after).alias("failures"))
+    every = runs.select(*by).distinct()
+    return every.join(done, by, "left").select(*by, "last_run", "last_success", F.coalesce("failures", F.lit(0)).alias("failures"))
 
 
-def due_work(accounts: DataFrame, tasks: DataFrame, state: DataFrame, now, weekday, now_seconds) -> DataFrame:
-    """Enabled tasks of enabled accounts, by role and weekday, with the seconds by which each is overdue.
+def due_work(accounts: DataFrame, tasks: DataFrame, state: DataFrame, now: Column, paused: bool = False) -> DataFrame:
+    """(account_id, task, overdue) of what is due at a moment, overdue in nanoseconds, the most overdue first, then by task and account.
 
-    Accounts meet tasks by role: tasks are exploded over their roles, so there is no cross join. The back-off doubles with failures.
+    accounts: account_id, role, enabled. tasks: task, cadence_ns, roles, days
+    (0 is Sunday), enabled. state: account_id, task, last_ns, failures. An account rests in its offline window. A pair that never ran is due at once; another
+    after its cadence, shifted by the jitter, and after a back-off that doubles with failures. Accounts meet tasks by role: tasks are
+    exploded over their distinct roles, so there is no cross join, and windows are found once an account. While everything is paused nothing is due.
     """
-    by_role = tasks.where("enabled").select("task", "cadence", "days", F.explode("roles").alias("role")).where(F.array_contains("days", weekday))
-    pairs = accounts.where("enabled").join(by_role, "role").join(state, ["account_id", "task"], "left")
-    back = F.when(F.coalesce("failures", F.lit(0)) <= 0, 0).otherwise(F.col("cadence") * (F.pow(F.lit(2.0), F.least("failures", F.lit(5))).cast("long") - 1))
-    due = F.coalesce(F.col("last_seconds") + F.col("cadence") + back, now_seconds)
-    return pairs.withColumn("overdue", now_seconds - due).where("overdue >= 0").orderBy(F.desc("overdue"), "task", "account_id")
+    today = F.dayofweek(now) - 1
+    awake = accounts.where(F.col("enabled") & ~schedule.offline(F.col("account_id"), now)).select("account_id", "role")
+    by_role = tasks.where(F.col("enabled") & F.array_contains("days", today)).select("task", "cadence_ns", F.explode(F.array_distinct("roles")).alias("role"))
+    pairs = (awake.where(F.lit(not paused))).join(F.broadcast(by_role), "role").join(state, ["account_id", "task"], "left")  # tasks are a configuration of some dozen rows
+    at = F.unix_micros(now) * 1000
+    jitter = schedule.cadence_offset(F.col("account_id"), F.col("task"), F.col("last_ns"), F.col("cadence_ns"))
+    due = F.when(F.col("last_ns").isNull(), at).otherwise(F.col("last_ns") + F.col("cadence_ns") + jitter + parse.backoff("cadence_ns", F.coalesce("failures", F.lit(0))))
+    return pairs.withColumn("overdue", at - due).where("overdue >= 0").select("account_id", "task", "overdue")
+
+
+def first_due(due: DataFrame, n: int = 1) -> DataFrame:
+    """The n pairs to run next."""
+    return due.orderBy(F.desc("overdue"), "task", "account_id").limit(n)

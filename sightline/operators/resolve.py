@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
@@ -16,6 +17,10 @@ CONFIDENT, RESIDUAL, DUPLICATE = 1, 2, 3
 FLOOR, MARGIN = 60, 20
 WRITE = 0.80
 RESIDUAL_MATCH, ZERO = 0.85, 0.90
+#: Confidence of a name from which a member may be created.
+LEGIBLE = 0.4
+#: A cell that no claim may take any more.
+TAKEN = -1
 PAIR = "row int, member int, score int, phase int"
 
 
@@ -30,67 +35,84 @@ def candidates(reads: DataFrame, members: DataFrame, block: list[str], read: str
     return reads.join(best, [*block, read])
 
 
-def assign(scores: dict[int, dict[int, int]], floor: int = FLOOR, margin: int = MARGIN) -> list[tuple[int, int, int, int]]:
-    """(row, member, score, phase) of each row: greedy claims of the best score left, member -1 without one.
+def assign(scores: np.ndarray, floor: int = FLOOR, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Member (-1: none), score and phase of each row of a matrix rows by members.
 
-    First claims of the accepted score by a point; then rows that score that high against a claimed member are duplicates; then claims from
-    the floor by the margin. The margin is over the next free member and void if there is none. Ties go to the lowest row, then member.
+    A claim takes the best free cell of all rows that lead by enough: their best
+    free member scores the floor at least and beats the next free one by the margin, which is void when one member is left. Claimed rows and
+    members leave the matrix. Claims of the accepted score by one point come first; then rows as good as that against a claimed member are
+    duplicates and leave; then claims go on from the floor by the margin. Ties go to the first row, then the first member.
     """
-    out = {row: (-1, 0, 0) for row in scores}
-    free_rows, free = set(scores), {m for s in scores.values() for m in s}
-
-    def claim(floor: int, margin: int, phase: int) -> None:
-        while True:
-            best = None
-            for row in sorted(free_rows):
-                ranked = sorted(((-s, m) for m, s in scores[row].items() if m in free))
-                if not ranked or -ranked[0][0] < floor or len(ranked) > 1 and ranked[1][0] - ranked[0][0] < margin:
-                    continue
-                if best is None or -ranked[0][0] > best[0]:
-                    best = -ranked[0][0], row, ranked[0][1]
-            if best is None:
-                return
-            out[best[1]] = best[2], best[0], phase
-            free_rows.discard(best[1])
-            free.discard(best[2])
-
-    claim(ACCEPT, 1, CONFIDENT)
-    for row in sorted(free_rows):
-        if any(s >= ACCEPT and m not in free for m, s in scores[row].items()):
-            out[row] = -1, 0, DUPLICATE
-    free_rows -= {r for r, (_, _, phase) in out.items() if phase == DUPLICATE}
-    claim(floor, margin, RESIDUAL)
-    return [(row, *out[row]) for row in sorted(out)]
+    cells = scores.astype(np.int64)
+    member, score, phase = np.full(len(cells), -1), np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+    for stage, least, lead in ((CONFIDENT, ACCEPT, 1), (RESIDUAL, floor, margin)):
+        while cells.size:
+            top = np.sort(cells, axis=1)[:, -2:]
+            best = top[:, -1]
+            second = top[:, 0] if top.shape[1] > 1 else np.full(len(cells), TAKEN)
+            fits = np.flatnonzero((best >= least) & ((second == TAKEN) | (best - second >= lead)))
+            if not len(fits):
+                break
+            row = fits[best[fits].argmax()]
+            column = cells[row].argmax()
+            member[row], score[row], phase[row] = column, cells[row, column], stage
+            cells[row], cells[:, column] = TAKEN, TAKEN
+        if stage == CONFIDENT:
+            claimed = np.unique(member[member >= 0])
+            again = (member < 0) & (scores[:, claimed] >= ACCEPT).any(axis=1)
+            phase[again], cells[again] = DUPLICATE, TAKEN
+    return member, score, phase
 
 
 def assignments(scores: DataFrame, by: str, floor: int = FLOOR, margin: int = MARGIN) -> DataFrame:
-    """Closed-set assignment per capture over (by, row, member, score). A group is one capture's matrix, bounded by its roster."""
+    """Closed-set assignment per capture over (by, row, member, score); a pair that isn't there scores 0. A group is one capture's matrix, bounded by its roster."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix: dict[int, dict[int, int]] = {}
-        for row, member, score in zip(pdf["row"], pdf["member"], pdf["score"], strict=True):
-            matrix.setdefault(int(row), {})[int(member)] = int(score)
-        got = pd.DataFrame(assign(matrix, floor, margin), columns=["row", "member", "score", "phase"], dtype="int32")
+        rows, members = np.unique(pdf["row"]), np.unique(pdf["member"])
+        matrix = np.zeros((len(rows), len(members)), np.int64)
+        np.maximum.at(matrix, (np.searchsorted(rows, pdf["row"]), np.searchsorted(members, pdf["member"])), pdf["score"].to_numpy())
+        member, score, phase = assign(matrix, floor, margin)
+        got = pd.DataFrame({"row": rows, "member": np.where(member < 0, -1, members[member]), "score": score, "phase": phase}).astype("int32")
         got.insert(0, by, pdf[by].iloc[0])
         return got
 
     return scores.groupBy(by).applyInPandas(run, f"{by} {scores.schema[by].dataType.simpleString()}, {PAIR}")
 
 
-def attribution(phase: Column, top: Column, text: Column, read_conf: Column, score: Column, lo: Column, hi: Column, retry: Column) -> Column:
-    """struct(outcome, value, confidence, reason) of a row, the checks in their order: duplicate, unmatched, parse, repair within bounds, late retry, order, confidence."""
-    first = parse.points(parse.without_artifact(text))
-    fixed = F.when(first.isNull(), parse.repaired_points(text, lo, hi))
-    late = F.when(parse.within(parse.points(retry), lo, hi), parse.points(retry))
+def attribution(phase: Column, top: Column, text: Column, read_conf: Column, score: Column, lo: Column, hi: Column, retry: Column, retry_conf: Column, from_retry: Column) -> Column:
+    """struct(outcome, value, confidence, reason) of a row, the checks in their order: duplicate, unmatched, parse, repair within bounds, late retry, order, confidence.
+
+    A trailing artifact is trimmed before anything is parsed or repaired. A
+    late retry is tried only where the first read wasn't a retry itself; it must parse within the bounds and brings its own confidence. Bounds that
+    are closed and narrow raise a weak read to the least confidence that is written, but not a repaired one.
+    """
+    trimmed = parse.without_artifact(text)
+    first = parse.points(trimmed)
+    fixed = F.when(first.isNull(), parse.repaired_points(trimmed, lo, hi))
+    second = parse.points(parse.without_artifact(retry))
+    late = F.when(first.isNull() & fixed.isNull() & ~from_retry & parse.within(second, lo, hi), second)
     value = F.coalesce(first, fixed, late)
     match = F.when(phase == RESIDUAL, RESIDUAL_MATCH).otherwise(score / 100)
-    weak = F.least(match, read_conf)
+    weak = F.least(match, F.when(late.isNotNull(), retry_conf).otherwise(read_conf))
     sure = fixed.isNull() & (hi < 2**63 - 1) & (lo > 0) & (hi - lo <= value)
     confidence = F.when((weak < WRITE) & sure, WRITE).otherwise(weak)
     unmatched = F.when(top >= REVIEW, "ambiguous_name_match").otherwise("no_confident_match")
     reason = F.when(phase == 0, unmatched).when(value.isNull(), "unparseable_points").when(~parse.within(value, lo, hi), "points_out_of_order").when(confidence < WRITE, "low_confidence_points")
     outcome = F.when(phase == DUPLICATE, "duplicate").when(reason.isNotNull(), "review").otherwise("fact")
-    return F.struct(outcome.alias("outcome"), F.when(outcome == "fact", value).alias("value"), F.when(phase != DUPLICATE, F.round(confidence, 6)).alias("confidence"), F.when(phase != DUPLICATE, reason).alias("reason"))
+    told = (outcome == "fact") | (reason == "low_confidence_points")
+    return F.struct(outcome.alias("outcome"), F.when(outcome == "fact", value).alias("value"), F.when((phase != DUPLICATE) & told, F.round(confidence, 6)).alias("confidence"), F.when(phase != DUPLICATE, reason).alias("reason"))
+
+
+def field_outcomes(rows: DataFrame, by: list[str], match: str, fields: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """One row per field of a matched row: (by, metric, label, value, confidence, outcome). fields: metric to (label, value column, confidence column).
+
+    A value that did not parse, or is weaker than what is written, is for
+    review; the confidence is the weaker of match and read. A created member matches by 1.
+    """
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(label).alias("label"), F.col(v).cast("double").alias("value"), F.least(F.col(match), F.col(c)).alias("confidence")) for m, (label, v, c) in fields.items()))
+    out = rows.select(*by, F.explode(each).alias("f")).select(*by, "f.*")
+    outcome = F.when(F.col("value").isNull(), F.concat(F.lit("unparseable_"), F.col("label"))).when(F.col("confidence") < WRITE, F.concat(F.lit("low_confidence_"), F.col("label"))).otherwise("fact")
+    return out.withColumn("outcome", outcome).withColumn("confidence", F.when(F.col("value").isNotNull(), F.col("confidence")))
 
 
 def inferred_zeros(members: DataFrame, assigned: DataFrame, captures: DataFrame) -> DataFrame:
@@ -106,36 +128,92 @@ def reconcile(groups: DataFrame, totals: DataFrame) -> DataFrame:
     return totals.join(per, "capture_id", "left").select("capture_id", F.coalesce("parsed", F.lit(0)).alias("parsed"), F.when(ok, "complete").otherwise("partial").alias("status"))
 
 
+def group_tallies(rows: DataFrame, by: list[str], order: str, member: str, total: str) -> DataFrame:
+    """Per group: rows parsed, those with a member, distinct members, the first total that its header shows, and whether a member may be created."""
+    expected = F.min_by(total, F.when(F.col(total).isNotNull(), F.col(order)))
+    out = rows.groupBy(*by).agg(F.count("*").alias("parsed"), F.count(member).alias("matched_or_created"), F.count_distinct(member).alias("members"), expected.alias("expected"))
+    return out.withColumn("can_create", F.col("expected").isNotNull() & (F.col("members") < F.col("expected")))
+
+
+def result_counters(outcomes: DataFrame, by: str) -> DataFrame:
+    """Per capture how many rows became facts, went to review or were duplicates."""
+    n = lambda kind: F.count_if(F.col("outcome") == kind)
+    return outcomes.groupBy(by).agg(n("fact").alias("matched"), n("review").alias("queued"), n("duplicate").alias("duplicates"))
+
+
+def once_per_row(reviews: DataFrame, row: list[str], order: str) -> DataFrame:
+    """The first review of each collected row; later photographs of it bring no new work."""
+    return reviews.withColumn("_n", F.row_number().over(Window.partitionBy(*row).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def with_retry(text: Column, confidence: Column, retry: Column, retry_confidence: Column) -> Column:
+    """struct(text, confidence, retried): the second reading where the first is empty."""
+    blank = text == ""
+    return F.struct(F.when(blank, retry).otherwise(text).alias("text"), F.when(blank, retry_confidence).otherwise(confidence).alias("confidence"), blank.alias("retried"))
+
+
+def seeds(rows: DataFrame, write: float = WRITE) -> DataFrame:
+    """Adds points and seeds: whether a row may bound its neighbours; it has a member, parses, was read surely and not by a retry."""
+    points = parse.points(parse.without_artifact("text"))
+    return rows.withColumn("points", points).withColumn("seeds", (F.col("member") >= 0) & F.col("points").isNotNull() & (F.col("confidence") >= write) & ~F.col("retried"))
+
+
 def roster_rows(pdf_rows: list[tuple], known: dict[int, str], expected: int | None) -> list[tuple]:
     """(ordinal, outcome, member) of roster rows in order; a created member is a candidate for the rows after it.
 
     Blank names are unreadable; the accepted score is a match, the review score ambiguous; below, a weak read is queued, and else a member is created while the
     group's stated total leaves room.
     """
-    pool, used, out, new = dict(known), set(), [], -1
+    pool, used, out, new = list(known.items()), set(), [], -1
     for ordinal, name, conf in pdf_rows:
         if not (name or "").strip():
             out.append((ordinal, "unreadable_name", None))
             continue
-        score, member = max(((token_set_ratio(name, n), -m) for m, n in pool.items()), default=(0, 0))
-        member = -member
+        # of equal scores the member known for longer
+        score, at = max(((token_set_ratio(name, n), -k) for k, (_, n) in enumerate(pool)), default=(0, 0))
         if score >= ACCEPT:
+            member = pool[-at][0]
             used.add(member)
             out.append((ordinal, "matched", member))
         elif score >= REVIEW:
             out.append((ordinal, "ambiguous_name_match", None))
-        elif conf < 0.4:
+        elif conf < LEGIBLE:
             out.append((ordinal, "low_confidence_name", None))
         elif expected is None:
             out.append((ordinal, "no_confident_match_group_count_unknown", None))
         elif len(used) >= expected:
             out.append((ordinal, "no_confident_match_group_full", None))
         else:
-            pool[new] = name
+            pool.append((new, name))
             used.add(new)
             out.append((ordinal, "created", new))
             new -= 1
     return out
 
 
+def roster_decisions(rows: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ordinal, outcome, member_id) of the rows (by, ordinal, name, confidence, expected) of each group, in order, against its members (by, member_id, name).
+
+    A group is one header's rows in one capture: a member created for a row is a
+    candidate for those after it, so the rows of a group are taken in turn. Created members get negative numbers, -1 being the first of a group.
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("ordinal", ignore_index=True)
+        known = dict(zip(right.sort_values("member_id")["member_id"].tolist(), right.sort_values("member_id")["name"].tolist(), strict=True))
+        total = left["expected"].dropna()
+        expected = int(total.iloc[0]) if len(total) else None  # the first that is known
+        got = roster_rows(list(zip(left["ordinal"].tolist(), left["name"].tolist(), left["confidence"].tolist(), strict=True)), known, expected)
+        out = pd.DataFrame(got, columns=["ordinal", "outcome", "member_id"])
+        for name, value in zip(reversed(by), reversed(key), strict=True):
+            out.insert(0, name, value)
+        out["member_id"] = out["member_id"].astype("Int64")
+        return out
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    # columns of their own, as both sides may come from one table
+    rows, members = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (rows, members))
+    return rows.groupBy(*by).cogroup(members.groupBy(*by)).applyInPandas(run, f"{kinds}, ordinal long, outcome string, member_id long")
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 OPEN = 2**63 - 1
 
@@ -22,20 +25,27 @@ def neighbour_bounds(df: DataFrame, by: list[str], order: list[str], value: str,
 
 
 def longest_falling(values: list) -> list[bool]:
-    """Members of the longest non-increasing subsequence; of equals the one with the earliest end, then the earliest predecessors."""
-    length, before = [], []
-    for j, v in enumerate(values):
-        best, at = 0, -1
-        for k in range(j):
-            if values[k] >= v and length[k] > best:
-                best, at = length[k], k
-        length.append(best + 1)
-        before.append(at)
-    out, j = [False] * len(values), length.index(max(length)) if values else -1
-    while j >= 0:
-        out[j] = True
-        j = before[j]
-    return out
+    """Members of the longest non-increasing subsequence; of equals the one with the earliest end, then the earliest predecessors.
+
+    tails holds, for each length, the largest last value that a subsequence of
+    it can have; negated it ascends, so each length is found by halving. Of the rows of a length that may come before, the first is taken.
+    """
+    length, rows, tails = [], [], []
+    for k, v in enumerate(values):
+        n = bisect.bisect_right(tails, -v)
+        tails[n : n + 1] = [-v]
+        length.append(n)
+        if n == len(rows):
+            rows.append([])
+        rows[n].append(k)
+    keep = [False] * len(values)
+    if rows:
+        at = rows[-1][0]
+        keep[at] = True
+        for n in range(length[at] - 1, -1, -1):
+            at = next(k for k in rows[n] if k < at and values[k] >= values[at])
+            keep[at] = True
+    return keep
 
 
 def consistent(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -48,17 +58,97 @@ def consistent(df: DataFrame, by: list[str], order: list[str], value: str) -> Da
     return df.groupBy(*by).applyInPandas(run, df.withColumn("keep", F.lit(True)).schema)
 
 
+def _by_group(df: DataFrame, by: list[str], order: list[str], fold, extra: str) -> DataFrame:
+    """df with the columns of `extra`, which fold gives for the rows of one group in order. A group is one capture, so it is bounded."""
+    add = StructType.fromDDL(extra)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        return pdf.assign(**dict(zip(add.names, fold(pdf), strict=True)))
+
+    return df.groupBy(*by).applyInPandas(run, StructType([*df.schema.fields, *add.fields]))
+
+
 def spaced(df: DataFrame, by: list[str], order: list[str], at: str, gap: float) -> DataFrame:
-    """Rows kept when they lie more than gap beyond the last row kept, in order: a fold, since a dropped row does not count."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, at)))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
+    """Adds accepted: whether a row lies more than gap beyond the last one accepted, in order; a fold, since a dropped row does not count."""
+
+    def fold(pdf):
+        out, last = [], None
+        for y in pdf[at].tolist():
+            out.append(last is None or y > last + gap)
+            last = y if out[-1] else last
+        return (out,)
+
+    return _by_group(df, by, order, fold, "accepted boolean")
+
 
-    def step(acc, x):
-        y = x[at].cast("double")
-        take = acc["last"].isNull() | (y > acc["last"] + gap)
-        return F.struct(F.when(take, y).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["kept"], F.array(y))).otherwise(acc["kept"]).alias("kept"))
+def collected(df: DataFrame, by: list[str], order: list[str], at: str, reach: float, resolves: str) -> DataFrame:
+    """Adds place and action: the first collected row within reach (inclusive) of a sighting, or a new one, and what becomes of the sighting.
 
-    return df.groupBy(*by).agg(F.aggregate(rows, start, step, lambda acc: acc["kept"]).alias("kept")).select(*by, F.size("kept").alias("accepted"), F.array_join(F.transform("kept", lambda y: y.cast("long").cast("string")), ",").alias("kept_at"))
+    new rows are collected; one seen before is read again until a reading resolves it, then skipped.
+    """
+
+    def fold(pdf):
+        known, done, places, actions = np.empty(len(pdf)), np.zeros(len(pdf), bool), [], []
+        n = 0
+        for y, good in zip(pdf[at].to_numpy(dtype=float), pdf[resolves].to_numpy(dtype=bool), strict=True):
+            near = np.flatnonzero(np.abs(known[:n] - y) <= reach)
+            k = int(near[0]) if len(near) else n
+            if k == n:
+                known[n], n = y, n + 1
+                actions.append("new")
+            else:
+                actions.append("skipped" if done[k] else "read again")
+            done[k] |= good
+            places.append(k)
+        return places, actions
+
+    return _by_group(df, by, order, fold, "place int, action string")
+
+
+def first_known(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Per key the first value that is known, in order; later ones don't replace it. A partial aggregate, no window."""
+    return df.groupBy(*by).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(value))
+
+
+def confirmed_bands(df: DataFrame, by: list[str], order: str, confirmed: str, depth: int = 1) -> DataFrame:
+    """(by, first, last, bands): the longest run of consecutive confirmed boundaries (the first of equals; two at least), and once more what lies before and after it."""
+    w = Window.partitionBy(*by).orderBy(order)
+    rows = df.withColumn("_n", F.row_number().over(w)).withColumn("_part", F.lit(""))
+    found = None
+    for level in range(depth + 1):
+        rows = rows.where(confirmed) if level == 0 else rows
+        part = Window.partitionBy(*by, "_part").orderBy("_n")
+        islands = rows.withColumn("_g", F.col("_n") - F.row_number().over(part)).groupBy(*by, "_part", "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.count("*").alias("_len"))
+        best = islands.where("_len > 1").groupBy(*by, "_part").agg(F.max_by(F.struct("first", "last", "_lo", "_hi", "_len"), F.struct("_len", -F.col("_lo"))).alias("_b")).select(*by, "_part", "_b.*")
+        one = best.select(*by, "first", "last", (F.col("_len") - 1).alias("bands"))
+        found = one if found is None else found.union(one)
+        if level < depth:
+            side = F.when(F.col("_n") < F.col("_lo"), "l").when(F.col("_n") > F.col("_hi"), "r")
+            rows = rows.join(best.select(*by, "_part", "_lo", "_hi"), [*by, "_part"]).withColumn("_side", side).where("_side is not null").withColumn("_part", F.concat("_part", "_side")).drop("_lo", "_hi", "_side")
+    return found
+
+
+def peak_and_decoys(df: DataFrame, by: list[str], at: str, score: str, apart: int, decoys: int = 3) -> DataFrame:
+    """Per key: place and height of the highest score (the first of equals), and the heights of the best ones further away than `apart`."""
+    top = df.groupBy(*by).agg(F.max_by(F.struct(F.col(at).alias("peak_at"), F.col(score).alias("peak")), F.struct(score, -F.col(at))).alias("_p")).select(*by, "_p.*")
+    far = df.join(top, by).where(F.abs(F.col(at) - F.col("peak_at")) > apart)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), at))
+    rest = far.withColumn("_k", rank).where(F.col("_k") <= decoys).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", score))), lambda x: x[score]).alias("decoys"))
+    return top.join(rest, by, "left").withColumn("decoys", F.coalesce("decoys", F.array().cast("array<double>"))).withColumn("margin", F.col("peak") - F.get("decoys", F.lit(0)))
+
+
+def free_windows(bands: DataFrame, by: list[str], lo: str, hi: str, top, bottom, least: float) -> DataFrame:
+    """What bands leave free between top and bottom, at least so high: (by, start, stop). Bands may overlap."""
+    w = Window.partitionBy(*by).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    inner = bands.select(*by, F.greatest(F.coalesce(F.max(hi).over(w), F.lit(top)), F.lit(top)).alias("start"), F.col(lo).alias("stop"))
+    tail = bands.groupBy(*by).agg(F.greatest(F.max(hi), F.lit(top)).alias("start")).withColumn("stop", F.lit(bottom))
+    return inner.unionByName(tail.select(*by, "start", F.col("stop").cast(inner.schema["stop"].dataType).alias("stop"))).where((F.col("stop") > F.col("start")) & (F.col("stop") - F.col("start") >= least))
+
+
+def renumbered(frames: DataFrame, by: list[str], groups: str, order: str) -> DataFrame:
+    """Frames of several groups one behind the other, seq counting from 0 through all of them."""
+    return frames.withColumn("seq", F.row_number().over(Window.partitionBy(*by).orderBy(groups, order)) - 1)
 
 
 def content_offset(df: DataFrame, by: list[str], order: list[str], offset: str) -> DataFrame:
@@ -88,13 +178,16 @@ def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, what: str,
     return union.withColumn(what, F.coalesce(F.last(what, ignorenulls=True).over(w), F.lit(default))).where("_row = 1").drop("_row")
 
 
-def complete_scroll(df: DataFrame, by: list[str], order: list[str], offset: str, still: int = 3, most: int = 40) -> DataFrame:
-    """Per capture: complete once `still` offsets in a row are 0, within `most` frames."""
+def complete_scroll(df: DataFrame, by: list[str], order: list[str], offset: str, still: int = 3, most: int = 40, reach: float | None = None) -> DataFrame:
+    """Per capture: complete once `still` offsets in a row are 0, within `most` frames; overshot if an offset before that exceeds what can be measured."""
     w = Window.partitionBy(*by).orderBy(*order)
     last = F.sum(F.when(F.col(offset) == 0, 1).otherwise(0)).over(w.rowsBetween(1 - still, 0))
     marked = df.withColumn("_n", F.row_number().over(w)).withColumn("_s", last)
     done = F.min(F.when((F.col("_s") == still), F.col("_n")))
-    return marked.groupBy(*by).agg(done.alias("done_at"), F.count("*").alias("frames")).withColumn("status", F.when(F.col("done_at") <= most, "complete").otherwise("incomplete"))
+    far = F.min(F.when(F.col(offset) > reach, F.col("_n"))) if reach is not None else F.lit(None).cast("int")
+    out = marked.groupBy(*by).agg(done.alias("done_at"), far.alias("_far"), F.count("*").alias("frames"))
+    over = F.col("_far").isNotNull() & (F.col("_far") <= most) & (F.col("done_at").isNull() | (F.col("_far") < F.col("done_at")))
+    return out.withColumn("status", F.when(over, "overshot").when(F.col("done_at") <= most, "complete").otherwise("incomplete")).drop("_far")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

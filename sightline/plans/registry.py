@@ -6,26 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
-from sightline.operators import evaluate, facts, metrics, planner, resolve, sequences
+from sightline.operators import evaluate, facts, graphs, metrics, planner, resolve, sequences
+from sightline.plans import evaluation, fields, frames, ordered, planning, scores, store  # noqa: F401  each adds its queries
+from sightline.plans.base import QUERIES, SQL, query  # noqa: F401
 from sightline.sources import blobs, recognised
 from sightline.sources.tables import FACTS_SQL, RUNS_SQL, table
 from sightline.sources.tables import facts as fact_rows
 from sightline.sources.tables import runs as run_rows
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 UPSERT_SQL = f"""{FACTS_SQL}, up AS (SELECT member_id, metric, period_key, source, observed_at, value, confidence, min(arrival) OVER k AS fact_id, count(*) OVER k AS reads
 FROM facts WINDOW k AS (PARTITION BY member_id, metric, period_key, source, observed_at)
 QUALIFY row_number() OVER (PARTITION BY member_id, metric, period_key, source, observed_at ORDER BY confidence DESC, arrival) = 1)"""
@@ -54,9 +42,15 @@ def live_leaderboard(spark, d):
     return facts.leaderboard(totals, ["metric"], "total")
 
 
-@query(f"WITH {LIVE} SELECT metric, period_key, count(*) AS n, min(value) AS lo, max(value) AS hi FROM live WHERE metric = 'R' AND period_key >= '2000' GROUP BY ALL")
+@query(f"WITH {LIVE} SELECT metric, period_key, count(*) AS n, min(value) AS lo, max(value) AS hi FROM live GROUP BY ALL")
 def p_live_by_period(spark, d):
-    return _live(spark, d).where("metric = 'R' AND period_key >= '2000'").groupBy("metric", "period_key").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return _live(spark, d).groupBy("metric", "period_key").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+@query(f"""WITH {LIVE} SELECT member_id, value, fact_id FROM live WHERE metric = 'R' AND period_key = '1997-W20' ORDER BY value DESC, fact_id""")
+def p_live_of_period(spark, d):
+    """P-LIVE and O-VAL: the live facts of one metric and period, largest first."""
+    return _live(spark, d).where("metric = 'R' and period_key = '1997-W20'").select("member_id", "value", "fact_id").orderBy(F.desc("value"), "fact_id")
 
 
 @query("""SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS alias, min(o_orderkey) AS first_seen FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 3 <> 0 GROUP BY ALL""")
@@ -67,11 +61,12 @@ def o_als_alias_insert(spark, d):
     return facts.insert_absent(have, new, ["c_custkey", "alias"], ["first_seen"])
 
 
-@query("""SELECT coalesce(o.k, n.k) AS k, coalesce(n.price, o.price) AS price, coalesce(o.brand, n.brand) AS brand FROM (SELECT p_partkey AS k, p_retailprice AS price, p_brand AS brand FROM part WHERE p_partkey % 2 = 0) o FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice + 1 END AS price, 'new' AS brand FROM part WHERE p_partkey % 3 = 0) n ON o.k = n.k""")
+@query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS price, c_mktsegment AS brand FROM customer), n AS (SELECT o_custkey + CASE WHEN o_custkey % 3 = 0 THEN 10000000 ELSE 0 END AS k, CASE WHEN o_custkey % 5 <> 0 THEN max(o_totalprice) END AS price, 'new' AS brand FROM orders GROUP BY o_custkey) SELECT coalesce(o.k, n.k) AS k, coalesce(n.price, o.price) AS price, coalesce(o.brand, n.brand) AS brand FROM o FULL JOIN n ON o.k = n.k""")
 def o_adv_coalesce_upsert(spark, d):
-    p = table(spark, d, "part")
-    old = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("brand"))
-    new = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice") + 1).alias("price"), F.lit("new").alias("brand"))
+    """All customers refreshed by all orders: a third of the changes are of new keys, a fifth bring no value."""
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("price"), F.col("c_mktsegment").alias("brand"))
+    new = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("price"))
+    new = new.select((F.col("o_custkey") + F.when(F.col("o_custkey") % 3 == 0, 10_000_000).otherwise(0)).alias("k"), F.when(F.col("o_custkey") % 5 != 0, F.col("price")).alias("price"), F.lit("new").alias("brand"))
     return facts.refresh(old, new, ["k"], ["price"], ["brand"])
 
 
@@ -90,7 +85,7 @@ def o_res_settle_reviews(spark, d):
 @query("""SELECT p_partkey, CAST(round((p_retailprice / 10) * 10) / 10 AS DOUBLE) AS shown, CAST(round(CAST(printf('%.1f', round(p_retailprice) / 10) AS DOUBLE) * 1000) AS BIGINT) AS power, p_size AS level, CASE p_size % 4 WHEN 0 THEN 0.0 WHEN 1 THEN p_size / 60.0 WHEN 2 THEN CAST(p_size AS DOUBLE) ELSE p_size * 24.0 END AS hours, CAST(floor(p_retailprice * 100) AS BIGINT) AS points, p_size + 1 AS total, p_name AS group_name FROM part""")
 def f_parse_round_trip(spark, d):
     """Fields rendered as a game would show them, and read back."""
-    p = table(spark, d, "part").where("p_partkey >= 0")
+    p = table(spark, d, "part")
     power = F.concat(F.lit("Power: "), F.format_string("%.1f", F.round(F.col("p_retailprice")) / 10), F.lit("K"))
     seen = F.when(F.col("p_size") % 4 == 0, "Online").when(F.col("p_size") % 4 == 1, F.format_string("%dm ago", "p_size")).when(F.col("p_size") % 4 == 2, F.format_string("%dh ago", "p_size")).otherwise(F.format_string("%dd", "p_size"))
     grouped = F.format_string("%,d", F.floor(F.col("p_retailprice") * 100))
@@ -98,10 +93,10 @@ def f_parse_round_trip(spark, d):
     return p.select("p_partkey", (F.round(F.col("p_retailprice") / 10 * 10) / 10).alias("shown"), parse.power(power).alias("power"), parse.level(F.format_string("Lv. %d", "p_size")).alias("level"), parse.last_active_hours(seen).alias("hours"), parse.points(grouped).alias("points"), header["total"].alias("total"), header["name"].alias("group_name"))
 
 
-REJECTS = ["12", "1234", "1,234", "12,34", "1,234,567", " 9 ", "12.3M", "power: 1.0b", "12.34M", "1.0T", "Lv.30", "lv 7", "lv", "Online now", "3h ago", "4d", "x ago", "Raiders 3/25", "A 1/2 3/4", "B 5/4", "Members: 71 / 100", "1O5", "12\n", ""]
+REJECTS = ["12", "1234", "1,234", "12,34", "1,234,567", " 9 ", "12.3M", "power: 1.0b", "12.34M", "1.0T", "Lv.30", "lv 7", "lv", "Online now", "3h ago", "4d", "x ago", "Raiders 3/25", "A 1/2 3/4", "B 5/4", "Members: 71 / 100", "Members: 71/100", "Lv LV30", "Lv lv30", "LV. 8", "1O5", "12\n", ""]
 
 
-@query("""SELECT * FROM (VALUES ('12', NULL, 12, NULL, NULL), ('1234', NULL, NULL, NULL, NULL), ('1,234', NULL, 1234, NULL, NULL), ('12,34', NULL, NULL, NULL, NULL), ('1,234,567', NULL, 1234567, NULL, NULL), (' 9 ', NULL, 9, NULL, NULL), ('12.3M', 12300000, NULL, NULL, NULL), ('power: 1.0b', 1000000000, NULL, NULL, NULL), ('12.34M', NULL, NULL, NULL, NULL), ('1.0T', NULL, NULL, NULL, NULL), ('Lv.30', NULL, NULL, 30, NULL), ('lv 7', NULL, NULL, 7, NULL), ('lv', NULL, NULL, NULL, NULL), ('Online now', NULL, NULL, NULL, NULL), ('3h ago', NULL, NULL, NULL, NULL), ('4d', NULL, NULL, NULL, NULL), ('x ago', NULL, NULL, NULL, NULL), ('Raiders 3/25', NULL, NULL, NULL, 25), ('A 1/2 3/4', NULL, NULL, NULL, NULL), ('B 5/4', NULL, NULL, NULL, NULL), ('Members: 71 / 100', NULL, NULL, NULL, 100), ('1O5', NULL, NULL, NULL, NULL), ('12' || chr(10), NULL, 12, NULL, NULL), ('', NULL, NULL, NULL, NULL)) t(raw, power, points, level, total)""")
+@query("""SELECT * FROM (VALUES ('12', NULL, 12, NULL, NULL), ('1234', NULL, NULL, NULL, NULL), ('1,234', NULL, 1234, NULL, NULL), ('12,34', NULL, NULL, NULL, NULL), ('1,234,567', NULL, 1234567, NULL, NULL), (' 9 ', NULL, 9, NULL, NULL), ('12.3M', 12300000, NULL, NULL, NULL), ('power: 1.0b', 1000000000, NULL, NULL, NULL), ('12.34M', NULL, NULL, NULL, NULL), ('1.0T', NULL, NULL, NULL, NULL), ('Lv.30', NULL, NULL, 30, NULL), ('lv 7', NULL, NULL, 7, NULL), ('lv', NULL, NULL, NULL, NULL), ('Online now', NULL, NULL, NULL, NULL), ('3h ago', NULL, NULL, NULL, NULL), ('4d', NULL, NULL, NULL, NULL), ('x ago', NULL, NULL, NULL, NULL), ('Raiders 3/25', NULL, NULL, NULL, 25), ('A 1/2 3/4', NULL, NULL, NULL, NULL), ('B 5/4', NULL, NULL, NULL, NULL), ('Members: 71 / 100', NULL, NULL, NULL, NULL), ('Members: 71/100', NULL, NULL, NULL, 100), ('Lv LV30', NULL, NULL, NULL, NULL), ('Lv lv30', NULL, NULL, 30, NULL), ('LV. 8', NULL, NULL, 8, NULL), ('1O5', NULL, NULL, NULL, NULL), ('12' || chr(10), NULL, 12, NULL, NULL), ('', NULL, NULL, NULL, NULL)) t(raw, power, points, level, total)""")
 def f_parse_rejects(spark, d):
     df = spark.createDataFrame([(x,) for x in REJECTS], "raw string")
     return df.select("raw", parse.power("raw").alias("power"), parse.points("raw").alias("points"), parse.level("raw").alias("level"), parse.group_header("raw")["total"].alias("total"))
@@ -112,13 +107,13 @@ def f_per_period_keys(spark, d):
     return table(spark, d, "orders").select("o_orderkey", parse.period_key("o_orderdate").alias("week"), parse.period_key("o_orderdate", weekly=False).alias("day"), (F.dayofweek("o_orderdate") - 1).alias("weekday"))
 
 
-@query("""WITH t AS (SELECT p_partkey, CAST(floor(p_retailprice * 1000) AS BIGINT) AS v FROM part) SELECT p_partkey, CASE WHEN v // 10 % 10 BETWEEN 0 AND 9 THEN v END AS repaired FROM t""")
+@query("""WITH t AS (SELECT p_partkey, CAST(floor(p_retailprice * 1000) AS BIGINT) AS v, p_size AS w FROM part), c AS (SELECT p_partkey, list_filter(list_transform(range(10), lambda x: v - v // 10 % 10 * 10 + x * 10), lambda y: y BETWEEN v - w AND v + w) AS fits FROM t) SELECT p_partkey, CASE WHEN len(fits) = 1 THEN fits[1] END AS repaired FROM c""")
 def f_rep_repaired_points(spark, d):
-    """The tens digit of each number is damaged; bounds one short of the next ten each way leave one reading."""
-    t = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_retailprice") * 1000).alias("v"))
+    """The tens digit of each number is damaged; bounds of 1 to 50 each way leave one reading, or several, which are refused."""
+    t = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_retailprice") * 1000).alias("v"), "p_size")
     shown = F.format_string("%,d", "v")
     broken = F.concat(F.expr("substring(s, 1, length(s) - 2)"), F.lit("?"), F.expr("substring(s, -1, 1)"))
-    return t.withColumn("s", shown).select("p_partkey", parse.repaired_points(broken, F.col("v") - 9, F.col("v") + 9).alias("repaired"))
+    return t.withColumn("s", shown).select("p_partkey", parse.repaired_points(broken, F.col("v") - F.col("p_size"), F.col("v") + F.col("p_size")).alias("repaired"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber - 3 <= 0 THEN 0 ELSE 3600 * (CAST(pow(2, least(l_linenumber - 3, 5)) AS BIGINT) - 1) END AS BIGINT) AS backoff, CASE WHEN l_discount = 0 THEN l_tax = 0 ELSE abs(l_tax - l_discount) / l_discount <= 0.5 END AS near FROM lineitem""")
@@ -159,9 +154,15 @@ def s_tsv_recognised_words(spark, d):
     return recognised.words(li.select(F.col("l_orderkey").alias("read"), F.struct("l_linenumber", "l_suppkey").alias("n"), line.alias("line")), "read", "n")
 
 
-@query("""SELECT DISTINCT p_type AS raw, regexp_full_match(lower(p_type), '_?[a-z0-9][a-z0-9_]*') AS label, false AS hash FROM part""")
+NAMES_SQL = "CASE doc_id % 5 WHEN 0 THEN sha256(text) WHEN 1 THEN upper(sha256(text)) WHEN 2 THEN sha256(text) || chr(10) WHEN 3 THEN '_' || lang ELSE lang || '-' || source END"
+
+
+@query(f"""SELECT doc_id, regexp_full_match({NAMES_SQL}, '_?[a-z0-9][a-z0-9_]*') AS label, regexp_full_match({NAMES_SQL}, '[0-9a-f]{{64}}') AS hash FROM documents""")
 def s_lab_labels(spark, d):
-    return table(spark, d, "part").select(F.col("p_type").alias("raw"), blobs.is_label(F.lower("p_type")).alias("label"), blobs.is_hash(F.lower("p_type")).alias("hash")).distinct()
+    """Digests, digests in capitals or with a line feed, labels and what is neither."""
+    sha, kind = F.sha2("text", 256), F.col("doc_id") % 5
+    name = F.when(kind == 0, sha).when(kind == 1, F.upper(sha)).when(kind == 2, F.concat(sha, F.lit("\n"))).when(kind == 3, F.concat(F.lit("_"), "lang")).otherwise(F.concat_ws("-", "lang", "source"))
+    return table(spark, d, "documents").select("doc_id", blobs.is_label(name).alias("label"), blobs.is_hash(name).alias("hash"))
 
 
 @query("""SELECT text, count(DISTINCT source) AS labels FROM documents GROUP BY text HAVING count(DISTINCT source) > 1""")
@@ -193,16 +194,17 @@ def j_ownr_as_of(spark, d):
     return sequences.as_of(ev.where("event_type = 'view'"), marks, ["user_id"], "at", "mark", "none").select("event_id", "mark")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def j_anti_without_row(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_size < b.p_size + 5 AND b.p_size < a.p_size + 5""")
 def j_ovl_overlaps(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("a.p_size") < F.col("b.p_size") + 5) & (F.col("b.p_size") < F.col("a.p_size") + 5)
+    """Intervals of five around a size, in one dimension: rows meet those of their own and the next bucket of five, so far ones are never paired."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", F.floor(F.col("p_size") / 5).alias("bucket"))
+    a, b = p.alias("a"), p.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1))).alias("b")
+    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.abs(F.col("a.p_size") - F.col("b.p_size")) < 5)
     return a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
@@ -241,12 +243,14 @@ def a_cf_run_state(spark, d):
     return planner.run_state(run_rows(spark, d))
 
 
-@query(f"""WITH {RUNS_SQL} SELECT task, count(*) FILTER (status = 'succeeded') AS ok, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'paused') AS paused, count(*) AS total, round(100.0 * count(*) FILTER (status = 'succeeded') / count(*), 1) AS pct FROM runs WHERE started_at > (SELECT max(started_at) FROM runs) - 86400000000 * 7 GROUP BY 1""")
+@query(f"""WITH {RUNS_SQL} SELECT task, count(*) FILTER (status = 'succeeded') AS ok, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'paused') AS paused, count(*) FILTER (status = 'running') AS stuck, count(*) AS total, round(100.0 * count(*) FILTER (status = 'succeeded') / count(*), 1) AS pct FROM runs WHERE started_at > (SELECT max(started_at) FROM runs) - 86400000000 GROUP BY 1""")
 def a_gate_recent_runs(spark, d):
+    """The last 24 hours before the newest run; what is still running counts as stuck."""
     r = run_rows(spark, d)
     end = r.agg(F.max("started_at").alias("end"))
-    ok = F.count_if(F.col("status") == "succeeded")
-    return r.join(F.broadcast(end), F.col("started_at") > F.col("end") - F.lit(86_400_000_000 * 7)).groupBy("task").agg(ok.alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "paused").alias("paused"), F.count("*").alias("total"), F.round(100.0 * ok / F.count("*"), 1).alias("pct"))
+    of = lambda status: F.count_if(F.col("status") == status)
+    counts = [of(s).alias(c) for s, c in (("succeeded", "ok"), ("failed", "failed"), ("paused", "paused"), ("running", "stuck"))]
+    return r.join(F.broadcast(end), F.col("started_at") > F.col("end") - F.lit(86_400_000_000)).groupBy("task").agg(*counts, F.count("*").alias("total"), F.round(100.0 * of("succeeded") / F.count("*"), 1).alias("pct"))
 
 
 @query("""SELECT CAST(quality AS VARCHAR) AS label, CASE WHEN toxic = 1 THEN '<none>' ELSE CAST(quality AS VARCHAR) END AS predicted, count(*) AS n FROM labels GROUP BY ALL""")
@@ -261,10 +265,14 @@ def a_acc_accuracy(spark, d):
     return evaluate.accuracy(df, "q", "p")
 
 
-@query("""WITH a AS (SELECT p_brand AS anchor, count(*) FILTER (p_type = 'ECONOMY') AS in_count, count(*) FILTER (p_type <> 'ECONOMY') AS out_count, coalesce(least(1.0, min(p_size / 50.0) FILTER (p_type = 'ECONOMY')), 0.0) AS worst_in, greatest(0.0, coalesce(max(p_size / 50.0) FILTER (p_type <> 'ECONOMY'), 0.0)) AS best_out FROM part GROUP BY 1) SELECT anchor, in_count, out_count, CAST(worst_in AS DOUBLE) AS worst_in, CAST(best_out AS DOUBLE) AS best_out, round(CASE WHEN in_count > 0 THEN worst_in - best_out ELSE 0 END, 6) AS gap, round(CASE WHEN in_count > 0 THEN (worst_in + best_out) / 2 ELSE 0 END, 6) AS suggested, in_count = 0 OR worst_in <= best_out AS overlap FROM a""")
+@query("""WITH s AS (SELECT p_brand AS anchor, CASE WHEN p_size % 2 = 0 THEN 'ECONOMY' ELSE 'SMALL' END AS screen, p_type, CASE WHEN p_size % 2 = 0 AND p_type = 'ECONOMY' AND p_brand LIKE '%1' THEN 0.98 ELSE p_size / 60.0 END AS score FROM part), a AS (SELECT anchor, screen, count(*) FILTER (p_type = screen) AS in_count, count(*) FILTER (p_type <> screen) AS out_count, coalesce(least(1.0, min(score) FILTER (p_type = screen)), 0.0) AS worst_in, greatest(0.0, coalesce(max(score) FILTER (p_type <> screen), 0.0)) AS best_out FROM s GROUP BY ALL) SELECT anchor, screen, in_count, out_count, round(CAST(worst_in AS DOUBLE), 6) AS worst_in, round(CAST(best_out AS DOUBLE), 6) AS best_out, round(CASE WHEN in_count > 0 THEN worst_in - best_out ELSE 0 END, 6) AS gap, round(CASE WHEN in_count > 0 AND worst_in > best_out THEN (worst_in + best_out) / 2 ELSE 0 END, 6) AS suggested, in_count = 0 OR worst_in <= best_out AS overlap FROM a""")
 def a_sep_separation(spark, d):
-    p = table(spark, d, "part").select(F.col("p_brand").alias("anchor"), "p_type", (F.col("p_size") / 50.0).alias("score"))
-    return evaluate.separation(p, "anchor", F.col("p_type") == "ECONOMY", "score").withColumn("gap", F.round("gap", 6)).withColumn("suggested", F.round("suggested", 6))
+    """Anchors are brands, screens two types; a few brands are told apart, so that both kinds of gap occur."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("anchor"), F.when(F.col("p_size") % 2 == 0, "ECONOMY").otherwise("SMALL").alias("screen"), "p_type", "p_size")
+    clear = (F.col("screen") == "ECONOMY") & (F.col("p_type") == "ECONOMY") & F.col("anchor").endswith("1")
+    scored = p.withColumn("score", F.when(clear, 0.98).otherwise(F.col("p_size") / 60.0))
+    got = evaluate.separation(scored, ["anchor", "screen"], F.col("p_type") == F.col("screen"), "score")
+    return got.select("anchor", "screen", "in_count", "out_count", *(F.round(c, 6).alias(c) for c in ("worst_in", "best_out", "gap", "suggested")), "overlap")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS frame, l_returnflag AS screen, min(l_quantity) AS confidence FROM lineitem GROUP BY ALL HAVING bool_and(l_quantity >= l_linenumber * 2)) SELECT frame, arg_min(screen, (-confidence, screen)) AS screen, max(confidence) AS confidence FROM s GROUP BY 1""")
@@ -273,7 +281,7 @@ def a_arg_recognised_screen(spark, d):
     return evaluate.recognised(li, "frame", "screen", "score", "thr")
 
 
-@query("""SELECT l_orderkey, l_linestatus AS text, l_discount AS confidence, l_linenumber * 1000000 + l_suppkey AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber * 1000000 + l_suppkey) AS rn FROM lineitem) WHERE rn = 1""")
+@query("""SELECT l_orderkey, l_linestatus AS text, l_discount AS confidence, l_linenumber * 1000000 + l_suppkey AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber * 1000000 + l_suppkey, l_linestatus) AS rn FROM lineitem) WHERE rn = 1""")
 def a_best_read(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linestatus").alias("text"), F.col("l_discount").alias("confidence"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("n"))
     return evaluate.best_read(li, ["l_orderkey"], "text", "confidence", "n")
@@ -285,16 +293,24 @@ def w_bnd_neighbour_bounds(spark, d):
     return sequences.neighbour_bounds(t, ["g"], ["n"], "v", "known").select("g", "n", "hi", "lo")
 
 
-@query()
+LNIS_SQL = """WITH RECURSIVE t AS (SELECT o_custkey AS g, o_orderkey AS n, CAST(floor(o_totalprice) AS BIGINT) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+f AS (SELECT g, k, [v] AS vs, [1] AS ls, [0] AS bs FROM t WHERE k = 1 UNION ALL
+SELECT t.g, t.k, vs || [t.v], ls || [1 + coalesce(list_max(list_transform(list_filter(range(1, t.k), lambda i: vs[i] >= t.v), lambda i: ls[i])), 0)], bs || [coalesce(list_filter(range(1, t.k), lambda i: vs[i] >= t.v AND ls[i] = list_max(list_transform(list_filter(range(1, t.k), lambda j: vs[j] >= t.v), lambda j: ls[j])))[1], 0)] FROM f JOIN t ON t.g = f.g AND t.k = f.k + 1),
+last AS (SELECT g, ls, bs FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1),
+path AS (SELECT g, bs, list_position(ls, list_max(ls)) AS pos FROM last UNION ALL SELECT g, bs, bs[pos] FROM path WHERE bs[pos] > 0)
+SELECT t.g, n, v, p.g IS NOT NULL AS keep FROM t LEFT JOIN path p ON t.g = p.g AND t.k = p.pos"""
+
+
+@query(LNIS_SQL)
 def w_lnis_consistent_seeds(spark, d):
     t = table(spark, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("n"), F.floor("o_totalprice").alias("v"))
     return sequences.consistent(t, ["g"], ["n"], "v")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, l_quantity AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity) AS k FROM lineitem), f AS (SELECT o, k, y AS last, true AS accepted FROM t WHERE k = 1 UNION ALL SELECT t.o, t.k, CASE WHEN t.y > f.last + 8 THEN t.y ELSE f.last END, t.y > f.last + 8 FROM f JOIN t ON t.o = f.o AND t.k = f.k + 1) SELECT t.o AS l_orderkey, n AS l_linenumber, s AS l_suppkey, y AS l_quantity, accepted FROM t JOIN f ON t.o = f.o AND t.k = f.k""")
 def w_ded_spaced_rows(spark, d):
     """Rows of an order kept when they lie more than 8 beyond the last one kept."""
-    return sequences.spaced(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), ["l_orderkey"], ["l_linenumber", "l_suppkey"], "l_quantity", 8)
+    return sequences.spaced(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), ["l_orderkey"], ["l_linenumber", "l_suppkey", "l_quantity"], "l_quantity", 8)
 
 
 OFFSETS = "SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS off, event_type <> 'error' AS present, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events"
@@ -312,10 +328,10 @@ def w_run_islands(spark, d):
     return sequences.runs(t, ["user_id"], "event_id", "f")
 
 
-@query("""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type IN ('error', 'view', 'click') AS still FROM events), m AS (SELECT *, sum(CASE WHEN still THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM t) SELECT user_id, min(n) FILTER (s = 3) AS done_at, count(*) AS frames, CASE WHEN min(n) FILTER (s = 3) <= 40 THEN 'complete' ELSE 'incomplete' END AS status FROM m GROUP BY 1""")
+@query("""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_type IN ('error', 'view', 'click') THEN 0 ELSE CAST(floor(value) AS BIGINT) + 1 END AS off FROM events), m AS (SELECT *, sum(CASE WHEN off = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM t), a AS (SELECT user_id, min(n) FILTER (s = 3) AS done_at, min(n) FILTER (off > 140) AS far, count(*) AS frames FROM m GROUP BY 1) SELECT user_id, done_at, frames, CASE WHEN far <= 40 AND (done_at IS NULL OR far < done_at) THEN 'overshot' WHEN done_at <= 40 THEN 'complete' ELSE 'incomplete' END AS status FROM a""")
 def w_scr_scroll_status(spark, d):
-    t = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("error", "view", "click"), 0).otherwise(1).alias("off"))
-    return sequences.complete_scroll(t, ["user_id"], ["event_id"], "off")
+    t = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("error", "view", "click"), 0).otherwise(F.floor("value") + 1).alias("off"))
+    return sequences.complete_scroll(t, ["user_id"], ["event_id"], "off", reach=140)
 
 
 @query("""WITH r AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT o_custkey, max(v) FILTER (k = 1) AS best, max(v) FILTER (k = 2) AS second, coalesce(max(v) FILTER (k = 1) - max(v) FILTER (k = 2) >= 50000, true) AS clear FROM r WHERE k <= 2 GROUP BY 1""")
@@ -342,17 +358,21 @@ def o_topn_texts(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_name").alias("text")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "text").limit(10)
 
 
-@query("""SELECT CAST(least(7, floor(value / 25)) AS BIGINT) AS bin, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1""")
+EDGES = [0, 5, 10, 15, 20, 30, 50, 100]
+
+
+@query("""WITH b AS (SELECT value AS v, len(list_filter([0, 5, 10, 15, 20, 30, 50, 100], lambda e: value >= e)) AS k FROM events) SELECT k AS bin, CASE k WHEN 0 THEN '< 0' WHEN 8 THEN '>= 100' ELSE [0, 5, 10, 15, 20, 30, 50, 100][k] || ' - ' || [0, 5, 10, 15, 20, 30, 50, 100][k + 1] END AS label, count(*) AS n, min(v) AS lo, round(avg(v), 6) AS mean, max(v) AS hi FROM b GROUP BY 1, 2""")
 def a_hgd_histogram(spark, d):
-    return table(spark, d, "events").groupBy(F.least(F.lit(7), F.floor(F.col("value") / 25)).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return evaluate.histogram(table(spark, d, "events"), "value", EDGES)
 
 
-@query("""WITH n AS (SELECT o_custkey AS capture_id, o_orderstatus AS g, count(*) AS parsed, CASE WHEN max(o_orderpriority) = '1-URGENT' THEN NULL ELSE count(*) + (CASE WHEN min(o_custkey) % 4 = 0 THEN 1 ELSE 0 END) END AS expected FROM orders GROUP BY o_custkey, o_orderstatus), p AS (SELECT capture_id, bool_and(expected IS NOT NULL AND parsed = expected) AS ok, CAST(sum(parsed) AS BIGINT) AS parsed FROM n GROUP BY 1) SELECT c_custkey AS capture_id, coalesce(parsed, 0) AS parsed, CASE WHEN coalesce(ok, false) THEN 'complete' ELSE 'partial' END AS status FROM customer LEFT JOIN p ON capture_id = c_custkey""")
+@query("""WITH n AS (SELECT o_custkey AS capture_id, o_orderstatus AS g, count(*) AS parsed, CASE WHEN max(o_orderpriority) = '1-URGENT' THEN NULL ELSE count(*) + (CASE WHEN min(o_custkey) % 4 = 0 THEN 1 ELSE 0 END) END AS expected FROM orders GROUP BY o_custkey, o_orderstatus), p AS (SELECT capture_id, bool_and(expected IS NOT NULL AND parsed = expected) AS ok, CAST(sum(parsed) AS BIGINT) AS parsed FROM n GROUP BY 1) SELECT c_custkey AS capture_id, coalesce(parsed, 0) AS parsed, CASE WHEN coalesce(ok, false) AND (c_custkey % 2 = 0 OR parsed = 10 + c_custkey % 5) THEN 'complete' ELSE 'partial' END AS status FROM customer LEFT JOIN p ON capture_id = c_custkey""")
 def er_rec_reconcile(spark, d):
     o = table(spark, d, "orders")
     n = o.groupBy(F.col("o_custkey").alias("capture_id"), "o_orderstatus").agg(F.count("*").alias("parsed"), F.max("o_orderpriority").alias("p"))
     groups = n.withColumn("expected", F.when(F.col("p") != "1-URGENT", F.col("parsed") + F.when(F.col("capture_id") % 4 == 0, 1).otherwise(0)))
-    totals = table(spark, d, "customer").select(F.col("c_custkey").alias("capture_id"), F.lit(None).cast("long").alias("stated"))
+    stated = F.when(F.col("c_custkey") % 2 == 1, 10 + F.col("c_custkey") % 5)  # every other capture states its count
+    totals = table(spark, d, "customer").select(F.col("c_custkey").alias("capture_id"), stated.alias("stated"))
     return resolve.reconcile(groups, totals)
 
 
@@ -364,12 +384,26 @@ def er_zero_inferred(spark, d):
     return resolve.inferred_zeros(members, assigned, captures)
 
 
-@query("""WITH RECURSIVE e(a, b) AS (SELECT n_nationkey, (n_nationkey * 2 + 1) % 25 FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation), walk(node, hops) AS (SELECT 0, 0 UNION SELECT e.b, hops + 1 FROM walk JOIN e ON e.a = node WHERE hops < 12) SELECT node, min(hops) AS hops FROM walk GROUP BY 1""")
+EDGES_SQL = "e AS (SELECT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b, n_nationkey AS n FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25, 100 + n_nationkey FROM nation)"
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT 0 AS node, 0 AS hops, [0] AS path, CAST([] AS INTEGER[]) AS via UNION ALL SELECT e.b, hops + 1, path || [e.b], via || [e.n] FROM walk JOIN e ON e.a = node WHERE hops < 8 AND NOT list_contains(path, e.b)), best AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, via) AS k FROM walk) SELECT node, hops, array_to_string(path, '>') AS path FROM best WHERE k = 1""")
 def g_bfs_hops(spark, d):
-    """Hops from node 0 over an edge list, by a recursive query bounded in depth."""
-    n = table(spark, d, "nation")
-    edges = n.select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("b")).union(n.select("n_nationkey", (F.col("n_nationkey") + 7) % 25))
-    return spark.sql("WITH RECURSIVE walk(node, hops) AS (SELECT 0, 0 UNION ALL SELECT e.b, hops + 1 FROM walk JOIN {edges} e ON e.a = node WHERE hops < 12) SELECT node, min(hops) AS hops FROM walk GROUP BY node", edges=edges)
+    """Shortest paths from node 0; of equal ones that of the earlier edges."""
+    return graphs.shortest_paths(_edges(spark, d), 0).select("node", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH {EDGES_SQL} SELECT n, CASE WHEN b > 20 THEN 'to' END AS fault FROM e WHERE b > 20 UNION ALL SELECT n, 'from' FROM e WHERE a > 20 UNION ALL SELECT n, 'anchor' FROM e WHERE n % 9 = 0""")
+def g_val_bad_edges(spark, d):
+    """Edges whose screens or tap anchors aren't there: screens 0 to 20, anchors of other than every ninth edge."""
+    edges = _edges(spark, d).withColumn("anchor", F.col("n"))
+    nodes = table(spark, d, "nation").where("n_nationkey <= 20").select(F.col("n_nationkey").alias("node"))
+    return graphs.bad_edges(edges, nodes, edges.where("n % 9 <> 0").select("anchor")).select("n", "fault")
+
+
+def _edges(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"))
+    return n.select("a", ((F.col("a") * 2 + 1) % 25).alias("b"), F.col("a").alias("n")).union(n.select("a", (F.col("a") + 7) % 25, F.col("a") + 100))
 
 
 # metrics

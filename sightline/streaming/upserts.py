@@ -1,4 +1,4 @@
-"""Facts from streams: windowed counts with late rows, and the confidence-guarded upsert batch by batch."""
+"""Facts from streams: windowed counts with late rows, best readings kept as state, and the confidence-guarded upsert batch by batch."""
 
 from __future__ import annotations
 
@@ -14,35 +14,77 @@ def windowed_counts(events: DataFrame, ts: str, by: str, width: str, late: str)
     return timed.groupBy(F.window("_t", width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
 
 
-def upsert_into(spark: SparkSession, path: str):
-    """foreachBatch function: merges a batch of facts into a table of versions under path.
+def replayed(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
+    """Captured frames as a stream, some files a trigger, the oldest first: what a device would have shown, again."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("latestFirst", "false").parquet(path)
 
-    Each batch writes version `batch_id` from the one before, so a batch that is run again after a
-    failure writes the same version anew; `current` reads the highest. Rows carry their arrival, so ties go to the earliest.
+
+def best_readings(facts: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """The upsert as a running aggregation: of one key, the reading that came first with the highest confidence, and its first arrival. For output modes update and complete."""
+    rest = [c for c in facts.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col("confidence").cast("float"), F.lit(0.0).cast("float")), -F.col("arrival")))
+    return facts.groupBy(*key).agg(best.alias("_b"), F.min("arrival").alias("fact_id")).select(*key, "_b.*", "fact_id")
+
+
+def stale_runs(starts: DataFrame, finishes: DataFrame, ts: str, wait: str) -> DataFrame:
+    """Runs without a finish within `wait` of their start: a left join of two streams, which gives a start out unmatched once the watermark passes."""
+    a = starts.withColumn("_s", F.col(ts).cast("timestamp")).withWatermark("_s", wait).alias("a")
+    b = finishes.select("run_id", F.col(ts).cast("timestamp").alias("_f")).withWatermark("_f", wait).alias("b")
+    on = F.expr(f"a.run_id = b.run_id AND b._f >= a._s AND b._f <= a._s + INTERVAL {wait}")
+    return a.join(b, on, "left").where("b.run_id IS NULL").select("a.run_id", F.col("a._s").alias("started"))
+
+
+def gated(events: DataFrame, flags: DataFrame) -> DataFrame:
+    """A stream that lets nothing through while everything is paused; flags is a single row, read anew with every batch."""
+    return events.crossJoin(F.broadcast(flags.select("paused").limit(1))).where("not paused").drop("paused")
+
+
+def upsert_into(spark: SparkSession, path: str, buckets: int = 64):
+    """foreachBatch function: merges a batch of facts into a table under path, kept in buckets of keys.
+
+    A batch rewrites only the buckets that its keys fall in, each as a new
+    version of that bucket, and then commits by a manifest that names the version of every bucket. A batch that is run again after a
+    failure starts from the manifest before it, so it writes the same rows anew; half-written versions are named by no manifest and never read.
+    Rows carry arrival and fact_id, so ties go to the earliest and the first arrival's id survives.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("arrival", F.col("arrival"))
-        if batch_id > 0:
-            old = version(spark, path, batch_id - 1)
-            if old is not None:
-                rows = rows.unionByName(old.select(*rows.columns))
-        merged = upsert(rows).drop("fact_id", "reads")
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id:08d}")
+        if "fact_id" not in batch.columns:
+            batch = batch.withColumn("fact_id", F.col("arrival"))
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
+        hit = [r.bucket for r in batch.select("bucket").distinct().collect()]  # `buckets` rows at the most
+        known = manifest(spark, path, batch_id)
+        rows = batch
+        paths = [f"{path}/bucket={b}/v={known[b]}" for b in hit if b in known]
+        if paths:
+            old = spark.read.option("basePath", path).parquet(*paths).drop("v")
+            rows = batch.unionByName(old.select(*batch.columns))
+        first = rows.groupBy(*KEY).agg(F.min("fact_id").alias("_id"))
+        merged = upsert(rows.drop("fact_id")).drop("fact_id", "reads").join(first, KEY).withColumnRenamed("_id", "fact_id")
+        merged.withColumn("v", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
+        named = {**known, **dict.fromkeys(hit, batch_id)}
+        spark.createDataFrame(sorted(named.items()), "bucket int, v long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest/{batch_id:012d}")
 
     return run
 
 
-def version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number:08d}/_SUCCESS")
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{path}/v={number:08d}") if fs.exists(where) else None
+def manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Version of each bucket by the newest manifest that was committed (before a batch, if one is named)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return {}
+    done = sorted(int(s.getPath().getName()) for s in fs.listStatus(hadoop) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    done = [n for n in done if before is None or n < before]
+    return {r.bucket: r.v for r in spark.read.parquet(f"{path}/_manifest/{done[-1]:012d}").collect()} if done else {}  # one row a bucket
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.option("basePath", path).parquet(path)
-    top = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == top).drop("v")
+    """The facts as the newest manifest has them."""
+    named = manifest(spark, path)
+    if not named:
+        raise LookupError(f"no committed batch under {path}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/bucket={b}/v={v}" for b, v in sorted(named.items())]).drop("bucket", "v")
 
 
-__all__ = ["KEY", "current", "upsert_into", "version", "windowed_counts"]
+__all__ = ["KEY", "best_readings", "current", "gated", "manifest", "replayed", "stale_runs", "upsert_into", "windowed_counts"]
