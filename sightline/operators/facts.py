@@ -9,14 +9,30 @@ from pyspark.sql import functions as F
 KEY = ["member_id", "metric", "period_key", "source", "observed_at"]
 
 
+#: Types whose values an aggregate can change in place, so that it hashes instead of sorting.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
+
+
+def precedence(confidence: Column, arrival: Column) -> Column:
+    """One number that orders readings: by confidence as a 32-bit float (0 to 1; none counts as 0), then the earlier arrival."""
+    c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(confidence.cast("float").cast("double"), F.lit(0.0))))
+    ranked = (c.cast("decimal(19,18)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(19,0)")
+    return (ranked * F.lit("10000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + (F.lit(2**63 - 1).cast("decimal(19,0)") - arrival.cast("decimal(19,0)"))
+
+
 def upsert(facts: DataFrame, key: list[str] = KEY, arrival: str = "arrival") -> DataFrame:
     """The fact table after its rows arrived in order: of one key, the first with the strictly highest confidence (as a 32-bit float) holds; fact_id is the first arrival.
 
-    One shuffle by key with a partial aggregate; no window, so a hot key is combined before it travels.
+    One shuffle by key with a partial aggregate, so a hot key is combined before
+    it travels. Columns of plain types are picked one by one by a number that orders readings, which hash aggregates can do; others as one struct, by sorting.
     """
     rest = [c for c in facts.columns if c not in key]
+    counts = [F.min(arrival).alias("fact_id"), F.count("*").alias("reads")]
+    if all(facts.schema[c].dataType.simpleString() in PLAIN for c in rest):
+        ranked = facts.withColumn("_rank", precedence(F.col("confidence"), F.col(arrival)))
+        return ranked.groupBy(*key).agg(*(F.max_by(c, "_rank").alias(c) for c in rest), *counts)
     best = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col("confidence").cast("float"), F.lit(0.0).cast("float")), -F.col(arrival)))
-    return facts.groupBy(*key).agg(best.alias("_b"), F.min(arrival).alias("fact_id"), F.count("*").alias("reads")).select(*key, "_b.*", "fact_id", "reads")
+    return facts.groupBy(*key).agg(best.alias("_b"), *counts).select(*key, "_b.*", "fact_id", "reads")
 
 
 def live(facts: DataFrame, superseded: DataFrame, on: str = "fact_id") -> DataFrame:
@@ -24,8 +40,20 @@ def live(facts: DataFrame, superseded: DataFrame, on: str = "fact_id") -> DataFr
     return facts.join(superseded.select(on), on, "left_anti")
 
 
-def leaderboard(facts: DataFrame, by: list[str], value: str = "value", tie: str = "member_id") -> DataFrame:
-    return facts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), tie)))
+def leaderboard(facts: DataFrame, by: list[str], value: str = "value", tie: str = "member_id", parts: int = 64) -> DataFrame:
+    """Adds rank: place by value, largest first, then by tie, in each group.
+
+    A few groups can hold all rows, so each is cut at approximate quantiles of
+    its values: rows are ranked within their part, and the rows of the parts before are added. Only the counts of the parts meet in one task.
+    """
+    cuts = facts.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("_cuts"))
+    # one row a group; equal values are always of one part
+    dealt = facts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c > F.col(value)))).drop("_cuts")
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_part", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(F.desc(value), tie))
+    return dealt.join(counts, [*by, "_part"]).withColumn("rank", (inside + F.col("_before")).cast("int")).drop("_part", "_before")
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:

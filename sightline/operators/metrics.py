@@ -19,7 +19,7 @@ def share_of_days(facts: DataFrame, member: str, day: str, passed) -> DataFrame:
 def growth(totals: DataFrame, member: str, group: str, period: str, value: str) -> DataFrame:
     """Change to the member's period before, and the distance to the group's median change."""
     delta = totals.withColumn("delta", F.round(F.col(value) - F.lag(value).over(Window.partitionBy(member).orderBy(period)), 2))
-    mid = delta.groupBy(group, period).agg(F.round(F.percentile("delta", 0.5), 4).alias("median_delta"))
+    mid = quantile(delta, [group, period], "delta", 0.5).select(group, period, F.round("quantile", 4).alias("median_delta"))
     return delta.join(mid, [group, period]).withColumn("versus_group", F.round(F.col("delta") - F.col("median_delta"), 4))
 
 
@@ -43,9 +43,33 @@ def composite(df: DataFrame, weights: dict[str, float], name: str = "composite")
     return df.withColumn(name, F.round(total, 6))
 
 
+def quantile(df: DataFrame, by: list[str], value: str, q: float, slack: float = 0.004) -> DataFrame:
+    """(by, quantile): the exact quantile of each group, interpolated between neighbours; null without values.
+
+    Approximate quantiles a little below and above, whose error is bounded by a
+    quarter of the slack, bracket it; what lies below is counted, and only the values within the bracket are put in order. So no task holds a whole group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = F.percentile_approx("_v", F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), int(4 / slack))
+    bracket = rows.groupBy(*by).agg(ends.alias("_e"), F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    # in a small group the bracket is the whole group: there a neighbour can be further away than the slack
+    small = F.col("_n") < int(8 / slack)
+    bracket = bracket.select(*by, "_n", F.when(small, F.col("_least")).otherwise(F.col("_e")[0]).alias("_lo"), F.when(small, F.col("_most")).otherwise(F.col("_e")[1]).alias("_hi"))
+    placed = rows.join(bracket, by)
+    below = placed.groupBy(*by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.first("_n").alias("_n"))
+    inside = placed.where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*by, "_v").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    at = inside.withColumn("_upto", upto).join(below, by).withColumn("_k", (F.col("_n") - 1) * F.lit(q))
+    first, last = F.col("_below") + F.col("_upto") - F.col("_m"), F.col("_below") + F.col("_upto") - 1
+    one = lambda k: F.max(F.when(k.between(first, last), F.col("_v")))
+    two = at.groupBy(*by).agg(one(F.floor("_k")).alias("_a"), one(F.ceil("_k")).alias("_b"), F.first("_k").alias("_k"))
+    exact = two.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_k") - F.floor("_k"))).alias("quantile"))
+    return df.select(*by).distinct().join(exact, by, "left")
+
+
 def lowest_decile(df: DataFrame, by: str, value: str, then: list) -> DataFrame:
     """Rows at or below their group's tenth percentile, in the given order."""
-    cut = df.groupBy(by).agg(F.percentile(value, 0.1).alias("_cut"))
+    cut = quantile(df, [by], value, 0.1).withColumnRenamed("quantile", "_cut")
     return df.join(cut, by).where(F.col(value) <= F.col("_cut")).drop("_cut").orderBy(*then)
 
 
