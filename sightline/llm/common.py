@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every contract here: space, and tab to carriage return.
@@ -33,6 +33,13 @@ def process_cache(key: str, make: Callable):
     return store[key]
 
 
+def slices(batches, rows: int):
+    """Arrow batches in parts of so many rows, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,14 +49,20 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder under the warehouse, else (local master only) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else a folder under the warehouse; on a local master, where all is one machine, a temporary one.
+
+    On a cluster a warehouse of scheme `file` is refused, as it would be each machine's own.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return process_cache("local_scratch", lambda: tempfile.mkdtemp(prefix="sightline-"))
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_scratch"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -112,8 +125,8 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-#: Rows of one long column: 16 MB at the most.
-BROADCAST_ROWS = 2_000_000
+#: Rows of one or two long columns: 16 MB at the most.
+BROADCAST_ROWS = 1_000_000
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -121,4 +134,26 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if fits_broadcast(keys, BROADCAST_ROWS) else keys, on, "left_semi")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Stands for a doc_id with its text, so that rows that share a doc_id are told apart; a missing doc_id counts as a value."""
+    return F.xxhash64(doc_id, doc_id.isNull(), text)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text are in gone (a written table: doc_id, row of row_key). Other columns may have any names."""
+    own = row_key(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+    few = F.broadcast(gone) if fits_broadcast(gone, BROADCAST_ROWS) else gone
+    return docs.join(few, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (own == gone["row"]), "left_anti")
+
+
+def numbered(df: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Adds place, from 0, in the order of a unique key: rows are dealt by range and numbered in each range, and only the counts of the ranges meet in one task."""
+    dealt = scratch.keep(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_m"))
+    before = F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    counts = scratch.keep(counts.select("_part", before.alias("_before")), "counts")  # one row per range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return dealt.withColumn("_inside", inside).join(F.broadcast(counts) if fits_broadcast(counts, 100_000) else counts, "_part").withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+
+
 by_value(__name__)

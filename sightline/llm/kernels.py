@@ -94,7 +94,7 @@ def shingle_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     coef = process_cache("shingle_tables", _tables)["coef"]
     n = len(h)
     sums = np.zeros(n, dtype=U64)
-    for k in range(WIDTH):
+    for k in range(min(WIDTH, n)):
         sums[: n - k] += h[k:] * coef[k]
     full = mix64(sums)
     out, at = [], 0

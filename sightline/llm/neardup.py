@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Scratch, by_value, fits_broadcast
+from sightline.llm.common import Scratch, by_value, fits_broadcast, slices
 from sightline.llm.graph import components
 from sightline.llm.kernels import band_keys, circulant_signatures, fingerprint, list_array, shingle_sets, string_buffer, words
 
 BLOCK = 512
-#: Shared band keys up to this many (24 MB) are broadcast; more are joined by a shuffle.
-BUCKETS = 1_000_000
+#: Texts hashed at a time.
+ROWS = 1000
+#: Shared band keys up to this many (12 MB) are broadcast; more are joined by a shuffle.
+BUCKETS = 500_000
 #: Cells of the 0/1 matrix of one comparison at a time.
 CELLS = 1 << 23
 
@@ -33,7 +35,7 @@ def signature_batches(bands: int, rows: int, carried: int):
     """mapInArrow function: the first `carried` columns, then n (set size), fp (of the set) and bands, for a last column of text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             buf, offsets = string_buffer(batch.column(carried))
             h, counts, _ = words(buf, offsets)
             sets = shingle_sets(h, counts)
@@ -47,13 +49,14 @@ def signature_batches(bands: int, rows: int, carried: int):
 
 
 def set_batches(carried: int):
-    """mapInArrow function: the first `carried` columns, then the shingle set of the last column's text."""
+    """mapInArrow function: the first `carried` columns, then fingerprint and shingle set of the last column's text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             buf, offsets = string_buffer(batch.column(carried))
             h, counts, _ = words(buf, offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], list_array(shingle_sets(h, counts))], [*batch.schema.names[:carried], "hashes"])
+            sets = shingle_sets(h, counts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], pa.array([fingerprint(s) for s in sets], pa.binary()), list_array(sets)], [*batch.schema.names[:carried], "fp", "hashes"])
 
     return run
 
@@ -117,18 +120,20 @@ def block_links(num: int, den: int):
 def link_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and the components that links between them form.
 
-    items: a written table (id long, n, fp, bands), one row an item, without
-    empty sets. sets_of takes a table of rep ids and returns (rep, hashes) for them. Sets link when den * intersection >=
-    num * union. Returns (fp, rep, size), rep the smallest id of the class, and
-    (id, component) for the representatives that have a link; the rest are alone.
+    items: a written table (row long, order, n, fp, bands), one row an item,
+    without empty sets; row finds an item's text again, order decides among items. sets_of takes a table (rep, row, fp), one row a class, and returns (fp, hashes)
+    for these at least, repeats allowed. Sets link when den * intersection >= num * union. Returns (fp, rep, least, size),
+    rep a number for the class, least the smallest order in it, and (id, component) for the classes that have a link; the rest are alone.
     """
-    classes = scratch.keep(items.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    found = items.groupBy("fp").agg(F.min("row").alias("row"), F.min("order").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.keep(found.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = scratch.keep(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1"), "buckets")
     # the keys are not shuffled a second time if those that are shared are counted to be few
     members = scratch.keep(keys.join(F.broadcast(buckets) if fits_broadcast(buckets, BUCKETS) else buckets, "key"), "members")
-    wanted = scratch.keep(members.select("rep").distinct(), "wanted")
-    sets = scratch.keep(sets_of(wanted), "sets")
+    some = members.select("rep").distinct()
+    wanted = scratch.keep(classes.select("rep", "row", "fp").join(F.broadcast(some) if fits_broadcast(buckets, BUCKETS // 4) else some, "rep", "left_semi"), "wanted")
+    sets = scratch.keep(sets_of(wanted).groupBy("fp").agg(F.first("hashes").alias("hashes")).join(wanted.select("fp", "rep"), "fp").select("rep", "hashes"), "sets")
 
     left = sets.select("rep", F.col("hashes").alias("x"))
     right = sets.select(F.col("rep").alias("leader"), F.col("hashes").alias("y"))
@@ -157,7 +162,15 @@ def link_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], nu
         ids = first.select("id", "component").union(more.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(first, "id", "left_anti").select("id", F.col("id").alias("component")))
         to = second.select(F.col("id").alias("component"), F.col("component").alias("top"))
         first = scratch.keep(ids.join(to, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "joined")
-    return classes.select("fp", "rep", "size"), first
+    return classes.select("fp", "rep", "least", "size"), first
+
+
+def class_components(classes: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, component, owner) of the classes with more than one item or a link: owner is the smallest order in the component."""
+    known = classes.join(linked, classes["rep"] == linked["id"], "left").where("size > 1 or component is not null").select("fp", F.coalesce("component", "rep").alias("component"), "least")
+    known = scratch.keep(known, "known")
+    tops = scratch.keep(known.groupBy("component").agg(F.min("least").alias("owner")), "tops")
+    return known.select("fp", "component").join(F.broadcast(tops) if fits_broadcast(tops, BUCKETS) else tops, "component")
 
 
 by_value(__name__)

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Scratch, by_value, fits_broadcast, semi_join, text_or_empty
+from sightline.llm.common import Scratch, by_value, fits_broadcast, row_key, semi_join, slices, text_or_empty
 from sightline.llm.kernels import band_keys, circulant_signatures, fingerprint, list_array, mix64, shingle_sets, string_buffer, words
-from sightline.llm.neardup import link_classes
+from sightline.llm.neardup import BUCKETS, class_components, link_classes
 
 #: Paragraphs of fewer words are left alone: only those without any.
 MIN_WORDS = 1
@@ -20,15 +20,17 @@ NUM, DEN = 80, 100
 WINDOW = 20
 #: Words of the runs whose least hash stands for a window; equal windows have equal ones.
 RUN = 10
-#: Repeated paragraphs up to so many (40 MB) are broadcast with their texts' rows; more are joined by a shuffle.
-SPANS = 1_000_000
+#: Repeated paragraphs up to so many (16 MB) are broadcast with their texts' rows; more are joined by a shuffle.
+SPANS = 400_000
+#: Texts whose paragraphs are hashed at a time.
+TEXTS = 1000
 #: Bytes of text whose windows are hashed at a time.
 SLICE = 1 << 20
 
 
-def _paragraphs(batch, min_words: int):
-    """Row of the batch, number, first and last code point, and shingle set of each paragraph of at least min_words words."""
-    buf, offsets = string_buffer(batch.column(2))
+def _paragraphs(batch, min_words: int, text: int = 2):
+    """Row of the batch, number, first and last code point, and shingle set of each paragraph of at least min_words words. text: number of the column."""
+    buf, offsets = string_buffer(batch.column(text))
     # line feeds are white space, so paragraphs can be hashed as rows of their own
     feeds = np.flatnonzero(buf == 10) + 1
     cuts = np.unique(np.concatenate((offsets, feeds)))
@@ -48,7 +50,7 @@ def _paragraphs(batch, min_words: int):
 
 def _signatures(min_words: int, bands: int, rows: int, alone: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             at, number, first, last, counts, sets = _paragraphs(batch, min_words)
             if not len(at):
                 continue
@@ -64,10 +66,10 @@ def _signatures(min_words: int, bands: int, rows: int, alone: int):
 
 def _sets(min_words: int):
     def run(batches):
-        for batch in batches:
-            at, number, _, _, _, sets = _paragraphs(batch, min_words)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(number.astype(np.int64)), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array(sets)], ["row", "paragraph", "fp", "hashes"])
+        for batch in slices(batches, TEXTS):
+            _, _, _, _, _, sets = _paragraphs(batch, min_words, 1)
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), list_array(sets)], ["fp", "hashes"])
 
     return run
 
@@ -75,29 +77,27 @@ def _sets(min_words: int):
 def _texts(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text); row stands for a doc_id with its text."""
     text = text_or_empty()
-    return docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.alias("text"))
+    return docs.select(row_key(F.col("doc_id"), text).alias("row"), "doc_id", text.alias("text"))
 
 
 def _paragraph_rows(texts: DataFrame, scratch: Scratch, min_words: int, num: int, den: int) -> DataFrame:
     """repeated_paragraphs with the row of each text and the owner's place."""
     # a set of n shingles reaches at best n / (n + 1) with another that isn't equal: up to these it needs no bands, as equal sets are one class anyway
     alone = max(0, -(-num // (den - num)) - 1) if num < den else 0
-    found = texts.mapInArrow(_signatures(min_words, BANDS, ROWS, alone), "row long, doc_id long, paragraph long, start long, stop long, words long, n long, fp binary, bands array<long>")
-    found = scratch.keep(found.withColumn("id", F.monotonically_increasing_id()), "found")
+    found = scratch.keep(texts.mapInArrow(_signatures(min_words, BANDS, ROWS, alone), "row long, doc_id long, paragraph long, start long, stop long, words long, n long, fp binary, bands array<long>"), "found")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        at = found.select("id", "row", "paragraph", "fp").join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi")
-        at = scratch.keep(at, "at")
-        ids = scratch.keep(at.select("row").distinct(), "ids")
-        sets = semi_join(texts, ids, "row").select("row", "doc_id", "text").mapInArrow(_sets(min_words), "row long, paragraph long, fp binary, hashes array<long>")
-        return sets.join(at, ["row", "paragraph", "fp"]).groupBy("id").agg(F.first("hashes").alias("hashes")).withColumnRenamed("id", "rep")
+        of = semi_join(texts, scratch.keep(wanted.select("row").distinct(), "ids"), "row").select("row", "text")
+        return semi_join(of.mapInArrow(_sets(min_words), "fp binary, hashes array<long>"), wanted.select("fp"), "fp")
 
-    classes, linked = link_classes(found.select("id", "n", "fp", "bands"), sets_of, num, den, scratch)
-    known = classes.join(linked, classes["rep"] == linked["id"], "left").where("size > 1 or component is not null").select("fp", F.coalesce("component", "rep").alias("component"))
-    placed = scratch.keep(found.drop("n", "bands", "id").join(known, "fp").drop("fp"), "placed")
-    owners = placed.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph", "start", "stop")).alias("owner"), F.count("*").alias("copies"))
-    kept = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("paragraph") == F.col("owner.paragraph"))
-    return placed.join(owners, "component").select("row", "doc_id", "paragraph", "start", "stop", "words", "owner", "copies", kept.alias("kept"))
+    place = F.struct("doc_id", "paragraph", "start", "stop", "row")
+    classes, linked = link_classes(found.select("row", place.alias("order"), "n", "fp", "bands"), sets_of, num, den, scratch)
+    known = scratch.keep(class_components(classes, linked, scratch), "owned")
+    placed = scratch.keep(found.drop("n", "bands").join(F.broadcast(known) if fits_broadcast(known, BUCKETS // 4) else known, "fp").drop("fp"), "placed")
+    copies = scratch.keep(placed.groupBy("component").agg(F.count("*").alias("copies")), "copies")
+    kept = F.col("row").eqNullSafe(F.col("owner.row")) & (F.col("paragraph") == F.col("owner.paragraph"))
+    each = placed.join(F.broadcast(copies) if fits_broadcast(copies, BUCKETS) else copies, "component")
+    return each.select("row", "doc_id", "paragraph", "start", "stop", "words", "owner", "copies", kept.alias("kept"))
 
 
 def _columns(rows: DataFrame) -> DataFrame:
@@ -259,11 +259,13 @@ def repeats(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """docs with the removals cut out of text; every row stays, other columns as they were."""
     scratch = Scratch(docs.sparkSession, "cut")
-    cuts = repeated_paragraphs(docs, **how).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_set("paragraph")).alias("_cuts"))
-    joined = docs.join(scratch.keep(cuts, "cuts"), "doc_id", "left")
-    lines = F.split("text", "\n")
-    left = F.concat_ws("\n", F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("at")), lambda x: ~F.array_contains("_cuts", x["at"].cast("long"))), lambda x: x["line"]))
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    rows = _paragraph_rows(_texts(docs), scratch, how.get("min_words", MIN_WORDS), how.get("num", NUM), how.get("den", DEN))
+    cuts = scratch.keep(rows.where("not kept").groupBy("row").agg(F.collect_set("paragraph").alias("cuts")), "cuts")
+    joined = docs.join(cuts, row_key(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == cuts["row"], "left")
+    lines = F.split(docs["text"], "\n")
+    left = F.concat_ws("\n", F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("at")), lambda x: ~F.array_contains(cuts["cuts"], x["at"].cast("long"))), lambda x: x["line"]))
+    text = F.when(cuts["cuts"].isNull(), docs["text"]).otherwise(left).alias("text")
+    return joined.select(*(text if c == "text" else docs[c] for c in docs.columns))
 
 
 by_value(__name__)

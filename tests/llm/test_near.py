@@ -1,7 +1,9 @@
 import random
 import re
 
-from sightline.llm import minhash_dedup, neardup, paragraph_dedup
+import numpy as np
+
+from sightline.llm import kernels, minhash_dedup, neardup, paragraph_dedup
 from tests.conftest import SF01
 from tests.llm.cases import awkward, docs
 
@@ -75,6 +77,27 @@ def test_awkward_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept and r.doc_id < 45} - ({42} if not any(r.doc_id == 42 and r.kept for r in got) else set())
 
 
+def test_batches_of_few_words():
+    for n in range(8):
+        text = " ".join("abcdefgh"[:n])
+        buf, cuts = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+        h, counts, _ = kernels.words(buf, cuts)
+        assert [len(x) for x in kernels.shingle_sets(h, counts)] == [max(1, n - 4) if n else 0]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """A doc_id's texts are linked each by itself, and in the kept rows each has its own fate."""
+    r = random.Random(2)
+    one, two = ([f"{c}{r.randrange(10**6)}" for _ in range(60)] for c in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one)), (3, " ".join([*two[:59], "x"])), (None, " ".join(two) + " y"), (None, "none"), (4, "a b"), (5, None)]
+    df = spark.createDataFrame([(*x, "same", 7) for x in rows], "doc_id long, text string, row string, owner int")
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_shingles, x.component_id, x.kept) for x in minhash_dedup.near_duplicates(df).collect())
+    assert got == [(False, 1, 56, 1, True), (False, 1, 56, 1, True), (False, 2, 56, 1, False), (False, 3, 56, 1, False), (False, 4, 1, 4, True), (False, 5, 0, 5, True), (True, 0, 1, None, True), (True, 0, 57, 1, False)]
+    kept = minhash_dedup.kept_documents(df)
+    assert kept.columns == df.columns
+    assert {(x.doc_id, x.text) for x in kept.collect()} == {rows[0], rows[1], rows[5], rows[6], rows[7]}
+
+
 def paragraphs(rows, least):
     out = {}
     for i, t in rows:
