@@ -6,38 +6,47 @@ import hashlib
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import BROADCAST_ROWS, Scratch, by_value, fits_broadcast, text_or_empty
+from sightline.llm.common import BROADCAST_ROWS, Scratch, by_value, fits_broadcast, row_key, slices, text_or_empty, without_rows
 from sightline.llm.kernels import string_buffer
 
-#: Bytes of text that a task's tries hold before they give up subtrees.
-TRIE_BYTES = 48 << 20
+#: Bytes of text that a task's trie holds before it gives up subtrees.
+TRIE_BYTES = 24 << 20
+#: Rows read at a time.
+ROWS = 500
 #: Bytes of text in one returned batch.
 BATCH_BYTES = 4 << 20
 WHITE = b" \t\n\x0b\x0c\r"
+#: What a node costs besides its label.
+NODE = 200
+LOCAL = "n_bytes long, hash long, body binary, chars long, owner long, row long, rows long, twins long"
+
+
+def ahead(a: list, b: list) -> bool:
+    """Whether owner a comes before b: most code points, then the smallest doc_id (a missing one last), then the smallest row key."""
+    return (-a[0], a[1] is None, a[1] or 0, a[2]) < (-b[0], b[1] is None, b[1] or 0, b[2])
 
 
 class Trie:
     """Compressed radix trie (Patricia trie) over byte strings; a terminal node holds its text's owner.
 
-    A node is [label, children by first byte, owner]; an owner is [code points
-    of the original, doc_id, rows], the best so far being the one with most code points, then the smallest doc_id.
+    A node is [label, children by first byte, owner]; an owner is [code points of the original, doc_id, row key, rows in all, rows equal to it].
     """
 
     def __init__(self):
         self.root: list = [b"", {}, None]
         self.bytes = 0
 
-    def insert(self, key: bytes, chars: int, doc_id: int, rows: int = 1) -> None:
+    def insert(self, key: bytes, owner: list) -> None:
         node, at = self.root, 0
         while at < len(key):
             child = node[1].get(key[at])
             if child is None:
                 child = [key[at:], {}, None]
                 node[1][key[at]] = child
-                self.bytes += len(key) - at + 200
+                self.bytes += len(key) - at + NODE
                 node, at = child, len(key)
                 break
             label = child[0]
@@ -52,29 +61,55 @@ class Trie:
             upper = [label[:lo], {label[lo]: child}, None]
             child[0] = label[lo:]
             node[1][key[at]] = upper
-            self.bytes += 200
+            self.bytes += NODE
             node, at = upper, at + lo
-        owner = node[2]
-        if owner is None:
-            node[2] = [chars, doc_id, rows]
-        else:
-            owner[2] += rows
-            if (-chars, doc_id is None, doc_id or 0) < (-owner[0], owner[1] is None, owner[1] or 0):
-                owner[0], owner[1] = chars, doc_id
-
-    def __iter__(self):
-        stack = [(b"", self.root)]
+        held = node[2]
+        if held is None:
+            node[2] = owner
+            return
+        rows = held[3] + owner[3]
+        if held[:3] == owner[:3]:
+            held[4] += owner[4]
+        elif ahead(owner, held):
+            held[:] = owner
+        held[3] = rows
+
+    def entries(self, head: bytes = b"", node: list | None = None):
+        """(string, owner) of a subtree, of the whole trie without a node. head: what leads to the node."""
+        stack = [(head, node or self.root)]
         while stack:
             head, node = stack.pop()
             head += node[0]
             if node[2]:
-                yield head, *node[2]
+                yield head, node[2]
             stack += [(head, child) for child in node[1].values()]
 
+    @staticmethod
+    def weight(node: list) -> int:
+        total, stack = 0, [node]
+        while stack:
+            node = stack.pop()
+            total += len(node[0]) + NODE
+            stack += node[1].values()
+        return total
+
+    def give_up(self, limit: int):
+        """(string, owner) of the largest subtrees, taken out until at most `limit` bytes are left; one too large is opened and its own largest branches go."""
+        while self.bytes > limit and self.root[1]:
+            head, node = b"", self.root
+            while True:
+                first, child, weight = max(((k, c, self.weight(c)) for k, c in node[1].items()), key=lambda x: x[2])
+                if weight <= max(limit, NODE) or not child[1]:
+                    break
+                head, node = head + child[0], child
+            del node[1][first]
+            self.bytes -= weight
+            yield from self.entries(head, child)
+
 
 def _owner_batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[3:])], ["n_bytes", "hash", "body", "chars", "owner", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[3:])], ["n_bytes", "hash", "body", "chars", "owner", "row", "rows", "twins"])
 
 
 def _batched(rows):
@@ -90,62 +125,43 @@ def _batched(rows):
 
 
 def local_owners(batches):
-    """Owners among the rows of one task: a trie for each length and content hash. Over TRIE_BYTES the largest half of the tries is given up, as partial owners."""
+    """Owners among the rows (doc_id, text, code points, row key) of one task, in one trie. Over TRIE_BYTES its largest subtrees are given up, as partial owners."""
 
     def entries():
-        tries: dict[tuple[int, int], Trie] = {}
-        held = 0
-
-        def flush(keys):
-            for n, h in keys:
-                for body, *owner in tries.pop((n, h)):
-                    yield (n, h, body, *owner)
-
-        for batch in batches:
+        trie = Trie()
+        for batch in slices(batches, ROWS):
             buf, offsets = string_buffer(batch.column(1))
             data, at = buf.tobytes(), offsets.tolist()
-            for k, (doc_id, chars) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                body = data[at[k] : at[k + 1]].translate(None, WHITE)
-                key = len(body), xxhash.xxh3_64_intdigest(body) - (1 << 63)
-                trie = tries.get(key)
-                if trie is None:
-                    trie = tries[key] = Trie()
-                held -= trie.bytes
-                trie.insert(body, chars, doc_id)
-                held += trie.bytes
-            if held > TRIE_BYTES:
-                largest = sorted(tries, key=lambda x: -tries[x].bytes)[: len(tries) // 2 + 1]
-                held -= sum(tries[x].bytes for x in largest)
-                yield from flush(largest)
-        yield from flush(list(tries))
-
-    yield from _batched(entries())
+            for k, (doc_id, chars, row) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                trie.insert(data[at[k] : at[k + 1]].translate(None, WHITE), [chars, doc_id, row, 1, 1])
+                if trie.bytes > TRIE_BYTES:
+                    yield from trie.give_up(TRIE_BYTES // 2)
+        yield from trie.entries()
 
+    yield from _batched((len(body), xxhash.xxh3_64_intdigest(body) - (1 << 63), body, *owner) for body, owner in entries())
 
-def merged_owners(batches):
-    """Owners of one shuffle partition, sorted by length and hash: a trie is complete, given out and forgotten when the next key comes."""
 
-    def entries():
-        key, trie = None, None
+def merged_owners(batches):
+    """Owners of one shuffle partition, sorted by length and content hash, in one trie.
 
-        def out():
-            for body, chars, owner, rows in trie:
-                yield hashlib.sha256(body).digest(), owner, rows
+    Equal strings stand together in that order, so whatever is not of the key at
+    hand is complete: over TRIE_BYTES the largest subtrees are given out and forgotten, but for strings of that key, which are put back.
+    """
 
-        for batch in batches:
+    def entries():
+        trie, key = Trie(), None
+        for batch in slices(batches, ROWS):
             cols = [c.to_pylist() for c in batch.columns]
-            for n, h, body, chars, owner, rows in zip(*cols, strict=True):
-                if (n, h) != key:
-                    if trie is not None:
-                        yield from out()
-                    key, trie = (n, h), Trie()
-                trie.insert(body, chars, owner, rows)
-        if trie is not None:
-            yield from out()
+            for n, h, body, *owner in zip(*cols, strict=True):
+                if trie.bytes > TRIE_BYTES and (n, h) != key:
+                    yield from trie.give_up(TRIE_BYTES // 2)
+                key = n, h
+                trie.insert(body, owner)
+        yield from trie.entries()
 
     rows = []
-    for row in entries():
-        rows.append(row)
+    for body, owner in entries():
+        rows.append((hashlib.sha256(body).digest(), owner[1], owner[2], owner[3], owner[4]))
         if len(rows) >= 20_000:
             yield _merged_batch(rows)
             rows = []
@@ -154,29 +170,37 @@ def merged_owners(batches):
 
 
 def _merged_batch(rows: list[tuple]) -> pa.RecordBatch:
-    sha, owner, size = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(owner, pa.int64()), pa.array(size, pa.int64())], ["sha", "keep_id", "group_size"])
+    sha, *numbers = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), *(pa.array(c, pa.int64()) for c in numbers)], ["sha", "keep_id", "keep_row", "group_size", "twins"])
 
 
 def normalised_digests(batches):
-    """(doc_id, sha256 of the text without white space) of each row."""
-    for batch in batches:
+    """(doc_id, row key, sha256 of the text without white space) of each row."""
+    for batch in slices(batches, ROWS):
         buf, offsets = string_buffer(batch.column(1))
         data, at = buf.tobytes(), offsets.tolist()
         sha = [hashlib.sha256(data[a:b].translate(None, WHITE)).digest() for a, b in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.binary())], ["doc_id", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sha, pa.binary())], ["doc_id", "row", "sha"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = text_or_empty()
+    return docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("chars"), row_key(F.col("doc_id"), text).alias("row"))
 
 
 def owners(docs: DataFrame) -> DataFrame:
-    """One row per distinct normalised text: sha (its sha256), keep_id and group_size.
+    """One row per distinct normalised text: sha (its sha256), keep_id, keep_row (the owner's row key), group_size and twins (rows equal to the owner, itself included).
 
     Each task first inserts its own rows, so a text that a third of all rows
-    share reaches the shuffle once a task; then each length and content hash is one trie over whole byte strings.
+    share reaches the shuffle once a task; then strings are dealt by length and content hash, and each partition is one trie over whole byte strings.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text"), F.length(text_or_empty()).cast("long").alias("chars"))
-    local = texts.mapInArrow(local_owners, "n_bytes long, hash long, body binary, chars long, owner long, rows long")
-    dealt = local.repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash")
-    return dealt.mapInArrow(merged_owners, "sha binary, keep_id long, group_size long")
+    dealt = _texts(docs).mapInArrow(local_owners, LOCAL).repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash")
+    return dealt.mapInArrow(merged_owners, "sha binary, keep_id long, keep_row long, group_size long, twins long")
+
+
+def _owned(docs: DataFrame) -> DataFrame:
+    digests = _texts(docs).select("doc_id", "text", "row").mapInArrow(normalised_digests, "doc_id long, row long, sha binary")
+    return digests.join(owners(docs), "sha")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -187,16 +211,29 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     empty; all empty texts are one group. Rows that repeat a doc_id with an equal text count in group_size and share its fate; a null doc_id comes last. An empty table gives an empty one; other columns are ignored.
     The join back to the rows is an equi-join on the digest, whose large keys the adaptive skew join splits.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    digests = texts.mapInArrow(normalised_digests, "doc_id long, sha binary")
-    return digests.join(owners(docs), "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return _owned(docs).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, whole, that exact_duplicates keeps."""
+    """One row of docs, whole, for each normalised text: the owner's.
+
+    Documents are told apart by doc_id and text, so a row stays although another
+    with its doc_id goes. Of rows equal in both one stays, the first by a hash of all its columns. Null text counts as empty, so of all texts without characters one row
+    stays. An empty table gives an empty one; other columns may have any names.
+    """
     scratch = Scratch(docs.sparkSession, "exact")
-    gone = scratch.keep(exact_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if fits_broadcast(gone, BROADCAST_ROWS) else gone, "doc_id", "left_anti").select(*docs.columns)
+    owned = scratch.keep(_owned(docs).select("doc_id", "row", (F.col("row") == F.col("keep_row")).alias("kept"), "twins"), "owned")
+    gone = scratch.keep(owned.where("not kept").select("doc_id", "row").distinct(), "gone")
+    left = without_rows(docs, gone)
+    twins = scratch.keep(owned.where("kept and twins > 1").select("doc_id", "row").distinct(), "twins")
+    if not twins.limit(1).count():
+        return left
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = left.select(every.alias("all"), row_key(left["doc_id"], F.coalesce(left["text"], F.lit(""))).alias("key"))
+    few = F.broadcast(twins) if fits_broadcast(twins, BROADCAST_ROWS) else twins
+    one = Window.partitionBy("key").orderBy(F.xxhash64("all"))
+    repeated = rows.join(few, rows["key"] == twins["row"], "left_semi").withColumn("rank", F.row_number().over(one)).where("rank = 1")
+    return rows.join(few, rows["key"] == twins["row"], "left_anti").select("all").union(repeated.select("all")).select("all.*")
 
 
 by_value(__name__)

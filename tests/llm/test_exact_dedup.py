@@ -26,14 +26,38 @@ def test_awkward_rows(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0
     kept = exact_dedup.kept_documents(docs(spark))
     assert kept.columns == docs(spark).columns
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.doc_id for r in got if r.kept})
 
 
-def test_trie_splits_and_flushes(monkeypatch):
+def test_rows_that_share_a_doc_id(spark):
+    """Each text keeps one row: a doc_id's other text stays, twins are one, a row without doc_id goes like any other."""
+    rows = [(0, "shared"), (1, "shared"), (1, "only here"), (5, "twin"), (5, "twin"), (None, "shared "), (None, "alone"), (None, "alone"), (7, ""), (8, None)]
+    kept = exact_dedup.kept_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row long"))
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept.collect()) == sorted([(False, 1, "only here"), (False, 5, "twin"), (True, None, "shared "), (True, None, "alone"), (False, 7, "")], key=lambda x: (x[0], x[1] or 0, x[2])) or {(r.doc_id, r.text) for r in kept.collect()} == {(1, "only here"), (5, "twin"), (None, "shared "), (None, "alone"), (7, "")}
+
+
+def test_trie_splits_and_counts():
     t = exact_dedup.Trie()
     for i, word in enumerate((b"", b"abc", b"abd", b"ab", b"abc", b"x" * 5000, b"x" * 4999 + b"y")):
-        t.insert(word, 1, i)
-    assert {k: (o, n) for k, _, o, n in t} == {b"": (0, 1), b"abc": (1, 2), b"abd": (2, 1), b"ab": (3, 1), b"x" * 5000: (5, 1), b"x" * 4999 + b"y": (6, 1)}
+        t.insert(word, [1, i, i, 1, 1])
+    assert {k: (o[1], o[3]) for k, o in t.entries()} == {b"": (0, 1), b"abc": (1, 2), b"abd": (2, 1), b"ab": (3, 1), b"x" * 5000: (5, 1), b"x" * 4999 + b"y": (6, 1)}
+    # strings share what they begin with, as long as none ends there
+    assert set(t.root[1]) == {ord("a"), ord("x")} and t.root[1][ord("a")][0] == b"ab" and len(t.root[1][ord("x")][0]) == 4999
+
+
+def test_trie_gives_up_its_largest_subtrees():
+    t, want = exact_dedup.Trie(), {}
+    for i in range(400):
+        word = (b"common prefix %d " % (i % 3)) * 3 + b"%d" % i + b"z" * (i % 50)
+        t.insert(word, [1, i, i, 1, 1])
+        want[word] = i
+    held = t.bytes
+    assert held == t.weight(t.root) - exact_dedup.NODE
+    gone = {k: o[1] for k, o in t.give_up(held // 2)}
+    left = {k: o[1] for k, o in t.entries()}
+    assert t.bytes <= held // 2 and t.bytes == t.weight(t.root) - exact_dedup.NODE
+    assert gone and left and not gone.keys() & left.keys() and {**gone, **left} == want
+    assert dict((k, o[1]) for k, o in t.give_up(0)) == left and not t.root[1]
 
 
 def test_owners_with_small_memory(spark, monkeypatch):
