@@ -7,49 +7,47 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import Scratch, fits_broadcast, text_or_empty
 
-#: Code points of a piece, the finest branch: paragraphs are cut from their beginning.
-PIECE = 80
-#: Hex digits of a section's and of a paragraph's node in the fingerprint; the root has all 64.
-SECTION_HEX, PARAGRAPH_HEX = 16, 12
+#: Where a paragraph is cut into pieces, the leaves: behind white space that follows a mark, and before a word of some initials (for texts
+#: without marks). Cuts depend on the text next to them alone, so an edit moves no other cut.
+CUT = "(?<=[.,;:!?\\u3002\\uff0c\\uff01\\uff1f][\\x20\\t\\n])|(?<=[\\x20\\t\\n])(?=[KLNkln])"
+#: Hex digits of a section's, a paragraph's and a leaf's node in the fingerprint; the root has all 64.
+SECTION_HEX, PARAGRAPH_HEX, LEAF_HEX = 16, 12, 7
 
 
-def tree(text: Column) -> tuple[Column, Column, Column]:
-    """(sections, paragraphs, pieces) of a text: arrays of strings that each make up the whole text again.
+def tree(text: Column) -> Column:
+    """array<array<array<string>>>: sections, their paragraphs and their pieces, which make up the whole text again.
 
-    A section ends with an empty line, a paragraph with a line feed; both keep what ends them.
+    A section ends with an empty line, a paragraph with a line feed, a piece at a CUT; each keeps what ends it.
     """
-    sections = F.split(text, "(?<=\n\n)(?!\n)")
-    return sections, F.transform(sections, lambda s: F.split(s, "(?<=\n)")), F.flatten(F.transform(F.split(text, "(?<=\n)"), lambda p: F.regexp_extract_all(p, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))))
+    return F.transform(F.split(text, "(?<=\n\n)(?!\n)"), lambda s: F.transform(F.split(s, "(?<=\n)"), lambda p: F.split(p, CUT)))
 
 
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds name (the fingerprint) and name_pieces (array<int>, its finest branches).
+    """Adds name, the fingerprint.
 
-    A paragraph's node is the SHA-256 of its text, a section's that of its
-    paragraphs' nodes, the root that of the sections' nodes. The fingerprint reads root|section=paragraph,paragraph;section=...|pieces, so it locates
-    edits by comparing branches; texts have equal roots exactly if they are equal.
+    A piece's node is the SHA-256 of its text, a paragraph's that of its pieces'
+    nodes, a section's that of its paragraphs', the root that of the sections'. The fingerprint reads
+    root|section=paragraph,paragraph;section=...|leaf,leaf,..., so comparing branches locates edits and the leaves in common tell how alike
+    two texts are; texts have equal roots exactly if they are equal.
     """
-    _, paragraphs, pieces = tree(F.col(text))
-    df = df.withColumn(f"{name}_nodes", F.transform(paragraphs, lambda s: F.transform(s, lambda p: F.sha2(p, 256))))
-    df = df.withColumn(f"{name}_sections", F.transform(f"{name}_nodes", lambda s: F.sha2(F.concat_ws("", s), 256)))
-    df = df.withColumn(f"{name}_pieces", F.transform(pieces, lambda p: F.hash(p)))
-    root = F.sha2(F.concat_ws("", f"{name}_sections"), 256)
+    node = lambda below: F.sha2(F.concat_ws("", below), 256)
+    df = df.withColumn(f"{name}_leaves", F.transform(tree(F.col(text)), lambda s: F.transform(s, lambda p: F.transform(p, lambda x: F.sha2(x, 256)))))
+    df = df.withColumn(f"{name}_nodes", F.transform(f"{name}_leaves", lambda s: F.transform(s, node)))
+    df = df.withColumn(f"{name}_sections", F.transform(f"{name}_nodes", node))
     branches = F.concat_ws(";", F.zip_with(f"{name}_sections", f"{name}_nodes", lambda s, p: F.concat(F.substring(s, 1, SECTION_HEX), F.lit("="), F.concat_ws(",", F.transform(p, lambda x: F.substring(x, 1, PARAGRAPH_HEX))))))
-    # eight hex digits of the two's complement, leading zeros kept
-    codes = F.concat_ws(",", F.transform(f"{name}_pieces", lambda h: F.lower(F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))))
-    return df.withColumn(name, F.concat(root, F.lit("|"), branches, F.lit("|"), codes)).drop(f"{name}_nodes", f"{name}_sections")
+    leaves = F.concat_ws(",", F.transform(F.flatten(F.flatten(f"{name}_leaves")), lambda x: F.substring(x, 1, LEAF_HEX)))
+    return df.withColumn(name, F.concat(node(F.col(f"{name}_sections")), F.lit("|"), branches, F.lit("|"), leaves)).drop(f"{name}_leaves", f"{name}_nodes", f"{name}_sections")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of distinct finest branches in common, 2 |A and B| / (|A| + |B|); two empty texts are alike."""
+    """Share of distinct leaves in common, 2 |A and B| / (|A| + |B|)."""
     both = F.size(F.array_intersect(a, b))
-    sizes = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(sizes == 0, 1.0).otherwise(2.0 * both / sizes)
+    return 2.0 * both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
 
 
 def pieces_of(column: str) -> Column:
-    """The finest branches in a fingerprint string."""
-    return F.filter(F.split(F.split_part(F.col(column), F.lit("|"), F.lit(3)), ","), lambda x: x != "")
+    """The leaves in a fingerprint string; an empty text has one, the empty piece's."""
+    return F.split(F.split_part(F.col(column), F.lit("|"), F.lit(3)), ",")
 
 
 def fingerprint_likeness(a: str, b: str) -> Column:
@@ -103,8 +101,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = base.join(begin.hint("merge"), "doc_id").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     edited = own.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - half), substring(begin, 1, half))")).drop("begin", "half")
     both = fingerprint(fingerprint(edited, "text", "fingerprint"), "edited", "edited_fingerprint")
-    both = both.withColumn("near_edited", likeness(F.col("fingerprint_pieces"), F.col("edited_fingerprint_pieces")))
-    trees = scratch.keep(both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "fingerprint_pieces"), "trees")
-    pieces = trees.groupBy("doc_id").agg(F.min("fingerprint_pieces").alias("next_pieces")).withColumnRenamed("doc_id", "next_id")
-    near = follow.select("doc_id", "next_id").join(pieces, "next_id").select("doc_id", "next_pieces")
-    return trees.join(near, "doc_id").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("fingerprint_pieces"), F.col("next_pieces")).alias("near_next"))
+    trees = scratch.keep(both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "trees")
+    after = trees.groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("doc_id", "next_id")
+    near = follow.select("doc_id", "next_id").join(after, "next_id").select("doc_id", "next_fingerprint")
+    out = trees.join(near, "doc_id").withColumn("near_edited", fingerprint_likeness("fingerprint", "edited_fingerprint")).withColumn("near_next", fingerprint_likeness("fingerprint", "next_fingerprint"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

