@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import NOT_WS, Scratch, fits_broadcast, text_or_empty
+from sightline.llm.common import NOT_WS, Scratch, fits_broadcast, numbered, row_key, text_or_empty
 
 #: A document is taken at most so often, a source to at most so many times its size.
 CAP = 3
@@ -73,6 +73,9 @@ def multipliers(cells: DataFrame, targets: DataFrame, scratch: Scratch, cap: int
         after = after.withColumn("next", F.when(inside, step).otherwise(halved)).withColumn("near", F.col("done") | near | (F.col("next") == F.col("lam")))
         before, state = state, scratch.keep(after.select("key", "target", "source_size", "mean", "full", F.when(F.col("near"), F.col("lam")).otherwise(F.col("next")).alias("lam"), "lo", "hi", F.col("near").alias("done")), "newton")
         scratch.drop(before)
+    else:
+        if state.where("not done").limit(1).count():
+            raise RuntimeError(f"a source's multiplier was not found in {STEPS} Newton steps")
     return state
 
 
@@ -99,41 +102,60 @@ def cell_copies(cells: DataFrame, state: DataFrame, scratch: Scratch, cap: int =
     return cur.drop("target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies.
-
-    Sources in code-point order, null last, weigh `weights` in turn and share
-    all words of the table; a target stops at cap times its source's size, the excess being reshared by weight.
-    Size counts runs of other than white space; null text has size 0. copies (0 to cap) is how often the document is taken, taken
-    its words times that. A document of size 0 gets one copy, or cap copies in a source that is taken in full measure. Within a cell of equal source and size the
-    documents with the smallest hash of doc_id get the odd copies, so reruns agree; rows that repeat a doc_id are ranked one by one. An empty table gives an empty one; other columns are ignored.
-    """
+def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """The columns of mix, and the source's key and the row's own."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = scratch.keep(docs.select("doc_id", _key().alias("key"), F.regexp_count(text_or_empty(), F.lit(NOT_WS)).cast("long").alias("size")), "sizes")
+    sized = scratch.keep(docs.select("doc_id", row_key(F.col("doc_id"), text_or_empty()).alias("row"), _key().alias("key"), F.regexp_count(text_or_empty(), F.lit(NOT_WS)).cast("long").alias("size")), "sizes")
     rows = sized.count()
     cells = scratch.keep(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
-    place = F.row_number().over(Window.orderBy("key")) - 1
-    weight = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
-    sources = scratch.keep(cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).withColumn("weight", weight), "sources")
+    weight = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    totals = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
+    sources = scratch.keep(numbered(totals, "key", scratch).withColumn("weight", weight).drop("place"), "sources")
     targets = scratch.keep(source_targets(sources, scratch, cap), "targets")
     copies = cell_copies(cells, multipliers(cells, targets, scratch, cap), scratch, cap)
 
     part = max(2000, rows // HOT_SHARE)
     hot = cells.where(F.col("n") > part).select("key", "size", F.ceil(F.col("n") / part).cast("int").alias("parts"))  # at most HOT_SHARE rows
-    dealt = sized.join(F.broadcast(hot), ["key", "size"], "left").withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.coalesce(F.pmod("h", F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    dealt = sized.join(F.broadcast(hot), ["key", "size"], "left").withColumn("h", F.xxhash64("row")).withColumn("part", F.coalesce(F.pmod("h", F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     parts = dealt.groupBy("key", "size", "part").agg(F.count("*").alias("m"))
     before = F.sum("m").over(Window.partitionBy("key", "size").orderBy("part")) - F.col("m")
     parts = parts.withColumn("before", before).join(copies, ["key", "size"]).select("key", "size", "part", "before", "n", F.col("copies").alias("all"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("h", "doc_id")) + F.col("before")
+    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("h", "doc_id", "row")) + F.col("before")
     each = F.floor(F.col("all") / F.col("n")) + F.when(F.col("rank") <= F.col("all") % F.col("n"), 1).otherwise(0)
     ranked = dealt.join(parts, ["key", "size", "part"]).withColumn("rank", rank).withColumn("copies", each.cast("long"))
-    return ranked.join(_small(targets.select("key", "source_size", "target")), "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return ranked.join(_small(targets.select("key", "source_size", "target")), "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "key", "row")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies.
+
+    Sources in code-point order, null last, weigh `weights` in turn and share
+    all words of the table; a target stops at cap times its source's size, the excess being reshared by weight.
+    Size counts runs of other than white space; null text has size 0. copies (0 to cap) is how often the document is taken, taken
+    its words times that. A document of size 0 gets one copy, or cap copies in a source that is taken in full measure. Within a cell of equal source and size the
+    documents with the smallest hash of doc_id and text get the odd copies, so reruns agree; rows that repeat a doc_id are ranked one by one. An empty table gives an empty one; other columns are ignored.
+    """
+    return _mixed(docs, weights, cap).drop("key", "row")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs, whole, as often as mix takes it; rows that repeat a doc_id share the first one's count."""
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """The mix itself: each row of docs, whole, as often as mix takes it.
+
+    Rows equal in source, doc_id and text share their copies: together they are
+    taken as often as mix takes them, the first by a hash of all columns getting the odd ones. Rows that share a doc_id alone have counts of their own. Null text has size 0; an
+    empty table gives an empty one; other columns may have any names.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
-    taken = scratch.keep(mix(docs, **how).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies")), "copies")
-    out = docs.join(taken.withColumnRenamed("doc_id", "_taken"), F.col("doc_id").eqNullSafe(F.col("_taken"))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = _mixed(docs, weights, cap).groupBy("key", "row").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    taken = scratch.keep(taken, "copies")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all")
+    rows = docs.select(every, _key().alias("own_key"), row_key(F.col("doc_id"), text_or_empty()).alias("own_row"))
+    on = (F.col("own_key") == F.col("key")) & (F.col("own_row") == F.col("row"))
+    out = rows.join(taken.where("rows = 1 and copies > 0"), on).select("all", "copies")
+    repeated = taken.where("rows > 1")
+    if repeated.limit(1).count():
+        rank = F.row_number().over(Window.partitionBy("key", "row").orderBy(F.xxhash64("all")))
+        each = F.floor(F.col("copies") / F.col("rows")) + F.when(rank <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+        out = out.union(rows.join(repeated, on).select("all", each.cast("int").alias("copies")).where("copies > 0"))
+    return out.select("all", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("all.*")

@@ -1,8 +1,10 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import mixing
+from sightline.llm.common import row_key
 from tests.conftest import SF01
 from tests.llm.cases import awkward, docs, words
 
@@ -73,3 +75,17 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mix_of_rows_that_share_a_doc_id_or_clash(spark):
+    """Each row is taken as often as mix says for its source, doc_id and text; other columns may be called anything."""
+    rows = [(i % 7, f"s{i % 3}" if i % 5 else None, " ".join(f"w{j}" for j in range(i % 4 * 5 + (i > 20))), i) for i in range(40)] + [(0, "s0", None, 90), (0, "s0", None, 91), (None, "s1", "a b c", 92)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, copies long").withColumn("key", F.lit("k")).withColumn("row", F.lit(1)).withColumn("all", F.lit(2)).withColumn("rows", F.lit(3))
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.source, r.text) for r in out.collect())
+    want = Counter()
+    sized = spark.createDataFrame([r[:3] for r in rows], "doc_id long, source string, text string")
+    for r in mixing._mixed(sized, (1, 2, 3), 3).join(sized.select(row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("row"), "text", "source").distinct(), "row").where("key = coalesce(concat('a', source), 'b')").collect():
+        want[r.doc_id, r.source, r.text] += r.copies
+    assert got == +want and sum(got.values()) > 20
