@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Scratch, text_or_empty
+from sightline.llm.common import Scratch, row_key, text_or_empty
 from sightline.llm.spans import apart, count_kind, joined, with_matches
 
 # The contract's patterns, with possessive repeats, and with a look behind where a match cannot begin within a run that has failed; so they
@@ -16,9 +16,9 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "context"]
 
-#: What a context may reveal: a word with a digit, of five characters or more.
-IDENTIFIER = r"(?<![\p{L}\p{N}_@.+-])(?=[\p{L}_@./+-]{0,60}[0-9])[\p{L}\p{N}_][\p{L}\p{N}_@./+-]{3,62}[\p{L}\p{N}]"
-#: Code points before an identifier in which its context is looked for.
+#: What a context may reveal: a word with a digit, of five characters or more, whole. It begins where no such word goes on, so each run is read a bounded number of times.
+IDENTIFIER = r"(?<![\p{L}\p{N}_@.+-])(?<![\p{L}\p{N}_@.+-]/)(?=[\p{L}_@./+-]*+[0-9])[\p{L}\p{N}_][\p{L}\p{N}_@./+-]{3,}[\p{L}\p{N}]"
+#: A context is the last two words before an identifier; of longer ones, what these code points before it hold.
 REACH = 64
 #: Rounds of the pattern-instance scores; distinct known identifiers that a pattern needs; its least score; the least score of an identifier that counts as known.
 ROUNDS, SUPPORT, CONFIDENT, KNOWN = 3, 5, 0.6, 0.5
@@ -83,12 +83,12 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     found = with_matches(found, "text", IDENTIFIER, 4, "all", reach=REACH).withColumn("others", apart("all", "base"))
     entity = lambda s, seed: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.xxhash64(F.lower(s["body"])).alias("instance"), F.lit(seed).alias("seed"), contexts(s["left"]).alias("patterns"))
     entities = F.concat(F.transform("base", lambda s: entity(s, True)), F.transform("others", lambda s: entity(s, False)))
-    found = scratch.keep(found.select("doc_id", F.xxhash64("text").alias("body"), F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))).alias("base"), entities.alias("entities")), "found")
-    each = found.select("doc_id", "body", F.explode("entities").alias("e")).select("doc_id", "body", "e.*")
+    found = scratch.keep(found.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("body"), F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))).alias("base"), entities.alias("entities")), "found")
+    each = found.select("body", F.explode("entities").alias("e")).select("body", "e.*")
     edges = scratch.keep(each.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     trusted = confident_patterns(edges, scratch)
-    hits = each.where("not seed").select("doc_id", "body", "start", "stop", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
-    hits = hits.select("doc_id", "body", F.struct("start", F.lit(4).alias("kind"), "stop").alias("s")).groupBy("doc_id", "body").agg(F.collect_set("s").alias("more"))
-    out = found.drop("entities").join(hits, ["doc_id", "body"], "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>")))
+    hits = each.where("not seed").select("body", "start", "stop", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
+    hits = hits.select("body", F.struct("start", F.lit(4).alias("kind"), "stop").alias("s")).groupBy("body").agg(F.collect_set("s").alias("more"))
+    out = found.drop("entities").join(hits, "body", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>")))
     out = out.withColumn("every", F.array_sort(F.concat("base", "more")))
     return out.select("doc_id", *(count_kind("base", k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(joined("base", KINDS), 256).alias("base_sha256"), joined("every", KINDS).alias("spans"), F.size("more").cast("long").alias("n_context"))
