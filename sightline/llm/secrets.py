@@ -35,11 +35,15 @@ def with_base(df: DataFrame) -> DataFrame:
 
 
 def transitions(strings: DataFrame) -> DataFrame:
-    """(label, a, b, n) of strings (label, s): how often character number b of the alphabet follows number a; 0 is any other or the beginning."""
+    """(label, a, b, n) of strings (label, s): how often character number b of the alphabet follows number a; 0 is any other or the beginning.
+
+    Equal strings are counted before they are taken apart.
+    """
+    strings = strings.groupBy("label", "s").agg(F.count("*").alias("times"))
     chars = F.split("s", "")
     place = lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c))
     pairs = F.filter(F.zip_with(F.concat(F.array(F.lit("")), chars), chars, lambda a, b: F.struct(place(a).alias("a"), place(b).alias("b"))), lambda p: p["b"].isNotNull())
-    return strings.where(F.length("s") > 0).select("label", F.explode(pairs).alias("p")).groupBy("label", "p.a", "p.b").agg(F.count("*").alias("n"))
+    return strings.where(F.length("s") > 0).select("label", "times", F.explode(pairs).alias("p")).groupBy("label", "p.a", "p.b").agg(F.sum("times").alias("n"))
 
 
 def ratios(counts: list[tuple[str, int, int, int]]) -> list[float] | None:
@@ -67,10 +71,10 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float] | None:
     rows = docs.count()
     part = docs if rows <= fit_docs else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * fit_docs / rows))
     texts = with_base(part.select(text_or_empty().alias("text")))
-    random = texts.select(F.lit("random").alias("label"), F.explode("base.body").alias("s"))
     masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = texts.select(F.lit("ordinary").alias("label"), F.explode(F.regexp_extract_all(masked, F.lit(WORDS), F.lit(0))).alias("s"))
-    return ratios([tuple(r) for r in transitions(random.union(ordinary)).collect()])
+    labelled = lambda strings, label: F.transform(strings, lambda s: F.struct(F.lit(label).alias("label"), s.alias("s")))
+    both = F.concat(labelled(F.col("base.body"), "random"), labelled(F.regexp_extract_all(masked, F.lit(WORDS), F.lit(0)), "ordinary"))
+    return ratios([tuple(r) for r in transitions(texts.select(F.explode(both).alias("x")).select("x.*")).collect()])
 
 
 def ratio(string: Column, table: list[float]) -> Column:
