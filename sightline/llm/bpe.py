@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from sightline.llm.chunks import ChunkEncoder
 from sightline.llm.common import by_value, process_cache, text_or_empty
 
-#: States of the transducer before it starts anew.
-STATES = 250_000
+#: States of the transducer, and chunks of text remembered, before they start anew: some 200 MB a worker in all.
+STATES, MEMO = 150_000, 250_000
 #: Documents encoded at a time; their ids are held as packed words.
 ROWS = 250
 #: Ids decoded at a time.
@@ -244,7 +244,7 @@ def chunk_encoder(transducer: Transducer, pattern: str) -> ChunkEncoder:
         own = transducer.encode(piece.encode())
         return struct.pack(f"<{len(own)}I", *own)
 
-    return ChunkEncoder(word, lambda text: b"".join(map(word, split(text))))
+    return ChunkEncoder(word, lambda text: b"".join(map(word, split(text))), MEMO)
 
 
 def encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:

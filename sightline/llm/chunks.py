@@ -28,8 +28,8 @@ class ChunkEncoder:
     word encodes a run of letters, with or without a leading space; text encodes anything. Both give ids as little-endian 32-bit words.
     """
 
-    def __init__(self, word: Callable[[str], bytes], text: Callable[[str], bytes]):
-        self.word, self.text = word, text
+    def __init__(self, word: Callable[[str], bytes], text: Callable[[str], bytes], entries: int | None = None):
+        self.word, self.text, self.entries = word, text, entries or MEMO
         self.memo: dict[str, bytes | None] = {}
         self.known: dict[str, bytes] = {}
 
@@ -68,9 +68,9 @@ class ChunkEncoder:
         return word if len(base) == len(line) else word + self.piece(line[len(base) :], self.text)
 
     def encode(self, text: str) -> bytes:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.entries:
             self.memo.clear()
-        if len(self.known) > MEMO // 3:
+        if len(self.known) > self.entries // 3:
             self.known.clear()
         chunks = text.split(" ")
         first = chunks.pop(0)

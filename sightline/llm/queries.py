@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sightline.llm import bpe, exact_dedup, merkle, minhash_dedup, mixing, paragraph_dedup, personal_data, secrets, token_files, toxicity
+from sightline.llm import bpe, exact_dedup, merkle, minhash_dedup, mixing, oracle, paragraph_dedup, personal_data, secrets, token_files, toxicity
 from sightline.llm.common import table
 
 
@@ -24,7 +24,7 @@ def _toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity_severity": _toxicity,
-    "op2_token_files": _documents(lambda docs: token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)),
+    "op2_token_files": _documents(lambda docs: token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))),
     "op3_merkle_fingerprints": _documents(merkle.fingerprints),
     "op4_minhash_near_duplicates": _documents(minhash_dedup.near_duplicates),
     "op5_paragraph_repeats": _documents(paragraph_dedup.repeats),
@@ -34,6 +34,10 @@ QUERIES = {
     "op9_bpe_encode_decode": _documents(lambda docs: bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
     "op10_mix_sources": _documents(mixing.mix),
     "pipeline": _pipeline,
+    # columns of op7, op8 and op10 that SQL can express
+    "secret_base_spans": _documents(lambda docs: secrets.secret_spans(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")),
+    "personal_base_spans": _documents(lambda docs: personal_data.personal_spans(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")),
+    "mix_source_targets": _documents(lambda docs: mixing.mix(docs).select("doc_id", "size", "source_size", "target")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.SQL

@@ -52,9 +52,15 @@ def tokenizer_encoder(path: str, added: bool = True) -> Callable[[str], bytes]:
     if tokenizer.normalizer is not None or not isinstance(split, pre_tokenizers.ByteLevel) or split.add_prefix_space or not split.use_regex:
         return whole
 
+    packed = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
+    blank = letters[32]
+
     def word(piece: str) -> bytes:
-        ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if piece.isascii():
+            mapped = piece.replace(" ", blank)
+        else:
+            mapped = piece.encode().decode("latin-1").translate(letters)
+        return b"".join([packed[t.id] for t in model.tokenize(mapped)])
 
     chunks, marks = ChunkEncoder(word, whole), [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
     return lambda text: whole(text) if any(m in text for m in marks) else chunks.encode(text)
