@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
-from sightline.functions.names import ACCEPT, REVIEW, token_set_ratio
+from sightline.functions.names import ACCEPT, REVIEW, token_set_ratios
 
 CONFIDENT, RESIDUAL, DUPLICATE = 1, 2, 3
 FLOOR, MARGIN = 60, 20
@@ -170,7 +170,7 @@ def roster_rows(pdf_rows: list[tuple], known: dict[int, str], expected: int | No
             out.append((ordinal, "unreadable_name", None))
             continue
         # of equal scores the member known for longer
-        score, at = max(((token_set_ratio(name, n), -k) for k, (_, n) in enumerate(pool)), default=(0, 0))
+        score, at = max(((x, -k) for k, x in enumerate(token_set_ratios([(name, n) for _, n in pool]))), default=(0, 0))
         if score >= ACCEPT:
             member = pool[-at][0]
             used.add(member)
