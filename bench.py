@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from sightline.plans import registry
 
-HEADLINE = ["live_leaderboard", "o_ups_confidence_upsert", "a_cf_run_state", "j_own_chain", "j_ownr_as_of", "w_bnd_neighbour_bounds", "w_cum_offsets", "a_sep_separation", "a_arg_recognised_screen", "s_key_content_addresses", "m_pwr_growth", "m_stk_streaks", "m_car_lowest_decile", "er_rec_reconcile", "f_parse_round_trip"]
+HEADLINE = ["live_leaderboard", "o_ups_confidence_upsert", "a_cf_run_state", "j_own_chain", "j_ownr_as_of", "w_bnd_neighbour_bounds", "w_cum_offsets", "a_sep_separation", "a_arg_recognised_screen", "s_key_content_addresses", "m_pwr_growth", "m_stk_streaks", "m_car_lowest_decile", "er_rec_reconcile", "f_parse_round_trip", "er_rank_weighted", "er_asn_assignment", "er_att_attribution", "j_ovl_overlaps", "j_plan_due_work", "w_peak_decoys", "o_trn_runs", "g_bfs_hops"]
 
 
 def main() -> None:

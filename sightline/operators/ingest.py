@@ -35,8 +35,8 @@ def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: D
     seeded = resolve.seeds(rows)
     sure = sequences.consistent(seeded.where("seeds").select("capture_id", "row", "points"), ["capture_id"], ["row"], "points").where("keep").select("capture_id", "row", F.lit(True).alias("known"))
     bounded = sequences.neighbour_bounds(seeded.join(sure, ["capture_id", "row"], "left").fillna({"known": False}), ["capture_id"], ["row"], "points", "known")
-    told = resolve.attribution(*(F.col(c) for c in ("phase", "top", "text", "confidence", "score", "lo", "hi", "late_text", "late_confidence", "retried")))
-    out = bounded.withColumn("a", told).select("capture_id", "row", "member", "phase", "name_text", F.col("text").alias("raw"), F.col("a.outcome").alias("outcome"), F.col("a.value").alias("value"), F.col("a.confidence").alias("confidence"), F.col("a.reason").alias("reason"))
+    told = resolve.attributed(bounded, "a", *(F.col(c) for c in ("phase", "top", "text", "confidence", "score", "lo", "hi", "late_text", "late_confidence", "retried")))
+    out = told.select("capture_id", "row", "member", "phase", "name_text", F.col("text").alias("raw"), F.col("a.outcome").alias("outcome"), F.col("a.value").alias("value"), F.col("a.confidence").alias("confidence"), F.col("a.reason").alias("reason"))
     lost = out.groupBy("capture_id").agg(F.count("*").alias("parsed"), F.count_if((F.col("member") < 0) & (F.col("phase") != resolve.DUPLICATE)).alias("unidentified"))
     state = captures.join(lost, "capture_id", "left").fillna({"parsed": 0, "unidentified": 0})
     taken = out.where("member >= 0").select("capture_id", F.col("member").cast("long").alias("member_id"))

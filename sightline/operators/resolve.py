@@ -79,28 +79,36 @@ def assignments(scores: DataFrame, by: str, floor: int = FLOOR, margin: int = MA
     return scores.groupBy(by).applyInPandas(run, f"{by} {scores.schema[by].dataType.simpleString()}, {PAIR}")
 
 
-def attribution(phase: Column, top: Column, text: Column, read_conf: Column, score: Column, lo: Column, hi: Column, retry: Column, retry_conf: Column, from_retry: Column) -> Column:
-    """struct(outcome, value, confidence, reason) of a row, the checks in their order: duplicate, unmatched, parse, repair within bounds, late retry, order, confidence.
+def attributed(df: DataFrame, name: str, phase: Column, top: Column, text: Column, read_conf: Column, score: Column, lo: Column, hi: Column, retry: Column, retry_conf: Column, from_retry: Column) -> DataFrame:
+    """Adds struct(outcome, value, confidence, reason) of each row, the checks in their order: duplicate, unmatched, parse, repair within bounds, late retry, order, confidence.
 
     A trailing artifact is trimmed before anything is parsed or repaired. A
     late retry is tried only where the first read wasn't a retry itself; it must parse within the bounds and brings its own confidence. Bounds that
-    are closed and narrow raise a weak read to the least confidence that is written, but not a repaired one.
+    are closed and narrow raise a weak read to the least confidence that is written, but not a repaired one. Each step is a column of its
+    own, so that none is computed anew wherever it is used.
     """
-    trimmed = parse.without_artifact(text)
-    first = parse.points(trimmed)
-    fixed = F.when(first.isNull(), parse.repaired_points(trimmed, lo, hi))
-    second = parse.points(parse.without_artifact(retry))
-    late = F.when(first.isNull() & fixed.isNull() & ~from_retry & parse.within(second, lo, hi), second)
-    value = F.coalesce(first, fixed, late)
-    match = F.when(phase == RESIDUAL, RESIDUAL_MATCH).otherwise(score / 100)
-    weak = F.least(match, F.when(late.isNotNull(), retry_conf).otherwise(read_conf))
-    sure = fixed.isNull() & (hi < 2**63 - 1) & (lo > 0) & (hi - lo <= value)
-    confidence = F.when((weak < WRITE) & sure, WRITE).otherwise(weak)
-    unmatched = F.when(top >= REVIEW, "ambiguous_name_match").otherwise("no_confident_match")
-    reason = F.when(phase == 0, unmatched).when(value.isNull(), "unparseable_points").when(~parse.within(value, lo, hi), "points_out_of_order").when(confidence < WRITE, "low_confidence_points")
-    outcome = F.when(phase == DUPLICATE, "duplicate").when(reason.isNotNull(), "review").otherwise("fact")
-    told = (outcome == "fact") | (reason == "low_confidence_points")
-    return F.struct(outcome.alias("outcome"), F.when(outcome == "fact", value).alias("value"), F.when((phase != DUPLICATE) & told, F.round(confidence, 6)).alias("confidence"), F.when(phase != DUPLICATE, reason).alias("reason"))
+    given = {"phase": phase, "top": top, "text": parse.without_artifact(text), "read": read_conf, "score": score, "lo": lo, "hi": hi, "retry": retry_conf, "again": from_retry}
+    c = {k: F.col(f"_a_{k}") for k in (*given, "first", "second", "fixed", "late", "value", "weak", "sure", "confidence", "reason", "outcome")}
+
+    def step(df: DataFrame, **new: Column) -> DataFrame:
+        return df.withColumns({f"_a_{k}": v for k, v in new.items()})
+
+    out = step(df, **given, second=parse.points(parse.without_artifact(retry)))
+    out = step(out, first=parse.points("_a_text"))
+    out = step(out, fixed=F.when(c["first"].isNull(), parse.repaired_points("_a_text", "_a_lo", "_a_hi")))
+    tried = c["first"].isNull() & c["fixed"].isNull() & ~c["again"] & parse.within("_a_second", "_a_lo", "_a_hi")
+    out = step(out, late=F.when(tried, c["second"]))
+    out = step(out, value=F.coalesce("_a_first", "_a_fixed", "_a_late"))
+    match = F.when(c["phase"] == RESIDUAL, RESIDUAL_MATCH).otherwise(c["score"] / 100)
+    out = step(out, weak=F.least(match, F.when(c["late"].isNotNull(), c["retry"]).otherwise(c["read"])), sure=c["fixed"].isNull() & (c["hi"] < 2**63 - 1) & (c["lo"] > 0) & (c["hi"] - c["lo"] <= c["value"]))
+    out = step(out, confidence=F.when((c["weak"] < WRITE) & c["sure"], WRITE).otherwise(c["weak"]))
+    unmatched = F.when(c["top"] >= REVIEW, "ambiguous_name_match").otherwise("no_confident_match")
+    why = F.when(c["phase"] == 0, unmatched).when(c["value"].isNull(), "unparseable_points").when(~parse.within("_a_value", "_a_lo", "_a_hi"), "points_out_of_order").when(c["confidence"] < WRITE, "low_confidence_points")
+    out = step(out, reason=F.when(c["phase"] != DUPLICATE, why))
+    out = step(out, outcome=F.when(c["phase"] == DUPLICATE, "duplicate").when(c["reason"].isNotNull(), "review").otherwise("fact"))
+    told = (c["outcome"] == "fact") | (c["reason"] == "low_confidence_points")
+    result = F.struct(c["outcome"].alias("outcome"), F.when(c["outcome"] == "fact", c["value"]).alias("value"), F.when(told, F.round(c["confidence"], 6)).alias("confidence"), c["reason"].alias("reason"))
+    return out.withColumn(name, result).drop(*(f"_a_{k}" for k in c))
 
 
 def field_outcomes(rows: DataFrame, by: list[str], match: str, fields: dict[str, tuple[str, str, str]]) -> DataFrame:

@@ -34,8 +34,8 @@ def er_att_attribution(spark, d):
     text = F.when(F.col("kind") == 0, F.col("s")).when(F.col("kind") == 1, F.concat("s", F.lit(" pts|"))).when(F.col("kind") == 2, broken).otherwise("no number")
     retry = F.when(F.col("kind") == 4, "still none").otherwise(F.concat("s", F.lit(" .")))
     lo, hi = v + F.when(F.col("shifted"), 50).otherwise(-40), v + F.when(F.col("shifted"), 90).otherwise(40)
-    told = resolve.attribution(F.col("phase"), F.col("top"), text, F.col("conf"), F.col("score"), lo, hi, retry, F.lit(0.9), F.col("retried"))
-    return k.select("l_orderkey", "l_linenumber", "l_suppkey", told.alias("a")).select("l_orderkey", "l_linenumber", "l_suppkey", "a.*")
+    told = resolve.attributed(k, "a", F.col("phase"), F.col("top"), text, F.col("conf"), F.col("score"), lo, hi, retry, F.lit(0.9), F.col("retried"))
+    return told.select("l_orderkey", "l_linenumber", "l_suppkey", "a.*")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey, metric, CASE WHEN v IS NULL THEN 'unparseable_' || metric WHEN least(1 - l_tax, c) < 0.95 THEN 'low_confidence_' || metric ELSE 'fact' END AS outcome FROM (SELECT *, 'power' AS metric, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS v, 1 - l_discount AS c FROM lineitem UNION ALL SELECT *, 'level', CASE WHEN l_linenumber <> 3 THEN l_linenumber END, 0.97 FROM lineitem)""")

@@ -34,6 +34,7 @@ def is_hash(c: Column) -> Column:
 
 def labelled_files(spark, root: str) -> DataFrame:
     """(label, hash, path) of the PNG files below folders named by label, and whether a file is stray (not named by a digest)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(root).select("path", "length")
+    # files are named by a pattern, as a folder whose name begins with "_" would be passed over in a listing
+    df = spark.read.format("binaryFile").load(f"{root}/*/*.png").select("path", "length")
     name = F.regexp_extract("path", r"([^/]+)\.png\z", 1)
     return df.select(F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1).alias("label"), name.alias("hash"), "path", "length", (~is_hash(name)).alias("stray"))

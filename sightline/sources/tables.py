@@ -12,10 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts_of(lines: DataFrame) -> DataFrame:
     """Facts: a supplier is a member, a return flag a metric, a line its value, a discount the confidence."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_suppkey").alias("member_id"), F.col("l_returnflag").alias("metric"), parse.period_key("l_shipdate").alias("period_key"), F.col("l_linestatus").alias("source"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("observed_at"), F.col("l_extendedprice").alias("value"), F.col("l_discount").cast("float").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"))
+    return lines.select(F.col("l_suppkey").alias("member_id"), F.col("l_returnflag").alias("metric"), parse.period_key("l_shipdate").alias("period_key"), F.col("l_linestatus").alias("source"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("observed_at"), F.col("l_extendedprice").alias("value"), F.col("l_discount").cast("float").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts_of(table(spark, sf_dir, "lineitem"))
 
 
 FACTS_SQL = """facts AS (SELECT l_suppkey AS member_id, l_returnflag AS metric, strftime(l_shipdate, '%G-W%V') AS period_key, l_linestatus AS source, strftime(l_shipdate, '%Y-%m-%d') AS observed_at, l_extendedprice AS value, CAST(l_discount AS FLOAT) AS confidence, l_orderkey * 10 + l_linenumber AS arrival FROM lineitem)"""

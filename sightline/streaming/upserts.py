@@ -21,9 +21,7 @@ def replayed(spark: SparkSession, path: str, schema, files: int = 1) -> DataFram
 
 def best_readings(facts: DataFrame, key: list[str] = KEY) -> DataFrame:
     """The upsert as a running aggregation: of one key, the reading that came first with the highest confidence, and its first arrival. For output modes update and complete."""
-    rest = [c for c in facts.columns if c not in key]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col("confidence").cast("float"), F.lit(0.0).cast("float")), -F.col("arrival")))
-    return facts.groupBy(*key).agg(best.alias("_b"), F.min("arrival").alias("fact_id")).select(*key, "_b.*", "fact_id")
+    return upsert(facts, key).drop("reads")
 
 
 def stale_runs(starts: DataFrame, finishes: DataFrame, ts: str, wait: str) -> DataFrame:

@@ -20,6 +20,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false")  # tables are tiny, so compiling a plan costs more than running it
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

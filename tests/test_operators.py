@@ -81,7 +81,7 @@ def test_a_created_member_does_not_win_a_tie():
 def test_attribution(spark):
     rows = [(1, 95, "1,234", 0.9, 95, 0, 2**63 - 1, ""), (3, 95, "1", 0.9, 95, 0, 9, ""), (0, 80, "1", 0.9, 0, 0, 9, ""), (0, 10, "1", 0.9, 0, 0, 9, ""), (1, 95, "1,2?4", 0.9, 95, 1200, 1215, ""), (1, 95, "x?y", 0.9, 95, 0, 9, "7"), (1, 95, "zz", 0.9, 95, 0, 9, "77"), (1, 95, "50", 0.9, 95, 0, 9, ""), (1, 95, "1,000", 0.5, 95, 500, 1100, ""), (1, 95, "1,000", 0.5, 95, 0, 1100, ""), (2, 70, "5", 0.95, 70, 1, 9, ""), (1, 95, "1,2?4 pts", 0.9, 95, 1230, 1239, ""), (1, 95, "zz", 0.9, 95, 0, 9, "7 x")]
     df = spark.createDataFrame([(*r, 0.85, False) for r in rows] + [(1, 95, "zz", 0.9, 95, 0, 9, "7", 0.9, True)], "phase int, top int, text string, conf double, score int, lo long, hi long, retry string, retry_conf double, from_retry boolean")
-    got = [r.a for r in df.select(resolve.attribution(*(F.col(c) for c in df.columns)).alias("a")).collect()]
+    got = [r.a for r in resolve.attributed(df, "a", *(F.col(c) for c in df.columns)).select("a").collect()]
     assert [(a.outcome, a.value, a.reason) for a in got] == [("fact", 1234, None), ("duplicate", None, None), ("review", None, "ambiguous_name_match"), ("review", None, "no_confident_match"), ("review", None, "unparseable_points"), ("fact", 7, None), ("review", None, "unparseable_points"), ("review", None, "points_out_of_order"), ("fact", 1000, None), ("review", None, "low_confidence_points"), ("fact", 5, None), ("fact", 1234, None), ("fact", 7, None), ("review", None, "unparseable_points")]
     assert got[8].confidence == 0.8 and got[10].confidence == 0.85 and got[5].confidence == 0.85 and got[9].confidence == 0.5
 
