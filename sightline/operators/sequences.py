@@ -5,11 +5,12 @@ from __future__ import annotations
 import bisect
 import sys
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 OPEN = 2**63 - 1
@@ -51,30 +52,30 @@ def longest_falling(values: list) -> list[bool]:
 def consistent(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Adds keep: whether a row is in its group's longest non-increasing subsequence. A group is one capture, some hundred rows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(keep=longest_falling(pdf[value].tolist()))
-
-    return df.groupBy(*by).applyInPandas(run, df.withColumn("keep", F.lit(True)).schema)
+    return _by_group(df, by, order, lambda rows: (longest_falling(rows[value]),), "keep boolean")
 
 
 def _by_group(df: DataFrame, by: list[str], order: list[str], fold, extra: str) -> DataFrame:
-    """df with the columns of `extra`, which fold gives for the rows of one group in order. A group is one capture, so it is bounded."""
+    """df with the columns of `extra`, which fold gives for the columns (as lists) of one group in order. A group is one capture, so it is bounded."""
     add = StructType.fromDDL(extra)
+    schema = StructType([*df.schema.fields, *add.fields])
+    kinds = to_arrow_schema(add)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        return pdf.assign(**dict(zip(add.names, fold(pdf), strict=True)))
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[(c, "ascending") for c in order]))
+        for field, values in zip(kinds, fold({c: group.column(c).to_pylist() for c in group.column_names if c not in by}), strict=True):
+            group = group.append_column(field.name, pa.array(values, field.type))
+        return group
 
-    return df.groupBy(*by).applyInPandas(run, StructType([*df.schema.fields, *add.fields]))
+    return df.groupBy(*by).applyInArrow(run, schema)
 
 
 def spaced(df: DataFrame, by: list[str], order: list[str], at: str, gap: float) -> DataFrame:
     """Adds accepted: whether a row lies more than gap beyond the last one accepted, in order; a fold, since a dropped row does not count."""
 
-    def fold(pdf):
+    def fold(rows):
         out, last = [], None
-        for y in pdf[at].tolist():
+        for y in rows[at]:
             out.append(last is None or y > last + gap)
             last = y if out[-1] else last
         return (out,)
@@ -88,18 +89,17 @@ def collected(df: DataFrame, by: list[str], order: list[str], at: str, reach: fl
     new rows are collected; one seen before is read again until a reading resolves it, then skipped.
     """
 
-    def fold(pdf):
-        known, done, places, actions = np.empty(len(pdf)), np.zeros(len(pdf), bool), [], []
-        n = 0
-        for y, good in zip(pdf[at].to_numpy(dtype=float), pdf[resolves].to_numpy(dtype=bool), strict=True):
-            near = np.flatnonzero(np.abs(known[:n] - y) <= reach)
-            k = int(near[0]) if len(near) else n
-            if k == n:
-                known[n], n = y, n + 1
+    def fold(rows):
+        known, done, places, actions = [], [], [], []
+        for y, good in zip(rows[at], rows[resolves], strict=True):
+            k = next((k for k, x in enumerate(known) if abs(x - y) <= reach), len(known))
+            if k == len(known):
+                known.append(y)
+                done.append(False)
                 actions.append("new")
             else:
                 actions.append("skipped" if done[k] else "read again")
-            done[k] |= good
+            done[k] = done[k] or good
             places.append(k)
         return places, actions
 
