@@ -12,27 +12,27 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on the labels, does not reject."""
+    """Documents that the ordinal model, fitted on the labels, does not reject; null and empty texts are clean, labels that are null or of no document are ignored."""
     return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The owner of each text without white space."""
+    """The owner of each text without white space: one row, also where rows are equal; null texts count as empty."""
     return exact_dedup.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One document of each near-duplicate component; texts without words have no partner. A doc_id with several texts has a fate for each."""
     return minhash_dedup.kept_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source weights ask for, from none to three times."""
+    """Documents as often as the source weights ask for, from none to three times; a missing source is one of its own and comes last."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, with the digests of ids and of the text decoded from them."""
+    """Token ids of each document of the mix, with the digests of ids and of the text decoded from them; a null text has none."""
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over documents; what goes from stage to stage is written as Parquet and read again."""
+    """The result of the last stage over documents; what goes from stage to stage is written as Parquet and read again. An empty table gives an empty result; columns besides doc_id, text and source pass through untouched."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
