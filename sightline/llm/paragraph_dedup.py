@@ -17,7 +17,7 @@ MIN_WORDS = 1
 BANDS, ROWS = 18, 4
 NUM, DEN = 80, 100
 #: Words of a window. Every stretch of so many words that recurs is found, whatever lines it runs over.
-WINDOW = 20
+WINDOW = 40
 #: Words of the runs whose least hash stands for a window; equal windows have equal ones.
 RUN = 10
 #: Repeated paragraphs up to so many (16 MB) are broadcast with their texts' rows; more are joined by a shuffle.
@@ -171,7 +171,7 @@ def _points(buf: np.ndarray) -> np.ndarray:
 
 def _keys(batches):
     """The distinct least hashes of each text's windows and at how many places they are, two standing for more: in all, with a window outside removed and outside all repeated paragraphs."""
-    for batch in batches:
+    for batch in slices(batches, TEXTS):
         for lo, buf, cuts, row, first, least, place, _, begins, ends in _windows(batch.column(1)):
             state, _ = _lie(batch.column(2).slice(lo, len(cuts) - 1), cuts, _points(buf), first, begins, ends)
             # a place has the state of its freest window
@@ -186,7 +186,7 @@ def _keys(batches):
 
 def _candidates(batches):
     """The windows of each text whose least hash is among its keys, and how they lie to its repeated paragraphs."""
-    for batch in batches:
+    for batch in slices(batches, TEXTS):
         keys = batch.column(3)
         for lo, buf, cuts, row, first, least, _, h, begins, ends in _windows(batch.column(2)):
             hit, points = np.zeros(len(first), bool), _points(buf)
