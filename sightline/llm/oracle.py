@@ -40,7 +40,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 TARGETS = rf"""WITH {TEXTS}, z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM z GROUP BY source),
 c AS (SELECT *, CAST((SELECT sum(source_size) FROM s) AS DOUBLE) - coalesce(sum(3 * source_size) OVER before, 0) AS rest, sum(w) OVER after AS left_w FROM s WINDOW before AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-l AS (SELECT coalesce(min(rest / left_w) FILTER (3.0 * source_size >= w * (rest / left_w)), 0) AS level FROM c)
+l AS (SELECT coalesce(arg_min(rest / left_w, 3.0 * source_size / w) FILTER (3.0 * source_size >= w * (rest / left_w)), 0) AS level FROM c)
 SELECT doc_id, size, source_size, least(source_size * 3.0::DOUBLE, w * level) AS target FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source, l"""
 
 SQL = {"op6_exact_duplicates": EXACT, "secret_base_spans": spans_sql(SECRETS), "personal_base_spans": spans_sql(PERSONAL), "mix_source_targets": TARGETS}
