@@ -146,13 +146,14 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(few, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (own == gone["row"]), "left_anti")
 
 
-def numbered(df: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """Adds place, from 0, in the order of a unique key: rows are dealt by range and numbered in each range, and only the counts of the ranges meet in one task."""
-    dealt = scratch.keep(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
+def numbered(df: DataFrame, key: str | list[str], scratch: Scratch) -> DataFrame:
+    """Adds place, from 0, in the order of a unique key of one or more columns: rows are dealt by range and numbered in each range, and only the counts of the ranges meet in one task."""
+    keys = [key] if isinstance(key, str) else key
+    dealt = scratch.keep(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_m"))
     before = F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
     counts = scratch.keep(counts.select("_part", before.alias("_before")), "counts")  # one row per range
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
     return dealt.withColumn("_inside", inside).join(F.broadcast(counts) if fits_broadcast(counts, 100_000) else counts, "_part").withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
 
 
