@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import Scratch, by_value, slices, text_or_empty
 
-#: Labelled documents that a model is fitted on at the most: those with the smallest hash of doc_id. The only bound here; every document is scored.
+#: Labelled rows that a model is fitted on at the most: those with the smallest hash of doc_id, then of the text. The only bound here; every document is scored.
 FIT_ROWS = 20_000
 #: Features kept by the fit, of those found in at least SUPPORT fitted documents.
 FEATURES, SUPPORT = 4096, 5
@@ -94,7 +94,7 @@ def _feature_batches(batches):
                     f = memo[w] = word_features(w)
                 found.update(f)
             out.append(sorted(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "toxic", "body", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
@@ -108,8 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal
     scratch = Scratch(docs.sparkSession, "toxicity")
     target = "grade" if "grade" in labels.columns else "toxic"
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = scratch.keep(texts.mapInArrow(_feature_batches, "doc_id long, toxic int, features array<long>"), "features")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text", F.xxhash64("text").alias("body"))
+    found = scratch.keep(texts.mapInArrow(_feature_batches, "doc_id long, toxic int, body long, features array<long>").withColumn("row", F.monotonically_increasing_id()), "found")
+    # a doc_id can have many rows, so the rows are bounded once more; without their features, as they meet in one task
+    order = (F.xxhash64("doc_id"), "doc_id", "body", "row")
+    some = found.select("doc_id", "body", "row").orderBy(*order).limit(fit_rows).select("row")
+    rows = scratch.keep(found.join(F.broadcast(some), "row"), "features")
+    scratch.drop(found)
     half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int")
     sizes = {(r.half, r.bad): r.n for r in rows.groupBy(half.alias("half"), (F.col("toxic") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
     n = {(f, bad): sizes.get((f, bad), 0) for f in (0, 1) for bad in (False, True)}
@@ -131,10 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal
 
     best = counts.select("feature", g2.alias("g2"), marks(0).alias("mark0"), marks(1).alias("mark1")).orderBy(F.desc("g2"), "feature").limit(FEATURES).collect()  # FEATURES rows at the most
     index = docs.sparkSession.createDataFrame([(r.feature, k, r.mark0, r.mark1) for k, r in enumerate(best)], "feature long, k int, mark0 boolean, mark1 boolean")
-    found = rows.select("doc_id", F.explode("features").alias("feature")).join(F.broadcast(index), "feature")
-    found = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("k")).alias("ks"), F.count_if(F.col("mark0")).alias("m0"), F.count_if(F.col("mark1")).alias("m1"))
-    fitted = rows.select("doc_id", "toxic").join(found, "doc_id", "left").select("doc_id", "toxic", F.coalesce("ks", F.array().cast("array<int>")).alias("ks"), F.coalesce(F.when(half == 0, F.col("m1")).otherwise(F.col("m0")), F.lit(0)).cast("int").alias("marks"))
-    sparse = fitted.orderBy("doc_id", "toxic").drop("doc_id").toArrow()  # fit_rows rows at the most, packed: four bytes for each feature of a document
+    found = rows.select("row", F.explode("features").alias("feature")).join(F.broadcast(index), "feature")
+    found = found.groupBy("row").agg(F.sort_array(F.collect_set("k")).alias("ks"), F.count_if(F.col("mark0")).alias("m0"), F.count_if(F.col("mark1")).alias("m1"))
+    fitted = rows.drop("features").join(found, "row", "left").select("doc_id", "body", "row", "toxic", F.coalesce("ks", F.array().cast("array<int>")).alias("ks"), F.coalesce(F.when(half == 0, F.col("m1")).otherwise(F.col("m0")), F.lit(0)).cast("int").alias("marks"))
+    sparse = fitted.orderBy("doc_id", "body", "row").drop("doc_id", "body", "row").toArrow()  # fit_rows rows at the most, packed: four bytes for each feature of a document
     scratch.drop(rows)
     toxic, marked = sparse.column("toxic").to_numpy(), sparse.column("marks").to_numpy()
     lists = sparse.column("ks").combine_chunks()

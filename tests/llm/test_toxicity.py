@@ -66,3 +66,15 @@ def test_given_grades(spark):
     labels = spark.createDataFrame([(i, i % 4) for i in range(400)], "doc_id long, grade int")
     got = toxicity.severities(df, labels).collect()
     assert all(r.grade == r.doc_id % 4 for r in got)
+
+
+def test_fitted_rows_are_bounded_also_where_a_doc_id_repeats(spark, monkeypatch):
+    seen = []
+    real = toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda rows, cols, grades, *a: seen.append(grades) or real(rows, cols, grades, *a))
+    rows = [(i % 5, f"{'bad' if i % 5 == 0 else 'good'} word number{i % 40}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(5)], "doc_id long, toxic int")
+    models = [toxicity.fit(df.repartition(n), labels, fit_rows=450) for n in (3, 7)]
+    assert [len(x) for x in seen] == [450, 450] and (seen[0] == seen[1]).all()
+    assert models[0] == models[1] and models[0].weights
