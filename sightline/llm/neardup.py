@@ -3,7 +3,7 @@
 Candidates come from equal bands; every link is confirmed on full shingle
 sets. Items with equal sets become one class before any pairing. In a bucket of m classes, m - 1 pairs with the smallest
 are tried first; a bucket that is then in one component is finished. The others are cut into blocks of
-about BLOCK classes, and each pair of blocks is compared in one task, which
+about BLOCK classes or SHINGLES shingles, and each pair of blocks is compared in one task, which
 returns at most a spanning forest of new links. So no pair of a bucket goes unchecked
 unless its ends are already connected, no task holds more than two blocks, and no table of all pairs is ever made.
 """
@@ -23,6 +23,8 @@ from sightline.llm.graph import components
 from sightline.llm.kernels import band_keys, circulant_signatures, fingerprint, list_array, shingle_sets, string_buffer, words
 
 BLOCK = 512
+#: Shingles of a block, about: blocks of large sets hold fewer classes, so that what a task holds doesn't follow the length of texts.
+SHINGLES = 1 << 20
 #: Texts hashed at a time.
 ROWS = 1000
 #: Shared band keys up to this many (12 MB) are broadcast; more are joined by a shuffle.
@@ -148,11 +150,11 @@ def link_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], nu
     first = scratch.keep(components(links, scratch), "first")
 
     placed = members.where("m > 2").join(first, members["rep"] == first["id"], "left").select("key", "rep", "m", F.coalesce("component", "rep").alias("comp"))
-    placed = scratch.keep(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("m")).where("lo <> hi")
+    placed = scratch.keep(placed.join(sizes, "rep"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("m"), F.min("rep").alias("leader"), F.sum("n").alias("shingles")).where("lo <> hi")
     # of buckets with the same members one is enough
-    mixed = mixed.groupBy("m", "sum", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.drop("m").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    mixed = mixed.groupBy("m", "sum", "lo", "hi", "leader", "shingles").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / SHINGLES)).cast("int").alias("blocks"))
+    rows = placed.drop("m", "n").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     more = rows.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(block_links(num, den), "u long, v long")
     more = scratch.keep(more, "blocks")
