@@ -11,8 +11,6 @@ from sightline.llm.common import NOT_WS, Scratch, fits_broadcast, numbered, row_
 CAP = 3
 #: Relative distance to the target at which a source's multiplier is found, and Newton steps at the most.
 TOLERANCE, STEPS = 1e-10, 60
-#: Rounds in which whole documents are added or left out to meet the target after rounding.
-REPAIRS = 6
 #: Sources up to this many are broadcast (the count is checked); more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: A cell (documents of one source and size) with more than this share of all rows is ranked in parts; there are at most the reciprocal number of them.
@@ -83,21 +81,24 @@ def cell_copies(cells: DataFrame, state: DataFrame, scratch: Scratch, cap: int =
     """(key, size, n, copies): whole copies that each cell's n documents get together.
 
     Rates are added up from small to large documents and rounded as they go,
-    so each source misses its target by at most its largest document; then whole documents, the largest that still fit the gap, are added or left out.
+    so each source misses its target by at most its largest document; then whole documents are added or left out, from large to small as
+    long as they fit the gap by their running sum. Each round halves the gap at least or uses up what fits, so the rounds are few. What is left of a gap is smaller than any document that could still close it.
     """
     rate = F.when(F.col("full"), F.lit(float(cap))).when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)))))
     rated = cells.join(_small(state.select("key", "lam", "mean", "full", "target")), "key").withColumn("due", (F.col("n") * rate).cast(EXACT))
     sofar = F.sum("due").over(Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
     rounded = rated.withColumn("upto", sofar).withColumn("copies", (F.floor(F.col("upto") + F.lit(0.5)) - F.floor(F.col("upto") - F.col("due") + F.lit(0.5))).cast("long"))
     cur = scratch.keep(rounded.select("key", "size", "n", F.least(F.greatest("copies", F.lit(0)), F.col("n") * cap).alias("copies"), "target"), "rounded")
-    for _ in range(REPAIRS):
+    while True:
         gaps = cur.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         room = F.when(F.col("gap") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
-        with_gap = cur.join(_small(scratch.keep(gaps, "gaps")), "key").withColumn("room", F.least(room, F.floor(F.abs("gap") / F.when(F.col("size") > 0, F.col("size")))))
-        fixes = scratch.keep(with_gap.where("room > 0").groupBy("key").agg(F.max(F.struct("size", "room", F.signum("gap").cast("long").alias("sign"))).alias("fix")), "fixes")
+        fits = cur.join(_small(scratch.keep(gaps, "gaps")), "key").withColumns({"room": room, "left": F.floor(F.abs("gap"))}).where("size > 0 and room > 0 and size <= left")
+        upto = F.sum(F.col("room") * F.col("size")).over(Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
+        take = F.least("room", F.floor((F.col("left") - F.col("upto") + F.col("room") * F.col("size")) / F.col("size")))
+        fixes = scratch.keep(fits.withColumn("upto", upto).withColumn("take", take).where("take > 0").select("key", "size", (F.col("take") * F.signum("gap")).cast("long").alias("more")), "fixes")
         if not fixes.limit(1).count():
             break
-        before, cur = cur, scratch.keep(cur.join(_small(fixes), "key", "left").withColumn("copies", F.when(F.col("size") == F.col("fix.size"), F.col("copies") + F.col("fix.room") * F.col("fix.sign")).otherwise(F.col("copies"))).drop("fix"), "repaired")
+        before, cur = cur, scratch.keep(cur.join(_small(fixes), ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"), "repaired")
         scratch.drop(before)
     return cur.drop("target")
 
