@@ -18,8 +18,8 @@ KINDS = ["email", "ip", "card", "phone", "context"]
 
 #: What a context may reveal: a word with a digit, of five characters or more, whole. It begins where no such word goes on, so each run is read a bounded number of times.
 IDENTIFIER = r"(?<![\p{L}\p{N}_@.+-])(?<![\p{L}\p{N}_@.+-]/)(?=[\p{L}_@./+-]*+[0-9])[\p{L}\p{N}_][\p{L}\p{N}_@./+-]{3,}[\p{L}\p{N}]"
-#: A context is the last two words before an identifier; of longer ones, what these code points before it hold.
-REACH = 64
+#: A context is the last word or two before an identifier, of any length.
+WORDS = 2
 #: Rounds of the pattern-instance scores; distinct known identifiers that a pattern needs; its least score; the least score of an identifier that counts as known.
 ROUNDS, SUPPORT, CONFIDENT, KNOWN = 3, 5, 0.6, 0.5
 
@@ -36,7 +36,7 @@ def with_base(df: DataFrame) -> DataFrame:
     """Adds base, the spans of the fixed kinds in text by start, then kind; matches that fail a check are dropped and not searched again."""
     part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
     for kind, pattern in enumerate((EMAIL, IP, CARD, PHONE)):
-        df = with_matches(df, "text", pattern, kind, f"_{kind}", reach=REACH)
+        df = with_matches(df, "text", pattern, kind, f"_{kind}", lead=WORDS)
     digits = lambda s: F.regexp_replace(s["body"], "[^0-9]", "")
     ips = F.filter("_1", lambda s: s["body"].rlike(rf"^{part}\.{part}\.{part}\.{part}\z"))
     cards = F.filter(F.filter("_2", lambda s: F.length(digits(s)).between(14, 19)), lambda s: luhn(digits(s)))
@@ -47,8 +47,8 @@ def with_base(df: DataFrame) -> DataFrame:
 def contexts(left: Column) -> Column:
     """array<long>: hashes of the lexical patterns that the text before a place ends with: its last word and its last two, lower-cased, digits alike."""
     norm = F.regexp_replace(F.lower(left), "[0-9]", "0")
-    one = F.regexp_extract(norm, r"([^\s]+)\s*\z", 1)
-    two = F.regexp_extract(norm, r"([^\s]+\s+[^\s]+)\s*\z", 1)
+    one = F.regexp_extract(norm, r"(?<!\S)(\S++)\s*+\z", 1)
+    two = F.regexp_extract(norm, r"(?<!\S)(\S++\s++\S++)\s*+\z", 1)
     return F.array_compact(F.array(F.when(one != "", F.xxhash64(F.lit(1), one)), F.when(two != "", F.xxhash64(F.lit(2), F.regexp_replace(two, r"\s+", " ")))))
 
 
@@ -80,15 +80,15 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "personal")
     found = with_base(docs.select("doc_id", text_or_empty().alias("text")))
-    found = with_matches(found, "text", IDENTIFIER, 4, "all", reach=REACH).withColumn("others", apart("all", "base"))
+    found = with_matches(found, "text", IDENTIFIER, 4, "all", lead=WORDS).withColumn("others", apart("all", "base"))
     entity = lambda s, seed: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.xxhash64(F.lower(s["body"])).alias("instance"), F.lit(seed).alias("seed"), contexts(s["left"]).alias("patterns"))
     entities = F.concat(F.transform("base", lambda s: entity(s, True)), F.transform("others", lambda s: entity(s, False)))
     found = scratch.keep(found.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("body"), F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))).alias("base"), entities.alias("entities")), "found")
-    each = found.select("body", F.explode("entities").alias("e")).select("body", "e.*")
+    each = found.select("doc_id", "body", F.explode("entities").alias("e")).select("doc_id", "body", "e.*")
     edges = scratch.keep(each.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     trusted = confident_patterns(edges, scratch)
-    hits = each.where("not seed").select("body", "start", "stop", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
-    hits = hits.select("body", F.struct("start", F.lit(4).alias("kind"), "stop").alias("s")).groupBy("body").agg(F.collect_set("s").alias("more"))
-    out = found.drop("entities").join(hits, "body", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>")))
+    hits = each.where("not seed").select("doc_id", "body", "start", "stop", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
+    hits = hits.select(F.col("doc_id").alias("of"), F.col("body").alias("of_body"), F.struct("start", F.lit(4).alias("kind"), "stop").alias("s")).groupBy("of", "of_body").agg(F.collect_set("s").alias("more"))
+    out = found.drop("entities").join(hits, (F.col("body") == F.col("of_body")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>")))
     out = out.withColumn("every", F.array_sort(F.concat("base", "more")))
     return out.select("doc_id", *(count_kind("base", k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(joined("base", KINDS), 256).alias("base_sha256"), joined("every", KINDS).alias("spans"), F.size("more").cast("long").alias("n_context"))

@@ -15,11 +15,11 @@ def _sums(lengths: Column) -> Column:
     return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
-def with_matches(df: DataFrame, text: str, pattern: str, kind: int, name: str, group: int = 0, reach: int = 0) -> DataFrame:
+def with_matches(df: DataFrame, text: str, pattern: str, kind: int, name: str, group: int = 0, lead: int = 0) -> DataFrame:
     """Adds column name: leftmost non-overlapping matches of a pattern that never matches nothing, in text order.
 
-    body holds what the group matched, left up to reach code points before
-    the match. Splitting gives the text between the matches, extracting the matches; running sums of both lengths are
+    body holds what the group matched, left the last `lead` words, at least, before the
+    match, white space between them as single spaces; of earlier matches only the one before counts. Splitting gives the text between the matches, extracting the matches; running sums of both lengths are
     the places, taken in blocks, so a text with very many matches costs little more than in proportion. A text without a match costs one search.
     The steps are columns of their own, as each is used more than once.
     """
@@ -36,12 +36,13 @@ def with_matches(df: DataFrame, text: str, pattern: str, kind: int, name: str, g
     df = df.withColumn(before, _sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))))
     stops = F.flatten(F.zip_with(F.slice(before, 1, F.size(blocks)), blocks, lambda at, b: F.transform(F.slice(_sums(b), 2, F.lit(BLOCK)), lambda x: x + at)))
     df = df.withColumn("_stops", stops)
-    if reach:
-        tail = lambda x: F.substring(x, -reach, reach)
-        lead = F.zip_with(F.slice(gaps, 1, F.size(found)), F.concat(F.array(F.lit("")), F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.concat(tail(g), m))), lambda g, p: tail(F.concat(p, g)))
+    if lead:
+        tail = lambda x: F.substring_index(F.regexp_replace(x, r"\s+", " "), " ", -lead - 1)
+        df = df.withColumn("_tails", F.transform(F.slice(gaps, 1, F.size(found)), tail))
+        left = F.zip_with("_tails", F.concat(F.array(F.lit("")), F.zip_with("_tails", found, lambda g, m: F.concat(g, m))), lambda g, p: F.concat(p, g))
+        df = df.withColumn("_lead", F.slice(left, 1, F.size(found))).drop("_tails")
     else:
-        lead = F.transform(found, lambda m: F.lit(""))
-    df = df.withColumn("_lead", F.slice(lead, 1, F.size(found)) if reach else lead)
+        df = df.withColumn("_lead", F.transform(found, lambda m: F.lit("")))
     zipped = F.arrays_zip(F.col(bodies).alias("b"), F.transform(found, lambda m: F.length(m)).alias("n"), F.col("_stops").alias("e"), F.col("_lead").alias("l"))
     spans = F.transform(zipped, lambda x: F.struct((x["e"] - x["n"]).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("stop"), x["b"].alias("body"), x["l"].alias("left")))
     return df.withColumn(name, spans.cast(SPAN)).drop(found, gaps, bodies, steps, blocks, before, "_stops", "_lead")
