@@ -17,7 +17,7 @@ MIN_WORDS = 1
 BANDS, ROWS = 18, 4
 NUM, DEN = 80, 100
 #: Words of a window. Every stretch of so many words that recurs is found, whatever lines it runs over.
-WINDOW = 40
+WINDOW = 20
 #: Words of the runs whose least hash stands for a window; equal windows have equal ones.
 RUN = 10
 #: Repeated paragraphs up to so many (16 MB) are broadcast with their texts' rows; more are joined by a shuffle.
