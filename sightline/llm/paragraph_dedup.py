@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +14,13 @@ from sightline.llm.neardup import BUCKETS, class_components, link_classes
 
 #: Paragraphs of fewer words are left alone: only those without any.
 MIN_WORDS = 1
-#: A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**18 = 8e-5.
-BANDS, ROWS = 18, 4
+#: A pair of similarity 0.8 shares no band with probability (1 - 0.8**3)**13 = 9e-5.
+BANDS, ROWS = 13, 3
 NUM, DEN = 80, 100
 #: Words of a window. Every stretch of so many words that recurs is found, whatever lines it runs over.
 WINDOW = 20
 #: Words of the runs whose least hash stands for a window; equal windows have equal ones.
-RUN = 10
+RUN = 8
 #: Repeated paragraphs up to so many (16 MB) are broadcast with their texts' rows; more are joined by a shuffle.
 SPANS = 400_000
 #: Texts whose paragraphs are hashed at a time.
@@ -29,7 +30,7 @@ SLICE = 1 << 20
 
 
 def _paragraphs(batch, min_words: int, text: int = 2):
-    """Row of the batch, number, first and last code point, and shingle set of each paragraph of at least min_words words. text: number of the column."""
+    """Row of the batch, number, first and last code point, words, shingle set, and a hash of the words in order, of each paragraph of at least min_words words. text: number of the column."""
     buf, offsets = string_buffer(batch.column(text))
     # line feeds are white space, so paragraphs can be hashed as rows of their own
     feeds = np.flatnonzero(buf == 10) + 1
@@ -45,21 +46,23 @@ def _paragraphs(batch, min_words: int, text: int = 2):
     stop = cuts[keep + 1] - ((cuts[keep + 1] > 0) & (buf[np.maximum(cuts[keep + 1] - 1, 0)] == 10))
     last = points[stop] - points[offsets[row[keep]]]
     some = np.concatenate([h[ends[k] : ends[k + 1]] for k in keep]) if len(keep) else np.zeros(0, np.uint64)
-    return row[keep], number[keep], first, last, counts[keep], shingle_sets(some, counts[keep])
+    order = np.array([xxhash.xxh3_64_intdigest(h[ends[k] : ends[k + 1]].tobytes()) for k in keep], np.uint64)
+    return row[keep], number[keep], first, last, counts[keep], shingle_sets(some, counts[keep]), order
 
 
 def _signatures(min_words: int, bands: int, rows: int, alone: int):
     def run(batches):
         for batch in slices(batches, TEXTS):
-            at, number, first, last, counts, sets = _paragraphs(batch, min_words)
+            at, number, first, last, counts, sets, order = _paragraphs(batch, min_words)
+            ordinal = np.arange(len(at)) - np.searchsorted(at, at)
             if not len(at):
                 continue
             some = [s for s in sets if len(s) > alone]
             keys = iter(band_keys(circulant_signatures(some, bands * rows), bands, rows)) if some else iter(())
             none = np.zeros(0, np.uint64)
             of = batch.select([0, 1]).take(pa.array(at))
-            cols = [*of.columns, *(pa.array(c.astype(np.int64)) for c in (number, first, last, counts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array([next(keys) if len(s) > alone else none for s in sets])]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "paragraph", "start", "stop", "words", "n", "fp", "bands"])
+            cols = [*of.columns, *(pa.array(c.astype(np.int64)) for c in (number, first, last, counts, ordinal)), pa.array(order.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array([next(keys) if len(s) > alone else none for s in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "paragraph", "start", "stop", "words", "ordinal", "content", "n", "fp", "bands"])
 
     return run
 
@@ -67,7 +70,7 @@ def _signatures(min_words: int, bands: int, rows: int, alone: int):
 def _sets(min_words: int):
     def run(batches):
         for batch in slices(batches, TEXTS):
-            _, _, _, _, _, sets = _paragraphs(batch, min_words, 1)
+            sets = _paragraphs(batch, min_words, 1)[5]
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), list_array(sets)], ["fp", "hashes"])
 
@@ -84,20 +87,20 @@ def _paragraph_rows(texts: DataFrame, scratch: Scratch, min_words: int, num: int
     """repeated_paragraphs with the row of each text and the owner's place."""
     # a set of n shingles reaches at best n / (n + 1) with another that isn't equal: up to these it needs no bands, as equal sets are one class anyway
     alone = max(0, -(-num // (den - num)) - 1) if num < den else 0
-    found = scratch.keep(texts.mapInArrow(_signatures(min_words, BANDS, ROWS, alone), "row long, doc_id long, paragraph long, start long, stop long, words long, n long, fp binary, bands array<long>"), "found")
+    found = scratch.keep(texts.mapInArrow(_signatures(min_words, BANDS, ROWS, alone), "row long, doc_id long, paragraph long, start long, stop long, words long, ordinal long, content long, n long, fp binary, bands array<long>"), "found")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         of = semi_join(texts, scratch.keep(wanted.select("row").distinct(), "ids"), "row").select("row", "text")
         return semi_join(of.mapInArrow(_sets(min_words), "fp binary, hashes array<long>"), wanted.select("fp"), "fp")
 
-    place = F.struct("doc_id", "paragraph", "start", "stop", "row")
+    place = F.struct("doc_id", "paragraph", "start", "stop", "row", "ordinal", "content")
     classes, linked = link_classes(found.select("row", place.alias("order"), "n", "fp", "bands"), sets_of, num, den, scratch)
     known = scratch.keep(class_components(classes, linked, scratch), "owned")
     placed = scratch.keep(found.drop("n", "bands").join(F.broadcast(known) if fits_broadcast(known, BUCKETS // 4) else known, "fp").drop("fp"), "placed")
     copies = scratch.keep(placed.groupBy("component").agg(F.count("*").alias("copies")), "copies")
     kept = F.col("row").eqNullSafe(F.col("owner.row")) & (F.col("paragraph") == F.col("owner.paragraph"))
     each = placed.join(F.broadcast(copies) if fits_broadcast(copies, BUCKETS) else copies, "component")
-    return each.select("row", "doc_id", "paragraph", "start", "stop", "words", "owner", "copies", kept.alias("kept"))
+    return each.select("row", "doc_id", "paragraph", "start", "stop", "words", "ordinal", "content", "owner", "copies", kept.alias("kept"))
 
 
 def _columns(rows: DataFrame) -> DataFrame:
@@ -150,19 +153,35 @@ def _windows(col: pa.Array):
 
 
 def _lie(spans, cuts: np.ndarray, points: np.ndarray, first: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window 2 if all its words are in removed paragraphs, 1 if they are all in repeated ones, else 0; and whether any is in a removed one."""
-    gone, told = np.zeros(len(begins) + 1, np.int64), np.zeros(len(begins) + 1, np.int64)
+    """Of each window 3 if it is mirrored, 2 if all its words are in removed paragraphs, 1 if they are all in repeated ones, else 0; and whether any is in a removed one.
+
+    A window is mirrored if it lies in removed paragraphs that follow each other as their owners do in one text, word for word: so the owners' text has it too, in
+    paragraphs that stay, and says of every other place what this one would.
+    """
+    gone, told, mirror = (np.zeros(len(begins) + 1, np.int64) for _ in range(3))
+    block = 0
     for r, some in enumerate(spans.to_pylist()):
         if some:
+            some.sort(key=lambda x: x["start"])
             at = points[begins[ends[r] : ends[r + 1]]] - points[cuts[r]]
             edges = ends[r] + np.searchsorted(at, np.array([(x["start"], x["stop"]) for x in some]))
+            last = None
             for (a, b), x in zip(edges, some, strict=True):
                 told[a + 1 : b + 1] = 1
                 if not x["kept"]:
                     gone[a + 1 : b + 1] = 1
+                if x["same"]:
+                    now = (x["ordinal"], x["owner_row"], x["owner_ordinal"])
+                    block += last is None or now != (last[0] + 1, last[1], last[2] + 1)
+                    mirror[a:b] = block
+                    last = now
+                else:
+                    last = None
     gone, told = np.cumsum(gone), np.cumsum(told)
     lost, known = gone[first + WINDOW] - gone[first], told[first + WINDOW] - told[first]
-    return np.where(lost == WINDOW, 2, np.where(known == WINDOW, 1, 0)), lost > 0
+    state = np.where(lost == WINDOW, 2, np.where(known == WINDOW, 1, 0))
+    state[(mirror[first] > 0) & (mirror[first] == mirror[first + WINDOW - 1])] = 3
+    return state, lost > 0
 
 
 def _points(buf: np.ndarray) -> np.ndarray:
@@ -170,10 +189,14 @@ def _points(buf: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches):
-    """The distinct least hashes of each text's windows and at how many places they are, two standing for more: in all, with a window outside removed and outside all repeated paragraphs."""
+    """The distinct least hashes of each text's windows, without mirrored ones, and at how many places they are, two standing for more: in all, with a window outside removed and outside all repeated paragraphs."""
     for batch in slices(batches, TEXTS):
         for lo, buf, cuts, row, first, least, place, _, begins, ends in _windows(batch.column(1)):
             state, _ = _lie(batch.column(2).slice(lo, len(cuts) - 1), cuts, _points(buf), first, begins, ends)
+            some = state < 3
+            row, least, place, state = row[some], least[some], place[some], state[some]
+            if not len(row):
+                continue
             # a place has the state of its freest window
             order = np.lexsort((state, place, least, row))
             row, least, place, state = row[order], least[order], place[order], state[order]
@@ -196,8 +219,9 @@ def _candidates(batches):
                     hit[a:b] = np.isin(least[a:b], keys[lo + r].values.to_numpy().view(np.uint64))
             if not hit.any():
                 continue
+            state, cut = _lie(batch.column(4).slice(lo, len(cuts) - 1), cuts, points, first[hit], begins, ends)
+            hit[hit], state, cut = state < 3, state[state < 3], cut[state < 3]
             at, home = first[hit], cuts[row[hit]]
-            state, cut = _lie(batch.column(4).slice(lo, len(cuts) - 1), cuts, points, at, begins, ends)
             feeds = np.concatenate(([0], np.cumsum(buf == 10)))
             # the end of a word: behind the last byte before the next word that is no white space
             space = (buf == 32) | ((buf >= 9) & (buf <= 13))
@@ -210,7 +234,9 @@ def _candidates(batches):
 
 def _passage_rows(texts: DataFrame, paragraphs: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs of windows that occur at another place too, without those that the rows of `paragraphs` (a written table) tell already."""
-    spans = scratch.keep(paragraphs.groupBy("row").agg(F.collect_set(F.struct("start", "stop", "kept")).alias("spans")), "spans")
+    same = ~F.col("kept") & (F.col("content") == F.col("owner.content"))
+    span = F.struct("start", "stop", "kept", same.alias("same"), "ordinal", F.col("owner.row").alias("owner_row"), F.col("owner.ordinal").alias("owner_ordinal"))
+    spans = scratch.keep(paragraphs.groupBy("row").agg(F.collect_set(span).alias("spans")), "spans")
     told = F.broadcast(spans) if fits_broadcast(paragraphs, SPANS) else spans
     keys = texts.join(told, "row", "left").select("row", "text", "spans").mapInArrow(_keys, "row long, key long, n int, live int, free int")
     keys = scratch.keep(keys, "keys")
@@ -224,15 +250,16 @@ def _passage_rows(texts: DataFrame, paragraphs: DataFrame, scratch: Scratch) ->
     found = scratch.keep(found, "windows")
     owner = F.min(F.struct("cut", "doc_id", "row", "place", "paragraph", "start", "stop"))
     groups = found.groupBy("window").agg(F.count("*").alias("n"), F.count_if(F.col("state") < 2).alias("live"), F.count_if(F.col("state") == 0).alias("free"), owner.alias("o"))
-    groups = groups.where("n > 1 and (live > 1 or free > 0)").select("window", "n", "o")
+    # written, so that the join reads both sides by window and a hot one is split
+    groups = scratch.keep(groups.where("n > 1 and (live > 1 or free > 0)").select("window", "n", "o"), "groups")
     kept = (F.col("row") == F.col("o.row")) & (F.col("place") == F.col("o.place"))
-    each = found.where("state < 2").join(groups, "window").select("row", "doc_id", "place", "paragraph", "start", "stop", "n", "o", kept.alias("kept"))
+    each = found.where("state < 2").join(F.broadcast(groups) if fits_broadcast(groups, SPANS // 4) else groups, "window").select("row", "doc_id", "place", "paragraph", "start", "stop", "n", "o", kept.alias("kept"))
     order = Window.partitionBy("row", "o.row", "kept").orderBy("place")
     each = each.withColumn("run", F.col("place") - F.row_number().over(order))
     runs = each.groupBy("row", "doc_id", F.col("o.row").alias("owner_row"), F.col("o.doc_id").alias("owner_doc_id"), "kept", "run")
     long = lambda c: c.cast("long")
     runs = runs.agg(*(long(f(c)).alias(c) for f, c in ((F.min, "paragraph"), (F.min, "start"), (F.max, "stop"))), long(F.max("place") - F.min("place") + WINDOW).alias("words"), long(F.min("o.paragraph")).alias("op"), long(F.min("o.start")).alias("os"), long(F.max("o.stop")).alias("oe"), F.max("n").alias("copies"))
-    return runs.select("doc_id", "paragraph", "start", "stop", "words", F.struct(F.col("owner_doc_id").alias("doc_id"), F.col("op").alias("paragraph"), F.col("os").alias("start"), F.col("oe").alias("stop")).alias("owner"), "copies", "kept")
+    return runs.select("row", "doc_id", "paragraph", "start", "stop", "words", F.struct(F.col("owner_doc_id").alias("doc_id"), F.col("op").alias("paragraph"), F.col("os").alias("start"), F.col("oe").alias("stop")).alias("owner"), "copies", "kept")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -244,28 +271,64 @@ def repeats(docs: DataFrame) -> DataFrame:
     of the smallest doc_id, then text, then the first, is the owner and is kept, one without words of removed paragraphs before all others; copies is the most
     places of one window. What a removal shares with a kept passage of the same text is to stay.
 
-    Windows within removed paragraphs count as places but give no row, and kept ones within paragraphs give none unless a copy elsewhere has one. Rows equal in doc_id and
+    Windows within removed paragraphs count as places (in copies only those that don't mirror the owners' text) but give no row, and kept ones within paragraphs give none unless a copy elsewhere has one. Rows equal in doc_id and
     text are one place. Null text counts as empty; an empty table gives an empty one.
     """
-    scratch = Scratch(docs.sparkSession, "repeats")
-    texts = _texts(docs)
-    first = Scratch(docs.sparkSession, "paragraphs")
+    paragraphs, passages = _repeats(_texts(docs), Scratch(docs.sparkSession, "repeats"))
+    return _columns(paragraphs).withColumn("unit", F.lit("paragraph")).union(_columns(passages).withColumn("unit", F.lit("passage")))
+
+
+def _repeats(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    first = Scratch(texts.sparkSession, "paragraphs")
     paragraphs = scratch.keep(_paragraph_rows(texts, first, MIN_WORDS, NUM, DEN), "paragraphs")
     first.clear()
-    passages = _passage_rows(texts, paragraphs, scratch)
-    return _columns(paragraphs).withColumn("unit", F.lit("paragraph")).union(_columns(passages).withColumn("unit", F.lit("passage")))
+    return paragraphs, _passage_rows(texts, paragraphs, scratch)
+
+
+def _cut(text: str, lines: set[int], gone: list[tuple[int, int]], stay: list[tuple[int, int]]) -> str:
+    """A text without some lines, and of the others without the characters that lie in gone but not in stay."""
+    flags = np.zeros(len(text) + 1, bool)
+    for a, b in gone:
+        flags[a:b] = True
+    for a, b in stay:
+        flags[a:b] = False
+    out, at = [], 0
+    for k, line in enumerate(text.split("\n")):
+        if k not in lines:
+            part = flags[at : at + len(line)]
+            out.append("".join(c for c, f in zip(line, part.tolist(), strict=True) if not f) if part.any() else line)
+        at += len(line) + 1
+    return "\n".join(out)
+
+
+def _cut_batches(text: int):
+    def run(batches):
+        for batch in slices(batches, TEXTS):
+            own, cuts = batch.column(text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            for k, some in enumerate(cuts):
+                if some:
+                    own[k] = _cut(own[k], {x["paragraph"] for x in some if x["unit"] == "paragraph"}, *([(x["start"], x["stop"]) for x in some if x["unit"] == "passage" and x["kept"] == kept] for kept in (False, True)))
+            cols = [pa.array(own, batch.column(text).type) if k == text else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+
+    return run
+
 
+def without_repeats(docs: DataFrame, passages: bool = False, **how) -> DataFrame:
+    """docs with the removals cut out of text; every row stays, other columns as they were.
 
-def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """docs with the removals cut out of text; every row stays, other columns as they were."""
+    Removed paragraphs go with their line feed. With passages also every removed passage goes, but for what it shares with a kept passage of the same text.
+    """
     scratch = Scratch(docs.sparkSession, "cut")
-    rows = _paragraph_rows(_texts(docs), scratch, how.get("min_words", MIN_WORDS), how.get("num", NUM), how.get("den", DEN))
-    cuts = scratch.keep(rows.where("not kept").groupBy("row").agg(F.collect_set("paragraph").alias("cuts")), "cuts")
-    joined = docs.join(cuts, row_key(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == cuts["row"], "left")
-    lines = F.split(docs["text"], "\n")
-    left = F.concat_ws("\n", F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("at")), lambda x: ~F.array_contains(cuts["cuts"], x["at"].cast("long"))), lambda x: x["line"]))
-    text = F.when(cuts["cuts"].isNull(), docs["text"]).otherwise(left).alias("text")
-    return joined.select(*(text if c == "text" else docs[c] for c in docs.columns))
+    if passages:
+        lines, more = _repeats(_texts(docs), scratch)
+        unit = lambda df, name: df.select("row", F.struct(F.lit(name).alias("unit"), "paragraph", "start", "stop", "kept").alias("cut"))
+        rows = unit(lines.where("not kept"), "paragraph").union(unit(more, "passage"))
+    else:
+        rows = _paragraph_rows(_texts(docs), scratch, how.get("min_words", MIN_WORDS), how.get("num", NUM), how.get("den", DEN)).where("not kept").select("row", F.struct(F.lit("paragraph").alias("unit"), "paragraph", "start", "stop", "kept").alias("cut"))
+    cuts = scratch.keep(rows.groupBy("row").agg(F.collect_set("cut").alias("cuts")), "cuts")
+    joined = docs.join(cuts, row_key(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == cuts["row"], "left").select(*(docs[c] for c in docs.columns), cuts["cuts"])
+    return joined.mapInArrow(_cut_batches(docs.columns.index("text")), docs.schema)
 
 
 by_value(__name__)

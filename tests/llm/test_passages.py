@@ -88,3 +88,32 @@ def test_rows_without_doc_id_keep_the_links_of_their_class(spark):
     for order in (rows, rows[::-1]):
         got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
         assert {(r.doc_id, r.owner_doc_id, r.copies, r.kept) for r in got} == {(None, None, 3, True), (1, None, 3, False), (2, None, 3, False)}
+
+
+def test_windows_of_every_length_from_the_bound_on(spark):
+    for n in (19, 20, 25, 39):
+        p = " ".join(passage(n, n))
+        rows = [(i, f"{filler(10 * i, 120)} {p} {filler(10 * i + 1, 120)}") for i in range(4)]
+        got = check(spark, docs(spark, [(*r, *[None] * 9) for r in rows]))
+        assert {(r.doc_id, r.words, r.kept) for r in got} == (set() if n < 20 else {(i, n, i == 0) for i in range(4)})
+
+
+def test_passages_next_to_whole_copies(spark):
+    """Copied lines in a row, alone, in another order and inside a longer line: every repeated window is told."""
+    lines = [" ".join(passage(50 + k, 8 + 5 * k)) for k in range(6)]
+    rows = [(1, "\n".join(lines)), (2, "\n\n".join(lines) + f"\n{filler(1, 20)}"), (3, "\n".join([lines[0], lines[1], filler(2, 9), lines[4], lines[5]])), (4, "\n".join([lines[5], lines[1], lines[0], lines[4]])), (5, f"{filler(3, 40)} {lines[1]} {lines[2]} {lines[3]} {filler(4, 40)}"), (6, f"{filler(5, 30)} {lines[1]} {lines[0]} {filler(6, 30)}"), (7, lines[0].upper() + "\n" + lines[1])]
+    check(spark, docs(spark, [(*r, *[None] * 9) for r in rows]))
+
+
+def test_removal_leaves_one_of_each_passage(spark):
+    p = " ".join(passage(3))
+    rows = [(i, f"{filler(10 * i, 60)} {p} {filler(10 * i + 1, 60)}\ncommon line of five words or so") for i in range(5)]
+    df = docs(spark, [(*r, *[None] * 9) for r in rows])
+    cut = paragraph_dedup.without_repeats(df, passages=True)
+    assert cut.columns == df.columns
+    left = {r.doc_id: r.text for r in cut.collect()}
+    assert [i for i, t in sorted(left.items()) if p in t] == [0] and left[0] == rows[0][1]
+    for i in range(1, 5):
+        head, tail = rows[i][1].split("\n")[0].split(f" {p} ")
+        assert left[i] == f"{head}  {tail}"
+    assert not [r for r in paragraph_dedup.repeats(cut).collect() if r.unit == "passage"]
