@@ -21,7 +21,7 @@ def fnv_sql(*parts: str) -> str:
 
 @query(f"""SELECT c_custkey, CAST({fnv_sql("CAST(c_custkey AS VARCHAR)", "c_mktsegment")} AS VARCHAR) AS hash FROM customer""")
 def f_fnv_hashes(spark, d):
-    return table(spark, d, "customer").select("c_custkey", schedule.fnv1a(F.col("c_custkey").cast("string"), F.col("c_mktsegment")).cast("string").alias("hash"))
+    return table(spark, d, "customer").select("c_custkey", schedule.number(schedule.fnv1a(F.col("c_custkey").cast("string"), F.col("c_mktsegment"))).cast("string").alias("hash"))
 
 
 WINDOW_SQL = "WITH h AS (SELECT c_custkey AS account_id, day, {h} AS h FROM customer, (VALUES ('2026-08-17'), ('2026-08-18')) t(day))".format(h=fnv_sql("CAST(c_custkey AS VARCHAR)", "day"))
@@ -47,16 +47,23 @@ def f_jit_cadence_offsets(spark, d):
     return c.select("c_custkey", schedule.cadence_offset(F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_custkey") * 1_000_000_007, F.lit(HOUR)).alias("jitter"))
 
 
+_EVERY = list(range(7))
+#: Tasks of the plan: rows and schema.
+PLAN_TASKS = ([("task0", 6 * HOUR, ["main", "farm", "main"], _EVERY, True), ("task1", 200 * HOUR, ["main"], _EVERY, True), ("task2", HOUR, ["farm"], _EVERY, False), ("task3", 30 * HOUR, ["farm"], _EVERY, True), ("task4", HOUR, ["farm"], [], True)], "task string, cadence_ns long, roles array<string>, days array<int>, enabled boolean")
+
+
+def plan_accounts(runs):
+    """Users are accounts, of the role that their number gives."""
+    return runs.select("account_id").distinct().select("account_id", F.when(F.col("account_id") % 2 == 0, "main").otherwise("farm").alias("role"), (F.col("account_id") % 7 != 0).alias("enabled"))
+
+
 def _plan(spark, d):
-    """Users are accounts, of the role that their number gives; three tasks; the moment is two hours after the last event."""
+    """The moment is two hours after the last event."""
     runs = run_rows(spark, d)
-    accounts = runs.select("account_id").distinct().select("account_id", F.when(F.col("account_id") % 2 == 0, "main").otherwise("farm").alias("role"), (F.col("account_id") % 7 != 0).alias("enabled"))
-    every = list(range(7))
-    tasks = spark.createDataFrame([("task0", 6 * HOUR, ["main", "farm", "main"], every, True), ("task1", 200 * HOUR, ["main"], every, True), ("task2", HOUR, ["farm"], every, False), ("task3", 30 * HOUR, ["farm"], every, True), ("task4", HOUR, ["farm"], [], True)], "task string, cadence_ns long, roles array<string>, days array<int>, enabled boolean")
     state = planner.run_state(runs.where("task <> 'task2'")).select("account_id", "task", (F.col("last_run") * 1000).alias("last_ns"), "failures")
     end = runs.agg(F.max("started_at")).first()[0]  # one row
     now = F.timestamp_micros(F.lit(end + 7_200_000_000))
-    return planner.due_work(accounts, tasks, state, now)
+    return planner.due_work(plan_accounts(runs), spark.createDataFrame(*PLAN_TASKS), state, now)
 
 
 PLAN_SQL = f"""WITH {RUNS_SQL}, t(task, cadence, role) AS (VALUES ('task0', {6 * HOUR}, 'main'), ('task0', {6 * HOUR}, 'farm'), ('task1', {200 * HOUR}, 'main'), ('task3', {30 * HOUR}, 'farm')),

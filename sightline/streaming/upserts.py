@@ -19,22 +19,21 @@ def replayed(spark: SparkSession, path: str, schema, files: int = 1) -> DataFram
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("latestFirst", "false").parquet(path)
 
 
-def best_readings(facts: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """The upsert as a running aggregation: of one key, the reading that came first with the highest confidence, and its first arrival. For output modes update and complete."""
-    return upsert(facts, key).drop("reads")
+def best_readings(facts: DataFrame, late: str | None = None, key: list[str] = KEY) -> DataFrame:
+    """The upsert as a running aggregation: of one key, the reading that came first with the highest confidence, and its first arrival. For output modes update and complete.
 
-
-def stale_runs(starts: DataFrame, finishes: DataFrame, ts: str, wait: str) -> DataFrame:
-    """Runs without a finish within `wait` of their start: a left join of two streams, which gives a start out unmatched once the watermark passes."""
-    a = starts.withColumn("_s", F.col(ts).cast("timestamp")).withWatermark("_s", wait).alias("a")
-    b = finishes.select("run_id", F.col(ts).cast("timestamp").alias("_f")).withWatermark("_f", wait).alias("b")
-    on = F.expr(f"a.run_id = b.run_id AND b._f >= a._s AND b._f <= a._s + INTERVAL {wait}")
-    return a.join(b, on, "left").where("b.run_id IS NULL").select("a.run_id", F.col("a._s").alias("started"))
+    late: how far behind the newest observation readings still count. A key names the day it was observed, so its state goes once the watermark has passed that
+    day; without `late` state grows for ever.
+    """
+    if late is None:
+        return upsert(facts, key).drop("reads")
+    timed = facts.withColumn("observed_ts", F.to_timestamp("observed_at")).withWatermark("observed_ts", late)
+    return upsert(timed, [*key, "observed_ts"]).drop("reads")
 
 
-def gated(events: DataFrame, flags: DataFrame) -> DataFrame:
-    """A stream that lets nothing through while everything is paused; flags is a single row, read anew with every batch."""
-    return events.crossJoin(F.broadcast(flags.select("paused").limit(1))).where("not paused").drop("paused")
+def newest_of(batches: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """The last state of each key, from all batches of a stream in update mode, each row with its batch number as `batch`."""
+    return batches.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batches.columns if c not in (*key, "batch")]), "batch").alias("_s")).select(*key, "_s.*")
 
 
 def upsert_into(spark: SparkSession, path: str, buckets: int = 64):
@@ -85,4 +84,4 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(*[f"{path}/bucket={b}/v={v}" for b, v in sorted(named.items())]).drop("bucket", "v")
 
 
-__all__ = ["KEY", "best_readings", "current", "gated", "manifest", "replayed", "stale_runs", "upsert_into", "windowed_counts"]
+__all__ = ["KEY", "best_readings", "current", "manifest", "newest_of", "replayed", "upsert_into", "windowed_counts"]
