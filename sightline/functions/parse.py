@@ -76,12 +76,34 @@ def digits(c) -> Column:
 
 
 def repaired_points(c, lo, hi) -> Column:
-    """The one reading of a number with exactly one damaged character that is a digit and lies within the bounds; null if none or several do."""
+    """The one reading of a number with exactly one damaged character that is a digit and lies within the bounds; null if none or several do.
+
+    With the character read as 0, each step of the digit adds its place value, so the digits that fit are those between two quotients. Numbers of 19 digits and more are no reading.
+    """
     t = trimmed(c)
-    damaged = F.regexp_count(t, F.lit(r"[^0-9,]")) == 1
-    tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: points(F.regexp_replace(t, F.lit("[^0-9,]"), d.cast("string"))))
-    fits = F.filter(tries, lambda v: v.isNotNull() & v.between(_col(lo), _col(hi)))
-    return F.when(damaged & (F.size(fits) == 1), F.get(fits, F.lit(0)))
+    damaged = t.rlike(r"^[0-9,]*[^0-9,][0-9,]*\z") & (F.length(F.replace(t, F.lit(","), F.lit(""))) <= 18)
+    after = F.length(F.replace(F.regexp_extract(t, r"([0-9,]*)\z", 1), F.lit(","), F.lit("")))
+    base = points(F.regexp_replace(t, F.lit("[^0-9,]"), "0"))
+
+    def digit(x: Column) -> Column:
+        # whole numbers are kept apart from doubles: bounds can be as wide as a long
+        step = F.rpad(F.lit("1"), x["after"] + 1, "0").cast("long")
+        gap = lambda v: F.greatest(F.lit(-1).cast("long"), F.least(F.lit(10 ** 18), v)) - x["base"]
+        up = F.greatest(F.lit(0).cast("long"), _ceil(gap(x["lo"]), step))
+        down = F.least(F.lit(9).cast("long"), _floor(gap(x["hi"]), step))
+        return F.when(up == down, x["base"] + up * step)
+
+    each = F.array(F.struct(base.alias("base"), after.alias("after"), _col(lo).cast("long").alias("lo"), _col(hi).cast("long").alias("hi")))
+    return F.when(damaged, F.get(F.transform(each, digit), F.lit(0)))
+
+
+def _floor(a: Column, b: Column) -> Column:
+    """a div b, rounded down, for b above 0."""
+    return ((a - F.pmod(a, b)) / b).cast("long")
+
+
+def _ceil(a: Column, b: Column) -> Column:
+    return -_floor(-a, b)
 
 
 def period_key(ts, weekly: bool = True) -> Column:
@@ -126,7 +148,8 @@ def expected_label(total) -> Column:
 
 def listed_devices(text) -> Column:
     """Serials in a device listing that are ready: lines of a serial, white space and the word device, behind the heading."""
-    lines = F.slice(F.split(_col(text), "\n"), 2, F.lit(10_000))
+    every = F.split(_col(text), "\n")
+    lines = F.slice(every, F.lit(2), F.size(every))
     return F.transform(F.filter(lines, lambda x: x.rlike(r"^\S+\s+device(\s|\z)")), lambda x: F.regexp_extract(x, r"^(\S+)", 1))
 
 

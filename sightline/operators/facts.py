@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.streaming.runner import scratch
+
 #: What makes two rows the same observation.
 KEY = ["member_id", "metric", "period_key", "source", "observed_at"]
 
@@ -40,20 +42,27 @@ def live(facts: DataFrame, superseded: DataFrame, on: str = "fact_id") -> DataFr
     return facts.join(superseded.select(on), on, "left_anti")
 
 
-def leaderboard(facts: DataFrame, by: list[str], value: str = "value", tie: str = "member_id", parts: int = 64) -> DataFrame:
+def leaderboard(facts: DataFrame, by: list[str], value: str = "value", tie: str = "member_id") -> DataFrame:
     """Adds rank: place by value, largest first, then by tie, in each group.
 
-    A few groups can hold all rows, so each is cut at approximate quantiles of
-    its values: rows are ranked within their part, and the rows of the parts before are added. Only the counts of the parts meet in one task.
+    A few groups, or one value, can hold all rows, so rows are dealt by range of group, value and tie together, sorted within their range and numbered as they lie
+    there. A row's rank is its number less that of its group's first in the range, and the group's rows in ranges before: a table of a row for each group and range.
     """
-    cuts = facts.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("_cuts"))
-    # one row a group; equal values are always of one part
-    dealt = facts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c > F.col(value)))).drop("_cuts")
-    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_m"))
+    spark = facts.sparkSession
+    place = F.monotonically_increasing_id()  # the number of the range above 33 bits, that of the row below
+    path = scratch(spark, "ranks")
+    ordered = facts.orderBy(*by, F.desc(value), tie).withColumn("_at", place)
+    ordered.write.parquet(path)
+    dealt = spark.read.schema(ordered.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_m"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*by, "_part", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(F.desc(value), tie))
-    return dealt.join(counts, [*by, "_part"]).withColumn("rank", (inside + F.col("_before")).cast("int")).drop("_part", "_before")
+    counts = counts.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_part").alias("_range"), "_first", before.alias("_before"))
+    on = F.col("_part") == F.col("_range")
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    rank = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")
+    return dealt.join(counts, on).select(*facts.columns, rank.alias("rank"))
+
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:

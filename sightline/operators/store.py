@@ -92,18 +92,19 @@ def record_capture(captures: DataFrame, frames: DataFrame) -> DataFrame:
     return captures.join(seen, "capture_id", "left").select(*captures.columns, F.coalesce("n", F.lit(0)).alias("frames"), F.coalesce(sound, F.lit(False)).alias("sound"))
 
 
-def queued(rows: DataFrame, candidates: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """Review items with their best candidates as JSON, in order of score, then member; a confidence of 0 is stored as none."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "member_id")
-    top = candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    packed = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "member_id", "score"))).alias("_c"))
-    plain = F.transform(F.coalesce("_c", F.array().cast("array<struct<_n:int,member_id:bigint,score:bigint>>")), lambda x: F.struct(x["member_id"].alias("member_id"), x["score"].alias("score")))
+CANDIDATES = "array<struct<member_id:bigint,name:string,score:bigint>>"
+
+
+def queued(rows: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Review items with all their candidates (key, member_id, name, score) as JSON, in order of score, then member; a confidence of 0 is stored as none. A row's candidates are a roster at the most."""
+    packed = candidates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_n"), "member_id", "name", "score"))).alias("_c"))
+    plain = F.transform(F.coalesce("_c", F.array().cast("array<struct<_n:bigint,member_id:bigint,name:string,score:bigint>>")), lambda x: F.struct(x["member_id"].alias("member_id"), x["name"].alias("name"), x["score"].alias("score")))
     return rows.join(packed, key, "left").withColumn("candidates_json", F.to_json(plain)).withColumn("confidence", F.nullif("confidence", F.lit(0.0))).drop("_c")
 
 
 def candidates_of(json) -> Column:
     """Read side of queued."""
-    return F.from_json(json, "array<struct<member_id:bigint,score:bigint>>")
+    return F.from_json(json, CANDIDATES)
 
 
 def observations(shots: DataFrame, stored: DataFrame, key: str = "sha256") -> DataFrame:

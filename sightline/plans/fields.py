@@ -92,7 +92,7 @@ def s_txt_report_lines(spark, d):
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'data/' || lang ELSE 's3a://' || lang END AS root FROM documents""")
 def s_sel_roots(spark, d):
-    """The address of a store by its backend; the functions behind it take configuration, so they run on the driver."""
-    langs = [r.lang for r in table(spark, d, "documents").select("lang").distinct().limit(1000).collect()]  # languages are few
-    roots = spark.createDataFrame([(x, corpus.root_of("fs", f"data/{x}"), corpus.root_of("s3", x)) for x in langs], "lang string, fs string, s3 string")
-    return table(spark, d, "documents").join(F.broadcast(roots), "lang").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("fs")).otherwise(F.col("s3")).alias("root"))
+    """The address of a store by its backend, for every language and for none."""
+    even = F.col("doc_id") % 2 == 0
+    place = F.when(even, F.concat(F.lit("data/"), "lang")).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", corpus.root_column(F.when(even, "fs").otherwise("s3"), place).alias("root"))

@@ -141,11 +141,11 @@ def o_rcp_record_captures(spark, d):
     return store.record_capture(captures, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("capture_id"), (F.col("l_linenumber") - 1).alias("seq")))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS k, l_suppkey AS m, CAST(max(l_quantity) AS BIGINT) AS s FROM lineitem GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, m) AS n FROM c QUALIFY n <= 3), j AS (SELECT k, '[' || string_agg('{"member_id":' || m || ',"score":' || s || '}', ',' ORDER BY n) || ']' AS j FROM t GROUP BY k) SELECT o_orderkey AS review_id, nullif(CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE 0.5 END, 0)::DOUBLE AS confidence, coalesce(j, '[]') AS candidates_json FROM orders LEFT JOIN j ON o_orderkey = k""")
+@query("""WITH c AS (SELECT l_orderkey AS k, l_suppkey AS m, CAST(max(l_quantity) AS BIGINT) AS s FROM lineitem GROUP BY ALL), j AS (SELECT k, '[' || string_agg('{"member_id":' || m || ',"name":"' || s_name || '","score":' || s || '}', ',' ORDER BY s DESC, m) || ']' AS j FROM c JOIN supplier ON m = s_suppkey GROUP BY k) SELECT o_orderkey AS review_id, nullif(CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE 0.5 END, 0)::DOUBLE AS confidence, coalesce(j, '[]') AS candidates_json FROM orders LEFT JOIN j ON o_orderkey = k""")
 def o_qrv_queue_reviews(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.when(F.col("o_orderkey") % 4 == 0, 0.0).otherwise(0.5).alias("confidence"))
     found = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("review_id"), F.col("l_suppkey").alias("member_id")).agg(F.max("l_quantity").cast("long").alias("score"))
-    return store.queued(rows, found, "review_id")
+    return store.queued(rows, found.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("member_id"), F.col("s_name").alias("name")), "member_id"), "review_id")
 
 
 @query("""WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 5 = 0) SELECT doc_id AS shot_id, s.h AS sha256, b.h IS NOT NULL OR row_number() OVER (PARTITION BY s.h ORDER BY doc_id) > 1 AS existed FROM s LEFT JOIN b ON s.h = b.h""")

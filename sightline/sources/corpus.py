@@ -105,3 +105,9 @@ def root_of(backend: str, place: str) -> str:
     if backend == "s3":
         return f"s3a://{place}"
     raise ValueError(f"unknown store {backend}")
+
+
+def root_column(backend: Column, place: Column) -> Column:
+    """root_of for columns; a row whose folder leaves its place, or whose store isn't known, is an error, a missing place has no address."""
+    inside = F.when(F.array_contains(F.split(place, "/"), ".."), F.raise_error(F.lit("the folder leaves its place"))).otherwise(place)
+    return F.when(place.isNull(), F.lit(None)).when(backend == "fs", inside).when(backend == "s3", F.concat(F.lit("s3a://"), place)).otherwise(F.raise_error(F.concat(F.lit("unknown store "), backend)))
