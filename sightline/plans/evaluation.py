@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
-from sightline.operators import ingest, probes, resolve
-from sightline.plans.base import query
+from sightline.operators import ingest, likely, probes, resolve
+from sightline.plans.base import query, weighted_sql
 from sightline.plans.scores import RATIO
 from sightline.sources.tables import table
 
@@ -71,6 +71,12 @@ def er_clo_closest_pair(spark, d):
     return probes.closest_pair(_members(spark, d), ["capture_id"], "code", "member_id", names.edit_ratio)
 
 
+@query(f"""WITH {CODES}, p AS (SELECT a.capture_id, a.member_id AS a, b.member_id AS b, {weighted_sql("a.code", "b.code")} AS score FROM c a JOIN c b ON a.capture_id = b.capture_id AND a.member_id < b.member_id) SELECT capture_id, arg_max(struct_pack(a := a, b := b), (score, -a, -b)).a AS a, arg_max(struct_pack(a := a, b := b), (score, -a, -b)).b AS b, max(score) AS score FROM p GROUP BY 1""")
+def j_clo_closest_names(spark, d):
+    """J-CLO by the weighted likeness and a falling bound, without all pairs."""
+    return likely.closest_names(_members(spark, d), ["capture_id"], "code", "member_id")
+
+
 @query("""SELECT s_suppkey, '9' || s_name[2:] AS decoy FROM supplier""")
 def er_dec_decoys(spark, d):
     """Of 'Supplier' the first letter has a look-alike, which takes its place."""

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
-from sightline.operators import evaluate, facts, graphs, metrics, planner, resolve, sequences
+from sightline.operators import evaluate, facts, graphs, likely, metrics, planner, resolve, sequences
 from sightline.plans import evaluation, fields, frames, ordered, planning, scores, store, streams  # noqa: F401  each adds its queries
+from sightline.plans.base import weighted_sql
 from sightline.plans.base import QUERIES, SQL, query  # noqa: F401
 from sightline.sources import blobs, recognised
 from sightline.sources.tables import FACTS_SQL, RUNS_SQL, table
@@ -218,15 +219,31 @@ def er_rank_unit_cost(spark, d):
     return scored.groupBy("nation").agg(F.max_by("member_id", F.struct("score", -F.col("member_id"))).alias("best"), F.max("score").alias("score"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT s_nationkey, s_suppkey, lower(replace(s_name, '#', '')) AS name, translate(s_name, '01', 'Oi') AS read FROM supplier), p AS (SELECT a.read, b.s_suppkey AS member_id, {weighted_sql("lower(replace(a.read, '#', ''))", "b.name")} AS score FROM s a JOIN s b USING (s_nationkey))
+SELECT read, arg_max(member_id, (score, -member_id)) AS member_id, max(score) AS score FROM p GROUP BY read""")
 def er_rank_weighted(spark, d):
     """Names with look-alike swaps against the suppliers of their nation; scores know the swaps."""
     s = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("member_id"), "s_name")
     reads = s.select("s_nationkey", F.translate("s_name", "01", "Oi").alias("read"))
-    best = resolve.candidates(reads, s.withColumnRenamed("s_name", "name"), ["s_nationkey"], "read", "name")
+    best = likely.likely(reads, s, ["s_nationkey"], "read", "s_name")
     return best.groupBy("read").agg(F.max_by("member_id", F.struct("score", -F.col("member_id"))).alias("member_id"), F.max("score").alias("score"))
 
 
+WORDS_SQL = "array_to_string(list_sort(string_split(lower({a}), ' ')), ' ')"
+PLAIN_SQL = "replace(lower({a}), ' ', '')"
+
+
+@query(f"""WITH m AS (SELECT p_size % 5 AS shelf, p_partkey AS member_id, unnest(CASE WHEN p_partkey % 3 = 0 THEN [p_name, p_name || ' ' || p_brand] ELSE [p_name] END) AS name FROM part),
+r AS (SELECT DISTINCT p_size % 5 AS shelf, translate(string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1], 'ol', '01') AS read FROM part),
+q AS (SELECT read, name, greatest({weighted_sql("x", "y")}, {weighted_sql("v", "w")}) AS score FROM (SELECT DISTINCT read, name, {PLAIN_SQL.format(a="read")} AS x, regexp_replace({PLAIN_SQL.format(a="name")}, '[^a-z0-9]', '', 'g') AS y, {WORDS_SQL.format(a="read")} AS v, {WORDS_SQL.format(a="regexp_replace(name, '[^A-Za-z0-9 ]', '', 'g')")} AS w FROM r JOIN m USING (shelf)))
+SELECT shelf, read, member_id, max(score) AS score FROM r JOIN m USING (shelf) JOIN q USING (read, name) WHERE score >= 75 GROUP BY ALL""")
+def j_rank_likely_names(spark, d):
+    """J-RANK: names of two words, read the other way round and with look-alikes, against the parts of their shelf, by name and alias; every pair that a person would look at."""
+    p = table(spark, d, "part").select((F.col("p_size") % 5).alias("shelf"), F.col("p_partkey").alias("member_id"), "p_name", F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat_ws(" ", "p_name", "p_brand"))).alias("aliases"))
+    read = F.translate(F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1))), "ol", "01")
+    return likely.likely(p.select("shelf", read.alias("read")), p, ["shelf"], "read", "p_name", aliases="aliases")
+
+
 @query()
 def er_asn_assignment(spark, d):
     """Closed-set assignment per nation of perturbed supplier names."""
