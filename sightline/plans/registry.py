@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
-from sightline.operators import evaluate, facts, graphs, likely, metrics, planner, resolve, sequences
+from sightline.operators import claims, evaluate, facts, graphs, likely, metrics, planner, resolve, sequences
 from sightline.plans import evaluation, fields, frames, ordered, planning, scores, store, streams  # noqa: F401  each adds its queries
 from sightline.plans.base import weighted_sql
 from sightline.plans.base import QUERIES, SQL, query  # noqa: F401
@@ -244,12 +244,33 @@ def j_rank_likely_names(spark, d):
     return likely.likely(p.select("shelf", read.alias("read")), p, ["shelf"], "read", "p_name", aliases="aliases")
 
 
-@query()
+CLAIMS_SQL = """n AS (SELECT g, count(DISTINCT member) AS n FROM cells GROUP BY g), acc AS (SELECT g, row, coalesce(list(member) FILTER (score >= 92), []) AS ms FROM cells GROUP BY g, row),
+st AS (SELECT g, 1 AS phase, CAST([] AS BIGINT[]) AS gone, CAST([] AS BIGINT[]) AS mems, CAST([] AS BIGINT[]) AS first, CAST(NULL AS BIGINT) AS row, CAST(NULL AS BIGINT) AS member, CAST(NULL AS INTEGER) AS score FROM n
+UNION ALL SELECT g, CASE WHEN b IS NULL THEN phase + 1 ELSE phase END, CASE WHEN b IS NULL THEN gone ELSE list_append(gone, b.row) END, CASE WHEN b IS NULL THEN mems ELSE list_append(mems, b.member) END, CASE WHEN b IS NULL AND phase = 1 THEN mems ELSE first END, b.row, b.member, b.score
+FROM (SELECT g, phase, gone, mems, first, arg_max(struct_pack(row := row, member := member, score := score), (score, -row)) FILTER (k = 1 AND score >= CASE phase WHEN 1 THEN 92 ELSE 60 END AND (free = 1 OR score - next >= CASE phase WHEN 1 THEN 1 ELSE 20 END)) AS b
+FROM (SELECT st.g, phase, gone, mems, first, c.row, c.member, c.score, row_number() OVER w AS k, coalesce(lead(c.score) OVER w, 0) AS next, n.n - len(mems) AS free FROM st JOIN cells c ON c.g = st.g JOIN n ON n.g = st.g JOIN acc ON acc.g = st.g AND acc.row = c.row
+WHERE phase <= 2 AND NOT list_contains(gone, c.row) AND NOT list_contains(mems, c.member) AND (phase = 1 OR NOT list_has_any(acc.ms, first)) WINDOW w AS (PARTITION BY st.g, c.row ORDER BY c.score DESC, c.member)) GROUP BY g, phase, gone, mems, first)),
+taken AS (SELECT g, phase, row, member, score FROM st WHERE row IS NOT NULL), sure AS (SELECT g, list(member) AS ms FROM taken WHERE phase = 1 GROUP BY g)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT s_nationkey, s_suppkey, lower(replace(s_name, '#', '')) AS name, translate(s_name, '01', 'Oi') AS read FROM supplier),
+cells AS (SELECT a.s_nationkey AS g, a.s_suppkey AS row, b.s_suppkey AS member, {weighted_sql("lower(replace(a.read, '#', ''))", "b.name")} AS score FROM s a JOIN s b USING (s_nationkey)), {CLAIMS_SQL}
+SELECT acc.g AS s_nationkey, CAST(acc.row AS INTEGER) AS row, CAST(coalesce(t.member, -1) AS INTEGER) AS member, coalesce(t.score, 0) AS score, CASE WHEN t.phase IS NOT NULL THEN t.phase WHEN list_has_any(acc.ms, coalesce(sure.ms, [])) THEN 3 ELSE 0 END AS phase FROM acc LEFT JOIN taken t ON t.g = acc.g AND t.row = acc.row LEFT JOIN sure ON sure.g = acc.g""")
 def er_asn_assignment(spark, d):
-    """Closed-set assignment per nation of perturbed supplier names."""
+    """Closed-set assignment per nation of perturbed supplier names: all nations advance together, by joins and aggregates."""
     s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
     pairs = s.select("s_nationkey", F.col("s_suppkey").cast("int").alias("row"), F.translate("s_name", "01", "Oi").alias("read")).join(s.select("s_nationkey", F.col("s_suppkey").cast("int").alias("member"), "s_name"), "s_nationkey")
-    return resolve.assignments(pairs.select("s_nationkey", "row", "member", names.likeness("read", "s_name").alias("score")), "s_nationkey")
+    return claims.assignments(pairs.select("s_nationkey", "row", "member", names.likeness("read", "s_name").alias("score")), "s_nationkey")
+
+
+@query("""WITH RECURSIVE cells AS (SELECT o_orderkey AS g, l_linenumber::BIGINT AS row, (l_linenumber + k) % 5 AS member, max(CAST(55 + (l_suppkey * (7 + k) + l_partkey * (3 + 2 * k) + l_linenumber) % 46 AS INTEGER)) AS score FROM (SELECT *, l_orderkey AS o_orderkey FROM lineitem), (VALUES (0), (1), (2)) t(k) GROUP BY ALL), """ + CLAIMS_SQL + """
+SELECT acc.g AS o_orderkey, CAST(acc.row AS INTEGER) AS row, CAST(coalesce(t.member, -1) AS INTEGER) AS member, coalesce(t.score, 0) AS score, CASE WHEN t.phase IS NOT NULL THEN t.phase WHEN list_has_any(acc.ms, coalesce(sure.ms, [])) THEN 3 ELSE 0 END AS phase FROM acc LEFT JOIN taken t ON t.g = acc.g AND t.row = acc.row LEFT JOIN sure ON sure.g = acc.g""")
+def er_asn_contested(spark, d):
+    """The same where the lines of each order contest five members: ties, rows that are second sightings, and claims from what is left."""
+    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    n, k = F.col("l_linenumber"), F.col("k")
+    score = (55 + (F.col("l_suppkey") * (7 + k) + F.col("l_partkey") * (3 + 2 * k) + n) % 46).cast("int")
+    return claims.assignments(li.select("o_orderkey", n.cast("int").alias("row"), ((n + k) % 5).cast("int").alias("member"), score.alias("score")), "o_orderkey")
 
 
 # aggregates and windows
