@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +35,22 @@ def process_cache(key: str, make: Callable):
     return store[key]
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold but don't use: a worker lives on after its task, beside the workers and the executor that need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        return
+
+
 def slices(batches, rows: int):
-    """Arrow batches in parts of so many rows, so that what Python makes of a batch stays small."""
+    """Arrow batches in parts of so many rows, so that what Python makes of a batch stays small; at the end unused memory is given back."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+        del batch
+        give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -134,12 +134,12 @@ def link_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], nu
     # the keys are not shuffled a second time if those that are shared are counted to be few
     members = scratch.keep(keys.join(F.broadcast(buckets) if fits_broadcast(buckets, BUCKETS) else buckets, "key"), "members")
     some = members.select("rep").distinct()
-    wanted = scratch.keep(classes.select("rep", "row", "fp").join(F.broadcast(some) if fits_broadcast(buckets, BUCKETS // 4) else some, "rep", "left_semi"), "wanted")
+    wanted = scratch.keep(classes.select("rep", "row", "fp", "n").join(F.broadcast(some) if fits_broadcast(buckets, BUCKETS // 4) else some, "rep", "left_semi"), "wanted")
     sets = scratch.keep(sets_of(wanted).groupBy("fp").agg(F.first("hashes").alias("hashes")).join(wanted.select("fp", "rep"), "fp").select("rep", "hashes"), "sets")
 
     left = sets.select("rep", F.col("hashes").alias("x"))
     right = sets.select(F.col("rep").alias("leader"), F.col("hashes").alias("y"))
-    sizes = sets.select("rep", F.size("hashes").alias("n"))
+    sizes = wanted.select("rep", "n")
     pairs = members.where("rep <> leader").select("rep", "leader").distinct()
     pairs = pairs.join(sizes.withColumnRenamed("n", "nx"), "rep").join(sizes.select(F.col("rep").alias("leader"), F.col("n").alias("ny")), "leader")
     # sizes too far apart cannot link: the intersection is at most the smaller, the union at least the larger
