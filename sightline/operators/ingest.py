@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import names
-from sightline.operators import resolve, sequences
+from sightline.operators import claims, creation, resolve, sequences
 
 
 def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: DataFrame, score: Callable[[Column, Column], Column] = names.likeness) -> dict[str, DataFrame]:
@@ -28,7 +28,7 @@ def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: D
     # a row without any text has no pair, but it is a row of the matrix
     every = points.select("capture_id", "row").join(members.select("capture_id", "member_id"), "capture_id").join(best, ["capture_id", "row", "member_id"], "left")
     matrix = every.select("capture_id", F.col("row").cast("int").alias("row"), F.col("member_id").cast("int").alias("member"), F.coalesce("score", F.lit(0)).alias("score"))
-    assigned = resolve.assignments(matrix, "capture_id")
+    assigned = claims.assignments(matrix, "capture_id")
     read = resolve.with_retry(F.col("text"), F.col("confidence"), F.col("retry_text"), F.col("retry_confidence"))
     rows = points.withColumn("_r", read).select("capture_id", "row", "_r.*", "late_text", "late_confidence").join(assigned, ["capture_id", "row"], "left").join(tops, ["capture_id", "row"], "left")
     rows = rows.fillna({"member": -1, "phase": 0, "score": 0, "top": 0})
@@ -60,7 +60,7 @@ def roster(members: DataFrame, rows: DataFrame, fields: DataFrame, stated: DataF
     by = ["capture_id", "group"]
     # columns of their own, as the tables may come from one
     members, rows, fields = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (members, rows, fields))
-    decided = resolve.roster_decisions(rows, members, by)
+    decided = creation.decisions(rows, members, by)
     hit = decided.where("outcome in ('matched', 'created')").join(fields, [*by, "ordinal"])
     known = rows.select(*by, "ordinal", "name").join(members.withColumnRenamed("name", "_known"), by)
     # the score again, for the confidence of a match

@@ -165,7 +165,19 @@ def roster_inputs(spark, d):
     return known, rows.join(header, ["capture_id", "group"]), fields, stated
 
 
-@query()
+ROSTER_SQL = f"""WITH RECURSIVE m AS (SELECT s_nationkey AS capture_id, CAST(s_suppkey % 3 AS INTEGER) AS "group", s_suppkey AS member_id, lpad(CAST(s_suppkey * 7919 % 99991 AS VARCHAR), 5, '0') AS code FROM supplier),
+r AS (SELECT capture_id, "group", member_id AS ordinal, CASE WHEN member_id % 23 = 0 THEN '' ELSE code END AS name, round(0.3 + member_id % 7 / 10.0, 1) AS conf, CASE WHEN capture_id % 4 <> 3 THEN count(*) OVER g - capture_id % 2 END AS total, row_number() OVER (g ORDER BY member_id) AS rn FROM m WINDOW g AS (PARTITION BY capture_id, "group")),
+p AS (SELECT capture_id, "group", ordinal, member_id, CASE WHEN name = '' THEN 0 ELSE {weighted_sql("name", "code")} END AS score FROM r JOIN (SELECT * FROM m WHERE member_id % 2 = 0) USING (capture_id, "group")),
+b AS (SELECT capture_id, "group", ordinal, max(score) AS known, arg_max(member_id, (score, -member_id)) AS best FROM p GROUP BY ALL), q AS (SELECT r.*, coalesce(known, 0) AS known, best FROM r LEFT JOIN b USING (capture_id, "group", ordinal)),
+st AS (SELECT DISTINCT capture_id, "group", CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS pool, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS ordinal, CAST('' AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS member_id FROM r
+UNION ALL SELECT capture_id, "group", n + 1, CASE WHEN o = 'created' THEN list_append(pool, name) ELSE pool END, CASE WHEN o = 'created' THEN list_append(used, -len(pool) - 1) WHEN o = 'matched' THEN list_distinct(list_append(used, who)) ELSE used END, ordinal, o, CASE o WHEN 'created' THEN -len(pool) - 1 WHEN 'matched' THEN who END
+FROM (SELECT *, CASE WHEN name = '' THEN 'unreadable_name' WHEN top >= 92 THEN 'matched' WHEN top >= 75 THEN 'ambiguous_name_match' WHEN conf < 0.4 THEN 'low_confidence_name' WHEN total IS NULL THEN 'no_confident_match_group_count_unknown' WHEN len(used) >= total THEN 'no_confident_match_group_full' ELSE 'created' END AS o
+FROM (SELECT *, greatest(known, coalesce(list_max(near), 0)) AS top, CASE WHEN known >= coalesce(list_max(near), 0) THEN best ELSE -list_position(near, list_max(near)) END AS who
+FROM (SELECT st.capture_id, st."group", n, pool, used, q.ordinal, q.name, q.conf, q.total, q.known, q.best, CASE WHEN q.name = '' THEN [] ELSE list_transform(pool, lambda c: {weighted_sql("q.name", "c")}) END AS near FROM st JOIN q ON q.capture_id = st.capture_id AND q."group" = st."group" AND q.rn = n + 1))))
+SELECT capture_id, "group", ordinal, outcome, member_id FROM st WHERE n > 0"""
+
+
+@query(ROSTER_SQL)
 def er_ros_decisions(spark, d):
     """The whole roster pipeline: who each row is."""
     return ingest.roster(*roster_inputs(spark, d))["decisions"]
