@@ -85,6 +85,15 @@ def settle_reviews(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     return reviews.join(first, "review_id", "left").withColumn("resolved_member", F.when(open_ & (F.col("d.verdict") == "resolved"), F.col("d.member_id"))).withColumn("status", F.when(open_, F.col("d.verdict")).otherwise(F.col("status"))).drop("d")
 
 
+def resolution_aliases(settled: DataFrame, aliases: DataFrame, normal: Column) -> DataFrame:
+    """The aliases (member_id, alias, alias_normalized, source) that settling reviews adds: the raw text of each that was resolved just now (has a resolved_member), once for a member and normal form, of those not there yet.
+
+    normal: the normal form of raw_text. The first review by number gives the spelling; a text that is empty in normal form is no alias. Rejected reviews teach nothing.
+    """
+    new = settled.where(F.col("resolved_member").isNotNull()).select(F.col("resolved_member").alias("member_id"), F.col("raw_text").alias("alias"), normal.alias("alias_normalized"), "review_id").where("alias_normalized <> ''")
+    return insert_absent(aliases, new, ["member_id", "alias_normalized"], ["review_id"]).select("member_id", "alias", "alias_normalized", F.lit("review").alias("source"))
+
+
 def gate(match: Column, read: Column, least: float = 0.80) -> Column:
     """Whether a value may be written: the weaker of its two confidences decides."""
     return F.least(match, read) >= least

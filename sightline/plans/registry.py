@@ -71,15 +71,31 @@ def o_adv_coalesce_upsert(spark, d):
     return facts.refresh(old, new, ["k"], ["price"], ["brand"])
 
 
-@query("""WITH r AS (SELECT o_orderkey AS review_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'resolved' ELSE 'rejected' END AS status FROM orders), d AS (SELECT l_orderkey AS review_id, arg_min(CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'resolved' END, l_linenumber) AS verdict, arg_min(l_suppkey, l_linenumber) AS member_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'resolved' END, l_suppkey) AS rn FROM lineitem) WHERE rn = 1 GROUP BY 1)
-SELECT r.review_id, CASE WHEN status = 'pending' AND verdict IS NOT NULL AND verdict = 'resolved' THEN member_id END AS resolved_member, CASE WHEN status = 'pending' AND verdict IS NOT NULL THEN verdict ELSE status END AS status FROM r LEFT JOIN d USING (review_id)""")
+SETTLED_SQL = """WITH r AS (SELECT o_orderkey AS review_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'resolved' ELSE 'rejected' END AS status FROM orders), d AS (SELECT l_orderkey AS review_id, arg_min(CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'resolved' END, l_linenumber) AS verdict, arg_min(l_suppkey, l_linenumber) AS member_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'resolved' END, l_suppkey) AS rn FROM lineitem) WHERE rn = 1 GROUP BY 1)
+SELECT r.review_id, CASE WHEN status = 'pending' AND verdict IS NOT NULL AND verdict = 'resolved' THEN member_id END AS resolved_member, CASE WHEN status = 'pending' AND verdict IS NOT NULL THEN verdict ELSE status END AS status FROM r LEFT JOIN d USING (review_id)"""
+
+
+@query(SETTLED_SQL)
 def o_res_settle_reviews(spark, d):
+    return _settled(spark, d)
+
+
+def _settled(spark, d):
     reviews = table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "resolved").otherwise("rejected").alias("status"))
     li = table(spark, d, "lineitem")
     first = li.groupBy(F.col("l_orderkey").alias("review_id")).agg(F.min(F.struct(F.col("l_linenumber").alias("decided_at"), F.when(F.col("l_returnflag") == "R", "rejected").otherwise("resolved").alias("verdict"), F.col("l_suppkey").alias("member_id"))).alias("f")).select("review_id", "f.*")
     return facts.settle_reviews(reviews, first)
 
 
+@query(f"""WITH s AS ({SETTLED_SQL}), n AS (SELECT resolved_member AS member_id, 'Row #' || CAST(o_custkey % 9 AS VARCHAR) AS alias, 'row' || CAST(o_custkey % 9 AS VARCHAR) AS alias_normalized, review_id FROM s JOIN orders ON o_orderkey = review_id WHERE resolved_member IS NOT NULL)
+SELECT member_id, arg_min(alias, review_id) AS alias, alias_normalized, 'review' AS source FROM n WHERE NOT (member_id % 3 = 0 AND alias_normalized = 'row' || CAST(member_id % 9 AS VARCHAR)) GROUP BY member_id, alias_normalized""")
+def o_res_aliases(spark, d):
+    """The aliases that settling adds, where every third member has one already."""
+    raw = table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.concat(F.lit("Row #"), (F.col("o_custkey") % 9).cast("string")).alias("raw_text"))
+    have = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("member_id"), F.concat(F.lit("row"), (F.col("s_suppkey") % 9).cast("string")).alias("alias_normalized"))
+    return facts.resolution_aliases(_settled(spark, d).join(raw, "review_id"), have, names.ascii_normal("raw_text"))
+
+
 # functions
 
 

@@ -168,3 +168,17 @@ def test_ticks_see_what_ticks_before_left(spark, tmp_path, monkeypatch):
         raise ConnectionError("the store is down")
 
     assert len(tick(spark, path, 5, unreadable)) == 4 and len(tick(spark, path, 6, none)) == 5
+
+
+def test_commands_pause_resume_and_land(spark, tmp_path, capsys):
+    from sightline.__main__ import main
+
+    store = f"{tmp_path}/store"
+    switch.set_accounts(spark.createDataFrame([(1, True)], "account_id long, enabled boolean"), store)
+    held = switch.Switch(switch.stored(spark, store), -1.0)
+    verdict = lambda: held.judge(spark.createDataFrame([(1,)], "account_id long"), 0.0).first()
+    assert main(["pause", store, "--reason", "event"]) == 0 and (verdict().verdict, verdict().why) == ("paused", "event")
+    assert main(["resume", store]) == 0 and verdict().verdict == "free"
+    spark.range(3).write.parquet(f"{tmp_path}/captures")
+    assert main(["land", f"{tmp_path}/captures", f"{tmp_path}/queue"]) == 0
+    assert landing.folders(spark, f"{tmp_path}/queue") == ["000000000000"] and capsys.readouterr().out.startswith("paused\nrunning\n")
