@@ -72,10 +72,12 @@ def gate(expected: DataFrame, facts: DataFrame, key: list[str], tolerance: float
 def coverage(created: DataFrame, best: DataFrame, accept: int = 92) -> DataFrame:
     """(created_id, verdict) of created members by their best true one (created_id, truth_id, score, truth_group): covered, wrong group, orphan, or split if another covers the same one better or earlier."""
     rows = created.join(best, "created_id", "left").withColumn("_hit", F.coalesce(F.col("score") >= accept, F.lit(False)))
-    first = F.min(F.when(F.col("_hit"), F.struct(-F.col("score"), F.col("created_id")))).over(Window.partitionBy("truth_id"))
-    owner = first["created_id"]
-    verdict = F.when(~F.col("_hit"), "orphan").when(F.col("created_id") != owner, "split").when(F.col("group") != F.col("truth_group"), "wrong group").otherwise("covered")
-    return rows.withColumn("verdict", verdict).select("created_id", "truth_id", "score", "verdict")
+    hits = rows.where("_hit")
+    owners = hits.groupBy("truth_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("created_id").alias("owner"))).alias("_o")).select("truth_id", "_o.owner")
+    told = F.when(F.col("created_id") != F.col("owner"), "split").when(F.col("group") != F.col("truth_group"), "wrong group").otherwise("covered")
+    out = hits.join(owners, "truth_id").select("created_id", "truth_id", "score", told.alias("verdict"))
+    # orphans, of whom most can have no truth at all, meet nobody
+    return out.union(rows.where("not _hit").select("created_id", "truth_id", "score", F.lit("orphan").alias("verdict")))
 
 
 def read_verdicts(reads: DataFrame, truths: DataFrame, least: float) -> DataFrame:

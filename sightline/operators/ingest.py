@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import names
-from sightline.operators import claims, creation, resolve, sequences
+from sightline.operators import claims, creation, resolve, sequences, store
 
 
 def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: DataFrame, score: Callable[[Column, Column], Column] = names.likeness) -> dict[str, DataFrame]:
@@ -20,6 +20,7 @@ def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: D
 
     The modes' scores are united; rows are assigned to the closed set of members; sure values that fall with the rank bound their neighbours;
     each row becomes a fact, a review or a duplicate; members of a complete, fully attributed capture without a row get 0.
+    A review has the text that was read, and what the late retry read besides if it was tried in vain; one of a row without a member has all members of the capture as candidates, by score.
     Gives rows, facts, reviews, zeros and results (per capture). Everything joins on the capture, so captures are independent of each other.
     """
     pairs = reads.where("text <> ''").join(members, "capture_id").withColumn("score", score(F.col("text"), F.col("name")))
@@ -36,7 +37,9 @@ def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: D
     sure = sequences.consistent(seeded.where("seeds").select("capture_id", "row", "points"), ["capture_id"], ["row"], "points").where("keep").select("capture_id", "row", F.lit(True).alias("known"))
     bounded = sequences.neighbour_bounds(seeded.join(sure, ["capture_id", "row"], "left").fillna({"known": False}), ["capture_id"], ["row"], "points", "known")
     told = resolve.attributed(bounded, "a", *(F.col(c) for c in ("phase", "top", "text", "confidence", "score", "lo", "hi", "late_text", "late_confidence", "retried")))
-    out = told.select("capture_id", "row", "member", "phase", "name_text", F.col("text").alias("raw"), F.col("a.outcome").alias("outcome"), F.col("a.value").alias("value"), F.col("a.confidence").alias("confidence"), F.col("a.reason").alias("reason"))
+    vain = (F.col("a.reason") == "unparseable_points") & ~F.col("retried")
+    raw = F.when(vain, F.concat(F.coalesce("text", F.lit("")), F.lit(" | retry: "), F.coalesce("late_text", F.lit("")))).otherwise(F.col("text"))
+    out = told.select("capture_id", "row", "member", "phase", "name_text", raw.alias("raw"), F.col("a.outcome").alias("outcome"), F.col("a.value").alias("value"), F.col("a.confidence").alias("confidence"), F.col("a.reason").alias("reason"))
     lost = out.groupBy("capture_id").agg(F.count("*").alias("parsed"), F.count_if((F.col("member") < 0) & (F.col("phase") != resolve.DUPLICATE)).alias("unidentified"))
     state = captures.join(lost, "capture_id", "left").fillna({"parsed": 0, "unidentified": 0})
     taken = out.where("member >= 0").select("capture_id", F.col("member").cast("long").alias("member_id"))
@@ -44,7 +47,11 @@ def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: D
     counters = resolve.result_counters(out, "capture_id")
     zeroed = zeros.groupBy("capture_id").agg(F.count("*").alias("zeroed"))
     results = state.join(counters, "capture_id", "left").join(zeroed, "capture_id", "left").na.fill(0)
-    return {"rows": out, "facts": out.where("outcome = 'fact'").select("capture_id", F.col("member").alias("member_id"), "value", "confidence"), "reviews": out.where("outcome = 'review'").select("capture_id", "row", "reason", "raw", "confidence"), "zeros": zeros, "results": results}
+    key = F.concat_ws("/", "capture_id", "row").alias("review_id")
+    reviews = out.where("outcome = 'review'").select(key, "capture_id", "row", "reason", "raw", "confidence", "member")
+    ranked = every.join(members, ["capture_id", "member_id"]).select(key, "member_id", "name", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+    reviews = store.queued(reviews.drop("member"), ranked.join(reviews.where("member < 0").select("review_id"), "review_id", "left_semi"), "review_id").drop("review_id")
+    return {"rows": out, "facts": out.where("outcome = 'fact'").select("capture_id", F.col("member").alias("member_id"), "value", "confidence"), "reviews": reviews, "zeros": zeros, "results": results}
 
 
 def roster(members: DataFrame, rows: DataFrame, fields: DataFrame, stated: DataFrame) -> dict[str, DataFrame]:

@@ -36,9 +36,10 @@ def _forms(s: pd.Series) -> pd.Series:
 
 
 def forms(rows: DataFrame, block: list[str], name: str) -> DataFrame:
-    """Distinct (block, name, kind, form): the forms of a name that are compared, with look-alikes made one; empty forms have no row. A null or empty name has none."""
-    each = rows.where(F.col(name).isNotNull()).select(*block, name).distinct().select(*block, name, F.posexplode(_forms(name)).alias("kind", "form")).where("form <> ''")
-    return each.withColumn("form", F.translate("form", *classes()))
+    """Distinct (block, name, form): the forms of a name that are compared, with look-alikes made one; most names have one alone. Empty forms have no row, nor has a null or empty name."""
+    each = rows.where(F.col(name).isNotNull()).select(*block, name).distinct().withColumn("_f", _forms(name))
+    plain = F.array_distinct(F.transform("_f", lambda f: F.translate(f, *classes())))
+    return each.select(*block, name, F.explode(plain).alias("form")).where("form <> ''")
 
 
 def _pieces(least: int) -> Column:
@@ -60,14 +61,14 @@ def paired(reads: DataFrame, members: DataFrame, block: list[str], read: str, na
     """Distinct (block, read, name) that can reach `least`: none that does is missing.
 
     An exchange of look-alikes costs less than an edit but leaves the form with look-alikes made one as it is, so a likeness of `least` allows a share of 100 - least
-    edits, whole ones, in the longer form. Forms of a kind meet where they share a piece, about where it stands; then their lengths and their distance must fit.
+    edits, whole ones, in the longer form. Forms meet where they share a piece, about where it stands; then their lengths and their distance must fit.
     """
     if least < LEAST:
         raise ValueError(f"the join needs a likeness of {LEAST} or more")
-    x = forms(reads, block, read).withColumn("m", F.length("form")).select(*block, read, "kind", F.col("form").alias("x"), "m", F.explode(_parts(least)).alias("p")).select(*block, read, "kind", "x", "m", F.col("p.start").alias("at"), F.col("p.piece").alias("piece"))
-    y = forms(members, block, name).select(*block, name, "kind", F.col("form").alias("y"), F.length("form").alias("n"), F.explode(_pieces(least)).alias("p")).select(*block, name, "kind", "y", "n", F.col("p.start").alias("start"), F.col("p.piece").alias("piece"))
+    x = forms(reads, block, read).withColumn("m", F.length("form")).select(*block, read, F.col("form").alias("x"), "m", F.explode(_parts(least)).alias("p")).select(*block, read, "x", "m", F.col("p.start").alias("at"), F.col("p.piece").alias("piece"))
+    y = forms(members, block, name).select(*block, name, F.col("form").alias("y"), F.length("form").alias("n"), F.explode(_pieces(least)).alias("p")).select(*block, name, "y", "n", F.col("p.start").alias("start"), F.col("p.piece").alias("piece"))
     room = lambda c: F.lit(100) * c <= F.greatest("m", "n") * (100 - least)
-    near = x.join(y, [*block, "kind", "piece"]).where(room(F.abs(F.col("m") - F.col("n"))) & room(F.abs(F.col("at") - F.col("start"))))
+    near = x.join(y, [*block, "piece"]).where(room(F.abs(F.col("m") - F.col("n"))) & room(F.abs(F.col("at") - F.col("start"))))
     near = near.select(*block, read, name, "x", "y", "m", "n").distinct().where(room(F.levenshtein("x", "y")))
     return near.select(*block, read, name).distinct()
 

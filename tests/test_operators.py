@@ -1,4 +1,5 @@
 import datetime
+import json
 import random
 
 import numpy as np
@@ -240,6 +241,8 @@ def test_ranking_pipeline(spark):
     got = ingest.ranking(captures, members, reads, points, score=names.edit_ratio)
     rows = {(r.capture_id, r.row): (r.outcome, r.value, r.reason) for r in got["rows"].collect()}
     assert rows == {(1, 0): ("fact", 9000, None), (1, 1): ("review", None, "unparseable_points"), (1, 2): ("fact", 8000, None), (1, 3): ("duplicate", None, None), (2, 0): ("review", None, "low_confidence_points"), (2, 1): ("review", None, "no_confident_match")}
+    reviews = {(r.capture_id, r.row): (r.raw, [c["name"] for c in json.loads(r.candidates_json)]) for r in got["reviews"].collect()}
+    assert reviews == {(1, 1): ("8,5?0 | retry: ", []), (2, 0): ("5", []), (2, 1): ("4", ["alpha", "bravo", "charlie", "delta"])}
     assert [(z.capture_id, z.member_id, z.value, z.confidence) for z in got["zeros"].collect()] == [(1, 13, 0.0, 0.9)]
     assert {r.capture_id: (r.matched, r.queued, r.duplicates, r.zeroed) for r in got["results"].collect()} == {1: (2, 1, 1, 1), 2: (0, 2, 0, 0), 3: (0, 0, 0, 0)}
 
