@@ -38,7 +38,7 @@ def test_stage_columns_and_registry(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, SF).columns == docs.columns, name
-    assert {q.split("_")[0] for q in corpus.QUERIES if q.startswith("op") or q == "pipeline"} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {q.split("_")[0] for q in corpus.QUERIES if q.startswith("op") or q == "pipeline"} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_stages_on_rows_with_nulls_repeats_and_clashing_names(spark, tmp_path):
