@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sightline.functions import names
 from sightline.functions.names import PAIRS, REVIEW
+from sightline.functions.names import _forms as compared
 
 #: The join needs likenesses above one half: below, two names alike enough need not share anything.
 LEAST = 51
@@ -32,7 +33,8 @@ def classes(pairs: list[str] = PAIRS) -> tuple[str, str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _forms(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: list(names._forms(x)[:4]))
+    # by its own name: the module as a whole can't travel to the workers
+    return s.map(lambda x: list(compared(x)[:4]))
 
 
 def forms(rows: DataFrame, block: list[str], name: str) -> DataFrame:

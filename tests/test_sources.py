@@ -68,10 +68,10 @@ def test_confusion_as_a_square(spark):
 
 
 def test_review_candidates_round_trip(spark):
-    df = spark.createDataFrame([(json.dumps([{"member_id": 3, "score": 80}]),)], "j string")
+    df = spark.createDataFrame([(json.dumps([{"member_id": 3, "name": "x", "score": 80}]),)], "j string")
     from sightline.operators import store
 
-    assert [tuple(x) for x in df.select(store.candidates_of(F.col("j")).alias("c")).first().c] == [(3, 80)]
+    assert [tuple(x) for x in df.select(store.candidates_of(F.col("j")).alias("c")).first().c] == [(3, "x", 80)]
 
 
 def test_jitter_lies_between_its_bounds(spark):
