@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
 from sightline.operators import claims, evaluate, facts, graphs, likely, metrics, planner, resolve, sequences
-from sightline.plans import evaluation, fields, frames, ordered, planning, scores, store, streams  # noqa: F401  each adds its queries
+from sightline.plans import evaluation, fields, frames, ordered, planning, published, scores, store, streams  # noqa: F401  each adds its queries
 from sightline.plans.base import weighted_sql
 from sightline.plans.base import QUERIES, SQL, query  # noqa: F401
 from sightline.sources import blobs, recognised
