@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.names import REVIEW
+from sightline.operators import likely
+
 NONE, NEGATIVE = "<none>", "_none"
 
 
@@ -69,6 +72,14 @@ def gate(expected: DataFrame, facts: DataFrame, key: list[str], tolerance: float
     return both.withColumn("verdict", F.when(F.col("got").isNull(), "missing").when(close, "ok").otherwise("off"))
 
 
+def nearest_truth(created: DataFrame, truths: DataFrame, name: str, true_name: str, least: int = REVIEW) -> DataFrame:
+    """(name, truth_id, score, truth_group) of the true member (truth_id, true_name, truth_group) most like each distinct name, of all groups, the lowest truth_id of equals; names without one of `least` have no row."""
+    block = F.lit(0).alias("all")  # names meet by their pieces, whatever their group
+    scored = likely.likely(created.select(block, name), truths.select(block, "truth_id", true_name), ["all"], name, true_name, "truth_id", least=least)
+    best = scored.join(truths.select("truth_id", "truth_group"), "truth_id").groupBy(name)
+    return best.agg(F.max_by(F.struct("truth_id", "score", "truth_group"), F.struct("score", -F.col("truth_id"))).alias("b")).select(name, "b.*")
+
+
 def coverage(created: DataFrame, best: DataFrame, accept: int = 92) -> DataFrame:
     """(created_id, verdict) of created members by their best true one (created_id, truth_id, score, truth_group): covered, wrong group, orphan, or split if another covers the same one better or earlier."""
     rows = created.join(best, "created_id", "left").withColumn("_hit", F.coalesce(F.col("score") >= accept, F.lit(False)))

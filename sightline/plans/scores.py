@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import names
 from sightline.operators import evaluate, metrics, pixels, resolve
-from sightline.plans.base import query
+from sightline.plans.base import query, weighted_sql
 from sightline.sources.tables import table
 
 #: Likeness of two columns by plain edits, as names.edit_ratio has it.
@@ -83,19 +83,24 @@ def j_gate_expected_rows(spark, d):
     return evaluate.gate(want, got, ["k"]).select("k", "verdict")
 
 
-COVER = f"c AS (SELECT c_custkey AS created_id, c_custkey % 97 AS t, CASE c_custkey % 3 WHEN 0 THEN 'Supplier#' || lpad(CAST(c_custkey % 97 AS VARCHAR), 9, '0') WHEN 1 THEN 'Suppller#' || lpad(CAST(c_custkey % 97 AS VARCHAR), 9, '0') ELSE 'nobody' END AS name, c_nationkey AS grp FROM customer), b AS (SELECT created_id, s_suppkey AS truth_id, {RATIO.format(a='name', b='s_name')} AS score, s_nationkey AS truth_group, grp FROM c JOIN supplier ON t = s_suppkey)"
+COVER = f"""v AS (SELECT s_suppkey AS truth_id, s_nationkey AS truth_group, lpad(CAST(s_suppkey * 7919 % 99991 AS VARCHAR), 5, '0') AS code FROM supplier),
+o1 AS (SELECT l_orderkey AS created_id, min(l_suppkey) AS k, min(l_partkey) % 25 AS grp FROM lineitem GROUP BY 1),
+c AS (SELECT created_id, grp, CASE created_id % 3 WHEN 2 THEN 'nobody' WHEN 1 THEN translate(code, '01', 'Oi') ELSE code END AS name FROM o1 JOIN v ON k = truth_id),
+p AS (SELECT n.name, v.*, {weighted_sql("lower(n.name)", "v.code")} AS score FROM (SELECT DISTINCT name FROM c) n, v),
+b AS (SELECT name, arg_max(truth_id, (score, -truth_id)) AS truth_id, max(score) AS score, arg_max(truth_group, (score, -truth_id)) AS truth_group FROM p WHERE score >= 75 GROUP BY 1)"""
 
 
-@query(f"""WITH {COVER}, o AS (SELECT *, arg_min(created_id, (-score, created_id)) FILTER (score >= 92) OVER (PARTITION BY truth_id) AS owner FROM b) SELECT c.created_id, truth_id, score, CASE WHEN NOT coalesce(score >= 92, false) THEN 'orphan' WHEN c.created_id <> owner THEN 'split' WHEN c.grp <> truth_group THEN 'wrong group' ELSE 'covered' END AS verdict FROM c LEFT JOIN o ON c.created_id = o.created_id""")
+@query(f"""WITH {COVER}, o AS (SELECT c.*, truth_id, score, truth_group, arg_min(created_id, (-score, created_id)) FILTER (score >= 92) OVER (PARTITION BY truth_id) AS owner FROM c LEFT JOIN b ON c.name = b.name) SELECT created_id, truth_id, score, CASE WHEN NOT coalesce(score >= 92, false) THEN 'orphan' WHEN created_id <> owner THEN 'split' WHEN grp <> truth_group THEN 'wrong group' ELSE 'covered' END AS verdict FROM o""")
 def j_cov_coverage(spark, d):
-    """Created members against the true one of their number: covered, of another group, without one, or one of several for the same."""
-    t = F.col("c_custkey") % 97
-    right = F.lpad(t.cast("string"), 9, "0")
-    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Supplier#"), right)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Suppller#"), right)).otherwise("nobody")
-    created = table(spark, d, "customer").select(F.col("c_custkey").alias("created_id"), t.alias("t"), name.alias("name"), F.col("c_nationkey").alias("group"))
-    truths = table(spark, d, "supplier").select(F.col("s_suppkey").alias("truth_id"), "s_name", F.col("s_nationkey").alias("truth_group"))
-    best = created.join(truths, created["t"] == truths["truth_id"]).select("created_id", "truth_id", names.edit_ratio("name", "s_name").alias("score"), "truth_group")
-    return evaluate.coverage(created.select("created_id", "group"), best)
+    """Created members against the true one most like them of all groups: covered, of another group, without one, or one of several for the same. An order creates a member with the code of its first supplier, sometimes with look-alikes or a name that is nobody's."""
+    code = F.lpad((F.col("s_suppkey") * 7919 % 99991).cast("string"), 5, "0")
+    truths = table(spark, d, "supplier").select(F.col("s_suppkey").alias("truth_id"), code.alias("code"), F.col("s_nationkey").alias("truth_group"))
+    orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("created_id")).agg(F.min("l_suppkey").alias("truth_id"), (F.min("l_partkey") % 25).alias("group"))
+    kind = F.col("created_id") % 3
+    name = F.when(kind == 2, "nobody").when(kind == 1, F.translate("code", "01", "Oi")).otherwise(F.col("code"))
+    created = orders.join(truths.select("truth_id", "code"), "truth_id").select("created_id", "group", name.alias("name"))
+    best = evaluate.nearest_truth(created.select("name"), truths, "name", "code")
+    return evaluate.coverage(created.select("created_id", "group"), created.select("created_id", "name").join(best, "name").drop("name"))
 
 
 @query("""WITH g AS (SELECT o_custkey AS capture_id, o_orderstatus AS grp, count(*) AS parsed, count(*) FILTER (o_orderpriority < '4') AS matched_or_created, count(DISTINCT o_orderpriority) FILTER (o_orderpriority < '4') AS members, arg_min(o_orderkey % 9 + 1, o_orderkey) FILTER (o_orderkey % 4 <> 0) AS expected FROM orders GROUP BY ALL) SELECT *, expected IS NOT NULL AND members < expected AS can_create FROM g""")
@@ -116,21 +121,22 @@ def a_rsn_reviews_by_reason(spark, d):
     return table(spark, d, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_returnflag").alias("reason")).agg(F.count("*").alias("n"))
 
 
-ANCHORS = "a AS (SELECT vec_id AS anchor, label AS screen, embedding AS v FROM embeddings WHERE vec_id < 8)"
+ANCHORS = "a AS (SELECT min(vec_id) AS anchor, label AS screen, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)"
 
 
 @query(f"""WITH {ANCHORS} SELECT e.vec_id AS frame, a.anchor, a.screen, round(greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], a.v::DOUBLE[])), 4)::DOUBLE AS score FROM embeddings e, a""")
 def j_eval_frames_by_anchors(spark, d):
-    """Frames are vectors, the first eight of them anchors: every frame is scored by each, as in matching templates."""
+    """Frames are vectors, the first of each screen its anchor: every frame is scored by each, as in matching templates."""
     return _scored(spark, d).select("frame", "anchor", "screen", F.round("score", 4).alias("score"))
 
 
 def _scored(spark, d):
     e = table(spark, d, "embeddings")
     frames = e.select(F.col("vec_id").alias("frame"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    anchors = e.where("vec_id < 8").select(F.col("vec_id").alias("anchor"), F.col("label").alias("screen"), F.transform("embedding", lambda x: x.cast("double")).alias("y"))
+    first = e.groupBy("label").agg(F.min("vec_id").alias("anchor"), F.min_by("embedding", "vec_id").alias("v"))
+    anchors = first.select("anchor", F.col("label").alias("screen"), F.transform("v", lambda x: x.cast("double")).alias("y"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return frames.crossJoin(F.broadcast(anchors)).withColumn("score", F.greatest(F.lit(0.0), dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))))  # anchors are eight rows by their condition
+    return frames.crossJoin(F.broadcast(anchors)).withColumn("score", F.greatest(F.lit(0.0), dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))))  # one anchor a screen
 
 
 @query(f"""WITH {ANCHORS}, s AS (SELECT e.label, a.anchor, a.screen, round(greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], a.v::DOUBLE[])), 4) AS score FROM embeddings e, a WHERE e.label = a.screen) SELECT anchor, count(*) AS frames, count(*) FILTER (score >= 0.3) AS found, round(min(score), 4)::DOUBLE AS weakest FROM s GROUP BY 1""")

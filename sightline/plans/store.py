@@ -34,10 +34,10 @@ def p_pend_reviews(spark, d):
     return store.ordered(o, "o_orderdate", "o_orderkey").select(F.col("o_orderkey").alias("review_id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created"))
 
 
-@query("""SELECT l_orderkey AS capture_id, l_linenumber AS seq, l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 200 ORDER BY capture_id, seq, l_suppkey, p_name""")
+@query("""SELECT l_orderkey AS capture_id, l_linenumber AS seq, l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey ORDER BY capture_id, seq, l_suppkey, p_name""")
 def j_frs_frames_in_order(spark, d):
-    """P-FRM and J-FRS: frames of some captures with their screenshots, in scroll order."""
-    li = table(spark, d, "lineitem").where("l_orderkey < 200")
+    """P-FRM and J-FRS: frames of captures with their screenshots, in scroll order."""
+    li = table(spark, d, "lineitem")
     rows = li.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("capture_id"), F.col("l_linenumber").alias("seq"), "l_suppkey", "p_name")
     return store.ordered(rows, "capture_id", "seq", "l_suppkey", "p_name")
 
