@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from sightline.llm.common import by_value
 
 #: Entries of the memo of chunks before it starts anew, about 200 bytes each; that of other pieces holds a third as many.
 MEMO = 500_000
+#: Chunks that columns remember, about 200 bytes each.
+SEEN = 400_000
 #: Characters that, behind a letter, the splitting pattern parts from it, and that begin no contraction.
 PUNCTUATION = ".,!?;:$%&*#|"
 #: Runs of letters that are letters in every version of Unicode that a tokenizer may know.
@@ -32,6 +39,7 @@ class ChunkEncoder:
         self.word, self.text, self.entries = word, text, entries or MEMO
         self.memo: dict[str, bytes | None] = {}
         self.known: dict[str, bytes] = {}
+        self.forget()
 
     def piece(self, piece: str, encode: Callable[[str], bytes]) -> bytes:
         found = self.known.get(piece)
@@ -67,11 +75,73 @@ class ChunkEncoder:
         word = self.piece(base, self.word) if not lead else self.memo.get(base) or self.missing(base)
         return word if len(base) == len(line) else word + self.piece(line[len(base) :], self.text)
 
-    def encode(self, text: str) -> bytes:
+    def tidy(self) -> None:
         if len(self.memo) > self.entries:
             self.memo.clear()
         if len(self.known) > self.entries // 3:
             self.known.clear()
+
+    def encode_column(self, texts: pa.Array, whole: np.ndarray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (without nulls) one after the other, each followed by end, and how many each has. Chunks known from earlier columns are looked up, others encoded, once a column; texts marked in whole are not cut."""
+        self.tidy()
+        chunks = pc.split_pattern(texts, " ")
+        begins = chunks.offsets.to_numpy().astype(np.int64)
+        values = chunks.values.slice(begins[0], begins[-1] - begins[0])
+        begins -= begins[0]
+        first = begins[:-1]
+        heads = values.take(pa.array(first)).to_pylist()
+        # the chunks that stand behind a space
+        later = np.ones(len(values), bool)
+        later[first] = False
+        coded = values.dictionary_encode()
+        every, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        behind = np.zeros(len(every), bool)
+        behind[code[later]] = True
+        known = np.fromiter(map(self.seen.get, every, repeat(-1)), np.int64, len(every))
+        new = np.flatnonzero(behind & (known < 0))
+        known[new] = len(self.seen) + np.arange(len(new))
+        names = [every[k] for k in new.tolist()]
+        found = [self.missing(chunk) for chunk in names]
+        alone = np.fromiter((ids is None for ids in found), bool, len(found))
+        no = np.zeros(len(every), bool)
+        no[new] = alone
+        no = no[code] & later
+        code = known[code]
+        whole = whole | (np.diff(begins) == 1) | np.logical_or.reduceat(no, first) | np.fromiter((not head or head[-1].isspace() for head in heads), bool, len(heads))
+        # of a whole text its first place stands for all of it
+        firsts = [self.piece(head, self.text) if not w else self.text(texts[k].as_py()) if len(texts[k].as_py()) else b"" for k, (head, w) in enumerate(zip(heads, whole.tolist(), strict=True))]
+        code[first] = len(self.seen) + len(found) + np.arange(len(first))
+        some = [b"" if ids is None else ids for ids in found]
+        lengths = np.fromiter(map(len, some + firsts), np.int64, len(some) + len(firsts)) // 4
+        table = np.concatenate((self.ids, np.frombuffer(b"".join(some), "<u4"), np.frombuffer(b"".join(firsts) + end, "<u4")))
+        lengths = np.concatenate((self.lengths, lengths))
+        starts = np.cumsum(lengths) - lengths
+        per = lengths[code]
+        gone = np.repeat(whole, np.diff(begins))
+        gone[first] = False
+        per[gone] = 0
+        counts = np.add.reduceat(per, first) + 1
+        # the end behind each text's last place
+        per, at = np.insert(per, begins[1:], 1), np.insert(starts[code], begins[1:], len(table) - 1)
+        out = table[np.repeat(at - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]
+        fresh = len(self.seen) + len(new) <= SEEN
+        # over SEEN only this column's chunks stay
+        at = (new if fresh else np.flatnonzero(behind)).tolist()
+        at = np.array([k for k in at if len(every[k]) <= LONG and "\n" not in every[k] and lengths[known[k]]], np.int64)
+        if not fresh:
+            self.forget()
+        self.seen.update(zip([every[k] for k in at.tolist()], range(len(self.seen), len(self.seen) + len(at)), strict=True))
+        per, at = lengths[known[at]], starts[known[at]]
+        self.ids = np.concatenate((self.ids, table[np.repeat(at - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]))
+        self.lengths = np.concatenate((self.lengths, per))
+        return out, counts
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.ids, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def encode(self, text: str) -> bytes:
+        self.tidy()
         chunks = text.split(" ")
         first = chunks.pop(0)
         if not chunks or not first or first[-1].isspace():

@@ -9,13 +9,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.chunks import ChunkEncoder
-from sightline.llm.common import Scratch, by_value, fits_broadcast, process_cache, text_or_empty
+from sightline.llm.common import Scratch, by_value, fits_broadcast, give_back, process_cache, text_or_empty
 
 END = 0
+#: Bytes of text encoded at a time, and texts at the most.
+SLICE, TEXTS = 3 << 20, 2000
+#: Words remembered for chunks that are new.
+WORDS = 60_000
 #: Writer settings: ids are dictionary-coded (50k distinct values fit one dictionary page), and numbers that run out of a dictionary, such
 #: as doc_id and place, are delta-coded by the second data-page format. Small pages and their index let a reader of few documents or of the
 #: metadata columns alone skip the rest; row groups bound what a reader holds.
@@ -30,8 +35,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
-def tokenizer_encoder(path: str, added: bool = True) -> Callable[[str], bytes]:
-    """Function from a text to its ids, as little-endian 32-bit words, by a tokenizer of the tokenizers library.
+def tokenizer_encoder(path: str, added: bool = True) -> Callable[[pa.Array, bytes], tuple[np.ndarray, np.ndarray]]:
+    """Function from a column of texts, and the ids that end a text, to the ids of all and how many each has, by a tokenizer of the tokenizers library.
 
     Byte-level tokenizers encode by chunks: a run of letters goes to the model
     at once, whatever needs splitting or has an added token through the whole tokenizer. Other tokenizers encode every text
@@ -50,7 +55,12 @@ def tokenizer_encoder(path: str, added: bool = True) -> Callable[[str], bytes]:
 
     split = tokenizer.pre_tokenizer
     if tokenizer.normalizer is not None or not isinstance(split, pre_tokenizers.ByteLevel) or split.add_prefix_space or not split.use_regex:
-        return whole
+
+        def each(texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+            data = [whole(text) + end for text in texts.to_pylist()]
+            return np.frombuffer(b"".join(data), "<u4"), np.array([len(d) // 4 for d in data], np.int64)
+
+        return each
 
     packed = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
     blank = letters[32]
@@ -62,8 +72,26 @@ def tokenizer_encoder(path: str, added: bool = True) -> Callable[[str], bytes]:
             mapped = piece.encode().decode("latin-1").translate(letters)
         return b"".join([packed[t.id] for t in model.tokenize(mapped)])
 
-    chunks, marks = ChunkEncoder(word, whole), [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
-    return lambda text: whole(text) if any(m in text for m in marks) else chunks.encode(text)
+    chunks, marks = ChunkEncoder(word, whole, WORDS), [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+
+    def column(texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.zeros(len(texts), bool)
+        for m in marks:
+            marked |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        return chunks.encode_column(texts, marked, end)
+
+    return column
+
+
+def _slices(texts: pa.Array):
+    """First row and rows of parts of a column of about SLICE bytes, or one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + TEXTS, max(lo + 1, int(np.searchsorted(ends, before + SLICE, side="right"))))
+        yield lo, hi - lo
+        lo = hi
 
 
 def _encode_batches(path: str, added: bool):
@@ -71,13 +99,14 @@ def _encode_batches(path: str, added: bool):
         encode, place = process_cache(f"tokenizer {path} {added}", lambda: tokenizer_encoder(path, added)), 0
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                data = [encode(text) + end for text in batch.column(1).slice(lo, 500).to_pylist()]
-                counts = np.array([len(d) // 4 for d in data], np.int64)
+            for lo, rows in _slices(batch.column(1)):
+                ids, counts = encode(batch.column(1).slice(lo, rows), end)
                 ends = np.cumsum(counts)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array(counts), pa.array(place + ends - counts), ids], ["doc_id", "n_tokens", "place", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(counts), pa.array(place + ends - counts), lists], ["doc_id", "n_tokens", "place", "ids"])
                 place += int(ends[-1])
+            del batch
+            give_back()
 
     return run
 
