@@ -254,7 +254,7 @@ def encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:
         t = Transducer(read_ranks(path))
         return chunk_encoder(t, pattern), [t.tokens.get(i, b"") for i in range(max(t.tokens) + 1)]
 
-    return process_cache(f"bpe {path} {pattern}", make)
+    return process_cache(f"bpe {path} {pattern}", make, large=True)
 
 
 def encode_batches(path: str, pattern: str, with_ids: bool):
@@ -262,7 +262,7 @@ def encode_batches(path: str, pattern: str, with_ids: bool):
 
     def run(batches):
         chunks, tokens = encoder(path, pattern)
-        digits = process_cache(f"digits {path}", lambda: [b"%d" % i for i in range(len(tokens))])
+        digits = process_cache(f"digits {path}", lambda: [b"%d" % i for i in range(len(tokens))], large=True)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 counts, ids_sha, text_sha, kept = [], [], [], []
@@ -311,7 +311,7 @@ def decode_batches(path: str):
                 out[i] = t
             return out
 
-        tokens = process_cache(f"tokens {path}", make)
+        tokens = process_cache(f"tokens {path}", make, large=True)
         for batch in batches:
             out = []
             for ids in batch.column(1).to_pylist():

@@ -27,9 +27,11 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def process_cache(key: str, make: Callable):
-    """A value kept for the life of a Python worker, made on first use; functions shipped by value have no module to keep it in."""
+def process_cache(key: str, make: Callable, large: bool = False):
+    """A value kept for the life of a Python worker, made on first use; functions shipped by value have no module to keep it in. A large one goes when the worker takes up batches of an operator that reads by `slices`."""
     store = sys.modules.setdefault("_sightline_worker_state", types.ModuleType("_sightline_worker_state")).__dict__
+    if large:
+        store = store.setdefault("large", {})
     if key not in store:
         store[key] = make()
     return store[key]
@@ -45,7 +47,8 @@ def give_back() -> None:
 
 
 def slices(batches, rows: int):
-    """Arrow batches in parts of so many rows, so that what Python makes of a batch stays small; at the end unused memory is given back."""
+    """Arrow batches in parts of so many rows, so that what Python makes of a batch stays small; at the end unused memory is given back. What other operators keep in the worker that is large goes first."""
+    process_cache("large", dict).clear()
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)

@@ -96,7 +96,7 @@ def _slices(texts: pa.Array):
 
 def _encode_batches(path: str, added: bool):
     def run(batches):
-        encode, place = process_cache(f"tokenizer {path} {added}", lambda: tokenizer_encoder(path, added)), 0
+        encode, place = process_cache(f"tokenizer {path} {added}", lambda: tokenizer_encoder(path, added), large=True), 0
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for lo, rows in _slices(batch.column(1)):
