@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]+"
 
+#: Setting of Spark (from 4.1 on) by which a finished execution removes its shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: dict[str, list[str]] = {}
 
 
@@ -121,7 +124,13 @@ class Scratch:
 
     def keep(self, df: DataFrame, tag: str, **options) -> DataFrame:
         path = self.path(tag)
-        df.write.options(**options).parquet(path)
+        # what this write shuffles is needed by nothing later: its files go at its end, not when the driver next collects garbage
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path

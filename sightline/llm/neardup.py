@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,8 +62,8 @@ def set_batches(carried: int):
     return run
 
 
-def _forest(owners: list, comps: list, num: int, den: int, sets: list, left: np.ndarray, same: bool) -> list[tuple]:
-    """Links between different components among the rows of one pair of blocks, no more than join them. left: of the first block."""
+def _forest(comps: list[int], num: int, den: int, values: np.ndarray, sizes: np.ndarray, left: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Links between different components among the rows of one pair of blocks, no more than join them. values: their shingles one after the other, sizes of each; left: of the first block."""
     parent: dict = {}
 
     def root(x):
@@ -73,52 +72,73 @@ def _forest(owners: list, comps: list, num: int, den: int, sets: list, left: np.
             x = parent[x]
         return x
 
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    rows, cols = (np.arange(len(sets)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+    total = len(sizes)
+    rows, cols = (np.arange(total),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
     if not len(rows) or not len(cols):
         return []
-    universe, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    owner, values = np.repeat(np.arange(total), sizes)[order], values[order]
+    at = np.cumsum(np.append(True, values[1:] != values[:-1])) - 1
     # a shingle of one set alone adds nothing to an intersection
-    shared = np.bincount(at, minlength=len(universe)) > 1
-    rank = np.cumsum(shared) - 1
+    shared = np.bincount(at) > 1
     keep = shared[at]
-    at, owner = rank[at[keep]], owner[keep]
+    at, owner = (np.cumsum(shared) - 1)[at[keep]], owner[keep]
     width = int(shared.sum())
     inter = np.zeros((len(rows), len(cols)), dtype=np.float32)
-    step = max(1, CELLS // len(sets))
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
+    step = max(1, CELLS // total)
     for lo in range(0, width, step):
         a, b = np.searchsorted(at, (lo, lo + step))
-        m = np.zeros((len(sets), min(step, width - lo)), dtype=np.float32)
+        m = np.zeros((total, min(step, width - lo)), dtype=np.float32)
         m[owner[a:b], at[a:b] - lo] = 1
-        inter += m[rows] @ m[cols].T
-    union = sizes[rows][:, None] + sizes[cols][None, :] - inter.astype(np.int64)
-    linked = den * inter.astype(np.int64) >= num * union
+        inter += (m if same else m[rows]) @ (m if same else m[cols]).T
+    common = inter.astype(np.int64)
+    linked = den * common >= num * (sizes[rows][:, None] + sizes[cols][None, :] - common)
     out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = int(rows[i]), int(cols[j])
-        x, y = root(comps[a]), root(comps[b])
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        a, b = comps[rows[i]], comps[cols[j]]
+        x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            out.append((comps[a], comps[b]))
+            out.append((a, b))
     return out
 
 
 def block_links(num: int, den: int):
-    """applyInPandas function over the rows of one pair of blocks."""
+    """mapInArrow function over (key, i, j, rep, comp, block, hashes) in the order of key, i, j and rep: pairs of blocks follow each other, and one that has not ended with a batch waits for the next."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        same = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
-        sets = [np.asarray(x, dtype=np.int64) for x in pdf["hashes"]]
-        links = _forest(pdf["rep"].tolist(), pdf["comp"].tolist(), num, den, sets, (pdf["block"] == pdf["i"]).to_numpy(), same)
-        return pd.DataFrame({"u": pd.Series([x for x, _ in links], dtype="int64"), "v": pd.Series([y for _, y in links], dtype="int64")})
+    def links(part: pa.Table | pa.RecordBatch, i: int, j: int) -> list[tuple[int, int]]:
+        hashes = part.column("hashes")
+        lists = hashes.chunks if isinstance(hashes, pa.ChunkedArray) else [hashes]
+        values = np.concatenate([x.flatten().to_numpy() for x in lists])
+        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.int64)
+        return _forest(part.column("comp").to_pylist(), num, den, values, sizes, part.column("block").to_numpy() == i, i == j)
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            begins, out = [0, *cuts.tolist()], []
+            for a, b in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                now = (int(key[a]), int(i[a]), int(j[a]))
+                if held and now != last:
+                    out += links(held[0] if len(held) == 1 else pa.Table.from_batches(held), *last[1:])
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+            yield _pairs(out)
+        if held:
+            yield _pairs(links(held[0] if len(held) == 1 else pa.Table.from_batches(held), *last[1:]))
 
     return run
 
 
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
 def link_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and the components that links between them form.
 
@@ -156,7 +176,8 @@ def link_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], nu
     mixed = mixed.groupBy("m", "sum", "lo", "hi", "leader", "shingles").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / SHINGLES)).cast("int").alias("blocks"))
     rows = placed.drop("m", "n").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = rows.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(block_links(num, den), "u long, v long")
+    dealt = rows.join(sets, "rep").select("key", "i", "j", "rep", "comp", "block", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    more = dealt.mapInArrow(block_links(num, den), "u long, v long")
     more = scratch.keep(more, "blocks")
     if more.limit(1).count():
         # joins of components, by their labels; what has a link is in `first` or alone

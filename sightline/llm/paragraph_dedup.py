@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,14 +24,16 @@ WINDOW = 20
 RUN = 8
 #: Repeated paragraphs up to so many (16 MB) are broadcast with their texts' rows; more are joined by a shuffle.
 SPANS = 400_000
+#: What is known of a repeated paragraph where windows are held against it.
+SPAN = ("word", "words", "kept", "same", "ordinal", "owner_row", "owner_ordinal")
 #: Texts whose paragraphs are hashed at a time.
 TEXTS = 1000
-#: Bytes of text whose windows are hashed at a time.
-SLICE = 1 << 20
+#: Bytes of text whose windows are hashed at a time, and windows held against repeated paragraphs.
+SLICE, PLACED = 1 << 20, 1 << 18
 
 
 def _paragraphs(batch, min_words: int, text: int = 2):
-    """Row of the batch, number, first and last code point, words, shingle set, and a hash of the words in order, of each paragraph of at least min_words words. text: number of the column."""
+    """Row of the batch, number, first and last code point, words, shingle set, a hash of the words in order, and the number of the first word in the text, of each paragraph of at least min_words words. text: number of the column."""
     buf, offsets = string_buffer(batch.column(text))
     # line feeds are white space, so paragraphs can be hashed as rows of their own
     feeds = np.flatnonzero(buf == 10) + 1
@@ -47,13 +50,14 @@ def _paragraphs(batch, min_words: int, text: int = 2):
     last = points[stop] - points[offsets[row[keep]]]
     some = np.concatenate([h[ends[k] : ends[k + 1]] for k in keep]) if len(keep) else np.zeros(0, np.uint64)
     order = np.array([xxhash.xxh3_64_intdigest(h[ends[k] : ends[k + 1]].tobytes()) for k in keep], np.uint64)
-    return row[keep], number[keep], first, last, counts[keep], shingle_sets(some, counts[keep]), order
+    word = ends[keep] - ends[np.searchsorted(cuts, offsets[row[keep]])]
+    return row[keep], number[keep], first, last, counts[keep], shingle_sets(some, counts[keep]), order, word
 
 
 def _signatures(min_words: int, bands: int, rows: int, alone: int):
     def run(batches):
         for batch in slices(batches, TEXTS):
-            at, number, first, last, counts, sets, order = _paragraphs(batch, min_words)
+            at, number, first, last, counts, sets, order, word = _paragraphs(batch, min_words)
             ordinal = np.arange(len(at)) - np.searchsorted(at, at)
             if not len(at):
                 continue
@@ -61,8 +65,8 @@ def _signatures(min_words: int, bands: int, rows: int, alone: int):
             keys = iter(band_keys(circulant_signatures(some, bands * rows), bands, rows)) if some else iter(())
             none = np.zeros(0, np.uint64)
             of = batch.select([0, 1]).take(pa.array(at))
-            cols = [*of.columns, *(pa.array(c.astype(np.int64)) for c in (number, first, last, counts, ordinal)), pa.array(order.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array([next(keys) if len(s) > alone else none for s in sets])]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "paragraph", "start", "stop", "words", "ordinal", "content", "n", "fp", "bands"])
+            cols = [*of.columns, *(pa.array(c.astype(np.int64)) for c in (number, first, last, counts, word, ordinal)), pa.array(order.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), list_array([next(keys) if len(s) > alone else none for s in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "paragraph", "start", "stop", "words", "word", "ordinal", "content", "n", "fp", "bands"])
 
     return run
 
@@ -87,7 +91,7 @@ def _paragraph_rows(texts: DataFrame, scratch: Scratch, min_words: int, num: int
     """repeated_paragraphs with the row of each text and the owner's place."""
     # a set of n shingles reaches at best n / (n + 1) with another that isn't equal: up to these it needs no bands, as equal sets are one class anyway
     alone = max(0, -(-num // (den - num)) - 1) if num < den else 0
-    found = scratch.keep(texts.mapInArrow(_signatures(min_words, BANDS, ROWS, alone), "row long, doc_id long, paragraph long, start long, stop long, words long, ordinal long, content long, n long, fp binary, bands array<long>"), "found")
+    found = scratch.keep(texts.mapInArrow(_signatures(min_words, BANDS, ROWS, alone), "row long, doc_id long, paragraph long, start long, stop long, words long, word long, ordinal long, content long, n long, fp binary, bands array<long>"), "found")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         of = semi_join(texts, scratch.keep(wanted.select("row").distinct(), "ids"), "row").select("row", "text")
@@ -100,7 +104,7 @@ def _paragraph_rows(texts: DataFrame, scratch: Scratch, min_words: int, num: int
     copies = scratch.keep(placed.groupBy("component").agg(F.count("*").alias("copies")), "copies")
     kept = F.col("row").eqNullSafe(F.col("owner.row")) & (F.col("paragraph") == F.col("owner.paragraph"))
     each = placed.join(F.broadcast(copies) if fits_broadcast(copies, BUCKETS) else copies, "component")
-    return each.select("row", "doc_id", "paragraph", "start", "stop", "words", "ordinal", "content", "owner", "copies", kept.alias("kept"))
+    return each.select("row", "doc_id", "paragraph", "start", "stop", "words", "word", "ordinal", "content", "owner", "copies", kept.alias("kept"))
 
 
 def _columns(rows: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _windows(col: pa.Array):
-    """For slices of a column of texts: their first row and bytes and offsets, then of each window its row, its first word in the slice, the least hash of its runs and where that is, and of each word the hash and the byte at which it begins, and of each row the first word."""
+    """For slices of a column of texts: their first row and bytes and offsets, then of each window its row, its first word in the slice, the least hash of its runs and where that is (the last such place), and of each word the hash and the byte at which it begins, and of each row the first word."""
     buf, offsets = string_buffer(col)
     lo = 0
     while lo < len(col):
@@ -152,33 +156,33 @@ def _windows(col: pa.Array):
         lo = hi
 
 
-def _lie(spans, cuts: np.ndarray, points: np.ndarray, first: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window 3 if it is mirrored, 2 if all its words are in removed paragraphs, 1 if they are all in repeated ones, else 0; and whether any is in a removed one.
+def _lie(spans: pa.Array, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window (by its first word) 3 if it is mirrored, 2 if all its words are in removed paragraphs, 1 if they are all in repeated ones, else 0; and whether any is in a removed one. spans: repeated paragraphs of each row; ends: its first word.
 
     A window is mirrored if it lies in removed paragraphs that follow each other as their owners do in one text, word for word: so the owners' text has it too, in
     paragraphs that stay, and says of every other place what this one would.
     """
-    gone, told, mirror = (np.zeros(len(begins) + 1, np.int64) for _ in range(3))
-    block = 0
-    for r, some in enumerate(spans.to_pylist()):
-        if some:
-            some.sort(key=lambda x: x["start"])
-            at = points[begins[ends[r] : ends[r + 1]]] - points[cuts[r]]
-            edges = ends[r] + np.searchsorted(at, np.array([(x["start"], x["stop"]) for x in some]))
-            last = None
-            for (a, b), x in zip(edges, some, strict=True):
-                told[a + 1 : b + 1] = 1
-                if not x["kept"]:
-                    gone[a + 1 : b + 1] = 1
-                if x["same"]:
-                    now = (x["ordinal"], x["owner_row"], x["owner_ordinal"])
-                    block += last is None or now != (last[0] + 1, last[1], last[2] + 1)
-                    mirror[a:b] = block
-                    last = now
-                else:
-                    last = None
-    gone, told = np.cumsum(gone), np.cumsum(told)
-    lost, known = gone[first + WINDOW] - gone[first], told[first + WINDOW] - told[first]
+    row = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    of = dict(zip(SPAN, (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten()), strict=True))
+    order = np.lexsort((of["word"], row))
+    row, of = row[order], {k: x[order] for k, x in of.items()}
+    a = ends[row] + of["word"]
+    b = a + of["words"]
+    same, gone = of["same"].astype(bool), ~of["kept"].astype(bool)
+    goes_on = np.zeros(len(row), bool)
+    follows = [of[k][1:] == of[k][:-1] + step for k, step in (("ordinal", 1), ("owner_row", 0), ("owner_ordinal", 1))]
+    goes_on[1:] = same[1:] & same[:-1] & (row[1:] == row[:-1]) & np.logical_and.reduce(follows)
+    block = np.where(same, np.cumsum(~goes_on), 0)
+
+    def over(weight: np.ndarray) -> np.ndarray:
+        out = np.zeros(int(ends[-1]) + 1, np.int64)
+        np.add.at(out, a, weight)
+        np.add.at(out, b, -weight)
+        return np.cumsum(out)
+
+    before = lambda x: np.concatenate(([0], np.cumsum(x)))
+    removed, told, mirror = before(over(gone.astype(np.int64))), before(over(np.ones(len(a), np.int64))), over(block)
+    lost, known = removed[first + WINDOW] - removed[first], told[first + WINDOW] - told[first]
     state = np.where(lost == WINDOW, 2, np.where(known == WINDOW, 1, 0))
     state[(mirror[first] > 0) & (mirror[first] == mirror[first + WINDOW - 1])] = 3
     return state, lost > 0
@@ -188,23 +192,44 @@ def _points(buf: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
 
 
+def _places(batches):
+    """Of each text with windows the least hash of each place that stands for windows, in their order, and for how many (at most WINDOW - RUN + 1) it does: a byte each."""
+    for batch in slices(batches, TEXTS):
+        for lo, _, cuts, row, _, least, place, _, _, _ in _windows(batch.column(1)):
+            # windows with the same place follow each other
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1]))))
+            counts = np.diff(np.append(new, len(row))).astype(np.uint8)
+            ends = np.searchsorted(row[new], np.arange(len(cuts)))
+            some = np.flatnonzero(np.diff(ends))
+            keys = pa.ListArray.from_arrays(pa.array(np.append(ends[some], len(new)).astype(np.int32)), pa.array(least[new].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + lo)), keys, pa.array([counts[ends[r] : ends[r + 1]].tobytes() for r in some], pa.binary())], ["row", "keys", "counts"])
+
+
 def _keys(batches):
     """The distinct least hashes of each text's windows, without mirrored ones, and at how many places they are, two standing for more: in all, with a window outside removed and outside all repeated paragraphs."""
-    for batch in slices(batches, TEXTS):
-        for lo, buf, cuts, row, first, least, place, _, begins, ends in _windows(batch.column(1)):
-            state, _ = _lie(batch.column(2).slice(lo, len(cuts) - 1), cuts, _points(buf), first, begins, ends)
+    for whole in slices(batches, TEXTS):
+        bounds, lo = np.cumsum([sum(c) for c in whole.column(2).to_pylist()]), 0
+        while lo < len(bounds):
+            hi = max(lo + 1, int(np.searchsorted(bounds, (bounds[lo - 1] if lo else 0) + PLACED, side="right")))
+            batch, lo = whole.slice(lo, hi - lo), hi
+            least = batch.column(1).flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(1)).to_numpy())
+            counts = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).astype(np.int64)
+            windows = np.bincount(of, counts, len(batch)).astype(np.int64)
+            # a text has WINDOW - 1 words more than windows
+            ends = np.concatenate(([0], np.cumsum(windows + WINDOW - 1)))
+            first = np.arange(int(windows.sum())) + np.repeat(np.arange(len(batch)) * (WINDOW - 1), windows)
+            # a place has the state of its freest window
+            state = np.minimum.reduceat(_lie(batch.column(3), first, ends)[0], np.cumsum(counts) - counts)
             some = state < 3
-            row, least, place, state = row[some], least[some], place[some], state[some]
+            row, key, state = of[some], least[some], state[some]
             if not len(row):
                 continue
-            # a place has the state of its freest window
-            order = np.lexsort((state, place, least, row))
-            row, least, place, state = row[order], least[order], place[order], state[order]
-            one = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (least[1:] != least[:-1]))))
-            row, key, state = row[one], least[one], state[one]
+            order = np.lexsort((key, row))
+            row, key, state = row[order], key[order], state[order]
             new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]))))
-            counts = [np.minimum(np.add.reduceat(x, new, dtype=np.int32), 2) for x in (state >= 0, state < 2, state < 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + lo)), pa.array(key[new].view(np.int64)), *map(pa.array, counts)], ["row", "key", "n", "live", "free"])
+            sums = [np.minimum(np.add.reduceat(x, new, dtype=np.int32), 2) for x in (state >= 0, state < 2, state < 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(key[new].view(np.int64)), *map(pa.array, sums)], ["row", "key", "n", "live", "free"])
 
 
 def _candidates(batches):
@@ -219,7 +244,7 @@ def _candidates(batches):
                     hit[a:b] = np.isin(least[a:b], keys[lo + r].values.to_numpy().view(np.uint64))
             if not hit.any():
                 continue
-            state, cut = _lie(batch.column(4).slice(lo, len(cuts) - 1), cuts, points, first[hit], begins, ends)
+            state, cut = _lie(batch.column(4).slice(lo, len(cuts) - 1), first[hit], ends)
             hit[hit], state, cut = state < 3, state[state < 3], cut[state < 3]
             at, home = first[hit], cuts[row[hit]]
             feeds = np.concatenate(([0], np.cumsum(buf == 10)))
@@ -235,10 +260,12 @@ def _candidates(batches):
 def _passage_rows(texts: DataFrame, paragraphs: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs of windows that occur at another place too, without those that the rows of `paragraphs` (a written table) tell already."""
     same = ~F.col("kept") & (F.col("content") == F.col("owner.content"))
-    span = F.struct("start", "stop", "kept", same.alias("same"), "ordinal", F.col("owner.row").alias("owner_row"), F.col("owner.ordinal").alias("owner_ordinal"))
+    span = F.struct("word", "words", "kept", same.alias("same"), "ordinal", F.col("owner.row").alias("owner_row"), F.col("owner.ordinal").alias("owner_ordinal"))
     spans = scratch.keep(paragraphs.groupBy("row").agg(F.collect_set(span).alias("spans")), "spans")
     told = F.broadcast(spans) if fits_broadcast(paragraphs, SPANS) else spans
-    keys = texts.join(told, "row", "left").select("row", "text", "spans").mapInArrow(_keys, "row long, key long, n int, live int, free int")
+    # places travel to the spans, not texts
+    places = texts.select("row", "text").mapInArrow(_places, "row long, keys array<long>, counts binary")
+    keys = places.join(told, "row", "left").select("row", "keys", "counts", "spans").mapInArrow(_keys, "row long, key long, n int, live int, free int")
     keys = scratch.keep(keys, "keys")
     # all places of a window have the same key, so what its key lacks it lacks too
     shared = scratch.keep(keys.groupBy("key").agg(F.sum("n").alias("n"), F.sum("live").alias("live"), F.sum("free").alias("free")).where("n > 1 and (live > 1 or free > 0)").select("key"), "shared")
