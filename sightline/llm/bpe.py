@@ -12,13 +12,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sightline.llm.chunks import ChunkEncoder
-from sightline.llm.common import by_value, process_cache, text_or_empty
-
-#: States of the transducer, and chunks of text remembered, before they start anew: some 200 MB a worker in all.
-STATES, MEMO = 150_000, 250_000
-#: Documents encoded at a time; their ids are held as packed words.
-ROWS = 250
+from sightline.llm.chunks import ChunkEncoder, parts
+from sightline.llm.common import by_value, give_back, process_cache, text_or_empty
+
+#: States of the transducer, words remembered, and chunks that columns remember, before they start anew: some 200 MB a worker in all.
+STATES, MEMO, SEEN = 150_000, 60_000, 600_000
+#: Bytes of text encoded at a time, and documents at the most.
+SLICE, ROWS = 1 << 20, 1000
+#: What stands behind each document of a column; its id is none of the text's.
+END = bytes(4)
 #: Ids decoded at a time.
 FEED = 1 << 16
 #: Bits of a token's id, and a rank that no merge has.
@@ -244,7 +246,7 @@ def chunk_encoder(transducer: Transducer, pattern: str) -> ChunkEncoder:
         own = transducer.encode(piece.encode())
         return struct.pack(f"<{len(own)}I", *own)
 
-    return ChunkEncoder(word, lambda text: b"".join(map(word, split(text))), MEMO)
+    return ChunkEncoder(word, lambda text: b"".join(map(word, split(text))), MEMO, SEEN)
 
 
 def encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:
@@ -264,28 +266,29 @@ def encode_batches(path: str, pattern: str, with_ids: bool):
         chunks, tokens = encoder(path, pattern)
         digits = process_cache(f"digits {path}", lambda: [b"%d" % i for i in range(len(tokens))], large=True)
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                counts, ids_sha, text_sha, kept = [], [], [], []
-                for text in batch.column(1).slice(lo, ROWS).to_pylist():
-                    data = chunks.encode(text)
+            for lo, rows in parts(batch.column(1), SLICE, ROWS):
+                ids, counts = chunks.encode_column(batch.column(1).slice(lo, rows), np.zeros(rows, bool), END)
+                stops = np.cumsum(counts) - 1
+                counts -= 1
+                ids_sha, text_sha = [], []
+                for first, stop in zip((stops - counts).tolist(), stops.tolist(), strict=True):
                     ids_digest, text_digest, stream = hashlib.sha256(), hashlib.sha256(), StreamDecoder(tokens)
-                    for at in range(0, len(data), 4 * FEED):
-                        ids = np.frombuffer(data[at : at + 4 * FEED], "<u4").tolist()
-                        ids_digest.update((b"," if at else b"") + b",".join([digits[i] for i in ids]))
-                        text_digest.update(stream.feed_bytes(ids))
+                    for at in range(first, stop, FEED):
+                        some = ids[at : min(at + FEED, stop)].tolist()
+                        ids_digest.update((b"," if at > first else b"") + b",".join([digits[i] for i in some]))
+                        text_digest.update(stream.feed_bytes(some))
                     text_digest.update(stream.close_bytes())
-                    counts.append(len(data) // 4)
                     ids_sha.append(ids_digest.hexdigest())
                     text_sha.append(text_digest.hexdigest())
-                    if with_ids:
-                        kept.append(data)
-                cols = [batch.column(0).slice(lo, ROWS), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                cols = [batch.column(0).slice(lo, rows), pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.delete(ids, stops).view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+            del batch
+            give_back()
 
     return run
 

@@ -34,8 +34,8 @@ class ChunkEncoder:
     word encodes a run of letters, with or without a leading space; text encodes anything. Both give ids as little-endian 32-bit words.
     """
 
-    def __init__(self, word: Callable[[str], bytes], text: Callable[[str], bytes], entries: int | None = None):
-        self.word, self.text, self.entries = word, text, entries or MEMO
+    def __init__(self, word: Callable[[str], bytes], text: Callable[[str], bytes], entries: int | None = None, most: int | None = None):
+        self.word, self.text, self.entries, self.most = word, text, entries or MEMO, most or SEEN
         self.memo: dict[str, bytes | None] = {}
         self.known: dict[str, bytes] = {}
         self.forget()
@@ -128,8 +128,8 @@ class ChunkEncoder:
         # the end behind each text's last place
         per, at = np.insert(per, begins[1:], 1), np.insert(starts[code], begins[1:], len(table) - 1)
         out = table[np.repeat(at - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]
-        fresh = len(self.seen) + len(new) <= SEEN
-        # over SEEN only this column's chunks stay
+        fresh = len(self.seen) + len(new) <= self.most
+        # beyond that only this column's chunks stay
         at = (new if fresh else np.flatnonzero(behind)).tolist()
         at = np.array([k for k in at if len(every[k]) <= LONG and "\n" not in every[k] and lengths[known[k]]], np.int64)
         if not fresh:
@@ -168,4 +168,15 @@ class ChunkEncoder:
         return self.text(first) + b"".join(out)
 
 
+def parts(texts: pa.Array, size: int, rows: int):
+    """First row and rows of parts of a column of about so many bytes, or one longer text, and so many rows at the most."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield lo, hi - lo
+        lo = hi
+
+
 by_value(__name__)

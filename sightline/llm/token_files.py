@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.chunks import ChunkEncoder
+from sightline.llm.chunks import ChunkEncoder, parts
 from sightline.llm.common import Scratch, by_value, fits_broadcast, give_back, process_cache, text_or_empty
 
 END = 0
@@ -83,23 +83,12 @@ def tokenizer_encoder(path: str, added: bool = True) -> Callable[[pa.Array, byte
     return column
 
 
-def _slices(texts: pa.Array):
-    """First row and rows of parts of a column of about SLICE bytes, or one longer text."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(texts):
-        before = ends[lo - 1] if lo else 0
-        hi = min(lo + TEXTS, max(lo + 1, int(np.searchsorted(ends, before + SLICE, side="right"))))
-        yield lo, hi - lo
-        lo = hi
-
-
 def _encode_batches(path: str, added: bool):
     def run(batches):
         encode, place = process_cache(f"tokenizer {path} {added}", lambda: tokenizer_encoder(path, added), large=True), 0
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for lo, rows in _slices(batch.column(1)):
+            for lo, rows in parts(batch.column(1), SLICE, TEXTS):
                 ids, counts = encode(batch.column(1).slice(lo, rows), end)
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view("<i4")))
