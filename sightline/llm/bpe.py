@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,9 +71,20 @@ class Transducer:
     def reset(self) -> None:
         """Forgets states, transitions and pair checks."""
         self.pairs: dict[int, bool] = {}
-        self.states: list[tuple[int, ...]] = [(0,)]
-        self.ids: dict[tuple[int, ...], int] = {(0,): 0}
+        self.states: list[bytes] = []
+        self.closed: list[int] = []
+        self.ids: dict[bytes, int] = {}
         self.moves: dict[int, int] = {}
+        self.state(bytes(8), -1)
+
+    def state(self, ways: bytes, closed: int) -> int:
+        """The number of the state with these ways, packed as 64-bit integers: a third of a tuple of them. The newest way tells the token that ended the encoding, so it is the state's own."""
+        found = self.ids.get(ways)
+        if found is None:
+            found = self.ids[ways] = len(self.states)
+            self.states.append(ways)
+            self.closed.append(closed)
+        return found
 
     def parts(self, token: int) -> tuple[int, int] | tuple[()] | None:
         """The two tokens that the last merge of a token joins; () for a byte, None if merging its bytes doesn't give the token."""
@@ -117,10 +129,10 @@ class Transducer:
         return found
 
     def move(self, state: int, byte: int) -> int:
-        """The state after a byte and the token that ends the encoding so far, in one number."""
+        """The state after a byte; its `closed` is the token that ends the encoding so far."""
         child, token_at, inner, pairs = self.child.get, self.token_at, self.inner, self.pairs.get
         out, closed = [], -1
-        for way in self.states[state]:
+        for way in memoryview(self.states[state]).cast("q"):
             node = child(way >> BITS << 8 | byte)
             if node is None:
                 continue
@@ -134,13 +146,8 @@ class Transducer:
         if closed < 0:
             raise ValueError("the rank table lacks a byte or is no result of merging")
         out.append(closed + 1)
-        key = tuple(out)
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-        found = self.moves[state << 8 | byte] = to << BITS | closed
-        return found
+        to = self.moves[state << 8 | byte] = self.state(array("q", out).tobytes(), closed)
+        return to
 
     def trace(self, ends: list[int], to: int) -> list[int]:
         """Tokens of the first `to` bytes, from the tokens that end the encoding of each prefix."""
@@ -161,32 +168,29 @@ class Transducer:
             return [i for some in self.emitted(iter(piece)) for i in some]
         if len(self.states) > STATES:
             self.reset()
-        state, ends, get = 0, [], self.moves.get
+        state, ends, get, closed = 0, [], self.moves.get, self.closed
         for byte in piece:
-            step = get(state << 8 | byte)
-            if step is None:
-                step = self.move(state, byte)
-            ends.append(step & LOW)
-            state = step >> BITS
+            to = get(state << 8 | byte)
+            state = self.move(state, byte) if to is None else to
+            ends.append(closed[state])
         return self.trace(ends, len(ends))
 
     def emitted(self, piece) -> Iterator[list[int]]:
         """Ids of a piece of any length (an iterator of bytes), given out as soon as no further byte can change them: when all open ways go through them."""
         state, ends, starts = 0, [], [0]
         for byte in piece:
-            step = self.moves.get(state << 8 | byte)
-            if step is None:
+            to = self.moves.get(state << 8 | byte)
+            if to is None:
                 if len(self.states) > STATES:
-                    kept = self.states[state]
+                    kept = self.states[state], self.closed[state]
                     self.reset()
-                    state = self.ids.setdefault(kept, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(kept)
-                step = self.move(state, byte)
+                    state = self.state(*kept)
+                to = self.move(state, byte)
             # where the ways begin: the old ones in their order, as far as they go on, and the new one
-            kept = [at for at, way in zip(starts, self.states[state], strict=True) if (node := self.child.get(way >> BITS << 8 | byte)) is not None and self.inner[node]]
-            ends.append(step & LOW)
-            state, starts = step >> BITS, [*kept, len(ends)]
+            ways = memoryview(self.states[state]).cast("q")
+            kept = [at for at, way in zip(starts, ways, strict=True) if (node := self.child.get(way >> BITS << 8 | byte)) is not None and self.inner[node]]
+            ends.append(self.closed[to])
+            state, starts = to, [*kept, len(ends)]
             if len(ends) >= 4 * WINDOW:
                 common = None
                 for at in starts:
@@ -287,8 +291,10 @@ def encode_batches(path: str, pattern: str, with_ids: bool):
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.delete(ids, stops).view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+                # arrays of a column leave the C library holding as much again as the worker uses
+                del ids, cols
+                give_back()
             del batch
-            give_back()
 
     return run
 

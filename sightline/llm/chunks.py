@@ -99,27 +99,31 @@ class ChunkEncoder:
         # names are found by Python's hash and compared, as a dictionary does, but at a quarter of its memory
         hashes = np.fromiter(map(hash, every), np.int64, len(every))
         near = np.searchsorted(self.hashes, hashes)
-        known = np.append(self.places, -1)[near]
+        known = np.full(len(every), -1, np.int32)
+        inside = near < len(self.places)
+        known[inside] = self.places[near[inside]]
         same = pc.equal(self.seen.take(pa.array(known, mask=known < 0)), coded.dictionary)
         known[~pc.fill_null(same, False).to_numpy(zero_copy_only=False)] = -1
-        new = np.flatnonzero(behind & (known < 0))
-        known[new] = len(self.seen) + np.arange(len(new))
+        new, old = np.flatnonzero(behind & (known < 0)), np.flatnonzero(behind & (known >= 0))
         names = [every[k] for k in new.tolist()]
         found = [self.missing(chunk) for chunk in names]
         alone = np.fromiter((ids is None for ids in found), bool, len(found))
         no = np.zeros(len(every), bool)
         no[new] = alone
         no = no[code] & later
-        code = known[code]
         whole = whole | (np.diff(begins) == 1) | np.logical_or.reduceat(no, first) | np.fromiter((not head or head[-1].isspace() for head in heads), bool, len(heads))
         # of a whole text its first place stands for all of it
         firsts = [self.piece(head, self.text) if not w else self.text(texts[k].as_py()) if len(texts[k].as_py()) else b"" for k, (head, w) in enumerate(zip(heads, whole.tolist(), strict=True))]
-        code[first] = len(self.seen) + len(found) + np.arange(len(first))
+        # ids of this column's chunks alone: remembered ones, new ones, and of each text its first place
+        spans = self.stops[known[old]], self.stops[known[old] + 1] - self.stops[known[old]]
         some = [b"" if ids is None else ids for ids in found]
-        lengths = np.fromiter(map(len, some + firsts), np.int64, len(some) + len(firsts)) // 4
-        table = np.concatenate((self.ids, np.frombuffer(b"".join(some), "<u4"), np.frombuffer(b"".join(firsts) + end, "<u4")))
-        lengths = np.concatenate((self.lengths, lengths))
+        table = np.concatenate((gathered(self.ids, *spans), np.frombuffer(b"".join(some), "<u4"), np.frombuffer(b"".join(firsts) + end, "<u4")))
+        lengths = np.concatenate((spans[1], np.fromiter(map(len, some + firsts), np.int64, len(some) + len(firsts)) // 4))
         starts = np.cumsum(lengths) - lengths
+        place = np.zeros(len(every), np.int64)
+        place[old], place[new] = np.arange(len(old)), len(old) + np.arange(len(new))
+        code = place[code]
+        code[first] = len(old) + len(new) + np.arange(len(first))
         per = lengths[code]
         gone = np.repeat(whole, np.diff(begins))
         gone[first] = False
@@ -127,11 +131,11 @@ class ChunkEncoder:
         counts = np.add.reduceat(per, first) + 1
         # the end behind each text's last place
         per, at = np.insert(per, begins[1:], 1), np.insert(starts[code], begins[1:], len(table) - 1)
-        out = table[np.repeat(at - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]
+        out = gathered(table, at, per)
         fresh = len(self.seen) + len(new) <= self.most
         # beyond that only this column's chunks stay
         at = (new if fresh else np.flatnonzero(behind)).tolist()
-        at = np.array([k for k in at if len(every[k]) <= LONG and "\n" not in every[k] and lengths[known[k]]], np.int64)
+        at = np.array([k for k in at if len(every[k]) <= LONG and "\n" not in every[k] and lengths[place[k]]], np.int64)
         if not fresh:
             self.forget()
         # of names with equal hashes one is remembered
@@ -139,17 +143,17 @@ class ChunkEncoder:
         into = np.searchsorted(self.hashes, hashes[at])
         other = into == np.searchsorted(self.hashes, hashes[at], side="right")
         at, into = at[other], into[other]
-        self.places = np.insert(self.places, into, len(self.seen) + np.arange(len(at)))
+        self.places = np.insert(self.places, into, (len(self.seen) + np.arange(len(at))).astype(np.int32))
         self.hashes = np.insert(self.hashes, into, hashes[at])
         self.seen = pa.concat_arrays([self.seen, coded.dictionary.take(pa.array(at)).cast(pa.string())])
-        per, at = lengths[known[at]], starts[known[at]]
-        self.ids = np.concatenate((self.ids, table[np.repeat(at - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]))
-        self.lengths = np.concatenate((self.lengths, per))
+        per, at = lengths[place[at]], starts[place[at]]
+        self.ids = np.concatenate((self.ids, gathered(table, at, per)))
+        self.stops = np.concatenate((self.stops, (self.stops[-1] + np.cumsum(per)).astype(np.int32)))
         return out, counts
 
     def forget(self) -> None:
-        self.seen, self.hashes, self.places = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.seen, self.hashes, self.places = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.stops = np.zeros(0, "<u4"), np.zeros(1, np.int32)
 
     def encode(self, text: str) -> bytes:
         self.tidy()
@@ -168,6 +172,11 @@ class ChunkEncoder:
         return self.text(first) + b"".join(out)
 
 
+def gathered(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of a table, one after the other."""
+    return table[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+
 def parts(texts: pa.Array, size: int, rows: int):
     """First row and rows of parts of a column of about so many bytes, or one longer text, and so many rows at the most."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -135,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordinal
         return F.log((x + 0.5) / (n[f, True] - x + 0.5)) - F.log((y + 0.5) / (n[f, False] - y + 0.5)) >= MARKER
 
     best = counts.select("feature", g2.alias("g2"), marks(0).alias("mark0"), marks(1).alias("mark1")).orderBy(F.desc("g2"), "feature").limit(FEATURES).collect()  # FEATURES rows at the most
-    index = docs.sparkSession.createDataFrame([(r.feature, k, r.mark0, r.mark1) for k, r in enumerate(best)], "feature long, k int, mark0 boolean, mark1 boolean")
+    # from rows Spark would start a second set of Python workers for an RDD, which stay for the stages that follow; from Arrow it starts none
+    marked = pa.table([[r.feature for r in best], range(len(best)), [r.mark0 for r in best], [r.mark1 for r in best]], schema=pa.schema([("feature", pa.int64()), ("k", pa.int32()), ("mark0", pa.bool_()), ("mark1", pa.bool_())]))
+    index = docs.sparkSession.createDataFrame(marked)
     found = rows.select("row", F.explode("features").alias("feature")).join(F.broadcast(index), "feature")
     found = found.groupBy("row").agg(F.sort_array(F.collect_set("k")).alias("ks"), F.count_if(F.col("mark0")).alias("m0"), F.count_if(F.col("mark1")).alias("m1"))
     fitted = rows.drop("features").join(found, "row", "left").select("doc_id", "body", "row", "toxic", F.coalesce("ks", F.array().cast("array<int>")).alias("ks"), F.coalesce(F.when(half == 0, F.col("m1")).otherwise(F.col("m0")), F.lit(0)).cast("int").alias("marks"))
