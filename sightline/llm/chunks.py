@@ -93,7 +93,8 @@ class ChunkEncoder:
         later = np.ones(len(values), bool)
         later[first] = False
         coded = values.dictionary_encode()
-        every, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # a column becomes Python's strings at once by numpy, to_pylist makes a scalar of each first
+        every, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         behind = np.zeros(len(every), bool)
         behind[code[later]] = True
         # names are found by Python's hash and compared, as a dictionary does, but at a quarter of its memory
