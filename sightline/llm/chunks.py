@@ -71,7 +71,10 @@ class ChunkEncoder:
         base = line.rstrip(PUNCTUATION)
         if not LETTERS(base):
             return self.piece(lead + line, self.text)
-        word = self.piece(base, self.word) if not lead else self.memo.get(base) or self.missing(base)
+        if not lead:
+            word = self.piece(base, self.word)
+        elif (word := self.memo.get(base)) is None:
+            word = self.memo[base] = self.word(lead + base)
         return word if len(base) == len(line) else word + self.piece(line[len(base) :], self.text)
 
     def tidy(self) -> None:
@@ -99,10 +102,12 @@ class ChunkEncoder:
         behind[code[later]] = True
         # names are found by Python's hash and compared, as a dictionary does, but at a quarter of its memory
         hashes = np.fromiter(map(hash, every), np.int64, len(every))
-        near = np.searchsorted(self.hashes, hashes)
+        # looked up in order, the search stays in the processor's caches
+        order = np.argsort(hashes)
+        near = np.searchsorted(self.hashes, hashes[order])
         known = np.full(len(every), -1, np.int32)
         inside = near < len(self.places)
-        known[inside] = self.places[near[inside]]
+        known[order[inside]] = self.places[near[inside]]
         same = pc.equal(self.seen.take(pa.array(known, mask=known < 0)), coded.dictionary)
         known[~pc.fill_null(same, False).to_numpy(zero_copy_only=False)] = -1
         new, old = np.flatnonzero(behind & (known < 0)), np.flatnonzero(behind & (known >= 0))
