@@ -84,11 +84,4 @@ def first_wins(reads: DataFrame, by: list[str], order: list[str], floor: float,
     return out.select(*by, F.col("_f.normal").alias("claimed"), F.when(F.col("_f").isNull(), "never created").when(F.col("_f.score") >= 92, "covered").otherwise("orphaned").alias("verdict"))
 
 
-def closest_pair(members: DataFrame, by: list[str], name: str, key: str, score) -> DataFrame:
-    """Per group the pair of names most alike, the first of equals: (by, a, b, score)."""
-    a, b = members.select(*by, F.col(key).alias("a"), F.col(name).alias("_a")), members.select(*by, F.col(key).alias("b"), F.col(name).alias("_b"))
-    pairs = a.join(b, by).where("a < b").withColumn("score", score(F.col("_a"), F.col("_b")))
-    return pairs.groupBy(*by).agg(F.max_by(F.struct("a", "b", "score"), F.struct("score", -F.col("a"), -F.col("b"))).alias("_p")).select(*by, "_p.*")
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
-from sightline.operators import ingest, likely, probes, resolve
+from sightline.operators import ingest, likely, nearest, probes, resolve
 from sightline.plans.base import query, weighted_sql
 from sightline.plans.scores import RATIO
 from sightline.sources.tables import table
@@ -68,7 +68,7 @@ CODES = "c AS (SELECT s_nationkey AS capture_id, s_suppkey AS member_id, lpad(CA
 @query(f"""WITH {CODES}, p AS (SELECT a.capture_id, a.member_id AS a, b.member_id AS b, {RATIO.format(a='a.code', b='b.code')} AS score FROM c a JOIN c b ON a.capture_id = b.capture_id AND a.member_id < b.member_id) SELECT capture_id, arg_max(struct_pack(a := a, b := b), (score, -a, -b)).a AS a, arg_max(struct_pack(a := a, b := b), (score, -a, -b)).b AS b, max(score) AS score FROM p GROUP BY 1""")
 def er_clo_closest_pair(spark, d):
     """ER-CLO and J-CLO: the two codes of a nation most alike."""
-    return probes.closest_pair(_members(spark, d), ["capture_id"], "code", "member_id", names.edit_ratio)
+    return nearest.closest(_members(spark, d), ["capture_id"], "code", "member_id")
 
 
 @query(f"""WITH {CODES}, p AS (SELECT a.capture_id, a.member_id AS a, b.member_id AS b, {weighted_sql("a.code", "b.code")} AS score FROM c a JOIN c b ON a.capture_id = b.capture_id AND a.member_id < b.member_id) SELECT capture_id, arg_max(struct_pack(a := a, b := b), (score, -a, -b)).a AS a, arg_max(struct_pack(a := a, b := b), (score, -a, -b)).b AS b, max(score) AS score FROM p GROUP BY 1""")

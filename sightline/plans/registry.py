@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.functions import names, parse
-from sightline.operators import claims, evaluate, facts, graphs, likely, metrics, planner, resolve, sequences
+from sightline.operators import claims, evaluate, facts, graphs, likely, metrics, nearest, planner, resolve, sequences
 from sightline.plans import evaluation, fields, frames, ordered, planning, published, scores, store, streams  # noqa: F401  each adds its queries
 from sightline.plans.base import weighted_sql
 from sightline.plans.base import QUERIES, SQL, query  # noqa: F401
@@ -241,7 +241,8 @@ def er_rank_weighted(spark, d):
     """Names with look-alike swaps against the suppliers of their nation; scores know the swaps."""
     s = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("member_id"), "s_name")
     reads = s.select("s_nationkey", F.translate("s_name", "01", "Oi").alias("read"))
-    best = likely.likely(reads, s, ["s_nationkey"], "read", "s_name")
+    tops = nearest.nearest(reads, s, ["s_nationkey"], "read", "s_name", names.likeness, likely.forms)
+    best = tops.join(s, ["s_nationkey", "s_name"])
     return best.groupBy("read").agg(F.max_by("member_id", F.struct("score", -F.col("member_id"))).alias("member_id"), F.max("score").alias("score"))
 
 
