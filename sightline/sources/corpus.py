@@ -73,7 +73,8 @@ def overlaps(rects: DataFrame, key: str, by: list[str], cells: int = 16) -> Data
     meet = (F.col("l._k") < F.col("r._k")) & (F.col("l.x1") < F.col("r.x2")) & (F.col("r.x1") < F.col("l.x2")) & (F.col("l.y1") < F.col("r.y2")) & (F.col("r.y1") < F.col("l.y2"))
     # a pair is told once, in the first cell that both touch
     first = (F.col("l._cx") == F.floor(F.greatest("l.x1", "r.x1") * cells)) & (F.col("l._cy") == F.floor(F.greatest("l.y1", "r.y1") * cells))
-    return left.join(right, [*on, meet, first]).select(F.col("l._k").alias("a"), F.col("r._k").alias("b"))
+    # each rectangle is many rows here, which the planner's estimate doesn't know: it would broadcast all of them
+    return left.join(right.hint("merge"), [*on, meet, first]).select(F.col("l._k").alias("a"), F.col("r._k").alias("b"))
 
 
 def shape_faults(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
