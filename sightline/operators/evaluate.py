@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions import names
 from sightline.functions.names import REVIEW
 from sightline.operators import likely
 
@@ -52,8 +53,8 @@ def best_read(df: DataFrame, by: list[str], text: str, confidence: str, order: s
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     """(bin, label, n, lo, mean, hi) over half-open bins between the edges, open at both ends."""
     k = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda acc, e: acc + (F.col(value) >= e).cast("int"))
-    names = [f"< {edges[0]}", *(f"{a} - {b}" for a, b in zip(edges, edges[1:], strict=False)), f">= {edges[-1]}"]
-    label = F.element_at(F.array(*map(F.lit, names)), F.col("bin") + 1)
+    titles = [f"< {edges[0]}", *(f"{a} - {b}" for a, b in zip(edges, edges[1:], strict=False)), f">= {edges[-1]}"]
+    label = F.element_at(F.array(*map(F.lit, titles)), F.col("bin") + 1)
     got = df.select(k.alias("bin"), F.col(value).alias("v")).groupBy("bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("hi"))
     return got.select("bin", label.alias("label"), "n", "lo", "mean", "hi")
 
@@ -107,12 +108,22 @@ def creatable(scored: DataFrame, by: list[str], least: float, accept: int = 92)
     return best.withColumn("verdict", F.when(F.col("score") < accept, "missed").when(F.col("confidence") < least, "low confidence").otherwise("creatable"))
 
 
-def united(scores: DataFrame, row: list[str], member: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    """Scores of several read modes taken together: per row and member the highest; per row the text of the mode whose best score is highest, the first of equals."""
-    best = scores.groupBy(*row, member).agg(F.max("score").alias("score"))
+def united_scores(reads: DataFrame, members: DataFrame, block: list[str], row: str, text: str, member: str, name: str) -> DataFrame:
+    """(row, member, score) of every row and member of a block: the highest edit_ratio of any of the row's texts; an empty text scores 0.
+
+    A row's texts travel together, so each pair is made once and needs no aggregate, unless a row or member is in several places.
+    """
+    rows = reads.groupBy(*block, row).agg(F.collect_set(text).alias("_texts"))
+    ratio = lambda t: F.when(t == "", 0).otherwise(names.edit_ratio(t, F.col(name)))
+    pairs = rows.join(members.select(*block, member, name), block).select(row, member, F.array_max(F.transform("_texts", ratio)).alias("score"))
+    twice = lambda df, key: df.groupBy(key).count().where("count > 1").limit(1).count() > 0
+    return pairs.groupBy(row, member).agg(F.max("score").alias("score")) if twice(rows, row) or twice(members, member) else pairs
+
+
+def best_texts(scores: DataFrame, row: list[str], mode: str) -> DataFrame:
+    """Per row the text of the mode whose best score is highest, the first of equals, of texts that aren't empty."""
     tops = scores.where("text <> ''").groupBy(*row, mode, "text").agg(F.max("score").alias("_top"))
-    text = tops.groupBy(*row).agg(F.max_by("text", F.struct("_top", -F.col(mode))).alias("text"), F.max("_top").alias("top"))
-    return best, text
+    return tops.groupBy(*row).agg(F.max_by("text", F.struct("_top", -F.col(mode))).alias("text"), F.max("_top").alias("top"))
 
 
 def agreement(first: DataFrame, second: DataFrame, key: str, accept: int = 92) -> DataFrame:

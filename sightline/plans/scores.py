@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions import names
-from sightline.operators import evaluate, metrics, pixels, resolve
+from sightline.operators import evaluate, metrics, nearest, pixels, resolve
 from sightline.plans.base import query, weighted_sql
 from sightline.sources.tables import table
 
@@ -27,21 +27,36 @@ READS = "m AS (SELECT s_nationkey AS s_nationkey, s_suppkey AS row, mode, CASE m
 PAIRS = f"p AS (SELECT m.s_nationkey, row, mode, text, confidence, s_suppkey AS member_id, CASE WHEN text = '' THEN 0 ELSE {RATIO.format(a='text', b='s_name')} END AS score FROM m JOIN supplier s ON m.s_nationkey = s.s_nationkey AND m.row % 8 = s_suppkey % 8)"
 
 
-def _pairs(spark, d):
-    """Reads against the members of their nation and number modulo 8: the closed set of a group."""
-    members = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("member_id"), "s_name", (F.col("s_suppkey") % 8).alias("g"))
-    pairs = _reads(spark, d).withColumn("g", F.col("row") % 8).join(members, ["s_nationkey", "g"])
-    return pairs.withColumn("score", F.when(F.col("text") == "", 0).otherwise(names.edit_ratio("text", "s_name"))).drop("g")
+def _members(spark, d):
+    """Members of a nation and number modulo 8: the closed set of a group."""
+    return table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("member_id"), "s_name", (F.col("s_suppkey") % 8).alias("g"))
+
+
+def _dealt(spark, d):
+    """Reads with their group."""
+    return _reads(spark, d).withColumn("g", F.col("row") % 8)
+
+
+GROUP = ["s_nationkey", "g"]
+
+
+def _best(spark, d, least=0):
+    """(row, mode, text, member_id, score) of the best member of each read that isn't empty, if its score is `least` or more."""
+    reads, members = _dealt(spark, d), _members(spark, d)
+    some = reads.where("text <> ''")
+    tops = nearest.nearest(some, members, GROUP, "text", "s_name", least=least).join(members, [*GROUP, "s_name"])
+    tops = tops.groupBy(*GROUP, "text").agg(F.min("member_id").alias("member_id"), F.max("score").alias("score"))
+    return some.join(tops, [*GROUP, "text"]).select("row", "mode", "text", "member_id", "score")
 
 
 @query(f"""WITH {READS}, {PAIRS} SELECT row, member_id, max(score) AS score FROM p GROUP BY ALL""")
 def a_uni_united_scores(spark, d):
-    return evaluate.united(_pairs(spark, d), ["row"], "member_id", "mode")[0]
+    return evaluate.united_scores(_dealt(spark, d), _members(spark, d), GROUP, "row", "text", "member_id", "s_name")
 
 
 @query(f"""WITH {READS}, {PAIRS}, t AS (SELECT row, mode, text, max(score) AS top FROM p WHERE text <> '' GROUP BY ALL) SELECT row, arg_max(text, (top, -mode)) AS text, max(top) AS top FROM t GROUP BY row""")
 def a_uni_best_texts(spark, d):
-    return evaluate.united(_pairs(spark, d), ["row"], "member_id", "mode")[1]
+    return evaluate.best_texts(_best(spark, d), ["row"], "mode")
 
 
 @query(f"""WITH {READS}, v AS (SELECT row, mode, CASE WHEN text = '' THEN 'empty' WHEN e.s_name IS NOT NULL THEN CASE WHEN confidence >= 0.4 THEN 'exact' ELSE 'exact, weak' END WHEN j.s_name IS NOT NULL THEN 'junk-prefixed' ELSE 'unmatched' END AS verdict FROM m LEFT JOIN supplier e ON text = e.s_name LEFT JOIN supplier j ON substr(text, 3) = j.s_name AND text LIKE '| %') SELECT verdict, count(*) AS n FROM v GROUP BY 1""")
@@ -55,15 +70,17 @@ MEMBER = f"{PAIRS}, b AS (SELECT member_id, arg_max(struct_pack(text := text, sc
 
 @query(f"""WITH {READS}, {MEMBER} SELECT member_id, r.text AS text, r.score AS score, CASE WHEN r.score < 92 THEN 'missed' WHEN r.confidence < 0.4 THEN 'low confidence' ELSE 'creatable' END AS verdict FROM b""")
 def a_mem_creatable_members(spark, d):
-    return evaluate.creatable(_pairs(spark, d), ["member_id"], 0.4).select("member_id", "text", "score", "verdict")
+    reads, members = _dealt(spark, d), _members(spark, d)
+    tops = nearest.nearest(members, reads, GROUP, "s_name", "text").join(members, [*GROUP, "s_name"])
+    return evaluate.creatable(tops.join(reads, [*GROUP, "text"]), ["member_id"], 0.4).select("member_id", "text", "score", "verdict")
 
 
 @query(f"""WITH {READS}, {PAIRS}, t AS (SELECT row, mode, max(score) AS top FROM p GROUP BY ALL), w AS (SELECT row, mode, arg_max(member_id, (score, -member_id)) AS won FROM p GROUP BY ALL) SELECT mode, count(*) FILTER (top >= 92) AS sure, (SELECT count(*) FROM m WHERE text = '' AND m.mode = t.mode) AS empty, count(DISTINCT won) FILTER (top >= 92) AS members FROM t JOIN w USING (row, mode) GROUP BY mode""")
 def a_nam_name_probe(spark, d):
     """Bands read surely, reads that are empty, and distinct members that the best reads reach, by mode."""
-    best = _pairs(spark, d).groupBy("row", "mode", "text").agg(F.max_by("member_id", F.struct("score", -F.col("member_id"))).alias("won"), F.max("score").alias("top"))
-    sure = F.col("top") >= 92
-    return best.groupBy("mode").agg(F.count_if(sure).alias("sure"), F.count_if(F.col("text") == "").alias("empty"), F.count_distinct(F.when(sure, F.col("won"))).alias("members"))
+    best = _best(spark, d, 92).groupBy("row", "mode").agg(F.max_by("member_id", F.struct("score", -F.col("member_id"))).alias("won"))
+    rows = _reads(spark, d).groupBy("row", "mode").agg(F.bool_or(F.col("text") == "").alias("empty")).join(best, ["row", "mode"], "left")
+    return rows.groupBy("mode").agg(F.count("won").alias("sure"), F.count_if("empty").alias("empty"), F.count_distinct("won").alias("members"))
 
 
 AGREE = f"{PAIRS}, w AS (SELECT row, mode, arg_max(member_id, (score, -member_id)) AS won, max(score) AS top FROM p GROUP BY ALL), v AS (SELECT coalesce(a.row, b.row) AS row, coalesce(a.top >= 92, false) AS sa, coalesce(b.top >= 92, false) AS sb, a.won AS wa, b.won AS wb FROM (SELECT * FROM w WHERE mode = 0) a FULL JOIN (SELECT * FROM w WHERE mode = 1) b ON a.row = b.row)"
@@ -71,7 +88,8 @@ AGREE = f"{PAIRS}, w AS (SELECT row, mode, arg_max(member_id, (score, -member_id
 
 @query(f"""WITH {READS}, {AGREE} SELECT row, CASE WHEN sa AND sb THEN CASE WHEN wa = wb THEN 'agree' ELSE 'disagree' END WHEN sa THEN 'first only' WHEN sb THEN 'recovered' ELSE 'both weak' END AS verdict FROM v""")
 def a_agr_agreement(spark, d):
-    best = _pairs(spark, d).groupBy("row", "mode").agg(F.max_by("member_id", F.struct("score", -F.col("member_id"))).alias("member_id"), F.max("score").alias("score"))
+    sure = _best(spark, d, 92).groupBy("row", "mode").agg(F.max_by("member_id", F.struct("score", -F.col("member_id"))).alias("member_id"), F.max("score").alias("score"))
+    best = _reads(spark, d).select("row", "mode").distinct().join(sure, ["row", "mode"], "left")
     return evaluate.agreement(best.where("mode = 0"), best.where("mode = 1"), "row")
 
 
