@@ -55,19 +55,73 @@ def consistent(df: DataFrame, by: list[str], order: list[str], value: str) -> Da
     return _by_group(df, by, order, lambda rows: (longest_falling(rows[value]),), "keep boolean")
 
 
+class _Rows(dict):
+    """The columns of one group as lists, each made when it is asked for."""
+
+    def __init__(self, column, lo: int, hi: int):
+        super().__init__()
+        self.column, self.lo, self.hi = column, lo, hi
+
+    def __missing__(self, name: str) -> list:
+        return self.setdefault(name, self.column(name)[self.lo : self.hi])
+
+
+def _starts(rows: pa.Table, by: list[str]) -> list[int]:
+    """Where a group begins, in rows that lie group by group."""
+    new = pa.array([False] * (rows.num_rows - 1), pa.bool_())
+    for c in by:
+        a, b = rows.column(c).slice(1).combine_chunks(), rows.column(c).slice(0, rows.num_rows - 1).combine_chunks()
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new = pc.or_(new, differs)
+    return [0, *(pc.indices_nonzero(new).to_numpy() + 1).tolist()]
+
+
 def _by_group(df: DataFrame, by: list[str], order: list[str], fold, extra: str) -> DataFrame:
-    """df with the columns of `extra`, which fold gives for the columns (as lists) of one group in order. A group is one capture, so it is bounded."""
+    """df with the columns of `extra`, which fold gives for the columns (as lists) of one group in order. A group is one capture, so it is bounded.
+
+    Groups lie one behind the other in sorted partitions and are taken as they come in Arrow batches, as a call of Python for each costs more than its rows.
+    """
     add = StructType.fromDDL(extra)
     schema = StructType([*df.schema.fields, *add.fields])
     kinds = to_arrow_schema(add)
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, sort_keys=[(c, "ascending") for c in order]))
-        for field, values in zip(kinds, fold({c: group.column(c).to_pylist() for c in group.column_names if c not in by}), strict=True):
-            group = group.append_column(field.name, pa.array(values, field.type))
-        return group
-
-    return df.groupBy(*by).applyInArrow(run, schema)
+    def folded(rows: pa.Table, starts: list[int]) -> list[pa.RecordBatch]:
+        lists: dict[str, list] = {}
+
+        def column(name: str) -> list:
+            if name not in lists:
+                lists[name] = rows.column(name).to_pylist()
+            return lists[name]
+
+        out: list[list] = [[] for _ in kinds]
+        for lo, hi in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            for values, more in zip(out, fold(_Rows(column, lo, hi)), strict=True):
+                values.extend(more)
+        for field, values in zip(kinds, out, strict=True):
+            rows = rows.append_column(field.name, pa.array(values, field.type))
+        return rows.to_batches()
+
+    def run(batches):
+        left: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # of what is left one row tells whether the group goes on
+            ahead = [left[-1].slice(left[-1].num_rows - 1), batch] if left else [batch]
+            seen = pa.Table.from_batches(ahead)
+            starts = _starts(seen, by)
+            cut = starts[-1] - (1 if left else 0)
+            if starts[-1] == 0:
+                left.append(batch)
+                continue
+            done = pa.Table.from_batches([*left, batch.slice(0, cut)])
+            yield from folded(done, _starts(done, by))
+            left = [batch.slice(cut)]
+        if left:
+            done = pa.Table.from_batches(left)
+            yield from folded(done, _starts(done, by))
+
+    return df.repartition(*by).sortWithinPartitions(*by, *(F.asc_nulls_last(c) for c in order)).mapInArrow(run, schema)
 
 
 def spaced(df: DataFrame, by: list[str], order: list[str], at: str, gap: float) -> DataFrame:
