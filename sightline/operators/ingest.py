@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import names
-from sightline.operators import claims, creation, resolve, sequences, store
+from sightline.operators import claims, creation, likely, nearest, resolve, sequences, store
+from sightline.operators.nearest import Forms
 
 
-def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: DataFrame, score: Callable[[Column, Column], Column] = names.likeness) -> dict[str, DataFrame]:
+def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: DataFrame, score: Callable[[Column, Column], Column] = names.likeness, forms: Forms = likely.forms) -> dict[str, DataFrame]:
     """A weekly ranking, read and attributed.
 
     captures: capture_id, status. members: capture_id, member_id, name. reads:
@@ -21,15 +22,18 @@ def ranking(captures: DataFrame, members: DataFrame, reads: DataFrame, points: D
     The modes' scores are united; rows are assigned to the closed set of members; sure values that fall with the rank bound their neighbours;
     each row becomes a fact, a review or a duplicate; members of a complete, fully attributed capture without a row get 0.
     A review has the text that was read, and what the late retry read besides if it was tried in vain; one of a row without a member has all members of the capture as candidates, by score.
-    Gives rows, facts, reviews, zeros and results (per capture). Everything joins on the capture, so captures are independent of each other.
+    forms: what of a name the score compares. Gives rows, facts, reviews, zeros and results (per capture). Everything joins on the capture, so captures are independent of each other.
     """
     pairs = reads.where("text <> ''").join(members, "capture_id").withColumn("score", score(F.col("text"), F.col("name")))
     best = pairs.groupBy("capture_id", "row", "member_id").agg(F.max("score").alias("score"))
-    tops = pairs.groupBy("capture_id", "row").agg(F.max_by("text", F.struct("score", -F.col("mode"))).alias("name_text"), F.max("score").alias("top"))
+    some = reads.where("text <> ''")
+    tops = some.join(nearest.nearest(some, members, ["capture_id"], "text", "name", score, forms).select("capture_id", "text", "score").distinct(), ["capture_id", "text"])
+    tops = tops.groupBy("capture_id", "row").agg(F.max_by("text", F.struct("score", -F.col("mode"))).alias("name_text"), F.max("score").alias("top"))
     # a row without any text has no pair, but it is a row of the matrix
     every = points.select("capture_id", "row").join(members.select("capture_id", "member_id"), "capture_id").join(best, ["capture_id", "row", "member_id"], "left")
-    matrix = every.select("capture_id", F.col("row").cast("int").alias("row"), F.col("member_id").cast("int").alias("member"), F.coalesce("score", F.lit(0)).alias("score"))
-    assigned = claims.assignments(matrix, "capture_id")
+    number = F.col("row").cast("int").alias("row")
+    texts = points.select("capture_id", number).distinct().join(some.select("capture_id", number, "text").distinct(), ["capture_id", "row"], "left")
+    assigned = claims.named(texts, members.select("capture_id", F.col("member_id").cast("int").alias("member"), "name"), "capture_id", "text", "name", score, forms)
     read = resolve.with_retry(F.col("text"), F.col("confidence"), F.col("retry_text"), F.col("retry_confidence"))
     rows = points.withColumn("_r", read).select("capture_id", "row", "_r.*", "late_text", "late_confidence").join(assigned, ["capture_id", "row"], "left").join(tops, ["capture_id", "row"], "left")
     rows = rows.fillna({"member": -1, "phase": 0, "score": 0, "top": 0})

@@ -45,22 +45,36 @@ def assign(scores: np.ndarray, floor: int = FLOOR, margin: int = MARGIN) -> tupl
     """
     cells = scores.astype(np.int64)
     member, score, phase = np.full(len(cells), -1), np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+    every = np.arange(len(cells))
+    # best and next free cell of each row; a claim changes those of the rows that it was one of
+    column, other, best, second = (np.full(len(cells), TAKEN) for _ in range(4))
+
+    def look(rows: np.ndarray) -> None:
+        if not cells.shape[1]:
+            return
+        part, at = cells[rows], np.arange(len(rows))
+        column[rows] = part.argmax(axis=1)
+        best[rows] = part[at, column[rows]]
+        part[at, column[rows]] = TAKEN - 1
+        other[rows] = part.argmax(axis=1)
+        second[rows] = np.maximum(part[at, other[rows]], TAKEN)
+
+    look(every)
     for stage, least, lead in ((CONFIDENT, ACCEPT, 1), (RESIDUAL, floor, margin)):
         while cells.size:
-            top = np.sort(cells, axis=1)[:, -2:]
-            best = top[:, -1]
-            second = top[:, 0] if top.shape[1] > 1 else np.full(len(cells), TAKEN)
-            fits = np.flatnonzero((best >= least) & ((second == TAKEN) | (best - second >= lead)))
-            if not len(fits):
+            fits = np.where((best >= least) & ((second == TAKEN) | (best - second >= lead)), best, TAKEN)
+            row = fits.argmax()
+            if fits[row] == TAKEN:
                 break
-            row = fits[best[fits].argmax()]
-            column = cells[row].argmax()
-            member[row], score[row], phase[row] = column, cells[row, column], stage
-            cells[row], cells[:, column] = TAKEN, TAKEN
+            member[row], score[row], phase[row] = column[row], best[row], stage
+            taken = column[row]
+            cells[row], cells[:, taken] = TAKEN, TAKEN
+            best[row] = TAKEN
+            look(every[((column == taken) | (other == taken)) & (best > TAKEN)])
         if stage == CONFIDENT:
             claimed = np.unique(member[member >= 0])
             again = (member < 0) & (scores[:, claimed] >= ACCEPT).any(axis=1)
-            phase[again], cells[again] = DUPLICATE, TAKEN
+            phase[again], cells[again], best[again] = DUPLICATE, TAKEN, TAKEN
     return member, score, phase
 
 

@@ -146,12 +146,12 @@ def ranking_inputs(spark, d):
 @query()
 def er_vs_ranking(spark, d):
     """The whole ranking pipeline: what became of each row."""
-    return ingest.ranking(*ranking_inputs(spark, d), score=names.edit_ratio)["rows"]
+    return ingest.ranking(*ranking_inputs(spark, d), score=names.edit_ratio, forms=nearest.as_written)["rows"]
 
 
 @query()
 def er_vs_results(spark, d):
-    return ingest.ranking(*ranking_inputs(spark, d), score=names.edit_ratio)["results"]
+    return ingest.ranking(*ranking_inputs(spark, d), score=names.edit_ratio, forms=nearest.as_written)["results"]
 
 
 def roster_inputs(spark, d):

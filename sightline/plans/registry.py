@@ -276,10 +276,11 @@ taken AS (SELECT g, phase, row, member, score FROM st WHERE row IS NOT NULL), su
 cells AS (SELECT a.s_nationkey AS g, a.s_suppkey AS row, b.s_suppkey AS member, {weighted_sql("lower(replace(a.read, '#', ''))", "b.name")} AS score FROM s a JOIN s b USING (s_nationkey)), {CLAIMS_SQL}
 SELECT acc.g AS s_nationkey, CAST(acc.row AS INTEGER) AS row, CAST(coalesce(t.member, -1) AS INTEGER) AS member, coalesce(t.score, 0) AS score, CASE WHEN t.phase IS NOT NULL THEN t.phase WHEN list_has_any(acc.ms, coalesce(sure.ms, [])) THEN 3 ELSE 0 END AS phase FROM acc LEFT JOIN taken t ON t.g = acc.g AND t.row = acc.row LEFT JOIN sure ON sure.g = acc.g""")
 def er_asn_assignment(spark, d):
-    """Closed-set assignment per nation of perturbed supplier names: all nations advance together, by joins and aggregates."""
+    """Closed-set assignment per nation of perturbed supplier names, without all pairs of a nation."""
     s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
-    pairs = s.select("s_nationkey", F.col("s_suppkey").cast("int").alias("row"), F.translate("s_name", "01", "Oi").alias("read")).join(s.select("s_nationkey", F.col("s_suppkey").cast("int").alias("member"), "s_name"), "s_nationkey")
-    return claims.assignments(pairs.select("s_nationkey", "row", "member", names.likeness("read", "s_name").alias("score")), "s_nationkey")
+    rows = s.select("s_nationkey", F.col("s_suppkey").cast("int").alias("row"), F.translate("s_name", "01", "Oi").alias("read"))
+    members = s.select("s_nationkey", F.col("s_suppkey").cast("int").alias("member"), "s_name")
+    return claims.named(rows, members, "s_nationkey", "read", "s_name", names.likeness, likely.forms)
 
 
 @query("""WITH RECURSIVE cells AS (SELECT o_orderkey AS g, l_linenumber::BIGINT AS row, (l_linenumber + k) % 5 AS member, max(CAST(55 + (l_suppkey * (7 + k) + l_partkey * (3 + 2 * k) + l_linenumber) % 46 AS INTEGER)) AS score FROM (SELECT *, l_orderkey AS o_orderkey FROM lineitem), (VALUES (0), (1), (2)) t(k) GROUP BY ALL), """ + CLAIMS_SQL + """
