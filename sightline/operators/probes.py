@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.names import PAIRS
+from sightline.operators import claims, nearest
+from sightline.operators.nearest import Forms
 from sightline.operators.resolve import DUPLICATE, assign
 
 
@@ -60,6 +63,30 @@ def grid(pairs: DataFrame, truth: DataFrame, by: str, floors: list[int], margins
     return each.groupBy("floor", "margin").agg(*(F.sum(c).alias(c) for c in ("correct", "wrong", "unassigned", "duplicate")))
 
 
+def grid_of_names(rows: DataFrame, members: DataFrame, truth: DataFrame, by: str, text: str, name: str, score: Callable, forms: Forms, floors: list[int], margins: list[int]) -> DataFrame:
+    """grid of rows (by, row, text) and members (by, member, name), each row with one text, without all pairs.
+
+    Claims of the accepted score are the same in every setting, so they are made once, and thresholds need a row's nearest members alone. What is left of a capture is assigned once for each setting, in one task.
+    """
+    keep = nearest._keeper(rows, "grid")
+    truth = keep(truth.select(by, "row", F.col("member").alias("_want")))
+    told, left, free = claims.confident(rows, members, by, text, name, score, forms)
+    cells = claims.remaining(left, free, by, text, name, min(floors) - max(margins) + 1, score)
+    rest = grid(keep(cells), truth.join(left.select(by, "row"), [by, "row"], "left_semi").withColumnRenamed("_want", "member"), by, floors, margins).where("margin > 0").select("floor", "margin", "correct", "wrong")
+    right, some = F.coalesce(F.col("member") == F.col("_want"), F.lit(False)), F.col("member") >= 0
+    sure = told.join(truth, [by, "row"], "left").agg(F.count_if(some & right).alias("_right"), F.count_if(some & ~right).alias("_wrong"), F.count_if(F.col("phase") == DUPLICATE).alias("duplicate"))
+    tops = nearest.nearest(rows, members, [by], text, name, score, forms).join(members, [by, name]).groupBy(by, text).agg(F.min("member").alias("member"), F.max("score").alias("score"))
+    best = rows.join(tops, [by, text]).join(truth, [by, "row"], "left").groupBy("score").agg(F.count_if(right).alias("correct"), F.count_if(~right).alias("wrong"))
+    spark = rows.sparkSession
+    plain = spark.createDataFrame([(f,) for f in floors], "floor int").join(F.broadcast(best), F.col("score") >= F.col("floor"), "left")  # a row for each score
+    plain = plain.groupBy("floor").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("correct", "wrong"))).select("floor", F.lit(-1).alias("margin"), "correct", "wrong", F.lit(0).cast("long").alias("duplicate"))
+    settings = spark.createDataFrame([(f, m) for f in floors for m in margins], "floor int, margin int").join(rest, ["floor", "margin"], "left").crossJoin(F.broadcast(sure))  # one row
+    settled = settings.select("floor", "margin", (F.coalesce("correct", F.lit(0)) + F.col("_right")).alias("correct"), (F.coalesce("wrong", F.lit(0)) + F.col("_wrong")).alias("wrong"), "duplicate")
+    total = rows.select(by, "row").distinct().agg(F.count("*").alias("_n"))
+    out = settled.unionByName(plain).crossJoin(F.broadcast(total))  # one row
+    return out.select("floor", "margin", "correct", "wrong", (F.col("_n") - F.col("correct") - F.col("wrong") - F.col("duplicate")).alias("unassigned"), "duplicate")
+
+
 def points_probe(reads: DataFrame, by: list[str], least: float) -> DataFrame:
     """Readings of a number by how good they are: per config the counts of empty, unparseable, exact, close (1 %), off, weak and retried ones."""
     close = F.abs(F.col("points") - F.col("want")) / F.col("want") <= 0.01
@@ -78,8 +105,8 @@ def best_points(reads: DataFrame, by: list[str]) -> DataFrame:
 def first_wins(reads: DataFrame, by: list[str], order: list[str], floor: float, repeats: int) -> DataFrame:
     """Per true name the reading that would have created its member: the first that is sure enough, or the one that says the same for the k-th time; and its verdict."""
     seen = Window.partitionBy(*by, "normal").orderBy(*order)
-    claims = reads.withColumn("_k", F.row_number().over(seen)).where((F.col("confidence") >= floor) | (F.col("_k") >= repeats))
-    first = claims.groupBy(*by).agg(F.min_by(F.struct("normal", "score"), F.struct(*order)).alias("_f"))
+    told = reads.withColumn("_k", F.row_number().over(seen)).where((F.col("confidence") >= floor) | (F.col("_k") >= repeats))
+    first = told.groupBy(*by).agg(F.min_by(F.struct("normal", "score"), F.struct(*order)).alias("_f"))
     out = reads.select(*by).distinct().join(first, by, "left")
     return out.select(*by, F.col("_f.normal").alias("claimed"), F.when(F.col("_f").isNull(), "never created").when(F.col("_f.score") >= 92, "covered").otherwise("orphaned").alias("verdict"))
 

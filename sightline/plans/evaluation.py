@@ -94,8 +94,9 @@ def er_scn_parameter_grid(spark, d):
     """Floors and margins of the assignment, scored; every third code is read with a wrong digit."""
     m = _members(spark, d)
     reads = m.select("capture_id", F.col("member_id").cast("int").alias("row"), F.when(F.col("member_id") % 3 == 0, F.concat(F.expr("substring(code, 1, 4)"), F.lit("x"))).otherwise(F.col("code")).alias("text"))
-    pairs = reads.join(m, "capture_id").select("capture_id", "row", F.col("member_id").cast("int").alias("member"), names.edit_ratio("text", "code").alias("score"))
-    return probes.grid(pairs, m.select("capture_id", F.col("member_id").cast("int").alias("row"), F.col("member_id").cast("int").alias("member")), "capture_id", [40, 50, 60, 70, 80, 90, 92], [1, 5, 10, 20, 30])
+    members = m.select("capture_id", F.col("member_id").cast("int").alias("member"), "code")
+    truth = m.select("capture_id", F.col("member_id").cast("int").alias("row"), F.col("member_id").cast("int").alias("member"))
+    return probes.grid_of_names(reads, members, truth, "capture_id", "text", "code", names.edit_ratio, nearest.as_written, [40, 50, 60, 70, 80, 90, 92], [1, 5, 10, 20, 30])
 
 
 def _numbers(spark, d):
